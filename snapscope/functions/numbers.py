@@ -84,7 +84,8 @@ def significant_text(number: Column, digits: int) -> Column:
     fixed = _drop_zeros(scientific.try_cast("decimal(38,18)").cast("string"))
     mantissa = _drop_zeros(F.regexp_extract(scientific, r"^(.*)e", 1))
     exponent_form = F.concat(mantissa, F.regexp_extract(scientific, r"(e[+-]\d+)$", 1))
-    return F.when((exponent >= -4) & (exponent < digits), fixed).otherwise(exponent_form)
+    text = F.when((exponent >= -4) & (exponent < digits), fixed).otherwise(exponent_form)
+    return F.when(number.isNotNull(), text)
 
 
 def _special_text(number: Column) -> Column:
@@ -150,18 +151,19 @@ def short_number(number: Column, decimals: int = 3) -> Column:
     """Whole numbers as integers, others with fixed decimals; NULL, NaN and infinities as ''."""
     finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
     whole = F.abs(number - F.bround(number, 0)) < 1e-9
-    text = F.when(whole, _whole_text(number)).otherwise(F.format_string(f"%.{decimals}f", number))
+    text = F.when(whole, _whole_text(number)).otherwise(F.format_string(f"%.{decimals}f", F.bround(number, decimals)))
     return F.when(finite, text).otherwise("")
 
 
 def size_text(n_bytes: Column) -> Column:
     """Bytes as B, KB, MB or GB with one decimal."""
     size = n_bytes.cast("double")
-    text = F.format_string("%.1fGB", size / 1024**3)
+    text = F.format_string("%.1fGB", F.bround(size / 1024**3, 1))
     for power, unit in ((2, "MB"), (1, "KB"), (0, "B")):
-        text = F.when(size < 1024.0 ** (power + 1), F.format_string(f"%.1f{unit}", size / 1024.0**power)).otherwise(text)
+        scaled = F.format_string(f"%.1f{unit}", F.bround(size / 1024.0**power, 1))
+        text = F.when(size < 1024.0 ** (power + 1), scaled).otherwise(text)
     return text
 
 
 def megabytes_text(n_bytes: Column) -> Column:
-    return F.format_string("%.2f MB", n_bytes.cast("double") / 1024**2)
+    return F.format_string("%.2f MB", F.bround(n_bytes.cast("double") / 1024**2, 2))

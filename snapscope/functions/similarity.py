@@ -1,7 +1,8 @@
 """Token-set similarity of a text to a query, 0 to 100.
 
 Set algebra on the tokens and the length arithmetic are built-in expressions; only the longest
-common subsequence of the two leftover strings runs in an Arrow batch function.
+common subsequence of the two leftover strings runs in an Arrow batch function, and only for rows
+where it can decide the score: a leftover far longer than the other cannot win against the shared part.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ def common_subsequence_length(pattern: str, text: str) -> int:
         hits = unmatched & places.get(char, 0)
         if hits:
             unmatched = ((unmatched + hits) | (unmatched - hits)) & everything
+            if not unmatched:
+                break
     return len(pattern) - unmatched.bit_count()
 
 
 @F.pandas_udf(T.IntegerType())
 def _subsequence(left: pd.Series, right: pd.Series) -> pd.Series:
-    pairs = zip(left, right)
-    return pd.Series([common_subsequence_length(*sorted(p, key=len)) for p in pairs], dtype="int32")
+    lengths = [None if x is None else common_subsequence_length(*sorted((x, y), key=len)) for x, y in zip(left, right)]
+    return pd.Series(lengths, dtype="Int32")
 
 
 def _joined(tokens: Column) -> Column:
@@ -54,16 +57,22 @@ def token_set_ratio(query_tokens: Sequence[str], text: Column) -> Column:
     prefix = len_shared + F.when(len_shared > 0, 1).otherwise(0)
     size_query, size_text = prefix + len_query, prefix + len_text
 
-    distance = len_query + len_text - 2 * _subsequence(rest_query, rest_text)
-    leftovers = 100.0 * (1 - distance / (size_query + size_text))
     against_query = 100.0 * (1 - (1 + len_query) / (len_shared + size_query))
     against_text = 100.0 * (1 - (1 + len_text) / (len_shared + size_text))
 
+    def leftovers(common: Column) -> Column:
+        return 100.0 * (1 - (len_query + len_text - 2 * common) / (size_query + size_text))
+
     nothing = (F.size(wanted) == 0) | (F.size(found) == 0)
     covered = (len_shared > 0) & ((len_query == 0) | (len_text == 0))
+    by_shared = F.greatest(against_query, against_text)
+    beaten = (len_shared > 0) & (leftovers(F.least(len_query, len_text)) <= by_shared)
+    decides = ~(nothing | covered | beaten)
+    common = _subsequence(F.when(decides, rest_query), F.when(decides, rest_text))
     return (
         F.when(nothing, F.lit(0.0))
         .when(covered, F.lit(100.0))
-        .when(len_shared == 0, leftovers)
-        .otherwise(F.greatest(leftovers, against_query, against_text))
+        .when(beaten, by_shared)
+        .when(len_shared == 0, leftovers(common))
+        .otherwise(F.greatest(leftovers(common), by_shared))
     )
