@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,42 +37,51 @@ def _subsequence(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(lengths, dtype="Int32")
 
 
-def _joined(tokens: Column) -> Column:
-    return F.array_join(F.array_sort(tokens), " ")
+def with_token_set_ratio(df: DataFrame, query_tokens: Sequence[str], text: str, name: str = "ratio") -> DataFrame:
+    """Add the best of three ratios: leftovers against each other, and the shared part against each side.
 
-
-def token_set_ratio(query_tokens: Sequence[str], text: Column) -> Column:
-    """Best of three ratios: leftovers against each other, and the shared part against each side.
-
-    `text` is normalised text; tokens are separated by one blank.
+    `text` names a column of normalised text, tokens separated by one blank. The steps are separate
+    projections so that each token list is built once per row.
     """
-    wanted = F.array_distinct(F.array(*[F.lit(t) for t in query_tokens]).cast("array<string>"))
-    found = F.array_distinct(F.filter(F.split(text, " "), lambda t: t != ""))
-    shared = F.array_intersect(wanted, found)
-    rest_query = _joined(F.array_except(wanted, found))
-    rest_text = _joined(F.array_except(found, wanted))
+    words = list(dict.fromkeys(query_tokens))
+    wanted = F.array(*[F.lit(t) for t in words]).cast("array<string>")
+    found = F.array_distinct(F.filter(F.split(F.col(text), " "), lambda t: t != ""))
+    staged = df.withColumn("_found", found).withColumn("_rest", F.array_except("_found", wanted))
+    staged = staged.withColumn("_rest_text", F.array_join(F.array_sort("_rest"), " "))
+    shared = F.array_join(F.filter(wanted, lambda t: F.array_contains("_found", t)), " ")
+    rest_query = F.array_join(F.array_sort(F.filter(wanted, lambda t: ~F.array_contains("_found", t))), " ")
+    staged = staged.select(
+        *df.columns,
+        "_rest_text",
+        rest_query.alias("_rest_query"),
+        F.length(shared).alias("_shared"),
+        F.length(rest_query).alias("_len_query"),
+        F.length("_rest_text").alias("_len_text"),
+        (F.size("_found") == 0).alias("_empty"),
+    )
 
-    len_shared = F.length(_joined(shared))
-    len_query, len_text = F.length(rest_query), F.length(rest_text)
+    len_shared, len_query, len_text = F.col("_shared"), F.col("_len_query"), F.col("_len_text")
     prefix = len_shared + F.when(len_shared > 0, 1).otherwise(0)
     size_query, size_text = prefix + len_query, prefix + len_text
-
-    against_query = 100.0 * (1 - (1 + len_query) / (len_shared + size_query))
-    against_text = 100.0 * (1 - (1 + len_text) / (len_shared + size_text))
+    by_shared = F.greatest(
+        100.0 * (1 - (1 + len_query) / (len_shared + size_query)), 100.0 * (1 - (1 + len_text) / (len_shared + size_text))
+    )
 
     def leftovers(common: Column) -> Column:
         return 100.0 * (1 - (len_query + len_text - 2 * common) / (size_query + size_text))
 
-    nothing = (F.size(wanted) == 0) | (F.size(found) == 0)
+    nothing = F.col("_empty") | F.lit(not words)
     covered = (len_shared > 0) & ((len_query == 0) | (len_text == 0))
-    by_shared = F.greatest(against_query, against_text)
     beaten = (len_shared > 0) & (leftovers(F.least(len_query, len_text)) <= by_shared)
-    decides = ~(nothing | covered | beaten)
-    common = _subsequence(F.when(decides, rest_query), F.when(decides, rest_text))
-    return (
+    open_case = ~(nothing | covered | beaten)
+    staged = staged.withColumn(
+        "_common", _subsequence(F.when(open_case, F.col("_rest_query")), F.when(open_case, F.col("_rest_text")))
+    )
+    ratio = (
         F.when(nothing, F.lit(0.0))
         .when(covered, F.lit(100.0))
         .when(beaten, by_shared)
-        .when(len_shared == 0, leftovers(common))
-        .otherwise(F.greatest(leftovers(common), by_shared))
+        .when(len_shared == 0, leftovers(F.col("_common")))
+        .otherwise(F.greatest(leftovers(F.col("_common")), by_shared))
     )
+    return staged.select(*df.columns, ratio.alias(name))

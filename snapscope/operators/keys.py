@@ -16,8 +16,9 @@ KEY_SUFFIXES = ("ID", "NO", "NB")
 DOMAIN_KEYS = {"RANGER_SOSTAT": ["RTUNO", "PNTNO"]}
 PREFERRED_KEYS = ["ID", "RTUNO", "PNTNO", "ITEMNB", "INHPRO"]
 MAX_CANDIDATES = 10
-# The distinct estimate is within a few percent, so a true key can never fall below this share.
-SURELY_NOT_UNIQUE = 0.8
+# The estimate's standard error is 5 %. A candidate is ruled out only when its estimate is more than six
+# of them, and a few rows, short of the row count; anything closer is counted exactly.
+SURE_SHARE, SURE_ROWS = 0.7, 32
 
 
 def key_name_score(name: str) -> int:
@@ -68,7 +69,7 @@ def infer_keys(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None)
     plausible = [True] * len(candidates)
     for side in (a, b):
         rows, distinct = key_estimates(side, candidates)
-        plausible = [p and rows > 0 and d >= SURELY_NOT_UNIQUE * rows for p, d in zip(plausible, distinct)]
+        plausible = [p and rows > 0 and d >= SURE_SHARE * rows - SURE_ROWS for p, d in zip(plausible, distinct)]
     for key, worth_testing in zip(candidates, plausible):
         if worth_testing and is_unique(a, key) and is_unique(b, key):
             return key

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapscope.functions.similarity import token_set_ratio
+from snapscope.functions.similarity import with_token_set_ratio
 from snapscope.functions.text import normalize_query
 from snapscope.operators.text_index import build_index
 
@@ -113,15 +113,14 @@ def coverage(tokens: Sequence[str]) -> Column:
 def scored(rows: DataFrame, args: SearchArgs) -> DataFrame:
     """Coverage, has_all and score (whole number) per candidate; below `min_score` dropped."""
     tokens = args.tokens
-    rows = rows.withColumn("ratio", token_set_ratio(tokens, F.col("content_norm")))
-    if args.min_score is not None:
-        rows = rows.filter(F.col("ratio") >= args.min_score)
     cover = coverage(tokens)
     has_all = F.when(cover == len(tokens), 1).otherwise(0) if tokens else F.lit(0)
-    return rows.select(
-        "table_name", "pk_col", "pk_value", "row_id", "copies",
-        F.col("ratio").cast("int").alias("score"), cover.alias("coverage"), has_all.alias("has_all"),
-    )
+    needed = ["table_name", "pk_col", "pk_value", "row_id", "copies"]
+    rows = rows.select(*needed, "content_norm", cover.alias("coverage"), has_all.alias("has_all"))
+    rows = with_token_set_ratio(rows, tokens, "content_norm")
+    if args.min_score is not None:
+        rows = rows.filter(F.col("ratio") >= args.min_score)
+    return rows.select(*needed, F.col("ratio").cast("int").alias("score"), "coverage", "has_all")
 
 
 def _rank(by: str) -> list[Column]:
@@ -143,30 +142,30 @@ def within_quota(rows: DataFrame, args: SearchArgs, rank_by: str = "coverage") -
 
 
 def with_payload(chosen: DataFrame, index: DataFrame) -> DataFrame:
-    """Add the stored row. `chosen` is bounded by the total limit, so it is sent to the index partitions."""
-    wanted = F.broadcast(chosen.select("table_name", "row_id").distinct())
-    stored = index.select("table_name", "row_id", "row_json").join(wanted, ["table_name", "row_id"], "left_semi")
-    return chosen.join(F.broadcast(stored.dropDuplicates(["row_id"]).drop("table_name")), "row_id", "left")
+    """Add the stored row. `chosen` is bounded by the total limit, so it is sent to the index partitions.
+
+    Equal rows share their id; each chosen place keeps one stored row.
+    """
+    stored = index.select("table_name", "row_id", "row_json")
+    return stored.join(F.broadcast(chosen), ["table_name", "row_id"]).dropDuplicates(["table_name", "rank_in_table"])
 
 
 def grouped_order(chosen: DataFrame, args: SearchArgs) -> DataFrame:
-    """Tables in output order (`table_rank`): priority tables as given, then by best score."""
-    best = chosen.groupBy("table_name").agg(F.max("score").alias("table_score"))
+    """Tables in output order (`table_rank`): priority tables as given, then by best score.
+
+    The total limit bounds `chosen`, so ranking it in one place is fine.
+    """
     place = F.array_position(F.array(*[F.lit(t) for t in args.priority]).cast("array<string>"), F.col("table_name"))
-    place = F.when(place > 0, place).otherwise(F.lit(len(args.priority) + 1))
-    # One row per chosen table: bounded by the total limit.
-    ranked = best.withColumn("place", place).withColumn(
-        "table_rank",
-        F.row_number().over(Window.orderBy("place", F.col("table_score").desc(), "table_name")),
-    )
-    return (
-        chosen.join(F.broadcast(ranked.select("table_name", "table_rank")), "table_name")
-        .select(
-            "table_rank", "table_name", F.col("rank_in_table").alias("rank"), "score", "coverage", "has_all",
-            "pk_col", "pk_value", "row_id", "copies", *(["row_json"] if "row_json" in chosen.columns else []),
-        )
-        .orderBy("table_rank", "rank")
+    best = F.max("score").over(Window.partitionBy("table_name"))
+    ranked = chosen.withColumn("best", best).withColumn(
+        "place", F.when(place > 0, place).otherwise(F.lit(len(args.priority) + 1))
     )
+    by_table = Window.orderBy("place", F.col("best").desc(), "table_name")
+    return ranked.select(
+        F.dense_rank().over(by_table).alias("table_rank"),
+        "table_name", F.col("rank_in_table").alias("rank"), "score", "coverage", "has_all", "pk_col", "pk_value",
+        "row_id", "copies", *(["row_json"] if "row_json" in chosen.columns else []),
+    ).orderBy("table_rank", "rank")
 
 
 def search(index: DataFrame, args: SearchArgs, payload: bool = True, rank_by: str = "coverage") -> DataFrame:
@@ -180,12 +179,12 @@ def search(index: DataFrame, args: SearchArgs, payload: bool = True, rank_by: st
 def search_counts(index: DataFrame, args: SearchArgs) -> DataFrame:
     """One row: query, normalised query, candidates (after `min_score`) and returned rows."""
     per_table = scored(candidates(index, args), args).groupBy("table_name").agg(F.count("*").alias("n"))
-    returned = F.least(F.sum(F.least("n", F.lit(args.per_table))), F.lit(args.total_limit))
+    within = F.coalesce(F.sum(F.least("n", F.lit(args.per_table))), F.lit(0))
     return per_table.agg(
         F.lit(args.q).alias("q"),
         F.lit(args.normalized).alias("q_norm"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("candidate_count"),
-        F.coalesce(returned, F.lit(0)).cast("bigint").alias("returned_count"),
+        F.least(within, F.lit(args.total_limit)).cast("bigint").alias("returned_count"),
     )
 
 

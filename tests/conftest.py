@@ -5,6 +5,6 @@ from snapscope.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(cpus=4, name="snapscope-tests", partitions=4)
+    session = local_session(cpus=4, name="snapscope-tests", partitions=2)
     yield session
     session.stop()

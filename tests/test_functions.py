@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from snapscope.functions import names, numbers, text
 from snapscope.functions.dates import date_in_name
 from snapscope.functions.serial import canonical_row, flatten_nested, row_json
-from snapscope.functions.similarity import common_subsequence_length, token_set_ratio
+from snapscope.functions.similarity import common_subsequence_length, with_token_set_ratio
 from snapscope.functions.text import normalize_query
 
 
@@ -116,7 +116,8 @@ def test_similarity(spark):
         assert common_subsequence_length(a, b) == lcs(a, b)
 
     def score(query, content):
-        return values(spark, [content], lambda c: token_set_ratio(query.split(), c))[0]
+        df = spark.createDataFrame([(content,)], "t STRING")
+        return with_token_set_ratio(df, query.split(), "t").first().ratio
 
     assert score("alpha", "alpha beta") == 100.0
     assert score("alpha", "") == 0.0
