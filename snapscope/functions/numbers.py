@@ -34,16 +34,26 @@ def as_text(value: Column, data_type: T.DataType) -> Column:
 
 def unwrap(text: Column) -> Column:
     """`('x',)` -> x and `Decimal('x')` -> x, one layer of each."""
-    bare = strip(text)
-    bare = strip(F.regexp_replace(bare, ONE_TUPLE, "$1"))
-    return strip(F.regexp_replace(bare, DECIMAL_CALL, "$1"))
+    opened = F.regexp_replace(strip(text), ONE_TUPLE, "$1")
+    return strip(F.regexp_replace(opened, DECIMAL_CALL, "$1"))
 
 
-def _to_double(text: Column) -> Column:
-    plain = F.when(text.rlike(FLOAT_TEXT), F.replace(text, F.lit("_"), F.lit("")).try_cast("double"))
-    sign = F.when(text.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
-    special = F.when(F.lower(text).contains("nan"), F.lit(float("nan"))).otherwise(sign * F.lit(float("inf")))
-    return F.coalesce(plain, F.when(text.rlike(SPECIAL_FLOAT_TEXT), special))
+def digits_only(bare: Column) -> Column:
+    """Text as a float is spelt: without `%` and blanks, a decimal comma as a point."""
+    comma_only = bare.contains(",") & ~bare.contains(".")
+    return F.translate(F.when(comma_only, F.translate(bare, ",", ".")).otherwise(bare), "% ", "")
+
+
+def float_of(text: Column) -> Column:
+    """Double of a float spelling, NULL for anything else."""
+    plain = F.when(text.rlike(FLOAT_TEXT), F.translate(text, "_", "").try_cast("double"))
+    word = F.when(
+        text.rlike(SPECIAL_FLOAT_TEXT),
+        F.when(F.lower(text).contains("nan"), F.lit(float("nan")))
+        .when(text.startswith("-"), F.lit(float("-inf")))
+        .otherwise(F.lit(float("inf"))),
+    )
+    return F.coalesce(plain, word)
 
 
 def parse_number(value: Column, data_type: T.DataType = T.StringType()) -> Column:
@@ -54,10 +64,7 @@ def parse_number(value: Column, data_type: T.DataType = T.StringType()) -> Colum
     if _is_number(data_type):
         return value.cast("double")
     if isinstance(data_type, (T.StringType, T.BinaryType)):
-        text = F.regexp_replace(unwrap(as_text(value, data_type)), "[% ]", "")
-        decimal_comma = text.contains(",") & ~text.contains(".")
-        text = F.when(decimal_comma, F.replace(text, F.lit(","), F.lit("."))).otherwise(text)
-        return _to_double(text)
+        return float_of(digits_only(unwrap(as_text(value, data_type))))
     return F.lit(None).cast("double")
 
 
@@ -107,10 +114,14 @@ def _whole_text(number: Column) -> Column:
 def nice_number(number: Column) -> Column:
     """119.0 -> 119, 119.50 -> 119.5; twelve significant digits."""
     whole = F.abs(number - F.bround(number, 0)) < 1e-12
-    return F.coalesce(
-        _special_text(number),
-        F.when(whole, _whole_text(number)),
-        significant_text(number, 12),
+    shortest = number.cast("string")
+    # Up to twelve digits and no exponent: the shortest spelling is already the wanted one.
+    is_short = (F.length(shortest) <= 13) & ~shortest.contains("E")
+    return (
+        F.when(F.isnan(number) | (F.abs(number) == float("inf")), _special_text(number))
+        .when(whole, _whole_text(number))
+        .when(is_short, shortest)
+        .otherwise(significant_text(number, 12))
     )
 
 

@@ -43,21 +43,25 @@ def with_token_set_ratio(df: DataFrame, query_tokens: Sequence[str], text: str,
     `text` names a column of normalised text, tokens separated by one blank. The steps are separate
     projections so that each token list is built once per row.
     """
-    words = list(dict.fromkeys(query_tokens))
+    words = sorted(set(query_tokens))
     wanted = F.array(*[F.lit(t) for t in words]).cast("array<string>")
-    found = F.array_distinct(F.filter(F.split(F.col(text), " "), lambda t: t != ""))
-    staged = df.withColumn("_found", found).withColumn("_rest", F.array_except("_found", wanted))
-    staged = staged.withColumn("_rest_text", F.array_join(F.array_sort("_rest"), " "))
-    shared = F.array_join(F.filter(wanted, lambda t: F.array_contains("_found", t)), " ")
-    rest_query = F.array_join(F.array_sort(F.filter(wanted, lambda t: ~F.array_contains("_found", t))), " ")
-    staged = staged.select(
+    padded = F.concat(F.lit(" "), F.col(text), F.lit(" "))
+    whole = [padded.contains(f" {t} ") for t in words]
+    shared = F.concat_ws(" ", *[F.when(hit, t) for hit, t in zip(whole, words)])
+    rest_query = F.concat_ws(" ", *[F.when(~hit, t) for hit, t in zip(whole, words)])
+    # Distinct leftover tokens; their length needs no order, so they are sorted only where it matters.
+    staged = df.select(
         *df.columns,
-        "_rest_text",
+        shared.alias("_shared_text"),
         rest_query.alias("_rest_query"),
-        F.length(shared).alias("_shared"),
-        F.length(rest_query).alias("_len_query"),
-        F.length("_rest_text").alias("_len_text"),
-        (F.size("_found") == 0).alias("_empty"),
+        F.array_except(F.split(F.col(text), " "), wanted).alias("_rest"),
+        (F.col(text) == "").alias("_empty"),
+    )
+    staged = staged.select(
+        "*",
+        F.length("_shared_text").alias("_shared"),
+        F.length("_rest_query").alias("_len_query"),
+        F.length(F.array_join("_rest", " ")).alias("_len_text"),
     )
 
     len_shared, len_query, len_text = F.col("_shared"), F.col("_len_query"), F.col("_len_text")
@@ -75,7 +79,10 @@ def with_token_set_ratio(df: DataFrame, query_tokens: Sequence[str], text: str,
     beaten = (len_shared > 0) & (leftovers(F.least(len_query, len_text)) <= by_shared)
     open_case = ~(nothing | covered | beaten)
     staged = staged.withColumn(
-        "_common", _subsequence(F.when(open_case, F.col("_rest_query")), F.when(open_case, F.col("_rest_text")))
+        "_common",
+        _subsequence(
+            F.when(open_case, F.col("_rest_query")), F.when(open_case, F.array_join(F.sort_array("_rest"), " "))
+        ),
     )
     ratio = (
         F.when(nothing, F.lit(0.0))

@@ -46,9 +46,14 @@ def strip_accents(value: Column) -> Column:
 
 
 def normalize_text(value: Column) -> Column:
-    """Accents removed, lower case, everything but letters and digits turned into single spaces."""
-    text = F.lower(strip_accents(F.coalesce(value.cast("string"), F.lit(""))))
-    return F.trim(F.regexp_replace(text, r"(?U)[^\p{L}\p{N}]+", " "))
+    """Accents removed, lower case, everything but letters and digits turned into single spaces.
+
+    Plain ASCII text takes the short way.
+    """
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    plain = F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")
+    folded = F.regexp_replace(F.lower(strip_accents(text)), r"[^\p{L}\p{N}]+", " ")
+    return F.trim(F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(plain))
 
 
 def normalize_query(text: str) -> str:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapscope.functions.names import col
-from snapscope.functions.numbers import as_text, clean_value, parse_number
+from snapscope.functions.numbers import as_text, digits_only, float_of, nice_number, unwrap
 
 # Labels and thresholds of the profile.
 NUMERIC, TEXT, OTHERS = "numérico", "texto", "OUTROS"
@@ -34,25 +34,36 @@ SUMMARY_COLUMNS = [
 def cells(df: DataFrame, by: Sequence[str] = (), columns: Sequence[str] | None = None, mode: str = "clean") -> DataFrame:
     """A row per value: `by` columns, coluna, is_null, number, valor.
 
-    mode 'clean' counts numbers in one spelling; 'raw' keeps the text of the value as stored.
+    mode 'clean' counts numbers in one spelling; 'raw' keeps the text of the value as stored. Columns
+    are put under one another first and parsed afterwards, step by step, so the parsing is compiled
+    once however many columns there are.
     """
     names = [c for c in (columns or df.columns) if c not in by]
     out = []
     for name in names:
-        kind = df.schema[name].dataType
-        value = col(name)
-        shown = clean_value(value, kind) if mode == "clean" else as_text(value, kind)
+        kind, value = df.schema[name].dataType, col(name)
+        numeric = isinstance(kind, T.NumericType)
+        parsed = isinstance(kind, (T.StringType, T.BinaryType))
+        text = value.cast("int").cast("string") if isinstance(kind, T.BooleanType) and mode == "clean" else as_text(value, kind)
         out.append(
             F.struct(
                 F.lit(name).alias("coluna"),
                 value.isNull().alias("is_null"),
-                parse_number(value, kind).alias("number"),
-                shown.alias("valor"),
+                F.lit(parsed).alias("parsed"),
+                (value.cast("double") if numeric else F.lit(None).cast("double")).alias("typed"),
+                (F.lit(None).cast("string") if numeric and mode == "clean" else text).alias("text"),
             )
         )
-    return df.select(*[col(c) for c in by], F.explode(F.array(*out)).alias("cell")).select(
-        *[col(c) for c in by], "cell.*"
-    )
+    keep = [col(c) for c in by]
+    rows = df.select(*keep, F.explode(F.array(*out)).alias("cell")).select(*keep, "cell.*")
+    kept = [*keep, "coluna", "is_null", "typed"]
+    rows = rows.select(*kept, "text", "parsed", F.when(F.col("parsed"), unwrap(F.col("text"))).otherwise(F.col("text")).alias("bare"))
+    # Only text with a digit, or one of the words inf and nan, can be a number.
+    hopeful = F.col("parsed") & F.col("bare").rlike("(?i)[0-9]|inf|nan")
+    rows = rows.select(*kept, "text", "bare", F.when(hopeful, digits_only(F.col("bare"))).alias("digits"))
+    rows = rows.select(*kept, "text", "bare", F.coalesce("typed", float_of(F.col("digits"))).alias("number"))
+    shown = F.col("text") if mode == "raw" else F.coalesce(nice_number(F.col("number")), F.col("bare"))
+    return rows.select(*keep, "coluna", "is_null", "number", shown.alias("valor"))
 
 
 def value_counts(cell_rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:

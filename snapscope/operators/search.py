@@ -87,8 +87,14 @@ def search_args(raw: Mapping[str, object]) -> SearchArgs:
     )
 
 
-def _contains(tokens: Sequence[str]) -> list[Column]:
-    return [F.col("content_norm").contains(t) for t in tokens]
+def _contains(text: Column, tokens: Sequence[str]) -> list[Column]:
+    return [text.contains(t) for t in tokens]
+
+
+def _holds(tokens: Sequence[str], mode: str) -> Column:
+    """Any or all tokens in the text. The text is bound once, so a text formed on the fly is formed once."""
+    both = (lambda x, y: x | y) if mode == "any" else (lambda x, y: x & y)
+    return F.exists(F.array("content_norm"), lambda text: reduce(both, _contains(text, tokens)))
 
 
 def candidates(index: DataFrame, args: SearchArgs) -> DataFrame:
@@ -96,9 +102,8 @@ def candidates(index: DataFrame, args: SearchArgs) -> DataFrame:
     rows = index
     if args.tables:
         rows = rows.filter(F.col("table_name").isin(list(args.tables)))
-    found = _contains(args.tokens)
-    if found:
-        rows = rows.filter(reduce((lambda x, y: x | y) if args.token_mode == "any" else (lambda x, y: x & y), found))
+    if args.tokens:
+        rows = rows.filter(_holds(args.tokens, args.token_mode))
     if args.candidate_limit is not None:
         first = F.col("table_name").isin(list(args.priority)) if args.priority else F.lit(False)
         rows = rows.orderBy(first.desc(), "table_name", "row_id").limit(args.candidate_limit)
@@ -107,7 +112,7 @@ def candidates(index: DataFrame, args: SearchArgs) -> DataFrame:
 
 def coverage(tokens: Sequence[str]) -> Column:
     """How many of the tokens the text holds."""
-    return reduce(lambda x, y: x + y, [c.cast("int") for c in _contains(tokens)], F.lit(0))
+    return reduce(lambda x, y: x + y, [c.cast("int") for c in _contains(F.col("content_norm"), tokens)], F.lit(0))
 
 
 def scored(rows: DataFrame, args: SearchArgs) -> DataFrame:
