@@ -31,7 +31,7 @@ from snapscope.session import is_small, settled
 CHANGE_TYPES = ("added", "removed", "changed")
 # A key is paired row by row up to this many pairs, and joined in one task up to this many rows.
 MAX_PAIRS_PER_KEY = 10_000
-MAX_ROWS_PER_KEY = 100_000
+MAX_ROWS_PER_KEY = 10_000
 
 
 @dataclass(frozen=True)
@@ -116,6 +116,14 @@ def _sides(a: DataFrame, b: DataFrame, spec: DiffSpec) -> tuple[DataFrame, DataF
     return side(a, "a"), side(b, "b"), keys
 
 
+def compared_columns(a: Mapping[str, DataFrame], b: Mapping[str, DataFrame], table: str) -> list[str]:
+    """Common columns of a table of two databases; the error names each side that lacks the table."""
+    lacking = [side for side, tables in (("a", a), ("b", b)) if table not in tables]
+    if lacking:
+        raise ValueError(f"table {table} not found in: {', '.join(lacking)}")
+    return common_columns(a[table], b[table])
+
+
 def key_counts(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows per non-NULL key and side: reads the key columns only and combines before the shuffle."""
     a, b = comparable(a, b, keys)

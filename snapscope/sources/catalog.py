@@ -7,10 +7,13 @@ only file metadata is read, on any file system Spark can reach.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
+import pyarrow.fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,18 +47,24 @@ def _listing(spark: SparkSession, base: str) -> DataFrame:
 
 
 def file_catalog(spark: SparkSession, base: str, date_rule: str = "loose") -> DataFrame:
-    """Supported files below `base`: path, relpath, file_name, format, snapshot, table_name, snapshot_date, mtime, size_bytes."""
-    root = base.rstrip("/")
+    """Supported files below `base`: path, relpath, file_name, format, snapshot, table_name, table_path, snapshot_date,
+    mtime, size_bytes.
+
+    `table_path` is what to read: the file itself, or the folder around its part files.
+    """
+    root = re.escape(base.rstrip("/").split("://")[-1].lstrip("/"))
     listed = _listing(spark, base).select("path", "modificationTime", "length")
-    relpath = F.regexp_replace("path", r"^.*?" + re.escape(root.split("://")[-1].lstrip("/")) + "/", "")
-    named = listed.withColumn("relpath", relpath).withColumn("file_name", F.element_at(F.split("relpath", "/"), -1))
-    steps = F.split("relpath", "/")
-    is_part = F.col("file_name").rlike(r"^part-")
-    # The table is the file itself, or the folder around its part files; the snapshot is what contains it.
-    steps = F.when(is_part & (F.size(steps) > 1), F.slice(steps, 1, F.size(steps) - 1)).otherwise(steps)
-    folders = F.slice(F.col("steps"), 1, F.size("steps") - 1)
-    named = named.withColumn("steps", steps).withColumn("kind", _format(F.col("file_name")))
-    snapshot = F.when(F.size("steps") > 1, F.array_join(folders, "/")).otherwise(F.col("file_name"))
+    named = listed.withColumn("relpath", F.regexp_replace("path", f"^.*?{root}/", ""))
+    named = named.withColumn("file_name", F.element_at(F.split("relpath", "/"), -1)).withColumn(
+        "kind", _format(F.col("file_name"))
+    )
+    in_folder = F.col("file_name").rlike("^part-") & F.col("relpath").contains("/")
+    # Part files belong to their folder, below which there may be partition folders like day=2024-01-01.
+    folder = F.regexp_replace(F.regexp_replace("relpath", "/[^/]*$", ""), "(/[^/=]+=[^/]*)+$", "")
+    named = named.withColumn("table_rel", F.when(in_folder, folder).otherwise(F.col("relpath")))
+    above = F.length("path") - F.length("relpath") + F.length("table_rel")
+    table_file = F.element_at(F.split("table_rel", "/"), -1)
+    snapshot = F.when(F.col("table_rel").contains("/"), F.regexp_replace("table_rel", "/[^/]*$", "")).otherwise(F.col("file_name"))
     return (
         named.filter(F.col("kind").isNotNull())
         .withColumn("snapshot", snapshot)
@@ -65,7 +74,8 @@ def file_catalog(spark: SparkSession, base: str, date_rule: str = "loose") -> Da
             "file_name",
             F.col("kind").alias("format"),
             "snapshot",
-            F.regexp_replace(F.element_at("steps", -1), r"\.\w+$", "").alias("table_name"),
+            F.regexp_replace(table_file, r"\.\w+$", "").alias("table_name"),
+            F.substring(F.col("path"), F.lit(1), above).alias("table_path"),
             date_in_name(F.element_at(F.split("snapshot", "/"), -1), date_rule).alias("snapshot_date"),
             F.col("modificationTime").alias("mtime"),
             F.col("length").alias("size_bytes"),
@@ -117,6 +127,13 @@ def suggest_two(catalog: DataFrame, preferred: str = PREFERRED_FORMAT, name: str
     return two
 
 
+def two_different(a: str, b: str) -> tuple[str, str]:
+    """The two sources of a comparison; the same one twice is an error."""
+    if a.rstrip("/") == b.rstrip("/"):
+        raise ValueError("the two sources are the same")
+    return a, b
+
+
 def filter_catalog(catalog: DataFrame, term: str, name: str = "snapshot") -> DataFrame:
     """Keep entries whose name, format or date contains the term."""
     needle = term.strip().lower()
@@ -125,8 +142,23 @@ def filter_catalog(catalog: DataFrame, term: str, name: str = "snapshot") -> Dat
 
 
 def fingerprints(spark: SparkSession, base: str, n_bytes: int = HASHED_BYTES) -> DataFrame:
-    """SHA-1 of the first bytes of each file. Spark reads no empty files, so those are left out."""
-    return _listing(spark, base).select("path", F.sha1(F.substring("content", 1, n_bytes)).alias("quick_sha1"))
+    """SHA-1 of the first bytes of each file; only those are read. Spark lists no empty files, so those are left out."""
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(quick_sha1=[_head_sha1(path, n_bytes) for path in batch.path])[["path", "quick_sha1"]]
+
+    return _listing(spark, base).select("path").mapInPandas(hashed, "path STRING, quick_sha1 STRING")
+
+
+def _head_sha1(path: str, n_bytes: int) -> str | None:
+    if path.startswith("file:"):
+        system, name = arrow_fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        system, name = arrow_fs.FileSystem.from_uri(path)
+    with system.open_input_stream(name) as stream:
+        head = stream.read(n_bytes)
+    return hashlib.sha1(head).hexdigest() if head else None
 
 
 def flat_listing(files: DataFrame) -> DataFrame:
@@ -184,11 +216,11 @@ def read_table(spark: SparkSession, paths: Sequence[str], kind: str, schema: str
 
 
 def read_snapshot(spark: SparkSession, files: DataFrame, snapshot: str) -> dict[str, DataFrame]:
-    """All user tables of a snapshot by name. Only file names are collected."""
+    """All user tables of a snapshot by name. Only table names and paths are collected."""
     rows = (
         files.filter(F.col("snapshot") == snapshot)
         .groupBy("table_name", "format")
-        .agg(F.array_sort(F.collect_list("path")).alias("paths"))
+        .agg(F.array_sort(F.collect_set("table_path")).alias("paths"))
         .orderBy("table_name")
         .collect()
     )
@@ -205,7 +237,7 @@ def read_across_snapshots(
     """
     rows = (
         files.groupBy("snapshot", "table_name", "format")
-        .agg(F.array_sort(F.collect_list("path")).alias("paths"))
+        .agg(F.array_sort(F.collect_set("table_path")).alias("paths"))
         .orderBy("table_name", "snapshot")
         .collect()
     )

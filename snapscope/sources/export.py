@@ -91,3 +91,10 @@ def write_track(ledger: DataFrame, path: str, columns: Sequence[str] | None = No
 
 def write_lines(lines: DataFrame, path: str) -> None:
     lines.select("line").write.mode("overwrite").text(path)
+
+
+def write_run_report(items: DataFrame, totals: DataFrame, path: str) -> None:
+    """Ingest report: items as JSON and CSV, totals as one JSON object."""
+    items.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/items_json")
+    _csv(items, f"{path}/items_csv", ",")
+    totals.coalesce(1).write.mode("overwrite").json(f"{path}/totals")

@@ -40,9 +40,20 @@ def test_catalog(spark, folder):
     whole = catalog.read_across_snapshots(spark, files)["people"]
     assert whole.columns == ["snapshot", "id", "name", "extra"] and whole.count() == 5
     assert catalog.format_of("x.CSV") == "csv" and catalog.format_of("x.mdb") is None
+    tables = {(r.snapshot, r.table_name): r.table_path for r in files.collect()}
+    assert tables[("2024-01-05_DB", "people")].endswith("2024-01-05_DB/people.parquet")
     assert {r.folder for r in catalog.folders_with_data(files).collect()} >= {"2024-01-05_DB/people.parquet"}
 
 
+def test_partitioned_table_is_one_table(spark, tmp_path):
+    spark.range(4).selectExpr("id", "id % 2 AS half").write.partitionBy("half").parquet(f"{tmp_path}/s 2024-05-06/t.parquet")
+    files = catalog.file_catalog(spark, str(tmp_path))
+    assert {(r.snapshot, r.table_name) for r in files.collect()} == {("s 2024-05-06", "t")}
+    assert catalog.read_snapshot(spark, files, "s 2024-05-06")["t"].filter("half = 1").count() == 2
+    with pytest.raises(ValueError):
+        catalog.two_different("/a", "/a/")
+
+
 def test_pick_two_prefers_a_format(spark):
     rows = [("2024-03-01", "csv"), ("2024-02-01", "parquet"), ("2024-01-01", "parquet"), (None, "parquet")]
     snaps = spark.createDataFrame([(f"s{i}", d, k) for i, (d, k) in enumerate(rows)], "snapshot STRING, d STRING, format STRING").selectExpr(
@@ -58,6 +69,18 @@ def test_fingerprint(spark, tmp_path):
     assert got == {"a.bin": hashlib.sha1(b"x" * 65536).hexdigest()}
 
 
+def test_run_report(spark, tmp_path):
+    items = spark.sql("SELECT * FROM VALUES (1, 'mdb', true, true, 2, 2, 1.5D, 0.5D), (2, NULL, true, false, 2, 1, 1.0D, 0.0D) "
+                      "AS t(id, source_suffix, load_ok, copy_ok, load_tables, copy_tables, load_seconds, copy_seconds)")
+    checked = ingest.reliability(items)
+    totals = ingest.run_report(checked)
+    assert tuple(totals.first()) == (2, 1, 1, 2, 1, 2.5, 0.5)
+    export.write_run_report(checked, totals, f"{tmp_path}/r")
+    assert spark.read.json(f"{tmp_path}/r/items_json").count() == 2
+    status = {r.metric: r.value for r in ingest.manifest_status(items).collect()}
+    assert status == {"total_sources": 2, "load_ok": 2, "copy_ok": 1, "suffix:mdb": 1, "suffix:(none)": 1}
+
+
 def test_union_versions(spark):
     a, b = spark.sql("SELECT 1 AS i, 'x' AS s"), spark.sql("SELECT 'q' AS i, 2 AS extra")
     assert sorted(map(tuple, catalog.union_versions([a, b]).collect())) == [("1", "x", None), ("q", None, 2)]
