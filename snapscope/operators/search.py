@@ -36,6 +36,11 @@ class SearchArgs:
     tables: tuple[str, ...] | None = None
     priority: tuple[str, ...] = ()
 
+    def __post_init__(self) -> None:
+        # The result is sent to every executor to fetch the stored rows, so its size must stay bounded.
+        _bounded(self.per_table, "per_table", 1, PER_TABLE_MAX)
+        _bounded(self.total_limit, "total_limit", 1, TOTAL_MAX)
+
     @property
     def normalized(self) -> str:
         return normalize_query(self.q)

@@ -314,16 +314,19 @@ def transition_risk(
     return _top(counts, top, F.col("row_count").desc(), F.col("transition"))
 
 
+def _risk_score() -> Column:
+    return F.col("n_changed") + F.when(F.col("moved"), 2).otherwise(0)
+
+
 def risk_rows(
     rows: DataFrame, state_columns: Sequence[str] = STATE_COLUMNS, new_side: str = "a", least: int = RISKY_SCORE
 ) -> DataFrame:
     """Rows scored by changed columns, plus 2 for a state change, that reach `least`."""
     scored = _scored(rows, state_columns, [], new_side)
-    score = F.col("n_changed") + F.when(F.col("moved"), 2).otherwise(0)
     known = (F.col("old") != "") & (F.col("new") != "")
     return scored.select(
         "key_text",
-        score.alias("risk_score"),
+        _risk_score().alias("risk_score"),
         "first_columns",
         F.when(known, F.concat("old", F.lit(" => "), "new")).otherwise(NO_TRANSITION).alias("transition"),
         "o",
@@ -395,13 +398,12 @@ def signal_counts(
         (F.count_if(F.col("to_null") > 0) + F.count_if(F.col("from_null") > 0)).alias("null_transition_kinds"),
         F.count_if(F.col("drifts") > 0).alias("drift_columns"),
     )
-    scored = risk_rows(rows, state_columns, new_side, least=1)
-    per_row = scored.agg(F.count_if(F.col("risk_score") >= RISKY_SCORE).alias("risk_row_count"))
-    impact = _changed(rows).agg(
-        F.count_if(F.size("changed_columns") >= HIGH_IMPACT_COLUMNS).alias("high_impact_count")
+    per_row = _scored(rows, state_columns, [], new_side).agg(
+        F.count_if(_risk_score() >= RISKY_SCORE).alias("risk_row_count"),
+        F.count_if(F.col("n_changed") >= HIGH_IMPACT_COLUMNS).alias("high_impact_count"),
     )
     share = F.when(F.col("total_keys") > 0, F.col("impacted_keys") / F.col("total_keys") * 100).otherwise(F.lit(0.0))
-    return _one_row(totals, cells, per_row, impact).withColumn("impacted_pct", share)
+    return _one_row(totals, cells, per_row).withColumn("impacted_pct", share)
 
 
 def severity(counts: DataFrame) -> DataFrame:

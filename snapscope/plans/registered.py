@@ -538,7 +538,8 @@ def _rounded_profile(df: DataFrame) -> DataFrame:
 
 @query("profile_customer", f"WITH cells AS ({CUSTOMER_CELLS}), {_profile_sql()} SELECT * FROM prof")
 def _(spark, d):
-    return _rounded_profile(profile.profile(table(spark, d, "customer")))
+    # Quantiles are exact up to as many rows as the accuracy says.
+    return _rounded_profile(profile.profile(table(spark, d, "customer"), accuracy=1_000_000))
 
 
 @query("profile_distinct_cap", f"WITH cells AS ({CUSTOMER_CELLS}), {_profile_sql(cap=100)} SELECT coluna, distinct_est, distinct_cap_excedido FROM prof")
