@@ -57,7 +57,14 @@ def is_unique(df: DataFrame, key: Sequence[str]) -> bool:
 
 
 def infer_keys(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
-    """First candidate unique on both sides, else the best-named column.
+    """First candidate unique on both sides, else the best-named column."""
+    return infer_keys_checked(a, b, columns)[0]
+
+
+def infer_keys_checked(
+    a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None
+) -> tuple[list[str], bool]:
+    """The key and whether it is unique on both sides.
 
     A sketch of all candidates in one scan per side rules most out; only the rest, in order, are
     tested exactly.
@@ -72,8 +79,8 @@ def infer_keys(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None)
         plausible = [p and rows > 0 and d >= SURE_SHARE * rows - SURE_ROWS for p, d in zip(plausible, distinct)]
     for key, worth_testing in zip(candidates, plausible):
         if worth_testing and is_unique(a, key) and is_unique(b, key):
-            return key
-    return by_key_score(columns)[:1]
+            return key, True
+    return by_key_score(columns)[:1], False
 
 
 def key_evidence(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -1072,9 +1072,7 @@ def _(spark, d):
     k = F.get_json_object("props", "$.k")
     line = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.to_json(F.array("event_type", k))).otherwise(F.concat(F.lit('"'), "event_type", F.lit('"')))
     mixed = table(spark, d, "events").select("event_id", line.alias("line"))
-    fields = ["k", "col_0", "col_1", "value"]
-    picked = [ingest._json_map(F.col("line")).getItem(f).alias(f) for f in fields]
-    return mixed.select("event_id", *picked)
+    return ingest.records_from_json(mixed, "line", ["k", "col_0", "col_1", "value"], keep=["event_id"])
 
 
 @query("fields_of_mixed_json", "SELECT 'k' AS field, count(*) AS row_count FROM events")
@@ -1088,9 +1086,9 @@ def _(spark, d):
     return flat.select("vec_id", "label", F.size(F.from_json("embedding", "array<float>")).cast("bigint").alias("n"))
 
 
-@query("coerced_types", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate::TIMESTAMP AS o_orderdate, o_orderpriority FROM orders")
+@query("coerced_types", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate::TIMESTAMP::VARCHAR AS o_orderdate, o_orderpriority FROM orders")
 def _(spark, d):
-    return ingest.coerced(table(spark, d, "orders"))
+    return as_text(ingest.coerced(table(spark, d, "orders")), "o_orderdate")
 
 
 CANON_SQL = "to_json({'c_custkey': c_custkey::VARCHAR, 'c_name': c_name, 'c_nationkey': c_nationkey::VARCHAR, 'c_acctbal': regexp_replace(c_acctbal::VARCHAR, '\\.0$', ''), 'c_mktsegment': c_mktsegment})::VARCHAR"

@@ -14,7 +14,8 @@ from snapscope.functions.numbers import display_value
 from snapscope.operators import signals
 from snapscope.operators.content_diff import overview, overview_summary, report_order
 from snapscope.operators.diff import KeyedDiff, diff_order, diff_summary, keyed_diff, summary_of
-from snapscope.operators.keys import infer_keys, is_unique
+from snapscope.operators.keys import infer_keys_checked
+from snapscope.session import settled
 
 # Columns a report always shows, by the end of the table name; labels.
 ALWAYS_SHOWN = ["RTUNO", "PNTNO", "PTNAM", "PNTNAM", "STTYPE", "BITBYT", "UNIQID", "ITEMNB"]
@@ -63,7 +64,8 @@ def changed_in_order(rows: DataFrame) -> list[str]:
 
 def table_detail(rows: DataFrame, table: str, columns: Sequence[str], keys: Sequence[str], most: int = DETAIL_ROWS) -> DataFrame:
     """Up to `most` diff rows in key order with formatted old and new values and a changed flag per shown column."""
-    few = rows.orderBy(*diff_order(rows)).limit(most)
+    # A bounded number of rows, settled because the columns to show depend on them.
+    few = settled(rows.orderBy(*diff_order(rows)).limit(most))
     shown = visible_columns(table, columns, keys, changed_in_order(few))
     kinds = {side: {f.name: f.dataType for f in rows.schema[side].dataType.fields} for side in ("key", "a", "b")}
 
@@ -140,8 +142,7 @@ def compare_databases(
     for row in report_order(seen).filter("status = 'diff'").collect():
         name = row.table_name
         common = common_columns(a[name], b[name])
-        keys[name] = infer_keys(a[name], b[name], common)
-        unique = is_unique(a[name], keys[name]) and is_unique(b[name], keys[name])
+        keys[name], unique = infer_keys_checked(a[name], b[name], common)
         diffs[name] = keyed_diff(a[name], b[name], keys[name], unique_keys=unique)
         details[name] = table_detail(diffs[name].rows, name, common, keys[name], detail_rows)
     return DatabaseComparison(seen, overview_summary(seen), report_order(seen), keys, diffs, details)

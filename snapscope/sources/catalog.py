@@ -46,40 +46,40 @@ def _listing(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
 
 
+def _placed(df: DataFrame, base: str) -> DataFrame:
+    """Add relpath, file_name, table_rel and snapshot, derived from the `path` column."""
+    root = re.escape(base.rstrip("/").split("://")[-1].lstrip("/"))
+    named = df.withColumn("relpath", F.regexp_replace("path", f"^.*?{root}/", ""))
+    named = named.withColumn("file_name", F.element_at(F.split("relpath", "/"), -1))
+    in_folder = F.col("file_name").rlike("^part-") & F.col("relpath").contains("/")
+    # Part files belong to their folder, below which there may be partition folders like day=2024-01-01.
+    folder = F.regexp_replace(F.regexp_replace("relpath", "/[^/]*$", ""), "(/[^/=]+=[^/]*)+$", "")
+    named = named.withColumn("table_rel", F.when(in_folder, folder).otherwise(F.col("relpath")))
+    above = F.regexp_replace("table_rel", "/[^/]*$", "")
+    return named.withColumn("snapshot", F.when(F.col("table_rel").contains("/"), above).otherwise(F.col("file_name")))
+
+
 def file_catalog(spark: SparkSession, base: str, date_rule: str = "loose") -> DataFrame:
     """Supported files below `base`: path, relpath, file_name, format, snapshot, table_name, table_path, snapshot_date,
     mtime, size_bytes.
 
     `table_path` is what to read: the file itself, or the folder around its part files.
     """
-    root = re.escape(base.rstrip("/").split("://")[-1].lstrip("/"))
-    listed = _listing(spark, base).select("path", "modificationTime", "length")
-    named = listed.withColumn("relpath", F.regexp_replace("path", f"^.*?{root}/", ""))
-    named = named.withColumn("file_name", F.element_at(F.split("relpath", "/"), -1)).withColumn(
-        "kind", _format(F.col("file_name"))
-    )
-    in_folder = F.col("file_name").rlike("^part-") & F.col("relpath").contains("/")
-    # Part files belong to their folder, below which there may be partition folders like day=2024-01-01.
-    folder = F.regexp_replace(F.regexp_replace("relpath", "/[^/]*$", ""), "(/[^/=]+=[^/]*)+$", "")
-    named = named.withColumn("table_rel", F.when(in_folder, folder).otherwise(F.col("relpath")))
-    above = F.length("path") - F.length("relpath") + F.length("table_rel")
+    listed = _placed(_listing(spark, base).select("path", "modificationTime", "length"), base)
+    upto_table = F.length("path") - F.length("relpath") + F.length("table_rel")
     table_file = F.element_at(F.split("table_rel", "/"), -1)
-    snapshot = F.when(F.col("table_rel").contains("/"), F.regexp_replace("table_rel", "/[^/]*$", "")).otherwise(F.col("file_name"))
-    return (
-        named.filter(F.col("kind").isNotNull())
-        .withColumn("snapshot", snapshot)
-        .select(
-            "path",
-            "relpath",
-            "file_name",
-            F.col("kind").alias("format"),
-            "snapshot",
-            F.regexp_replace(table_file, r"\.\w+$", "").alias("table_name"),
-            F.substring(F.col("path"), F.lit(1), above).alias("table_path"),
-            date_in_name(F.element_at(F.split("snapshot", "/"), -1), date_rule).alias("snapshot_date"),
-            F.col("modificationTime").alias("mtime"),
-            F.col("length").alias("size_bytes"),
-        )
+    kind = _format(F.col("file_name"))
+    return listed.filter(kind.isNotNull()).select(
+        "path",
+        "relpath",
+        "file_name",
+        kind.alias("format"),
+        "snapshot",
+        F.regexp_replace(table_file, r"\.\w+$", "").alias("table_name"),
+        F.substring(F.col("path"), F.lit(1), upto_table).alias("table_path"),
+        date_in_name(F.element_at(F.split("snapshot", "/"), -1), date_rule).alias("snapshot_date"),
+        F.col("modificationTime").alias("mtime"),
+        F.col("length").alias("size_bytes"),
     )
 
 
@@ -229,25 +229,51 @@ def read_snapshot(spark: SparkSession, files: DataFrame, snapshot: str) -> dict[
 
 
 def read_across_snapshots(
-    spark: SparkSession, files: DataFrame, tables: Sequence[str] | None = None, snapshot: str = "snapshot"
+    spark: SparkSession, base: str, tables: Sequence[str] | None = None, snapshot: str = "snapshot"
 ) -> dict[str, DataFrame]:
-    """Each table over all snapshots, tagged with the snapshot; columns may come and go.
+    """Each table over all snapshots below `base`, tagged with the snapshot; columns may come and go.
 
-    A column whose type differs between snapshots is read as text everywhere.
+    A self-describing format is read in one scan with merged schemas, the snapshot taken from the file
+    path. CSV files, whose columns go by position, and tables whose column types clash are read per
+    snapshot; clashing columns become text.
     """
     rows = (
-        files.groupBy("snapshot", "table_name", "format")
+        file_catalog(spark, base)
+        .groupBy("table_name", "format", "snapshot")
         .agg(F.array_sort(F.collect_set("table_path")).alias("paths"))
-        .orderBy("table_name", "snapshot")
+        .orderBy("table_name", "format", "snapshot")
         .collect()
     )
     keep = set(user_tables(r.table_name for r in rows))
-    grouped: dict[str, list[DataFrame]] = {}
+    grouped: dict[str, dict[str, list]] = {}
     for r in rows:
         if r.table_name in keep and (tables is None or r.table_name in tables):
-            df = read_table(spark, r.paths, r.format)
-            grouped.setdefault(r.table_name, []).append(df.select(F.lit(r.snapshot).alias(snapshot), "*"))
-    return {name: union_versions(parts) for name, parts in grouped.items()}
+            grouped.setdefault(r.table_name, {}).setdefault(r.format, []).append(r)
+    out = {}
+    for name, by_format in grouped.items():
+        parts: list[DataFrame] = []
+        for kind, found in by_format.items():
+            whole = _one_scan(spark, base, kind, [p for r in found for p in r.paths], snapshot)
+            parts += [whole] if whole is not None else [
+                read_table(spark, r.paths, kind).select(F.lit(r.snapshot).alias(snapshot), "*") for r in found
+            ]
+        out[name] = union_versions(parts)
+    return out
+
+
+def _one_scan(spark: SparkSession, base: str, kind: str, paths: Sequence[str], snapshot: str) -> DataFrame | None:
+    if kind == "csv":
+        return None
+    try:
+        df = read_table(spark, paths, kind, mergeSchema="true")
+    except Exception as problem:
+        if "CANNOT_MERGE_SCHEMAS" not in str(problem):
+            raise
+        return None
+    # The hidden path column is escaped like a URL, where a plus sign stands for itself.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    data = F.struct(*[col(c) for c in df.columns]).alias("data")
+    return _placed(df.select(data, path.alias("path")), base).select(F.col("snapshot").alias(snapshot), "data.*")
 
 
 def union_versions(parts: Sequence[DataFrame]) -> DataFrame:

@@ -185,14 +185,14 @@ def _list_type(df: DataFrame, name: str) -> T.DataType:
     return kind if isinstance(kind, T.ArrayType) else T.ArrayType(kind)
 
 
-def records_from_json(df: DataFrame, text: str, fields: Sequence[str]) -> DataFrame:
+def records_from_json(df: DataFrame, text: str, fields: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """JSON lines of mixed shape -> named text fields.
 
     An object gives its fields (names starting with `_` are private and dropped), a list `col_0..n`,
     anything else `value`. `fields` names the wanted ones; `json_fields` finds them.
     """
     as_map = _json_map(col(text))
-    return df.select(*[as_map.getItem(f).alias(f) for f in fields if not f.startswith("_")])
+    return df.select(*[col(c) for c in keep], *[as_map.getItem(f).alias(f) for f in fields if not f.startswith("_")])
 
 
 def json_fields(df: DataFrame, text: str) -> DataFrame:

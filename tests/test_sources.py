@@ -37,8 +37,10 @@ def test_catalog(spark, folder):
     with pytest.raises(ValueError):
         catalog.suggest_two(catalog.snapshots(files).limit(1))
     assert list(catalog.read_snapshot(spark, files, "nested/2024-01-20_DB")) == ["people"]
-    whole = catalog.read_across_snapshots(spark, files)["people"]
-    assert whole.columns == ["snapshot", "id", "name", "extra"] and whole.count() == 5
+    whole = catalog.read_across_snapshots(spark, folder)["people"]
+    assert set(whole.columns) == {"snapshot", "id", "name", "extra"}
+    counts = {r.snapshot: r["count"] for r in whole.groupBy("snapshot").count().collect()}
+    assert counts == {"2024-01-05_DB": 2, "2024-02-05_DB": 1, "nested/2024-01-20_DB": 2}
     assert catalog.format_of("x.CSV") == "csv" and catalog.format_of("x.mdb") is None
     tables = {(r.snapshot, r.table_name): r.table_path for r in files.collect()}
     assert tables[("2024-01-05_DB", "people")].endswith("2024-01-05_DB/people.parquet")
@@ -69,6 +71,17 @@ def test_fingerprint(spark, tmp_path):
     assert got == {"a.bin": hashlib.sha1(b"x" * 65536).hexdigest()}
 
 
+def test_one_scan_over_snapshots(spark, tmp_path):
+    base = str(tmp_path)
+    for i, columns in enumerate((["id"], ["id", "path"], ["id"])):
+        spark.range(3).selectExpr("id", "'p' AS path").select(*columns).write.parquet(f"{base}/a b+c{i}/t.parquet")
+    whole = catalog.read_across_snapshots(spark, base)["t"]
+    assert {r.snapshot: r["count"] for r in whole.groupBy("snapshot").count().collect()} == {f"a b+c{i}": 3 for i in range(3)}
+    assert whole.filter("path = 'p'").count() == 3
+    spark.range(2).selectExpr("'x' AS id").write.parquet(f"{base}/clash/t.parquet")
+    assert dict(catalog.read_across_snapshots(spark, base)["t"].dtypes)["id"] == "string"
+
+
 def test_run_report(spark, tmp_path):
     items = spark.sql("SELECT * FROM VALUES (1, 'mdb', true, true, 2, 2, 1.5D, 0.5D), (2, NULL, true, false, 2, 1, 1.0D, 0.0D) "
                       "AS t(id, source_suffix, load_ok, copy_ok, load_tables, copy_tables, load_seconds, copy_seconds)")
