@@ -17,6 +17,7 @@ share of them) would get out of hand are found first by a narrow count over the
 from __future__ import annotations
 
 import csv
+import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -238,6 +239,8 @@ def keyed_diff(
     else:
         more, crowded = _match_heavy(left, right, names, kind, heavy, spec)
         parts += more
+        if crowded is not None:
+            warnings.warn("some keys repeat heavily on both sides; they are in `crowded`, not in `rows`", stacklevel=2)
     order = parts[0].columns
     if include_same or "removed" in wanted:
         parts.append(_padded(null_left, right).select(*order))
@@ -281,6 +284,8 @@ def _match_heavy(left, right, names, kind, heavy, spec):
         lopsided = ~in_crowd & (F.col("hot_side") == hot_side)
         # The hot side is the outer side, so a skewed key is split over several tasks.
         parts.append(pick(hot, lopsided).join(pick(cold, lopsided), names, "left_outer").select(*columns))
+    if heavy.filter(in_crowd).isEmpty():
+        return parts, None
     crowded = row_versions(pick(left, in_crowd), pick(right, in_crowd), names, len(spec.compare))
     shaped = crowded.select(
         F.struct(*[F.col(k).alias(c) for k, c in zip(names, spec.keys)]).alias("key"),

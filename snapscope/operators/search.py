@@ -120,12 +120,12 @@ def coverage(tokens: Sequence[str]) -> Column:
     return reduce(lambda x, y: x + y, [c.cast("int") for c in _contains(F.col("content_norm"), tokens)], F.lit(0))
 
 
-def scored(rows: DataFrame, args: SearchArgs) -> DataFrame:
-    """Coverage, has_all and score (whole number) per candidate; below `min_score` dropped."""
+def scored(rows: DataFrame, args: SearchArgs, carry: Sequence[str] = ()) -> DataFrame:
+    """Coverage, has_all and score (whole number) per candidate; below `min_score` dropped. `carry` names columns to keep."""
     tokens = args.tokens
     cover = coverage(tokens)
     has_all = F.when(cover == len(tokens), 1).otherwise(0) if tokens else F.lit(0)
-    needed = ["table_name", "pk_col", "pk_value", "row_id", "copies"]
+    needed = ["table_name", "pk_col", "pk_value", "row_id", "copies", *carry]
     rows = rows.select(*needed, "content_norm", cover.alias("coverage"), has_all.alias("has_all"))
     rows = with_token_set_ratio(rows, tokens, "content_norm")
     if args.min_score is not None:
@@ -178,10 +178,17 @@ def grouped_order(chosen: DataFrame, args: SearchArgs) -> DataFrame:
     ).orderBy("table_rank", "rank")
 
 
-def search(index: DataFrame, args: SearchArgs, payload: bool = True, rank_by: str = "coverage") -> DataFrame:
-    """Ranked rows: table_rank, table_name, rank, score, coverage, has_all, pk, row_id, copies, row_json."""
-    chosen = within_quota(scored(candidates(index, args), args), args, rank_by)
-    if payload:
+def search(
+    index: DataFrame, args: SearchArgs, payload: bool = True, rank_by: str = "coverage", stored: bool = True
+) -> DataFrame:
+    """Ranked rows: table_rank, table_name, rank, score, coverage, has_all, pk, row_id, copies, row_json.
+
+    The row itself is fetched in a second narrow read of a stored index; an index formed on the fly
+    (`stored=False`) has it at hand, so it is carried along and cut down by the quotas.
+    """
+    carry = ["row_json"] if payload and not stored else []
+    chosen = within_quota(scored(candidates(index, args), args, carry), args, rank_by)
+    if payload and stored:
         chosen = with_payload(chosen, index)
     return grouped_order(chosen, args)
 
@@ -215,7 +222,8 @@ def scan_search(
     wanted = {n: df for n, df in tables.items() if not args.tables or n in args.tables}
     strategy = "id_or_first" if only_text else "id_or_suffix"
     searched = {n: text_columns(df) for n, df in wanted.items()} if only_text else None
-    return search(build_index(wanted, strategy, searched), replace(args, tables=None), rank_by=rank_by)
+    index = build_index(wanted, strategy, searched)
+    return search(index, replace(args, tables=None), rank_by=rank_by, stored=False)
 
 
 def results_table(found: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -42,7 +42,8 @@ def index_rows(
         F.lit(table).alias("table_name"),
         F.lit(key[0] if key else None).cast("string").alias("pk_col"),
         pk.alias("pk_value"),
-        F.sha2(F.concat(F.lit(table + "\n"), as_json), 256).alias("row_id"),
+        # Never NULL; said so, or a join on it would compute it a second time just to test that.
+        F.coalesce(F.sha2(F.concat(F.lit(table + "\n"), as_json), 256), F.lit("")).alias("row_id"),
         _content(df, searched).alias("content_norm"),
         as_json.alias("row_json"),
         F.lit(1).cast("bigint").alias("copies"),

@@ -123,7 +123,8 @@ def test_heavy_keys_take_other_routes_with_equal_results(spark):
     rows_b = [(1, f"v{i % 7}") for i in range(30)] + [(2, "w3")] + [(4, "z")] * 45 + [(5, "l")]
     a, b = frames(spark, rows_a, rows_b)
     plain = keyed_diff(a, b, ["id"])
-    split = keyed_diff(a, b, ["id"], max_pairs=100, max_rows=20)
+    with pytest.warns(UserWarning, match="crowded"):
+        split = keyed_diff(a, b, ["id"], max_pairs=100, max_rows=20)
     assert plain.crowded is None
     # Key 1 is crowded on both sides; every other key must come out exactly as in the plain join.
     assert rows_of(split.rows) == rows_of(plain.rows.filter("key.id <> 1"))
@@ -134,6 +135,8 @@ def test_heavy_keys_take_other_routes_with_equal_results(spark):
     assert pairs == plain.rows.filter("key.id = 1").count()
     s = summary(a, b, ["id"])
     assert s["changed_count"] == plain.rows.filter("change_type = 'changed'").count()
+    lopsided = keyed_diff(a.filter("id <> 1"), b, ["id"], max_pairs=100, max_rows=20)
+    assert lopsided.crowded is None and lopsided.rows.filter("key.id = 2").count() == 59
     for types in (["added"], ["removed"], ["changed"]):
         some = keyed_diff(a, b, ["id"], change_types=types, max_pairs=100, max_rows=20).rows
         assert rows_of(some) == rows_of(split.rows.filter(F.col("change_type").isin(types)))
