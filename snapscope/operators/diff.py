@@ -452,6 +452,12 @@ def diff_order(rows: DataFrame) -> list[Column]:
     return keys + [F.col("change_type").asc(), F.col("a").asc_nulls_last(), F.col("b").asc_nulls_last()]
 
 
+def first_rows(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """The diff in key order, cut to `limit` rows; totals come from `diff_summary` and stay complete."""
+    ordered = rows.orderBy(*diff_order(rows))
+    return ordered if limit is None else ordered.limit(limit)
+
+
 @dataclass(frozen=True)
 class Page:
     rows: DataFrame

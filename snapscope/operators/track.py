@@ -48,6 +48,14 @@ def _limited(catalog: DataFrame, most: int | None) -> DataFrame:
     return catalog if most is None else catalog.orderBy("order_idx").limit(most)
 
 
+def _within(df: DataFrame, chosen: DataFrame, snapshot: str, most: int | None) -> DataFrame:
+    """Rows of the chosen snapshots. At most `most` names are sent, and they prune a snapshot partition column."""
+    if most is None:
+        return df
+    names = F.broadcast(chosen.select(col(snapshot)).distinct())
+    return df.join(names, snapshot, "left_semi").select(*[col(c) for c in df.columns])
+
+
 def find_record(
     catalog: DataFrame,
     tables: Mapping[str, DataFrame],
@@ -78,7 +86,8 @@ def find_record(
         errors = chosen.select(col(snapshot), F.lit(NO_COLUMN).alias("problem"))
     else:
         errors = chosen.select(col(snapshot), F.lit(None).cast("string").alias("problem"))
-    found = _first_table(tables, usable, conditions, snapshot, show)
+    within = {t: _within(tables[t], chosen, snapshot, max_snapshots) for t in usable}
+    found = _first_table(within, usable, conditions, snapshot, show)
     joined = chosen.join(errors, snapshot, "left")
     if found is None:
         joined = joined.selectExpr("*", "CAST(NULL AS STRING) table_name", "CAST(NULL AS BIGINT) match_count", "CAST(NULL AS STRING) sample")
@@ -157,6 +166,7 @@ def find_value(
     Per snapshot the first table with a hit wins, and in it the first column. The value is tried as
     text and as a number.
     """
+    chosen = _limited(catalog, max_snapshots)
     guesses = ([column] if column else []) + KEY_GUESSES
     hits = []
     for place, (name, df) in enumerate(tables.items()):
@@ -166,8 +176,8 @@ def find_value(
         own = [next((c for c in data if c.lower() == g.lower()), None) for g in guesses]
         order = list(dict.fromkeys([c for c in own if c] + (data if all_columns else [])))
         if order:
-            hits.append(_value_hits(df, name, place, order, value, snapshot, show))
-    chosen = _limited(catalog, max_snapshots)
+            within = _within(df, chosen, snapshot, max_snapshots)
+            hits.append(_value_hits(within, name, place, order, value, snapshot, show))
     if not hits:
         return chosen.selectExpr("*", "false found", "CAST(NULL AS STRING) table_name", "CAST(NULL AS STRING) column_name", "0L match_count", "CAST(NULL AS STRING) sample")
     best = reduce(DataFrame.unionByName, hits).groupBy(col(snapshot)).agg(F.min("hit").alias("hit"))

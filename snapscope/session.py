@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_ROWS = 100_000
 
 
-def local_session(cpus: str | int = "*", name: str = "snapscope", partitions: int | None = None) -> SparkSession:
+def local_session(
+    cpus: str | int = "*", name: str = "snapscope", partitions: int | None = None, conf: dict[str, str] | None = None
+) -> SparkSession:
     partitions = partitions or (os.cpu_count() if cpus == "*" else int(cpus))
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -22,8 +24,10 @@ def local_session(cpus: str | int = "*", name: str = "snapscope", partitions: in
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("SNAPSCOPE_DRIVER_MEMORY", "8g"))
-        .getOrCreate()
     )
+    for key, value in (conf or {}).items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

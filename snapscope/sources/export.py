@@ -59,13 +59,17 @@ def write_results_csv(results: DataFrame, path: str) -> None:
     _csv(results.na.fill(""), path, ",", quote_all=True)
 
 
-def write_diff_report(rows: DataFrame, summary: DataFrame, path: str, source: dict[str, str]) -> None:
-    """A JSON report in two parts: `rows` (one object per diff row) and a one-row `summary`."""
+def write_diff_report(
+    rows: DataFrame, summary: DataFrame, path: str, source: dict[str, str], filters: dict[str, str] | None = None
+) -> None:
+    """A JSON report in two parts: `rows` (one object per diff row) and a one-row `summary` with source and filters."""
     rows.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/rows")
     facts = [F.lit(v).alias(k) for k, v in source.items()]
     head = summary.select(
         F.lit("1.1").alias("report_version"), F.current_timestamp().alias("generated_at"),
-        F.struct(*facts).alias("source"), F.struct("*").alias("summary"),
+        F.struct(*facts).alias("source"),
+        F.to_json(F.create_map(*[F.lit(x) for item in (filters or {}).items() for x in item])).alias("filters"),
+        F.struct("*").alias("summary"),
     )
     head.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/summary")
 

@@ -259,6 +259,11 @@ def copy_tables(tables: Mapping[str, DataFrame], target_path: str, kind: str = "
     return done
 
 
+def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int) -> None:
+    """Store a version as a table bucketed by its keys: diffs of versions stored alike need no shuffle at all."""
+    df.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
+
+
 # --- reports -----------------------------------------------------------------------------------
 
 

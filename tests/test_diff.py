@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snapscope.operators.diff import (
-    diff_after, diff_page, diff_spec, diff_summary, filter_diff, flat_diff, keyed_diff, parse_key_filter,
+    diff_after, diff_page, diff_spec, diff_summary, filter_diff, first_rows, flat_diff, keyed_diff, parse_key_filter,
 )
 
 SCHEMA = "id INT, valor STRING"
@@ -54,6 +54,7 @@ def test_composite(spark):
 
 def test_limit_keeps_totals(spark):
     a, b = frames(spark, [(i, f"a-{i}") for i in range(10)], [(i, f"b-{i}") for i in range(10)])
+    assert [r.key.id for r in first_rows(keyed_diff(a, b, ["id"]).rows, 3).collect()] == [0, 1, 2]
     page = diff_page(keyed_diff(a, b, ["id"]).rows, 1, 3)
     assert len(page.rows.collect()) == 3 and page.total_rows == 10 and page.total_pages == 4
     assert summary(a, b, ["id"])["changed_count"] == 10
@@ -189,3 +190,21 @@ def test_key_filter(spark):
     assert [r.key.id for r in keyed_diff(a, b, ["id"], key_filter={"id": "2"}).rows.collect()] == [2]
     assert keyed_diff(a, b, ["id"], key_filter={"id": "02"}).rows.count() == 0
     assert filter_diff(keyed_diff(a, b, ["id"]).rows, key_filter={"id": "1"}).count() == 1
+
+
+def test_bucketed_versions_need_no_shuffle(spark, tmp_path):
+    from snapscope.sources.ingest import write_bucketed
+
+    a, b = frames(spark, [(i, "a") for i in range(20)], [(i, "b") for i in range(5, 25)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name, df in (("version_a", a), ("version_b", b)):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            write_bucketed(df, name, ["id"], 4)
+        rows = keyed_diff(spark.table("version_a"), spark.table("version_b"), ["id"], unique_keys=True).rows
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() == 25
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        for name in ("version_a", "version_b"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
