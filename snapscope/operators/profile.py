@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from snapscope.functions.names import col
 from snapscope.functions.numbers import as_text, digits_only, float_of, nice_number, unwrap
+from snapscope.operators.positions import with_positions
 
 # Labels and thresholds of the profile.
 NUMERIC, TEXT, OTHERS = "numérico", "texto", "OUTROS"
@@ -106,6 +107,35 @@ def _column_stats(cell_rows: DataFrame, by: Sequence[str], accuracy: int) -> Dat
     )
 
 
+def exact_quantiles(cell_rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Quartiles of the parsed numbers per column, interpolated between neighbours: q25, median, q75.
+
+    Works on value counts and their positions, so it is exact at any size and no task sees a whole column.
+    """
+    group = [*by, "coluna"]
+    keys = [col(c) for c in group]
+    numbers = cell_rows.filter(F.col("number").isNotNull() & ~F.isnan("number"))
+    counts = numbers.groupBy(*keys, "number").agg(F.count("*").alias("n"))
+    totals = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    placed = with_positions(counts, ["number"], group, "n").join(totals, group)
+    first, last = F.col("position"), F.col("position") + F.col("n") - 1
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((first <= place) & (place <= last), F.col("number")))
+
+    picked = []
+    for i, share in enumerate(QUANTILES):
+        rank = (F.col("total") - 1) * share
+        picked += [at(F.floor(rank)).alias(f"lo{i}"), at(F.ceil(rank)).alias(f"hi{i}")]
+    found = placed.groupBy(*keys, "total").agg(*picked)
+
+    def between(i: int) -> Column:
+        rank = (F.col("total") - 1) * QUANTILES[i]
+        return F.col(f"lo{i}") + (rank - F.floor(rank)) * (F.col(f"hi{i}") - F.col(f"lo{i}"))
+
+    return found.select(*keys, between(0).alias("q25"), between(1).alias("median"), between(2).alias("q75"))
+
+
 def profile(
     df: DataFrame,
     distinct_cap: int = DISTINCT_CAP,
@@ -113,16 +143,24 @@ def profile(
     columns: Sequence[str] | None = None,
     mode: str = "clean",
     accuracy: int = 10_000,
+    quantiles: str = "sketch",
 ) -> DataFrame:
     """One row per column (and per `by` group, e.g. a snapshot date), in the order of `SUMMARY_COLUMNS`.
 
-    `distinct_est` is exact up to `distinct_cap`, beyond it -1 with the flag set.
+    `distinct_est` is exact up to `distinct_cap`, beyond it -1 with the flag set. Quartiles are values
+    picked by a sketch, or with `quantiles='exact'` interpolated exact ones, at the price of ordering
+    the distinct numbers.
     """
     cell_rows = cells(df, by, columns, mode)
     stats = _column_stats(cell_rows, by, accuracy)
     per_value = value_counts(cell_rows, by)
     # Both sides have one row per column and group.
-    return _summary(stats.join(_mode(per_value, by), [*by, "coluna"], "left"), by, distinct_cap)
+    key = [*by, "coluna"]
+    joined = stats.join(_mode(per_value, by), key, "left")
+    if quantiles == "exact":
+        exact = exact_quantiles(cell_rows, by).select(*[col(c) for c in key], F.array("q25", "median", "q75").alias("quantiles"))
+        joined = joined.drop("quantiles").join(exact, key, "left")
+    return _summary(joined, by, distinct_cap)
 
 
 def _mode(per_value: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapscope.functions.names import col, is_user_table
@@ -19,7 +19,7 @@ from snapscope.functions.numbers import as_text
 from snapscope.functions.serial import json_ready, row_json
 from snapscope.functions.text import normalize_text
 from snapscope.operators.keys import guess_keys
-from snapscope.session import settled
+from snapscope.operators.positions import with_positions
 
 INDEX_SCHEMA = (
     "table_name STRING, pk_col STRING, pk_value STRING, row_id STRING, content_norm STRING, row_json STRING, copies BIGINT"
@@ -73,25 +73,8 @@ def folded(index: DataFrame) -> DataFrame:
 
 
 def with_row_offset(index: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Position of each row within its table by the named order, without sorting a table in one task.
-
-    Rows are range-partitioned by (table, order, row id); a row's offset is its position in its
-    partition plus the sizes of the table's earlier partitions (one small row per partition).
-    """
-    keys = ["table_name", *order, "row_id"]
-    placed = index.repartitionByRange(*[F.col(k) for k in keys]).withColumn("part", F.spark_partition_id())
-    # Settled, because the partition numbers are read by two branches and must be the same in both.
-    placed = settled(placed)
-    local = Window.partitionBy("table_name", "part").orderBy(*[F.col(k) for k in keys])
-    numbered = placed.withColumn("local_offset", F.row_number().over(local) - 1)
-    sizes = numbered.groupBy("table_name", "part").agg(F.count("*").alias("n"))
-    earlier = Window.partitionBy("table_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    return (
-        numbered.join(starts, ["table_name", "part"])
-        .withColumn("row_offset", (F.col("start") + F.col("local_offset")).cast("bigint"))
-        .drop("part", "local_offset", "start")
-    )
+    """Position of each row within its table by the named order; equal rows should be folded first."""
+    return with_positions(index, [*order, "row_id"], ["table_name"], "copies", "row_offset")
 
 
 # --- stored index ------------------------------------------------------------------------------

@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapscope.functions.serial import canonical_row
+from snapscope.operators.positions import with_positions
 from snapscope.session import settled
 
 SAMPLE_POINTS = 9
@@ -37,32 +38,14 @@ def canonical_counts(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     return df.select(canonical_row(df, columns).alias("canonical")).groupBy("canonical").agg(F.count("*").alias("copies"))
 
 
-def positioned(counts: DataFrame) -> DataFrame:
-    """Canonical rows with the position of their first copy in the total order.
-
-    Rows are range-partitioned, summed up inside each part, and shifted by the sizes of the earlier
-    parts, which is one small row per part: no task sees the whole table.
-    """
-    spread = counts.repartitionByRange(F.col("canonical")).withColumn("part", F.spark_partition_id())
-    placed = settled(spread)
-    sizes = placed.groupBy("part").agg(F.sum("copies").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    inside = Window.partitionBy("part").orderBy("canonical").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        placed.withColumn("inner_start", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
-        .join(F.broadcast(starts), "part")
-        .select("canonical", "copies", (F.col("start") + F.col("inner_start")).alias("position"))
-    )
-
-
 def sampled_rows(df: DataFrame, positions: Sequence[int], columns: Sequence[str] | None = None) -> DataFrame:
     """Canonical rows at the given positions (a handful)."""
     wanted = F.filter(
         F.array(*[F.lit(p) for p in positions]).cast("array<bigint>"),
         lambda p: (p >= F.col("position")) & (p < F.col("position") + F.col("copies")),
     )
-    return positioned(canonical_counts(df, columns)).select(F.explode(wanted).alias("position"), "canonical")
+    placed = with_positions(canonical_counts(df, columns), ["canonical"], weight="copies")
+    return placed.select(F.explode(wanted).alias("position"), "canonical")
 
 
 def sample_hash(sampled: DataFrame) -> DataFrame:

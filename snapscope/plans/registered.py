@@ -570,6 +570,14 @@ def _(spark, d):
     return profile.profile(table(spark, d, "customer"), distinct_cap=100).select("coluna", "distinct_est", "distinct_cap_excedido")
 
 
+@query("profile_exact_quantiles", f"""WITH {{daily}}, cells AS ({{cells}}) SELECT snapshot, coluna, round(quantile_cont(number, 0.25), 4) AS q25_approx,
+  round(quantile_cont(number, 0.5), 4) AS median_approx, round(quantile_cont(number, 0.75), 4) AS q75_approx FROM cells GROUP BY 1, 2 HAVING count(number) > 0""".format(
+    daily=DAILY, cells=_cells_sql("daily", [("user_id", "user_id", "''"), ("value", "value", "''")], "snapshot")))
+def _(spark, d):
+    df = profile.profile(events_daily(spark, d), by=["snapshot"], columns=["user_id", "value"], quantiles="exact")
+    return df.select("snapshot", "coluna", *[F.round(c, 4).alias(c) for c in ("q25_approx", "median_approx", "q75_approx")])
+
+
 NUMBER_TEXT_CELLS = _cells_sql(
     "(SELECT event_id, event_type, value AS amount FROM events)",
     [("event_type", "NULL", "event_type"), ("amount", "amount", nice_sql("amount"))])

@@ -40,6 +40,17 @@ def test_profile_against_brute_force(spark):
     assert p.profile(df, distinct_cap=2, columns=["t"]).first().distinct_est == -1
 
 
+def test_exact_quantiles(spark):
+    df, rows = make(spark)
+    got = {r.coluna: r for r in p.profile(df.repartition(3), quantiles="exact").collect()}
+    d = [r[3] for r in rows if r[3] is not None]
+    want = statistics.quantiles(d, n=4, method="inclusive")
+    assert [got["d"].q25_approx, got["d"].median_approx, got["d"].q75_approx] == pytest.approx(want, rel=1e-12)
+    assert got["day"].median_approx is None
+    one = spark.createDataFrame([("5",), ("7",), ("7",)], "v STRING")
+    assert p.exact_quantiles(p.cells(one)).first()[1:] == (6.0, 7.0, 7.0)
+
+
 def test_empty_column(spark):
     df = spark.createDataFrame([(None,), (None,)], "v STRING")
     row = p.profile(df).first()
