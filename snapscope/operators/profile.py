@@ -178,7 +178,7 @@ def _summary(joined: DataFrame, by: Sequence[str], distinct_cap: int) -> DataFra
     kind = F.when(numeric, NUMERIC).when(non_null > 0, TEXT).otherwise("")
     over = F.coalesce(F.col("distinct") > distinct_cap, F.lit(False))
     top1 = F.coalesce(-F.col("best.neg"), F.lit(0))
-    pct = F.when((non_null > 0) & (top1 > 0), F.round(100.0 * top1 / non_null, 3))
+    pct = F.when((non_null > 0) & (top1 > 0), F.bround(100.0 * top1 / non_null, 3))
     std = F.sqrt(F.col("variancia"))
     cv = F.when(F.col("mean") != 0, std / F.col("mean"))
 
@@ -240,7 +240,7 @@ def latest_profile(profiles: DataFrame, stamp: str, table: str = "table_name") -
 def profile_bands(profile_rows: DataFrame) -> DataFrame:
     """Share of NULLs and a band for how dominant the most frequent value is."""
     pct = F.coalesce("top1_pct_of_column", F.lit(0.0))
-    null_pct = F.when(F.col("linhas_lidas") > 0, F.round(100.0 * F.col("nulos") / F.col("linhas_lidas"), 3)).otherwise(0.0)
+    null_pct = F.when(F.col("linhas_lidas") > 0, F.bround(100.0 * F.col("nulos") / F.col("linhas_lidas"), 3)).otherwise(0.0)
     return profile_rows.select(
         "*",
         null_pct.alias("nulos_pct"),

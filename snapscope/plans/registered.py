@@ -16,7 +16,7 @@ from snapscope.operators import (
     browse, content_diff, diff, keys, profile, rollup, search, signals, text_index, track, validate,
 )
 from snapscope.functions.dates import date_in_name
-from snapscope.functions.names import col, display_order
+from snapscope.functions.names import col
 from snapscope.functions.serial import flatten_nested, json_rows
 from snapscope.operators.filters import matches, parse_conditions
 from snapscope.plans import report
@@ -106,6 +106,19 @@ cat AS (SELECT snapshot, row_number() OVER (ORDER BY snapshot) - 1 AS order_idx
 STATE, FAMILY = ["o_orderstatus"], ["o_orderpriority"]
 
 
+# Sums differ in their last bits between engines. Before rounding, values are nudged up by less than anyone
+# can see but more than that, so an exact half rounds the same way on both sides.
+NUDGE = 1.0000000001
+
+
+def _r(expression: str, digits: int) -> str:
+    return f"round(({expression}) * {NUDGE}::DOUBLE, {digits})"
+
+
+def _rounded(value, digits: int):
+    return F.round(value * F.lit(NUDGE), digits)
+
+
 def norm_sql(value: str) -> str:
     """Normalised text in SQL."""
     return (
@@ -462,9 +475,9 @@ def _counts(spark, d, scope="all_keys"):
     return signals.signal_counts(rows, diff.diff_summary(a, b, ["o_orderkey"]), STATE, scope=scope)
 
 
-@query("signal_counts", f"{COUNTS_SQL} SELECT * EXCLUDE (pct), round(pct, 4) AS impacted_pct FROM v")
+@query("signal_counts", f"{COUNTS_SQL} SELECT * EXCLUDE (pct), " + _r("pct", 4) + " AS impacted_pct FROM v")
 def _(spark, d):
-    return _counts(spark, d).withColumn("impacted_pct", F.round("impacted_pct", 4))
+    return _counts(spark, d).withColumn("impacted_pct", _rounded(F.col("impacted_pct"), 4))
 
 
 @query("signal_severity", f"""{COUNTS_SQL} SELECT CASE WHEN pct >= 50 OR risk_row_count >= 4 THEN 'critica' WHEN pct >= 25 OR risk_row_count >= 2 OR null_transitions_total >= 4 THEN 'alta'
@@ -545,18 +558,18 @@ st AS (SELECT {g}, count(*) AS n, count(*) FILTER (is_null) AS nulls, count(numb
   min(number) AS mn, max(number) AS mx, quantile_disc(number, 0.25) AS q1, quantile_disc(number, 0.5) AS q2, quantile_disc(number, 0.75) AS q3 FROM cells GROUP BY {g}),
 prof AS (SELECT {b}s.coluna, CASE WHEN n - nulls > 0 AND parsed >= 0.6 * (n - nulls) THEN 'numérico' WHEN n - nulls > 0 THEN 'texto' ELSE '' END AS tipo_aparente,
   n AS linhas_lidas, nulls AS nulos, n - nulls AS linhas_nao_nulas, CASE WHEN dist > {cap} THEN -1 ELSE coalesce(dist, 0) END AS distinct_est, coalesce(dist > {cap}, false) AS distinct_cap_excedido,
-  parsed AS value_count, round(coalesce(mu, 0), 4) AS mean, round(coalesce(vp * parsed, 0), 2) AS "M2", round(coalesce(vp, 0), 4) AS variancia,
-  round(coalesce(sqrt(vp), 0), 4) AS desvio_padrao_pop, round(coalesce(vs, 0), 4) AS variancia_amostral, round(coalesce(sqrt(vs), 0), 4) AS desvio_padrao_amostral,
-  round(CASE WHEN mu <> 0 THEN sqrt(vp) / mu ELSE 0 END, 4) AS coef_variacao, mn AS min,
+  parsed AS value_count, {_r('coalesce(mu, 0)', 4)} AS mean, {_r('coalesce(vp * parsed, 0)', 2)} AS "M2", {_r('coalesce(vp, 0)', 4)} AS variancia,
+  {_r('coalesce(sqrt(vp), 0)', 4)} AS desvio_padrao_pop, {_r('coalesce(vs, 0)', 4)} AS variancia_amostral, {_r('coalesce(sqrt(vs), 0)', 4)} AS desvio_padrao_amostral,
+  {_r('CASE WHEN mu <> 0 THEN sqrt(vp) / mu ELSE 0 END', 4)} AS coef_variacao, mn AS min,
   CASE WHEN parsed >= 0.6 * (n - nulls) THEN q1 END AS q25_approx, CASE WHEN parsed >= 0.6 * (n - nulls) THEN q2 END AS median_approx,
   CASE WHEN parsed >= 0.6 * (n - nulls) THEN q3 END AS q75_approx, mx AS max, coalesce(top_v, '') AS top1_val, coalesce(top_c, 0) AS top1_count,
-  CASE WHEN top_c > 0 THEN round(100.0 * top_c / (n - nulls), 3) END AS top1_pct_of_column, coalesce(round(100.0 * top_c / (n - nulls), 3) >= 50, false) AS top1_domina
+  CASE WHEN top_c > 0 THEN round_even(100.0 * top_c / (n - nulls), 3) END AS top1_pct_of_column, coalesce(round_even(100.0 * top_c / (n - nulls), 3) >= 50, false) AS top1_domina
   FROM st s LEFT JOIN md ON {"s." + by + " = md." + by + " AND " if by else ""}s.coluna = md.coluna)"""
 
 
 def _rounded_profile(df: DataFrame) -> DataFrame:
     places = {c: 2 if c == "M2" else 4 for c in PROFILE_COLUMNS}
-    return df.select(*[F.round(c, places[c]).alias(c) if c in places else col(c) for c in df.columns])
+    return df.select(*[_rounded(col(c), places[c]).alias(c) if c in places else col(c) for c in df.columns])
 
 
 @query("profile_customer", f"WITH cells AS ({CUSTOMER_CELLS}), {_profile_sql()} SELECT * FROM prof")
@@ -614,7 +627,7 @@ def _(spark, d):
     return profile.with_others(top, profile.profile(customer))
 
 
-@query("profile_bands", f"""WITH cells AS ({CUSTOMER_CELLS}), {_profile_sql()} SELECT coluna, round(100.0 * nulos / linhas_lidas, 3) AS nulos_pct,
+@query("profile_bands", f"""WITH cells AS ({CUSTOMER_CELLS}), {_profile_sql()} SELECT coluna, round_even(100.0 * nulos / linhas_lidas, 3) AS nulos_pct,
   CASE WHEN coalesce(top1_pct_of_column, 0) >= 10 THEN 'alta' WHEN coalesce(top1_pct_of_column, 0) >= 2 THEN 'media' ELSE 'baixa' END AS faixa FROM prof""")
 def _(spark, d):
     return profile.profile_bands(profile.profile(table(spark, d, "customer"))).select("coluna", "nulos_pct", "faixa")
@@ -656,23 +669,23 @@ def _(spark, d):
 
 # The pooled moments must equal the moments over all rows.
 @query("rollup_pooled_moments", f"""{GLOBAL_SQL} SELECT coluna, CASE WHEN cnt > 0 THEN 'numérico' ELSE 'texto' END AS tipo_aparente_mais_comum, n AS linhas_lidas_sum, nulls AS nulos_sum, n - nulls AS nao_nulos_sum,
-  round(nulls / n * 100.0, 4) AS nulos_pct_global, cnt AS value_count_global, round(coalesce(mu, 0), 4) AS mean_global, round(coalesce(vp, 0), 3) AS var_pop_global,
-  round(coalesce(sqrt(vp), 0), 4) AS std_pop_global, round(coalesce(sqrt(vp) / mu, 0), 4) AS cv_global, mn AS min_global, mx AS max_global FROM st""")
+  {_r('nulls / n * 100.0', 4)} AS nulos_pct_global, cnt AS value_count_global, {_r('coalesce(mu, 0)', 4)} AS mean_global, {_r('coalesce(vp, 0)', 3)} AS var_pop_global,
+  {_r('coalesce(sqrt(vp), 0)', 4)} AS std_pop_global, {_r('coalesce(sqrt(vp) / mu, 0)', 4)} AS cv_global, mn AS min_global, mx AS max_global FROM st""")
 def _(spark, d):
     df = rollup.pooled_moments(_daily_parts(spark, d)[0])
     places = {"nulos_pct_global": 4, "mean_global": 4, "var_pop_global": 3, "std_pop_global": 4, "cv_global": 4}
-    return df.select(*[F.round(c, places[c]).alias(c) if c in places else c for c in df.columns])
+    return df.select(*[_rounded(col(c), places[c]).alias(c) if c in places else c for c in df.columns])
 
 
 @query("rollup_global_summary", f"""{GLOBAL_SQL}, best AS (SELECT coluna, valor, count_total FROM (SELECT *, row_number() OVER (PARTITION BY coluna ORDER BY count_total DESC, files_count DESC, valor) AS r FROM gc) WHERE r = 1),
   ls AS (SELECT coluna, count(DISTINCT valor) AS k FROM gc GROUP BY 1)
-  SELECT coluna, CASE WHEN cnt > 0 THEN 'numérico' ELSE 'texto' END AS tipo_aparente, k AS distinct_global, round(nulls / n * 100.0, 4) AS nulos_pct_global, round(coalesce(mu, 0), 4) AS mean_global,
-  round(coalesce(sqrt(vp), 0), 4) AS std_pop_global, round(coalesce(vp, 0), 3) AS var_pop_global, round(coalesce(sqrt(vp) / mu, 0), 4) AS cv_global, valor AS valor_mais_frequente_global,
-  round(count_total / (n - nulls) * 100.0, 4) AS pct_valor_mais_freq_nao_nulos_global FROM st JOIN best USING (coluna) JOIN ls USING (coluna)""")
+  SELECT coluna, CASE WHEN cnt > 0 THEN 'numérico' ELSE 'texto' END AS tipo_aparente, k AS distinct_global, {_r('nulls / n * 100.0', 4)} AS nulos_pct_global, {_r('coalesce(mu, 0)', 4)} AS mean_global,
+  {_r('coalesce(sqrt(vp), 0)', 4)} AS std_pop_global, {_r('coalesce(vp, 0)', 3)} AS var_pop_global, {_r('coalesce(sqrt(vp) / mu, 0)', 4)} AS cv_global, valor AS valor_mais_frequente_global,
+  {_r('count_total / (n - nulls) * 100.0', 4)} AS pct_valor_mais_freq_nao_nulos_global FROM st JOIN best USING (coluna) JOIN ls USING (coluna)""")
 def _(spark, d):
     df = rollup.global_summary(*_daily_parts(spark, d))
     places = {"var_pop_global": 3}
-    return df.select(*[F.round(c, places.get(c, 4)).alias(c) if t == "double" else c for c, t in df.dtypes])
+    return df.select(*[_rounded(col(c), places.get(c, 4)).alias(c) if t == "double" else c for c, t in df.dtypes])
 
 
 @query("rollup_exact_distinct", f"{GLOBAL_SQL} SELECT coluna, count(DISTINCT valor) AS distinct_global FROM cells WHERE NOT is_null GROUP BY 1")
