@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapscope.llm import url_filter, warc
+from snapscope.llm import decontaminate, packing, url_filter, warc
 from snapscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,3 +44,36 @@ def op6(spark, sf_dir):
 def op1(spark, sf_dir):
     read = warc.archive_and_read(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def vocabulary() -> str:
+    """The vocabulary that packing uses unless told otherwise."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query("op8_best_fit_packing")
+def op8(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
+
+
+ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query("op4_decontamination", f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    i AS (SELECT CAST(item_id AS VARCHAR) AS id, regexp_extract_all({ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+    iw AS (SELECT id, n, array_to_string(w[p:p + n - 1], ' ') AS g
+        FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM (SELECT *, least(len(w), 10) AS n FROM i WHERE len(w) > 0))),
+    dw AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS g
+        FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS p FROM (SELECT d.*, n FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n))),
+    h AS (SELECT doc_id, id, n, p FROM dw JOIN iw USING (n, g)),
+    c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id),
+    t AS (SELECT doc_id, count(DISTINCT id) AS n_items, sha256(string_agg(DISTINCT id, ',' ORDER BY id)) AS s FROM h GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+        coalesce(s, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+""")
+def op4(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
