@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapscope.llm import decontaminate, packing, url_filter, warc
+from snapscope.llm import decontaminate, packing, quality, url_filter, warc
 from snapscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,8 @@ ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 """)
 def op4(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_quality_outliers")
+def op2(spark, sf_dir):
+    return quality.quality(table(spark, sf_dir, "documents"))
