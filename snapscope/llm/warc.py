@@ -83,15 +83,16 @@ def seek_table(frames: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", SKIPPABLE, len(entries) + len(footer)) + entries + footer
 
 
-def frame_starts(bundle: bytes) -> list[tuple[int, int, int]]:
-    """(start, compressed size, decompressed size) of each frame, from the footer."""
-    n, flags, magic = struct.unpack("<IBI", bundle[-9:])
+def read_seek_table(bundle: pa.NativeFile) -> list[tuple[int, int, int]]:
+    """(start, compressed size, decompressed size) of each frame, from the end of a bundle."""
+    n, flags, magic = struct.unpack("<IBI", bundle.read_at(9, bundle.size() - 9))
     if magic != SEEKABLE:
         raise ValueError("no seek table at the end")
     width = 12 if flags & 0x80 else 8
-    at, found, start = len(bundle) - 9 - n * width, [], 0
+    entries = bundle.read_at(n * width, bundle.size() - 9 - n * width)
+    found, start = [], 0
     for i in range(n):
-        size, full = struct.unpack_from("<II", bundle, at + i * width)
+        size, full = struct.unpack_from("<II", entries, i * width)
         found.append((start, size, full))
         start += size
     return found
@@ -191,37 +192,38 @@ def _id(text: str | None) -> int | None:
 
 
 def read_bundles(places: DataFrame, folder: str) -> DataFrame:
-    """Every record that places name, fetched by bundle, frame and offset. Digests of responses are taken from the
-    payload as read, those of revisits from their header; a response that isn't what its header says is an error."""
-    spark = places.sparkSession
+    """Every record that places name, fetched by bundle, frame and offset: only a bundle's places move, its frames
+    are read where they are needed. Digests of responses are taken from the payload as read, those of revisits from
+    their header; a response that isn't what its header says is an error."""
     wanted = places.groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("frame", "offset", "length"))).alias("wanted"))
-    files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("bundle"), "content")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = file_system(folder)
         zstd = zstandard.ZstdDecompressor()
         for batch in batches:
-            for i in range(batch.num_rows):
-                name, content = batch.column("bundle")[i].as_py(), batch.column("content")[i].as_py()
-                starts, open_frame, data, rows, held = frame_starts(content), -1, b"", [], 0
-                for place in batch.column("wanted")[i]:
-                    frame, offset, length = (x.as_py() for x in place.values())
-                    if frame != open_frame:
-                        start, size, full = starts[frame]
-                        data, open_frame = zstd.decompress(content[start : start + size], max_output_size=full), frame
-                    fields = _parse(data[offset : offset + length])
-                    payload, digest = fields["payload"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
-                    n = int(fields["http"]["Content-Length"])
-                    if fields["WARC-Type"] == "response" and (len(payload) != n or hashlib.sha256(payload).hexdigest() != digest):
-                        raise ValueError(f"{name}: the payload at {frame}/{offset} isn't what its header says")
-                    url = fields.get("WARC-Target-URI")
-                    rows.append((_id(fields.get("WARC-Record-ID")), url and unquote(url), n, digest, fields["WARC-Type"], _id(fields.get("WARC-Refers-To")), payload, name, frame, offset))
-                    held += len(payload)
-                    if held > 4 << 20:
-                        yield _batch(rows, READ_ARROW)
-                        rows, held = [], 0
+            for name, places in zip(batch.column(0), batch.column(1)):
+                name = name.as_py()
+                with fs.open_input_file(f"{path}/{name}") as bundle:
+                    starts, open_frame, data, rows, held = read_seek_table(bundle), -1, b"", [], 0
+                    for place in places:
+                        frame, offset, length = (x.as_py() for x in place.values())
+                        if frame != open_frame:
+                            start, size, full = starts[frame]
+                            data, open_frame = zstd.decompress(bundle.read_at(size, start), max_output_size=full), frame
+                        fields = _parse(data[offset : offset + length])
+                        payload, digest = fields["payload"], fields["WARC-Payload-Digest"].removeprefix("sha256:")
+                        n = int(fields["http"]["Content-Length"])
+                        if fields["WARC-Type"] == "response" and (len(payload) != n or hashlib.sha256(payload).hexdigest() != digest):
+                            raise ValueError(f"{name}: the payload at {frame}/{offset} isn't what its header says")
+                        url = fields.get("WARC-Target-URI")
+                        rows.append((_id(fields.get("WARC-Record-ID")), url and unquote(url), n, digest, fields["WARC-Type"], _id(fields.get("WARC-Refers-To")), payload, name, frame, offset))
+                        held += len(payload)
+                        if held > 4 << 20:
+                            yield _batch(rows, READ_ARROW)
+                            rows, held = [], 0
                 yield _batch(rows, READ_ARROW)
 
-    return files.join(wanted, "bundle").mapInArrow(read, READ)
+    return wanted.mapInArrow(read, READ)
 
 
 def archive_and_read(pages: DataFrame) -> DataFrame:
