@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapscope.llm import decontaminate, packing, quality, url_filter, warc
+from snapscope.llm import decontaminate, packing, quality, toxicity, url_filter, warc
 from snapscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,8 @@ def op4(spark, sf_dir):
 @query("op2_quality_outliers")
 def op2(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"))
+
+
+@query("op9_toxicity")
+def op9(spark, sf_dir):
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
