@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapscope.llm import decontaminate, packing, quality, toxicity, url_filter, warc
+from snapscope.llm import decontaminate, extract, language, packing, quality, toxicity, url_filter, warc
 from snapscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +30,7 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 @query("op6_url_filter")
 def op6(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    weights = url_filter.fit(url_filter.labelled_by_rules(pages, URL_RULES))
+    weights = url_filter.fit(url_filter.labelled_urls(spark))
     return url_filter.filter_urls(pages, URL_RULES, weights)
 
 
@@ -87,3 +87,13 @@ def op2(spark, sf_dir):
 @query("op9_toxicity")
 def op9(spark, sf_dir):
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_html_extraction")
+def op10(spark, sf_dir):
+    return extract.extracted(table(spark, sf_dir, "pages"))
+
+
+@query("op7_language_id")
+def op7(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))

@@ -13,17 +13,17 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapscope.llm.common import ascii_lower, stored
 
-BUCKETS = 2048
+BUCKETS = 4096
 GRAMS = (3, 4)
 # Bound of the labelled sample that the model is fitted on.
 MAX_LABELLED = 4000
-STEPS = 24
-RATE, L2 = 2.0, 1e-3
+STEPS = 32
+RATE, L2 = 0.5, 1e-4
 
 Rules = list[tuple[str, str, str]]
 
@@ -49,7 +49,7 @@ def rule_of(host: Column, path: Column, rules: Rules) -> tuple[Column, Column]:
 
 
 def grams(host: Column, path: Column, buckets: int = BUCKETS, sizes: tuple[int, ...] = GRAMS) -> Column:
-    """Distinct buckets of the n-grams of host and path, each with its own marks at the ends."""
+    """Distinct buckets of the n-grams of host and path, each with its own marks at the ends; a number counts as 0."""
 
     def of(mark: str, text: Column) -> Column:
         marked = F.concat(F.lit("^"), text, F.lit("$"))
@@ -62,7 +62,7 @@ def grams(host: Column, path: Column, buckets: int = BUCKETS, sizes: tuple[int,
         ]
         return F.concat(*cut)
 
-    return F.array_distinct(F.concat(of("h", host), of("p", path)))
+    return F.array_distinct(F.concat(of("h", host), of("p", F.regexp_replace(path, "[0-9]+", "0"))))
 
 
 def _weights(values: list[float]) -> Column:
@@ -86,20 +86,19 @@ def fit(labelled: DataFrame, steps: int = STEPS, rate: float = RATE, l2: float =
     n, blocked = few.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if blocked in (0, n):
         return [0.0] * BUCKETS + [-1.0]
-    weights, speed = [0.0] * BUCKETS + [math.log(blocked / (n - blocked))], [0.0] * (BUCKETS + 1)
-    for step in range(steps):
-        ahead = [w + 0.9 * v for w, v in zip(weights, speed)]
-        miss = few.select("buckets", (_score(F.col("buckets"), _weights(ahead)) - F.col("label")).alias("miss"))
+    weights, spread = [0.0] * BUCKETS + [math.log(blocked / (n - blocked))], [1e-12] * (BUCKETS + 1)
+    for _ in range(steps):
+        miss = few.select("buckets", (_score(F.col("buckets"), _weights(weights)) - F.col("label")).alias("miss"))
         slopes = (
             miss.select(F.explode(F.concat("buckets", F.array(F.lit(BUCKETS)))).alias("bucket"), "miss", F.size("buckets").alias("size"))
             .groupBy("bucket")
             .agg(F.sum(F.when(F.col("bucket") == BUCKETS, F.col("miss")).otherwise(F.col("miss") / F.sqrt("size"))).alias("slope"))
         )
-        slope = [0.0] * (BUCKETS + 1)
         for row in slopes.collect():  # at most BUCKETS + 1 rows
-            slope[row["bucket"]] = row["slope"] / n
-        speed = [0.9 * v - rate * (g + l2 * a * (i < BUCKETS)) for i, (v, g, a) in enumerate(zip(speed, slope, ahead))]
-        weights = [w + v for w, v in zip(weights, speed)]
+            k = row["bucket"]
+            slope = row["slope"] / n + l2 * weights[k] * (k < BUCKETS)
+            spread[k] += slope * slope  # a step for each weight by its own slopes, so that rare n-grams learn too
+            weights[k] -= rate * slope / math.sqrt(spread[k])
     return weights
 
 
@@ -116,7 +115,27 @@ def filter_urls(pages: DataFrame, rules: Rules, weights: list[float], threshold:
     )
 
 
-def labelled_by_rules(pages: DataFrame, rules: Rules) -> DataFrame:
-    """A labelled URL table out of pages: the URLs that a rule decides."""
-    _, decision = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)
-    return pages.select("url", F.when(decision == "block", 1).when(decision == "allow", 0).alias("label")).where("label IS NOT NULL")
+# The small labelled table that the model is fitted on unless another is given: names of hosts people block, and of
+# hosts they don't. Addresses are made from them in the same forms for both, so that only the names tell.
+BLOCKED_HOSTS = """
+casino-royal online-casino casino-bonus mega-casino slots-jackpot poker-win win-big lottery-win free-spins bets-live sport-bets free-credits
+cheap-meds pills-shop viagra-store cheap-watches replica-bags diet-pills free-iphone win-prizes adult-dating adult-video hot-x xxx-tube porn-site cam-girls
+free-bingo bets24 freebets casino-vip ads-tracking ads-server ads-network adclick track-pixel tracker click-track banner-ads spam-mail spamhub link-farm farm-links seo-farm quick-loans payday-loan crypto-double
+""".split()
+ALLOWED_HOSTS = """
+news daily-news weather city-library library museum garden gardening-club recipes home-cooking school high-school university science open-science history
+travel mountain-trails cycling running football chess music orchestra theatre film-review books book-review poetry paintings photography architecture
+health hospital dentist nursing childcare parents farmers-market farming agriculture forest birds ocean river climate energy solar engineering robotics
+software linux databases compilers mathematics physics chemistry biology astronomy economy finance banking insurance law courts parliament townhall
+thermal throne other another nation station thunder winter shelter brother gather anthem ethan athens theory
+""".split()
+
+
+def labelled_urls(spark: SparkSession, blocked: list[str] = BLOCKED_HOSTS, allowed: list[str] = ALLOWED_HOSTS) -> DataFrame:
+    """(url, label) of the names above, each under several addresses."""
+    fronts, ends, languages, tails = ("", "www.", "blog.", "m."), ("com", "org", "net"), ("en", "fr", "de", "es"), ("", ".html", "/", "?page=2")
+    rows = [
+        {"url": f"https://{fronts[(k + v) % 4]}{name}.example.{ends[(k + v) % 3]}/{languages[(k // 3 + v) % 4]}/{17 * k + v}{tails[(k // 2 + v) % 4]}", "label": label}
+        for label, names in ((1, blocked), (0, allowed)) for k, name in enumerate(names) for v in range(3)
+    ]
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<url: string, label: int>>")))
