@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapscope.llm import decontaminate, extract, language, packing, quality, toxicity, url_filter, warc
+from snapscope.llm import decontaminate, extract, language, neardup, packing, quality, toxicity, url_filter, warc
 from snapscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,18 @@ def op10(spark, sf_dir):
 @query("op7_language_id")
 def op7(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query("op5_minhash_neardup", f"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    g AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 3], ' ') AS g
+        FROM (SELECT *, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS p FROM w WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+    i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM g a JOIN g b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 80 * (a.n + b.n - i)),
+    r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+    c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+""")
+def op5(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("node")
