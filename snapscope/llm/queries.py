@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snapscope.llm import decontaminate, extract, language, neardup, packing, quality, toxicity, url_filter, warc
+from snapscope.llm import decontaminate, extract, language, neardup, packing, quality, suffix_dedup, toxicity, url_filter, warc
 from snapscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,8 @@ def op7(spark, sf_dir):
 """)
 def op5(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("node")
+
+
+@query("op3_suffix_dedup")
+def op3(spark, sf_dir):
+    return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
