@@ -22,8 +22,8 @@ BUCKETS = 4096
 GRAMS = (3, 4)
 # Bound of the labelled sample that the model is fitted on.
 MAX_LABELLED = 4000
-STEPS = 32
-RATE, L2 = 0.5, 1e-4
+STEPS = 40
+RATE, L2 = 1.5, 1e-4
 
 Rules = list[tuple[str, str, str]]
 
@@ -120,13 +120,14 @@ def filter_urls(pages: DataFrame, rules: Rules, weights: list[float], threshold:
 BLOCKED_HOSTS = """
 casino-royal online-casino casino-bonus mega-casino slots-jackpot poker-win win-big lottery-win free-spins bets-live sport-bets free-credits
 cheap-meds pills-shop viagra-store cheap-watches replica-bags diet-pills free-iphone win-prizes adult-dating adult-video hot-x xxx-tube porn-site cam-girls
-free-bingo bets24 freebets casino-vip ads-tracking ads-server ads-network adclick track-pixel tracker click-track banner-ads spam-mail spamhub link-farm farm-links seo-farm quick-loans payday-loan crypto-double
+bets-free free-poker bestbets free-bingo bets24 freebets casino-vip ads-tracking ads-server ads-network adclick track-pixel tracker click-track banner-ads spam-mail spamhub link-farm farm-links seo-farm quick-loans payday-loan crypto-double
 """.split()
 ALLOWED_HOSTS = """
 news daily-news weather city-library library museum garden gardening-club recipes home-cooking school high-school university science open-science history
 travel mountain-trails cycling running football chess music orchestra theatre film-review books book-review poetry paintings photography architecture
 health hospital dentist nursing childcare parents farmers-market farming agriculture forest birds ocean river climate energy solar engineering robotics
 software linux databases compilers mathematics physics chemistry biology astronomy economy finance banking insurance law courts parliament townhall
+river-side city-guide school-board house-paint bread-recipe sea-shore
 thermal throne other another nation station thunder winter shelter brother gather anthem ethan athens theory
 """.split()
 
