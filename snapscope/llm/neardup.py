@@ -7,8 +7,8 @@
    for a chance below (1 - threshold) ** RETAINED. Values of more than HOT_LIST classes say little: their lists are
    used only by classes that have few others, so that common lines don't bring unrelated texts together.
 3. Inside a coarse group exact Jaccard over the full sets decides. Long lists and groups are cut into blocks, and
-   every pair of blocks is one unit of work, pruned by set size; a unit gives a spanning forest of its links, so
-   rows stay linear however many pairs are alike. No pair is left out and nothing is capped.
+   every pair of blocks is one unit of work, pruned by set size; a unit gives the fewest links that connect what
+   is alike in it, so rows stay linear however many pairs are alike. No pair is left out and nothing is capped.
 4. Components of the exact links give each document the smallest id that can be reached.
 
 Defined results: null, empty and wordless texts have no set and are linked with nothing; a text with fewer words
@@ -101,8 +101,12 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, rid long, n_shingles long, node long, sketch binary")
 
 
-def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
-    """Of the pairs (i, j), those that connect what wasn't connected."""
+def links(n: int, pairs: list[list[int]], block: list) -> list[tuple[int, int]]:
+    """A least set of links that connects what the pairs connect, each between the least members of two parts.
+
+    Where there are two blocks, what the pairs inside a block connect is taken as known, for other units tell it:
+    only the links across are returned. So a dense group gives few links, however many blocks it has.
+    """
     parent = list(range(n))
 
     def find(x: int) -> int:
@@ -110,15 +114,15 @@ def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
             parent[x] = x = parent[parent[x]]
         return x
 
+    across = len(set(block)) > 1
     out = []
-    for i, j in pairs:
-        a, b = find(i), find(j)
+    for i, j in sorted(pairs, key=lambda p: block[p[0]] != block[p[1]]):
+        a, b = sorted((find(i), find(j)))
         if a != b:
             parent[b] = a
-            out.append((i, j))
-            if len(out) == n - 1:
-                break
-    return out
+            if across and block[i] != block[j]:
+                out.append((a, b))
+    return out if across else [(find(k), k) for k in range(n) if find(k) != k]
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -172,12 +176,12 @@ EDGES = "a long, b long"
 _EDGES_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _edges_of_units(rows: DataFrame, unit: list[str], side: str | None, pairs_of) -> DataFrame:
+def _edges_of_units(rows: DataFrame, unit: list[str], side: str, pairs_of) -> DataFrame:
     """Spanning edges of each unit of work. rows: unit columns, node, values (binary); they come sorted by unit.
 
-    side: column of a row's block; where a unit has two blocks, only pairs across are looked for.
+    side: column of a row's block; a unit has one block or two.
     """
-    columns = [*unit, "node", "values", *([side] if side else [])]
+    columns = [*unit, "node", "values", side]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None
@@ -186,19 +190,15 @@ def _edges_of_units(rows: DataFrame, unit: list[str], side: str | None, pairs_of
 
         def close() -> None:
             if len(members) > 1:
-                nodes = list(members)
-                blocks = {m[1] for m in members.values()}
-                pairs = pairs_of([m[0] for m in members.values()])
-                if len(blocks) > 1:
-                    which = np.array([m[1] == next(iter(blocks)) for m in members.values()])
-                    pairs = pairs[which[pairs[:, 0]] != which[pairs[:, 1]]]
-                out.extend((nodes[i], nodes[j]) for i, j in forest(len(nodes), pairs.tolist()))
+                nodes = sorted(members)
+                pairs = pairs_of([members[n][0] for n in nodes])
+                out.extend((nodes[i], nodes[j]) for i, j in links(len(nodes), pairs.tolist(), [members[n][1] for n in nodes]))
             members.clear()
 
         for batch in batches:
             keys = zip(*(batch.column(k).to_pylist() for k in range(len(unit))))
             nodes, values = batch.column(len(unit)).to_pylist(), batch.column(len(unit) + 1)
-            sides = batch.column(len(unit) + 2).to_pylist() if side else [0] * len(nodes)
+            sides = batch.column(len(unit) + 2).to_pylist()
             for at, key in enumerate(keys):
                 if key != held:
                     close()
@@ -280,7 +280,7 @@ def exact_edges(docs: DataFrame, members: DataFrame, width: int, percent: int) -
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, node) of every document."""
+    """(doc_id, n_shingles, component_id, kept, node, rid) of every document."""
     rows = stored(sketched(docs, width), "sketches")
     classes = rows.where("node IS NOT NULL").groupBy("node", "sketch", "n_shingles").agg(
         F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "rid")).alias("first"))
@@ -293,13 +293,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     facts = join_small_groups(found.select("root", "node", "copies"), smallest, ["root"], "_classes", F.col("node")).select("node", "copies", "component_id")
     out = join_small_groups(rows.drop("sketch"), stored(facts, "components"), ["node"], "copies", F.xxhash64("doc_id"))
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "node")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "node", "rid")
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one document of each component: that with the smallest id, once; rows without words all stay."""
     found = near_duplicates(docs, width, percent)
-    stay = found.where("kept").groupBy("doc_id").agg(F.max(F.col("node").isNull()).alias("_empty")).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    stay = found.where("kept").groupBy(F.col("rid").alias("_id")).agg(F.max(F.col("node").isNull()).alias("_empty"))
+    rows = docs.join(stay, row_id("doc_id", "text") == F.col("_id"))
     again = Window.partitionBy("_id").orderBy(F.xxhash64("text"))
     return rows.withColumn("_copy", F.row_number().over(again)).where("_copy = 1 OR _empty").select(*docs.columns)

@@ -111,7 +111,7 @@ def op7(spark, sf_dir):
     SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
 """)
 def op5(spark, sf_dir):
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("node")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("node", "rid")
 
 
 @query("op3_suffix_dedup")
