@@ -86,10 +86,10 @@ def text_evidence(html: str, model: np.ndarray, full: int = FULL) -> Column:
     return F.arrow_udf(of, "struct<declared: string, n: long, logs: array<double>>")(html)
 
 
-def _with_counts(rows: DataFrame, key: str, n_languages: int) -> DataFrame:
-    """rows with of_<key>: how many rows of the same key each language has by the text alone, without the row itself."""
+def _with_counts(rows: DataFrame, base: DataFrame, key: str, n_languages: int) -> DataFrame:
+    """rows with of_<key>, counted over the stored rows `base`: how many rows of the same key each language has by the text alone, without the row itself."""
     sums = [F.coalesce(F.sum((F.col("guess") == k).cast("long")), F.lit(0)) for k in range(n_languages)]
-    facts = rows.groupBy(key).agg(F.count("*").alias("_rows"), F.array(*sums).alias(f"of_{key}"))
+    facts = base.groupBy(key).agg(F.count("*").alias("_rows"), F.array(*sums).alias(f"of_{key}"))
     own = F.transform(f"of_{key}", lambda n, k: n - F.when(k == F.col("guess"), 1).otherwise(0))
     return join_small_groups(rows, facts, [key], "_rows", F.xxhash64("page_id", "logs")).withColumn(f"of_{key}", own)
 
@@ -106,13 +106,13 @@ def identify(pages: DataFrame, docs: DataFrame, smooth: float = SMOOTH) -> DataF
         "page_id", "host", F.regexp_extract("host", r"([^.:]*)(?::\d*)?$", 1).alias("suffix"), F.regexp_extract("host", r"([^.]*\.?[^.]*)$", 1).alias("domain"),
         "e.declared", "e.logs", (F.when(F.col("e.n") > 0, F.array_position("e.logs", F.array_max("e.logs")) - 1)).cast("int").alias("guess"),
     )
-    rows = stored(rows, "page-evidence")
+    base = rows = stored(rows, "page-evidence")
     totals = rows.agg(*(F.sum((F.col("guess") == k).cast("long")).alias(str(k)) for k in range(n))).first()
     share = [((totals[str(k)] or 0) + 1) for k in range(n)]
     overall = F.array(*(F.lit(x / sum(share)) for x in share))
     of_language = F.array(*(F.lit(float(x)) for x in share))
     for key in ("declared", "suffix", "domain", "host"):
-        rows = _with_counts(rows, key, n)
+        rows = _with_counts(rows, base, key, n)
 
     def smoothed(counts: str, above: Column) -> Column:
         size = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
