@@ -85,10 +85,10 @@ def safe_table_name(name: str) -> str:
     return "T_" + safe if safe[:1].isdigit() else safe
 
 
-def collision_free_name(base: str, source: str, table: str, date: str) -> str:
-    """`<base>_<8 hex digits of sha1(source:table)>_<date>`: distinct sources never share a name."""
+def collision_free_name(base: str, source: str, table: str, date: str | None = None) -> str:
+    """`<base>_<8 hex digits of sha1(source:table)>[_<date>]`: distinct sources never share a name."""
     digest = hashlib.sha1(f"{source}:{table}".encode()).hexdigest()[:8]
-    return f"{base}_{digest}_{date}"
+    return f"{base}_{digest}" if date is None else f"{base}_{digest}_{date}"
 
 
 def cache_name(path: str) -> str:

@@ -16,7 +16,6 @@ OVERVIEW_SCHEMA = (
     "table_name STRING, status STRING, row_count_a BIGINT, row_count_b BIGINT, diff_count BIGINT, error STRING"
 )
 STATUSES = ("same", "diff", "no_key", "error")
-MAX_TABLES = 500
 NO_COMMON_COLUMNS = "tabela sem colunas em comum"
 
 
@@ -67,12 +66,12 @@ def one_sided_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 def overview_tables(
     a: Mapping[str, DataFrame], b: Mapping[str, DataFrame], tables: Sequence[str] | None = None
 ) -> list[str]:
-    """Common tables in the order of A; an allow-list is trimmed and de-duplicated. One overview holds `MAX_TABLES`."""
+    """Common tables in the order of A; an allow-list is trimmed and de-duplicated."""
     common = [t for t in a if t in b]
     if tables is not None:
         wanted = {t.strip() for t in tables if t and t.strip()}
         common = [t for t in common if t in wanted]
-    return common[:MAX_TABLES]
+    return common
 
 
 def table_overview(name: str, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -115,14 +114,14 @@ def overview(
 ) -> DataFrame:
     """One row per common table. Tables run side by side and a failing one becomes an `error` row.
 
-    Only one result row per table (at most `MAX_TABLES` named ones) reaches the driver.
+    Only one result row per table reaches the driver.
     """
 
     def run(name: str) -> tuple:
         try:
             return tuple(table_overview(name, a[name], b[name]).first())
         except Exception as problem:
-            return (name, "error", None, None, -1, str(problem).split("\n")[0][:500])
+            return (name, "error", None, None, -1, str(problem))
 
     names = overview_tables(a, b, tables)
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:

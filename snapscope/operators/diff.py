@@ -5,34 +5,30 @@ B, `removed` only in A, `changed` that a compared column differs (NULL-safe). A
 compared pair by pair, as a join does.
 
 Shape of the plan: one full outer join on the keys. Rows with a NULL key part can match nothing, so
-they bypass the join and cost no shuffle. Keys that repeat so often that their pairs (or one task's
-share of them) would get out of hand are found first by a narrow count over the key columns alone:
-
-* many rows on one side, at most one on the other: a left outer join, whose hot side AQE splits;
-* many rows on both sides: not paired at all; `KeyedDiff.crowded` lists their distinct versions with
-  the number of rows on each side, which determines every pair, and the summary counts those pairs
-  exactly without forming them.
+they bypass the join and cost no shuffle. Keys that repeat very often are found by a narrow count over
+the key columns: the rows of their larger side are dealt out over SALTS parts of the key, and those of
+the other side are copied to each part, so that no task gets a key's rows whole and every pair is
+formed. `repeated_versions` describes such keys in the size of the input: their distinct versions with
+the rows on either side, from which all pairs follow.
 """
 
 from __future__ import annotations
 
 import csv
-import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from snapscope.functions.names import col, common_columns, reject_case_clashes
-from snapscope.session import is_small, settled
 
 CHANGE_TYPES = ("added", "removed", "changed")
-# A key is paired row by row up to this many pairs, and joined in one task up to this many rows.
-MAX_PAIRS_PER_KEY = 10_000
-MAX_ROWS_PER_KEY = 10_000
+# Keys with HOT_ROWS rows on a side are dealt out over SALTS parts; HOT_KEYS of them at most, the largest, so that
+# their list stays small enough to send to every task. No other key can then hold more than 1/HOT_KEYS of the rows.
+HOT_ROWS, HOT_KEYS, SALTS = 10_000, 2_000, 64
 
 
 @dataclass(frozen=True)
@@ -43,10 +39,9 @@ class DiffSpec:
 
 @dataclass(frozen=True)
 class KeyedDiff:
-    """`rows(change_type, key, a, b, changed_columns)`; `crowded` is None unless a key repeats heavily on both sides."""
+    """`rows(change_type, key, a, b, changed_columns)`, complete however often keys repeat."""
 
     rows: DataFrame
-    crowded: DataFrame | None
     spec: DiffSpec
 
 
@@ -77,11 +72,50 @@ def diff_spec(a: DataFrame, b: DataFrame, keys: Sequence[str], compare: Sequence
     return DiffSpec(keys, compare)
 
 
+_EXACT = "decimal(38,17)"
+_BEYOND = 1e20
+
+
+def _in_common(value: Column, own: T.DataType, their: T.DataType) -> Column:
+    """A value in the type in which it can be compared with one of type `their`."""
+    kinds = {type(own), type(their)}
+    numbers = [isinstance(k, T.NumericType) for k in (own, their)]
+    floats = (T.FloatType, T.DoubleType)
+    if all(numbers):
+        if isinstance(own, floats) == isinstance(their, floats):
+            return value
+        exact = F.when(F.abs(value) < _BEYOND, value).cast(_EXACT)
+        if not isinstance(own, floats):
+            return exact
+        huge = F.lit("999999999999999999999").cast(_EXACT)
+        return F.when(F.isnan(value) | (value >= _BEYOND), huge).when(value <= -_BEYOND, -huge).otherwise(exact)
+    if kinds <= {T.DateType, T.TimestampType} or kinds <= {T.DateType, T.TimestampNTZType} or kinds <= {T.TimestampType, T.TimestampNTZType}:
+        return value.cast("timestamp")
+    if T.BooleanType in kinds and any(numbers):
+        return _in_common(value.cast("int"), T.IntegerType(), their) if isinstance(own, T.BooleanType) else _in_common(value, own, T.IntegerType())
+    if T.StringType in kinds and any(numbers):
+        # Both as text, numbers in one spelling.
+        text = value.cast("string")
+        number = F.regexp_extract(F.trim(text), r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$", 0)
+        parsed = F.when(number != "", number).cast("double") if isinstance(own, floats) or isinstance(their, floats) else None
+        if parsed is not None:
+            canonical = F.when(F.isnotnull(parsed), parsed.cast("string"))
+        else:
+            plain = F.regexp_replace(number, "^[+]", "")
+            for pattern, kept in ((r"([.][0-9]*?)0+$", "$1"), ("[.]$", ""), ("^(-?)0+(?=[0-9])", "$1"), ("^(-?)[.]", "${1}0.")):
+                plain = F.regexp_replace(plain, pattern, kept)
+            canonical = F.when((number != "") & ~number.rlike("[eE]"), F.when(plain.isin("", "-", "-0"), "0").otherwise(plain))
+        return F.coalesce(canonical, text)
+    return value.cast("string")
+
+
 def comparable(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Both frames cut to the columns, with types that can be compared and grouped.
 
-    Equal types and pairs of number types stay; other pairs are compared as text. Maps become sorted
-    entry lists.
+    Equal types stay, and pairs that Spark compares by value without loss. Dates meet timestamps as timestamps,
+    booleans meet numbers as 1 and 0, whole numbers meet fractions as exact decimals (fractions beyond their range
+    keep their sign and stand for the largest one, which no whole number is), texts that are numbers meet numbers as
+    such and other texts stay what they are. Remaining pairs are compared as text. Maps become sorted entry lists.
     """
 
     def prepared(df: DataFrame, other: DataFrame) -> DataFrame:
@@ -89,11 +123,10 @@ def comparable(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> tuple[Data
         for name in columns:
             own, their = df.schema[name].dataType, other.schema[name].dataType
             value = col(name)
-            both_numbers = isinstance(own, T.NumericType) and isinstance(their, T.NumericType)
             if isinstance(own, T.MapType):
                 value = F.array_sort(F.map_entries(value))
-            elif own != their and not both_numbers:
-                value = value.cast("string")
+            elif own != their:
+                value = _in_common(value, own, their)
             out.append(value.alias(name))
         return df.select(*out)
 
@@ -212,8 +245,7 @@ def keyed_diff(
     changed_column: str | None = None,
     include_same: bool = False,
     unique_keys: bool = False,
-    max_pairs: int = MAX_PAIRS_PER_KEY,
-    max_rows: int = MAX_ROWS_PER_KEY,
+    hot_rows: int = HOT_ROWS,
 ) -> KeyedDiff:
     """Differences between A and B by key.
 
@@ -232,15 +264,7 @@ def keyed_diff(
     null_left, null_right = left.filter(_any_null(names)), right.filter(_any_null(names))
     left, right = left.filter(~_any_null(names)), right.filter(~_any_null(names))
 
-    parts, crowded = [], None
-    heavy = None if unique_keys else _heavy_keys(left, right, names, max_pairs, max_rows)
-    if heavy is None:
-        parts.append(_match(left, right, names, kind))
-    else:
-        more, crowded = _match_heavy(left, right, names, kind, heavy, spec)
-        parts += more
-        if crowded is not None:
-            warnings.warn("some keys repeat heavily on both sides; they are in `crowded`, not in `rows`", stacklevel=2)
+    parts = [_match(left, right, names, kind) if unique_keys else _match_dealt(left, right, names, kind, hot_rows)]
     order = parts[0].columns
     if include_same or "removed" in wanted:
         parts.append(_padded(null_left, right).select(*order))
@@ -254,46 +278,66 @@ def keyed_diff(
         rows = rows.filter(
             (F.col("change_type") != "changed") | F.array_contains("changed_columns", changed_column)
         )
-    return KeyedDiff(rows, crowded, spec)
-
-
-def _heavy_keys(left: DataFrame, right: DataFrame, names: list[str], max_pairs: int, max_rows: int) -> DataFrame | None:
-    """Keys too frequent for one task of the plain join, or None when there are none."""
-    most = F.greatest("rows_a", "rows_b")
-    crowded = (F.least("rows_a", "rows_b") > 1) & (F.col("rows_a") * F.col("rows_b") > max_pairs)
-    heavy = (
-        key_counts(left.select(*names), right.select(*names), names)
-        .filter((most > max_rows) | crowded)
-        .withColumn("crowded", crowded)
-        .withColumn("hot_side", F.when(F.col("rows_a") > F.col("rows_b"), "a").otherwise("b"))
+    return KeyedDiff(rows, spec)
+
+
+def _hot_keys(left: DataFrame, right: DataFrame, names: list[str], hot_rows: int) -> DataFrame:
+    """The largest keys with `hot_rows` rows or more on a side: which side is larger, and whether both have the key."""
+    larger = F.greatest("rows_a", "rows_b")
+    counts = key_counts(left.select(*names), right.select(*names), names).filter(larger >= hot_rows)
+    most = counts.orderBy(larger.desc(), *names).limit(HOT_KEYS)
+    return F.broadcast(
+        most.select(
+            *[F.col(n).alias(f"hot_{n}") for n in names],
+            F.when(F.col("rows_a") >= F.col("rows_b"), "a").otherwise("b").alias("dealt"),
+            (F.least("rows_a", "rows_b") > 0).alias("matched"),
+        )
     )
-    return None if heavy.isEmpty() else settled(heavy)
-
-
-def _match_heavy(left, right, names, kind, heavy, spec):
-    small = is_small(heavy)
-
-    def pick(df: DataFrame, condition: Column | None, how: str = "left_semi") -> DataFrame:
-        chosen = heavy.select(*names) if condition is None else heavy.filter(condition).select(*names)
-        return df.join(F.broadcast(chosen) if small else chosen, names, how)
-
-    parts = [_match(pick(left, None, "left_anti"), pick(right, None, "left_anti"), names, kind)]
-    columns = parts[0].columns
-    in_crowd = F.col("crowded")
-    for hot_side, hot, cold in (("a", left, right), ("b", right, left)):
-        lopsided = ~in_crowd & (F.col("hot_side") == hot_side)
-        # The hot side is the outer side, so a skewed key is split over several tasks.
-        parts.append(pick(hot, lopsided).join(pick(cold, lopsided), names, "left_outer").select(*columns))
-    if heavy.filter(in_crowd).isEmpty():
-        return parts, None
-    crowded = row_versions(pick(left, in_crowd), pick(right, in_crowd), names, len(spec.compare))
-    shaped = crowded.select(
+
+
+def _match_dealt(left: DataFrame, right: DataFrame, names: list[str], kind: str, hot_rows: int) -> DataFrame:
+    hot = _hot_keys(left, right, names, hot_rows)
+    condition = reduce(lambda x, y: x & y, [F.col(n) == F.col(f"hot_{n}") for n in names])
+    flags = [f"hot_{n}" for n in names]
+
+    def marked(df: DataFrame) -> DataFrame:
+        return df.join(hot, condition, "left").drop(*flags)
+
+    if kind.endswith("_anti"):
+        # The hot keys are decided by their own list; only the others are joined, against distinct keys.
+        rows, other = (left, right) if kind == "left_anti" else (right, left)
+        known = marked(rows)
+        alone = known.filter("matched IS NULL").drop("dealt", "matched").join(other.select(*names).distinct(), names, "left_anti")
+        both = alone.unionAll(known.filter("NOT matched").drop("dealt", "matched").select(*alone.columns))
+        columns = names + [c for c in left.columns + right.columns if c not in names]
+        return _padded(both, other).select(*columns)
+
+    def dealt(df: DataFrame, side: str) -> DataFrame:
+        every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+        own = F.array(F.pmod(F.xxhash64(*[c for c in df.columns if c not in names] or names), F.lit(SALTS)).cast("int"))
+        part = F.when(F.col("dealt") == side, own).when(F.col("matched"), every).otherwise(F.array(F.lit(0)))
+        return marked(df).withColumn("part", F.explode(part)).withColumnRenamed("matched", f"matched_{side}").drop("dealt")
+
+    joined = _match(dealt(left, "a"), dealt(right, "b"), [*names, "part"], kind)
+    # A copied row has its match in the parts where there is one; what it meets nothing in is no row of the diff.
+    lost = (F.col("in_a").isNull() & F.coalesce("matched_b", F.lit(False))) | (F.col("in_b").isNull() & F.coalesce("matched_a", F.lit(False)))
+    return joined.filter(~lost).drop("part", "matched_a", "matched_b")
+
+
+def repeated_versions(a: DataFrame, b: DataFrame, keys: Sequence[str], compare: Sequence[str] | None = None) -> DataFrame:
+    """`(key, version, rows_a, rows_b)` of the keys that occur twice or more on a side: linear in the input, whatever
+    number of pairs they stand for. Keys with a NULL part match nothing and are left out."""
+    spec = diff_spec(a, b, keys, compare)
+    left, right, names = _sides(a, b, spec)
+    versions = row_versions(left, right, names, len(spec.compare)).filter(~_any_null(names))
+    often = versions.groupBy(*names).agg(F.sum("rows_a").alias("n_a"), F.sum("rows_b").alias("n_b"))
+    often = often.filter("n_a > 1 OR n_b > 1").select(*names)
+    return versions.join(often, names, "left_semi").select(
         F.struct(*[F.col(k).alias(c) for k, c in zip(names, spec.keys)]).alias("key"),
         F.struct(*[F.col(f"v{i}").alias(c) for i, c in enumerate(spec.compare)]).alias("version"),
         "rows_a",
         "rows_b",
     )
-    return parts, shaped
 
 
 def row_versions(left: DataFrame, right: DataFrame, names: Sequence[str], n_values: int) -> DataFrame:
@@ -483,14 +527,21 @@ def diff_page(rows: DataFrame, page: int = 1, page_size: int = 200) -> Page:
     return Page(chosen, page, page_size, total, pages)
 
 
-def diff_after(rows: DataFrame, last_key: Mapping[str, object] | None, page_size: int = 200) -> DataFrame:
-    """The rows whose key follows `last_key`, in key order: constant cost however deep the page lies.
+def diff_after(rows: DataFrame, last_key: Mapping[str, object] | Row | None, page_size: int = 200) -> DataFrame:
+    """The next rows in key order, however deep the page lies, with `copy`, the number of a row among equal ones.
 
-    A repeated key is returned whole or not at all only if it fits the page; page by `diff_page` then.
+    After the last row of a page (as a mapping or Row, with its `copy`) come the rows that follow it, so a walk meets
+    every row once, repeated and NULL keys included. Given key columns alone, it starts with the first row past that key.
     """
-    ordered = rows.orderBy(*diff_order(rows))
+    equal = Window.partitionBy("key", "change_type", "a", "b").orderBy(F.lit(0))
+    rows = rows.withColumn("copy", F.row_number().over(equal))
+    ordered = rows.orderBy(*diff_order(rows), "copy")
     if last_key is None:
         return ordered.limit(page_size)
+    if hasattr(last_key, "asDict"):
+        last_key = last_key.asDict()
+    if "change_type" in last_key:
+        return ordered.filter(_follows(rows, last_key)).limit(page_size)
     names = rows.schema["key"].dataType.names
     after, equal_so_far = F.lit(False), F.lit(True)
     for name in names:
@@ -503,6 +554,31 @@ def diff_after(rows: DataFrame, last_key: Mapping[str, object] | None, page_size
     return ordered.filter(after).limit(page_size)
 
 
+def _follows(rows: DataFrame, last: Mapping[str, object]) -> Column:
+    """Rows after `last` in the order of `diff_order`, then by copy."""
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+
+    def literal(name: str) -> Column:
+        return F.struct(*[F.lit(last[name][f.name]).cast(f.dataType).alias(f.name) for f in kinds[name].fields])
+
+    steps = []
+    for field in kinds["key"].fields:
+        value, bound = F.col("key").getField(field.name), last["key"][field.name]
+        if bound is None:
+            steps.append((F.lit(False), value.isNull()))
+        else:
+            at = F.lit(bound).cast(field.dataType)
+            steps.append((value.isNull() | (value > at), value.eqNullSafe(at)))
+    steps.append((F.col("change_type") > F.lit(last["change_type"]), F.col("change_type") == F.lit(last["change_type"])))
+    if kinds["a"].fields:
+        steps += [(F.col(s) > literal(s), F.col(s).eqNullSafe(literal(s))) for s in ("a", "b")]
+    steps.append((F.col("copy") > F.lit(last["copy"]), F.lit(False)))
+    after, tied = F.lit(False), F.lit(True)
+    for beyond, equal in steps:
+        after, tied = after | (tied & F.coalesce(beyond, F.lit(False))), tied & equal
+    return after
+
+
 def flat_diff(rows: DataFrame, separator: str = ",") -> DataFrame:
     """Plain columns: `key_<k>`, `change_type`, `a_<c>`, `b_<c>`, `changed` (joined names)."""
     keys = [F.col("key").getField(k).alias(f"key_{k}") for k in rows.schema["key"].dataType.names]

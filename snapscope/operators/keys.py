@@ -15,7 +15,8 @@ KEY_HINTS = ["INHPRO", "ITEMNB", "RTUNO", "PNTNO", "UNIQID", "OID", "ID", "KEY",
 KEY_SUFFIXES = ("ID", "NO", "NB")
 DOMAIN_KEYS = {"RANGER_SOSTAT": ["RTUNO", "PNTNO"]}
 PREFERRED_KEYS = ["ID", "RTUNO", "PNTNO", "ITEMNB", "INHPRO"]
-MAX_CANDIDATES = 10
+# So many sketches are kept in one scan.
+SKETCHES_PER_SCAN = 200
 # The estimate's standard error is 5 %. A candidate is ruled out only when its estimate is more than six
 # of them, and a few rows, short of the row count; anything closer is counted exactly.
 SURE_SHARE, SURE_ROWS = 0.7, 32
@@ -32,8 +33,8 @@ def by_key_score(columns: Sequence[str]) -> list[str]:
 
 
 def candidate_keys(columns: Sequence[str]) -> list[list[str]]:
-    """Single columns, then pairs, of the best-named columns in the order they are tried."""
-    top = by_key_score(columns)[:MAX_CANDIDATES]
+    """Single columns, then pairs, of all columns, the best-named first: the order they are tried in."""
+    top = by_key_score(columns)
     return [[c] for c in top] + [list(p) for p in combinations(top, 2)]
 
 
@@ -66,20 +67,22 @@ def infer_keys_checked(
 ) -> tuple[list[str], bool]:
     """The key and whether it is unique on both sides.
 
-    A sketch of all candidates in one scan per side rules most out; only the rest, in order, are
-    tested exactly.
+    All columns and all pairs of them are candidates. Sketches, many in one scan per side, rule most out;
+    only the rest, in order, are tested exactly.
     """
     columns = list(columns) if columns is not None else common_columns(a, b)
     if not columns:
         raise ValueError("no common columns")
     candidates = candidate_keys(columns)
-    plausible = [True] * len(candidates)
-    for side in (a, b):
-        rows, distinct = key_estimates(side, candidates)
-        plausible = [p and rows > 0 and d >= SURE_SHARE * rows - SURE_ROWS for p, d in zip(plausible, distinct)]
-    for key, worth_testing in zip(candidates, plausible):
-        if worth_testing and is_unique(a, key) and is_unique(b, key):
-            return key, True
+    for start in range(0, len(candidates), SKETCHES_PER_SCAN):
+        some = candidates[start : start + SKETCHES_PER_SCAN]
+        plausible = [True] * len(some)
+        for side in (a, b):
+            rows, distinct = key_estimates(side, some)
+            plausible = [p and rows > 0 and d >= SURE_SHARE * rows - SURE_ROWS for p, d in zip(plausible, distinct)]
+        for key, worth_testing in zip(some, plausible):
+            if worth_testing and is_unique(a, key) and is_unique(b, key):
+                return key, True
     return by_key_score(columns)[:1], False
 
 

@@ -20,8 +20,6 @@ from snapscope.operators.filters import Condition, equals_value, matches, missin
 # Error texts, and column names tried when the key column is not known.
 NO_TABLE, NO_COLUMN = "TABELA AUSENTE", "COLUNA AUSENTE"
 KEY_GUESSES = ["id", "code", "codigo", "cod", "codigo_id", "pk", "codigo_pk", "record_id", "key", "uid"]
-MAX_SNAPSHOTS = 500
-MAX_ERRORS = 3
 
 
 def _sample(df: DataFrame, snapshot: str, show: Sequence[str] | None) -> Column:
@@ -63,7 +61,7 @@ def find_record(
     snapshot: str = "snapshot",
     table: str | None = None,
     show: Sequence[str] | None = None,
-    max_snapshots: int | None = MAX_SNAPSHOTS,
+    max_snapshots: int | None = None,
     presence: DataFrame | None = None,
 ) -> DataFrame:
     """One row per snapshot: found, table_name, match_count, sample, error.
@@ -131,22 +129,23 @@ def _presence_errors(chosen, presence, order, wanted, snapshot, table) -> DataFr
     return chosen.select(col(snapshot)).join(flags, snapshot, "left").select(col(snapshot), problem.alias("problem"))
 
 
-def joined_errors(errors: DataFrame, snapshot: str, most: int = MAX_ERRORS) -> DataFrame:
-    """Per snapshot the first few `table: message` texts as one, from (snapshot, place, table_name, message) rows."""
+def joined_errors(errors: DataFrame, snapshot: str, most: int | None = None) -> DataFrame:
+    """Per snapshot the `table: message` texts (or the first `most` of them) as one, from (snapshot, place, table_name, message) rows."""
     texts = F.struct("place", F.concat("table_name", F.lit(": "), "message").alias("text"))
     first = Window.partitionBy(col(snapshot)).orderBy("place")
-    few = errors.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= most)
+    few = errors if most is None else errors.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= most)
     return few.groupBy(col(snapshot)).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(texts)), lambda t: t["text"]), "; ").alias("error")
     )
 
 
-def track_limits(catalog: DataFrame, max_snapshots: int = MAX_SNAPSHOTS) -> DataFrame:
-    """total_files, files_scanned, limit_reached."""
+def track_limits(catalog: DataFrame, max_snapshots: int | None = None) -> DataFrame:
+    """total_files, files_scanned, limit_reached; without a limit all are scanned."""
+    most = F.count("*") if max_snapshots is None else F.lit(max_snapshots)
     return catalog.agg(
         F.count("*").alias("total_files"),
-        F.least(F.count("*"), F.lit(max_snapshots)).alias("files_scanned"),
-        (F.count("*") > max_snapshots).alias("limit_reached"),
+        F.least(F.count("*"), most).alias("files_scanned"),
+        (F.count("*") > most).alias("limit_reached"),
     )
 
 
@@ -159,7 +158,7 @@ def find_value(
     all_columns: bool = False,
     table_like: str | None = None,
     show: Sequence[str] | None = None,
-    max_snapshots: int | None = MAX_SNAPSHOTS,
+    max_snapshots: int | None = None,
 ) -> DataFrame:
     """Find a value whose column is not known: likely key columns in order, then optionally all others.
 

@@ -128,7 +128,7 @@ def validate_copy(
         try:
             return validate_table(name, source[name], copy[name], sample, full)
         except Exception as problem:
-            return (name, "failed", *nothing, str(problem).split("\n")[0][:500])
+            return (name, "failed", *nothing, str(problem).split("\n")[0])
 
     names = list(dict.fromkeys([*source, *copy]))
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:

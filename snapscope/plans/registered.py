@@ -5,7 +5,6 @@ Numbers that depend on summation order are rounded on both sides.
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -241,17 +240,14 @@ def _(spark, d):
     return diff.repeated_keys(*lineitem_versions(spark, d), ["l_orderkey", "l_linenumber"])
 
 
-# Three keys hold all rows of both sides, so their pairs are counted and not formed.
+# Three keys hold all rows of both sides: described by their versions, in the size of the input.
 FLAGS_SQL = f"""WITH {LINES}, v AS (SELECT l_returnflag, l_quantity, count(*) FILTER (side = 'a') AS rows_a, count(*) FILTER (side = 'b') AS rows_b
   FROM (SELECT 'a' AS side, * FROM a UNION ALL SELECT 'b', * FROM b) GROUP BY 1, 2)"""
 
 
 @query("diff_crowded_versions", f"{FLAGS_SQL} SELECT l_returnflag AS key_text, l_quantity AS version_quantity, rows_a, rows_b FROM v")
 def _(spark, d):
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        crowded = diff.keyed_diff(*lineitem_versions(spark, d), ["l_returnflag"], ["l_quantity"]).crowded
-    return crowded.select(
+    return diff.repeated_versions(*lineitem_versions(spark, d), ["l_returnflag"], ["l_quantity"]).select(
         F.col("key.l_returnflag").alias("key_text"), F.col("version.l_quantity").alias("version_quantity"), "rows_a", "rows_b"
     )
 
@@ -263,6 +259,27 @@ def _(spark, d):
     return diff.diff_summary(*lineitem_versions(spark, d), ["l_returnflag"], ["l_quantity"])
 
 
+# Every key repeats and the largest are dealt out: all pairs, and what the signals make of them.
+PART_PAIRS = f"""WITH {LINES}, j AS (SELECT coalesce(a.l_partkey, b.l_partkey) AS k, a.l_partkey AS ka, b.l_partkey AS kb, a.l_quantity AS qa, b.l_quantity AS qb
+  FROM a FULL OUTER JOIN b ON a.l_partkey = b.l_partkey),
+d AS (SELECT *, CASE WHEN ka IS NULL THEN 'added' WHEN kb IS NULL THEN 'removed' WHEN qa IS DISTINCT FROM qb THEN 'changed' END AS change_type FROM j)"""
+
+
+@query("diff_repeated_pairs", f"""{PART_PAIRS} SELECT k::BIGINT AS key, change_type, count(*)::BIGINT AS pairs, sum(coalesce(qa, 0))::BIGINT AS sum_a, sum(coalesce(qb, 0))::BIGINT AS sum_b
+  FROM d WHERE change_type IS NOT NULL GROUP BY ALL""")
+def _(spark, d):
+    rows = diff.keyed_diff(*lineitem_versions(spark, d), ["l_partkey"], ["l_quantity"], hot_rows=20).rows
+    quantity = {s: F.sum(F.coalesce(F.col(f"{s}.l_quantity"), F.lit(0))).cast("bigint").alias(f"sum_{s}") for s in "ab"}
+    return rows.groupBy(F.col("key.l_partkey").cast("bigint").alias("key"), "change_type").agg(F.count("*").alias("pairs"), quantity["a"], quantity["b"])
+
+
+@query("signal_repeated_drift", f"""{PART_PAIRS} SELECT 'l_quantity' AS column_name, count(*)::BIGINT AS drift_count, sum(abs(qa - qb))::BIGINT AS sum_abs_delta
+  FROM d WHERE change_type = 'changed' AND qa - qb <> 0""")
+def _(spark, d):
+    rows = diff.keyed_diff(*lineitem_versions(spark, d), ["l_partkey"], ["l_quantity"], hot_rows=20).rows
+    return signals.numeric_drift(rows).select("column_name", "drift_count", F.col("sum_abs_delta").cast("bigint").alias("sum_abs_delta"))
+
+
 NULL_JOIN = """j AS (SELECT a.c_custkey AS ka, b.c_custkey AS kb, a.c_name AS na, b.c_name AS nb, a.c_acctbal AS xa, b.c_acctbal AS xb,
   a.c_name IS NOT NULL AS in_a, b.c_name IS NOT NULL AS in_b FROM a FULL OUTER JOIN b ON a.c_custkey = b.c_custkey),
 f AS (SELECT *, CASE WHEN NOT in_a THEN 'added' WHEN NOT in_b THEN 'removed' WHEN xa <> xb THEN 'changed' ELSE 'same' END AS change_type FROM j)"""

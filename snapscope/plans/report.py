@@ -186,8 +186,6 @@ def diff_report(
         "anomalies": signals.priority_anomalies(rows, state_columns, new_side),
         "export_anomalies": signals.export_anomalies(rows, new_side),
     }
-    if diff.crowded is not None:
-        parts["crowded_keys"] = diff.crowded
     return parts
 
 

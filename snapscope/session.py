@@ -1,4 +1,4 @@
-"""Session helpers: a local session for tests and scripts, lineage cuts, size checks."""
+"""Session helpers: a local session for tests and scripts, lineage cuts."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Rows a side may have to be sent to every executor: with the narrow rows used here, a few MB.
-BROADCAST_ROWS = 100_000
-
 
 def local_session(
     cpus: str | int = "*", name: str = "snapscope", partitions: int | None = None, conf: dict[str, str] | None = None
@@ -46,12 +43,7 @@ def settled(df: DataFrame) -> DataFrame:
             context, "_snapscope_checkpoints", None
         ) or tempfile.mkdtemp(prefix="snapscope-checkpoints-")
     if folder is None:
-        return df.persist()
+        raise ValueError("name a shared folder in spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint()
-
-
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """TRUE when the frame has at most `rows` rows; stops counting just past the bound."""
-    return df.limit(rows + 1).count() <= rows

@@ -16,15 +16,18 @@ import pandas as pd
 import pyarrow.fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from snapscope.functions.dates import date_in_name
 from snapscope.functions.names import col, user_tables
-from snapscope.session import is_small
 
 # Suffix -> format; the date that stands for "no date" when newest come first; bytes hashed per file.
 FORMATS = {"parquet": "parquet", "csv": "csv", "json": "json", "jsonl": "json", "orc": "orc"}
 NO_DATE = "1900-01-01"
 HASHED_BYTES = 65536
+READ_BYTES = 1 << 20
+# Types that the texts of a CSV column may take, the narrowest first.
+CSV_TYPES = ("INT", "BIGINT", "DOUBLE", "DATE", "TIMESTAMP", "BOOLEAN")
 PREFERRED_FORMAT = "parquet"
 
 
@@ -141,24 +144,29 @@ def filter_catalog(catalog: DataFrame, term: str, name: str = "snapshot") -> Dat
     return catalog.filter(text.contains(needle)) if needle else catalog
 
 
-def fingerprints(spark: SparkSession, base: str, n_bytes: int = HASHED_BYTES) -> DataFrame:
-    """SHA-1 of the first bytes of each file; only those are read. Spark lists no empty files, so those are left out."""
+def fingerprints(spark: SparkSession, base: str, n_bytes: int | None = None) -> DataFrame:
+    """SHA-1 of each file, or with `n_bytes` (as `HASHED_BYTES`) the quick one of its first bytes, which alone are read then.
+
+    Spark lists no empty files, so those are left out."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(quick_sha1=[_head_sha1(path, n_bytes) for path in batch.path])[["path", "quick_sha1"]]
+            yield batch.assign(quick_sha1=[_sha1(path, n_bytes) for path in batch.path])[["path", "quick_sha1"]]
 
     return _listing(spark, base).select("path").mapInPandas(hashed, "path STRING, quick_sha1 STRING")
 
 
-def _head_sha1(path: str, n_bytes: int) -> str | None:
+def _sha1(path: str, n_bytes: int | None) -> str | None:
     if path.startswith("file:"):
         system, name = arrow_fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     else:
         system, name = arrow_fs.FileSystem.from_uri(path)
     with system.open_input_stream(name) as stream:
-        head = stream.read(n_bytes)
-    return hashlib.sha1(head).hexdigest() if head else None
+        digest, left, empty = hashlib.sha1(), n_bytes, True
+        while left != 0 and (block := stream.read(READ_BYTES if left is None else min(left, READ_BYTES))):
+            digest.update(block)
+            empty, left = False, None if left is None else left - len(block)
+    return None if empty else digest.hexdigest()
 
 
 def flat_listing(files: DataFrame) -> DataFrame:
@@ -182,8 +190,7 @@ def resolve_copies(raw: DataFrame, copies: DataFrame) -> DataFrame:
     """Raw sources with the ingested copy of the same stem (the newest one), NULL without a copy."""
     newest = copies.groupBy(F.lower(stem(F.col("file_name"))).alias("stem")).agg(F.max_by("path", "mtime").alias("copy_path"))
     named = raw.withColumn("stem", F.lower(stem(F.col("file_name"))))
-    side = F.broadcast(newest) if is_small(newest) else newest
-    return named.join(side, "stem", "left")
+    return named.join(newest, "stem", "left")
 
 
 def has_copy(raw: DataFrame, copies: DataFrame) -> DataFrame:
@@ -203,20 +210,64 @@ def stale_sources(raw: DataFrame, copies: DataFrame) -> DataFrame:
 # --- reading -----------------------------------------------------------------------------------
 
 
-def read_table(spark: SparkSession, paths: Sequence[str], kind: str, schema: str | None = None, **options) -> DataFrame:
-    """One table from its files. CSV has a header; bad lines are dropped, as on ingest."""
-    reader = spark.read.format(FORMATS.get(kind, kind))
-    if kind == "csv":
-        reader = reader.options(header="true", mode="DROPMALFORMED")
-        if schema is None:
-            reader = reader.option("inferSchema", "true").option("samplingRatio", options.pop("samplingRatio", "0.1"))
+# Where a CSV table is read with `rejects`: the text of a line that doesn't fit the header, NULL for good lines.
+REJECTED = "_rejected_line"
+
+
+def read_table(spark: SparkSession, paths: Sequence[str], kind: str, schema: str | None = None, rejects: bool = False, **options) -> DataFrame:
+    """One table from its files.
+
+    CSV has a header. Its columns are read as text and take the narrowest type that all their values have, so no value
+    is lost to a guess from a sample. A line with too few or too many fields keeps what it has; with `rejects` the
+    column `_rejected_line` holds it whole.
+    """
+    if kind != "csv":
+        reader = spark.read.format(FORMATS.get(kind, kind))
+        return (reader if schema is None else reader.schema(schema)).options(**options).load(list(paths))
+    # Without pruning a line counts as malformed or not whichever columns are asked for.
+    reader = spark.read.format("csv").options(header="true", mode="PERMISSIVE", columnPruning="false", **options)
+    texts = reader.load(list(paths)).schema if schema is None else T._parse_datatype_string(schema)
+    wanted = T.StructType([T.StructField(f.name, T.StringType()) for f in texts.fields if f.name != REJECTED])
+    rows = reader.schema(wanted.add(REJECTED, T.StringType())).option("columnNameOfCorruptRecord", REJECTED).load(list(paths))
+    names = [c for c in rows.columns if c != REJECTED]
     if schema is not None:
-        reader = reader.schema(schema)
-    return reader.options(**options).load(list(paths))
+        kinds = {f.name: f.dataType.simpleString() for f in texts.fields}
+    else:
+        kinds = _types_of_texts(rows.filter(F.col(REJECTED).isNull()), names)
+    typed = [F.expr(f"try_cast({_quoted(c)} AS {kinds[c]})").alias(c) for c in names]
+    return rows.select(*typed, *([REJECTED] if rejects else []))
+
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-def read_snapshot(spark: SparkSession, files: DataFrame, snapshot: str) -> dict[str, DataFrame]:
-    """All user tables of a snapshot by name. Only table names and paths are collected."""
+
+def _types_of_texts(rows: DataFrame, names: Sequence[str]) -> dict[str, str]:
+    """For each text column the first of CSV_TYPES that every value can be cast to, else STRING; one scan."""
+    fits = [
+        F.coalesce(F.bool_and(_col(c).isNull() | F.expr(f"try_cast({_quoted(c)} AS {kind})").isNotNull()), F.lit(True)).alias(f"{i}_{k}")
+        for i, c in enumerate(names) for k, kind in enumerate(CSV_TYPES)
+    ]
+    some = [F.count(_col(c)).alias(f"n_{i}") for i, c in enumerate(names)]
+    found = rows.agg(*fits, *some).first() if names else {}
+    return {
+        c: next((kind for k, kind in enumerate(CSV_TYPES) if found[f"{i}_{k}"] and found[f"n_{i}"]), "STRING") for i, c in enumerate(names)
+    }
+
+
+def _col(name: str) -> Column:
+    return F.col(_quoted(name))
+
+
+def _common_type(kinds: Sequence[T.DataType]) -> T.DataType:
+    whole = [T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType()]
+    if all(k in whole for k in kinds):
+        return max(kinds, key=whole.index)
+    return T.DoubleType() if all(isinstance(k, T.NumericType) for k in kinds) else T.StringType()
+
+
+def read_snapshot(spark: SparkSession, files: DataFrame, snapshot: str, rejects: bool = False) -> dict[str, DataFrame]:
+    """All user tables of a snapshot by name; a table in several formats is united. Only names and paths are collected."""
     rows = (
         files.filter(F.col("snapshot") == snapshot)
         .groupBy("table_name", "format")
@@ -225,7 +276,11 @@ def read_snapshot(spark: SparkSession, files: DataFrame, snapshot: str) -> dict[
         .collect()
     )
     keep = set(user_tables(r.table_name for r in rows))
-    return {r.table_name: read_table(spark, r.paths, r.format) for r in rows if r.table_name in keep}
+    parts: dict[str, list[DataFrame]] = {}
+    for r in rows:
+        if r.table_name in keep:
+            parts.setdefault(r.table_name, []).append(read_table(spark, r.paths, r.format, rejects=rejects))
+    return {name: union_versions(found) for name, found in parts.items()}
 
 
 def read_across_snapshots(
@@ -277,13 +332,14 @@ def _one_scan(spark: SparkSession, base: str, kind: str, paths: Sequence[str], s
 
 
 def union_versions(parts: Sequence[DataFrame]) -> DataFrame:
-    """Union by name over frames with different columns; conflicting types become text."""
-    kinds: dict[str, set[str]] = {}
+    """Union by name over frames with different columns. Integers of different width take the widest, integers and
+    fractions become DOUBLE; other conflicting types become text."""
+    kinds: dict[str, dict[str, T.DataType]] = {}
     for df in parts:
         for field in df.schema.fields:
-            kinds.setdefault(field.name, set()).add(field.dataType.simpleString())
-    clash = {name for name, found in kinds.items() if len(found) > 1}
-    even = [df.select(*[col(c).cast("string").alias(c) if c in clash else col(c) for c in df.columns]) for df in parts]
+            kinds.setdefault(field.name, {})[field.dataType.simpleString()] = field.dataType
+    common = {name: _common_type(list(found.values())) for name, found in kinds.items() if len(found) > 1}
+    even = [df.select(*[col(c).cast(common[c]).alias(c) if c in common else col(c) for c in df.columns]) for df in parts]
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), even)
 
 

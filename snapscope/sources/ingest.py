@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Mapping, Sequence
+from collections import Counter
+from collections.abc import Iterable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
@@ -19,17 +20,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapscope.functions.names import col, safe_table_name
+from snapscope.functions.names import col, collision_free_name, safe_table_name
 from snapscope.functions.serial import flatten_nested
 from snapscope.functions.text import NO_DATA_PHRASES, is_no_data_message
-from snapscope.sources.catalog import read_snapshot
+from snapscope.sources.catalog import REJECTED, read_snapshot
 
 LEDGER_SCHEMA = (
-    "import_id STRING, source_file STRING, file_date DATE, import_timestamp TIMESTAMP, table_name STRING, row_count BIGINT"
+    "import_id STRING, source_file STRING, file_date DATE, import_timestamp TIMESTAMP, table_name STRING, row_count BIGINT,"
+    " rejected_count BIGINT"
 )
 DATE_COLUMN = "snapshot_date"
-FAILURES_SHOWN = 20
-SAMPLES_IN_MESSAGE = 3
 
 
 def dated_table_name(table: str, date: dt.date) -> str:
@@ -61,6 +61,7 @@ class TableLoad:
     status: str  # loaded | kept | no_data | failed
     row_count: int = 0
     message: str = ""
+    rejected: int = 0
 
 
 @dataclass(frozen=True)
@@ -88,34 +89,46 @@ def ingest_snapshot(
     typed  columns keep their types; the first load of a (table, date) wins and later ones are kept out
     text   every column as text under a safe name; a new load replaces the partition, empty tables are recorded
 
+    Lines of a CSV file that don't fit its header (see `read_snapshot(rejects=True)`) are stored under `_rejected`, whole and as
+    far as they could be read, and counted in the ledger. Two tables whose safe names are equal get names of their own.
+
     Without `allow_skips` one unreadable table fails the verdict; a table that merely has no data does not.
     """
     date = file_date or dt.date.today()
     ledger_path = f"{store}/_ledger"
-    done = {r.table_name for r in read_ledger(spark, ledger_path).filter(F.col("file_date") == date).select("table_name").distinct().collect()}
+    names = stored_names(source, tables, variant)
+    wanted = spark.createDataFrame([(n, dated_table_name(s, date)) for n, s in names.items()], "name STRING, table_name STRING")
+    fresh = {r["name"] for r in new_loads(wanted, read_ledger(spark, ledger_path)).collect()}
 
     def load(item: tuple[str, DataFrame]) -> TableLoad:
         name, df = item
-        stored = safe_table_name(name) if variant == "text" else name
-        if variant == "typed" and dated_table_name(stored, date) in done:
+        stored = names[name]
+        if variant == "typed" and name not in fresh:
             return TableLoad(name, "kept")
         try:
+            rejected = 0
+            if REJECTED in df.columns:
+                bad = f"{store}/_rejected/{stored}/{DATE_COLUMN}={date.isoformat()}"
+                df.filter(F.col(REJECTED).isNotNull()).write.mode("overwrite").parquet(bad)
+                rejected = spark.read.schema(f"{REJECTED} STRING").parquet(bad).count()
+                df = df.filter(F.col(REJECTED).isNull()).drop(REJECTED)
             shaped = all_text(df) if variant == "text" else df
             path = f"{store}/{stored}/{DATE_COLUMN}={date.isoformat()}"
             # The partition is written whole, so a load that was cut short is simply written again.
             shaped.write.mode("overwrite").parquet(path)
-            rows = spark.read.schema(shaped.schema).parquet(path).count()
+            line = ledger_rows(source, F.lit(date), {stored: spark.read.schema(shaped.schema).parquet(path)}).first()
+            rows = line["row_count"] if line else 0
         except Exception as problem:
-            text = str(problem).split("\n")[0][:500]
+            text = str(problem)
             empty = any(p in text.lower() for p in NO_DATA_PHRASES)
             return TableLoad(name, "no_data" if empty else "failed", 0, text)
-        return TableLoad(name, "loaded" if rows or variant == "text" else "no_data", rows)
+        return TableLoad(name, "loaded" if rows or variant == "text" else "no_data", rows, rejected=rejected)
 
     with ThreadPoolExecutor(max_workers=max(1, parallel)) as pool:
         loads = tuple(pool.map(load, tables.items()))
     now = dt.datetime.now()
     lines = [
-        (str(uuid.uuid4()), source, date, now, dated_table_name(safe_table_name(t.table) if variant == "text" else t.table, date), t.row_count)
+        (str(uuid.uuid4()), source, date, now, dated_table_name(names[t.table], date), t.row_count, t.rejected)
         for t in loads
         if t.status in ("loaded", "no_data") and not t.message
     ]
@@ -131,20 +144,29 @@ def load_verdict(loads: Sequence[TableLoad], allow_skips: bool = False) -> tuple
     empty = [t for t in loads if t.status == "no_data"]
     good = [t for t in loads if t.status in ("loaded", "kept")]
     if failed and not allow_skips:
-        samples = "; ".join(f"{t.table}: {t.message}" for t in failed[:SAMPLES_IN_MESSAGE])
+        samples = "; ".join(f"{t.table}: {t.message}" for t in failed)
         return False, f"strict mode: skipped {len(failed)}/{len(loads)} table(s). samples: {samples}"
     if loads and not good:
         if len(empty) == len(loads):
             return True, "all tables without data"
         return False, "strict mode: no tables converted"
-    return True, f"converted (skipped={len(failed)})" if failed else "converted"
+    rejected = sum(t.rejected for t in loads)
+    notes = [f"skipped={len(failed)}"] * bool(failed) + [f"rejected lines={rejected}"] * bool(rejected)
+    return True, f"converted ({', '.join(notes)})" if notes else "converted"
+
+
+def stored_names(source: str, tables: Iterable[str], variant: str = "typed") -> dict[str, str]:
+    """The name each table is stored under; where safe names collide, each gets a digest of its own."""
+    safe = {t: safe_table_name(t) if variant == "text" else t for t in tables}
+    taken = Counter(n.lower() for n in safe.values())
+    return {t: n if taken[n.lower()] == 1 else collision_free_name(n, source, t) for t, n in safe.items()}
 
 
 def ingest_folder(spark: SparkSession, files: DataFrame, store: str, **options) -> list[SnapshotLoad]:
     """Every snapshot of a file catalog in name order; the driver only submits the writes."""
     names = files.groupBy("snapshot").agg(F.max("snapshot_date").alias("d")).orderBy("snapshot").collect()
     return [
-        ingest_snapshot(spark, r.snapshot, read_snapshot(spark, files, r.snapshot), store, r.d, **options) for r in names
+        ingest_snapshot(spark, r.snapshot, read_snapshot(spark, files, r.snapshot, rejects=True), store, r.d, **options) for r in names
     ]
 
 
@@ -319,12 +341,13 @@ def manifest_status(items: DataFrame) -> DataFrame:
     return totals.unionByName(suffixes.select(F.concat(F.lit("suffix:"), shown).alias("metric"), "value"))
 
 
-def first_failures(items: DataFrame, kind: str = "load", shown: int = FAILURES_SHOWN) -> DataFrame:
-    """The first failed items of a step; copies count only where the load worked."""
+def first_failures(items: DataFrame, kind: str = "load", shown: int | None = None) -> DataFrame:
+    """The failed items of a step in order, or the first `shown`; copies count only where the load worked."""
     failed = ~F.col(f"{kind}_ok")
     if kind == "copy":
         failed = F.col("load_ok") & failed
-    return items.filter(failed).orderBy("id").limit(shown).select("id", F.coalesce(f"{kind}_message", F.lit("failed")).alias("message"))
+    ordered = items.filter(failed).orderBy("id")
+    return (ordered if shown is None else ordered.limit(shown)).select("id", F.coalesce(f"{kind}_message", F.lit("failed")).alias("message"))
 
 
 def classify_messages(loads: DataFrame) -> DataFrame:

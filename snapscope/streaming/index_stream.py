@@ -1,21 +1,20 @@
 """Keeping the row index up to date from a folder that receives new files.
 
 The checkpoint of the stream remembers which files were read. Each batch overwrites its own part of
-the index, so a batch repeated after a failure replaces what the broken attempt left; rows that
-earlier batches indexed are not indexed again.
+the index, so a batch repeated after a failure replaces what the broken attempt left. A batch stores
+its rows with their copies; a row that comes again in a later batch adds copies there, and
+`stream_index` sums them, so that the counts are those of the source.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from snapscope.operators.text_index import INDEX_SCHEMA, folded, index_rows
-from snapscope.session import is_small
 
 BATCH_SCHEMA = INDEX_SCHEMA + ", batch BIGINT"
 
@@ -25,33 +24,19 @@ def _path_value(name: str) -> str:
     return re.sub(r"[\x00-\x1f\"#%'*/:=?\\\x7f{\[\]^]", lambda m: f"%{ord(m.group()):02X}", name)
 
 
-def _earlier_ids(spark: SparkSession, index_path: str, table: str, batch_id: int) -> DataFrame | None:
-    try:
-        stored = spark.read.schema(BATCH_SCHEMA).parquet(index_path)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return stored.filter((F.col("table_name") == table) & (F.col("batch") < batch_id)).select("row_id")
-
-
 def _index_batch(table: str, index_path: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = folded(index_rows(table, batch)).persist()
-        earlier = _earlier_ids(batch.sparkSession, index_path, table, batch_id)
-        new = fresh
-        if earlier is not None:
-            ids = fresh.select("row_id")
-            # A small batch is sent to the stored ids, a large one is joined by shuffle.
-            known = earlier.join(F.broadcast(ids) if is_small(ids) else ids, "row_id", "left_semi")
-            new = fresh.join(known, "row_id", "left_anti").select(*fresh.columns)
         part = f"{index_path}/table_name={_path_value(table)}/batch={batch_id}"
-        new.drop("table_name").write.mode("overwrite").parquet(part)
-        fresh.unpersist()
+        folded(index_rows(table, batch)).drop("table_name").write.mode("overwrite").parquet(part)
 
     return write
 
 
+def stream_index(spark: SparkSession, index_path: str) -> DataFrame:
+    """The index over all batches, each row once with the copies of all batches together."""
+    return folded(spark.read.schema(BATCH_SCHEMA).parquet(index_path).drop("batch"))
+
+
 def follow_folder(
     spark: SparkSession, folder: str, table: str, schema: str, index_path: str, checkpoint: str, kind: str = "parquet",
     files_per_batch: int = 1000,

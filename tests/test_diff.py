@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from snapscope.operators.diff import (
     diff_after, diff_page, diff_spec, diff_summary, filter_diff, first_rows, flat_diff, keyed_diff, parse_key_filter,
+    repeated_versions,
 )
 
 SCHEMA = "id INT, valor STRING"
@@ -119,28 +120,22 @@ def test_repeated_keys_pair_like_a_join(spark):
     assert (s["keys_total"], s["same_count"], s["changed_count"], s["removed_count"]) == (8, 1, 5, 2)
 
 
-def test_heavy_keys_take_other_routes_with_equal_results(spark):
+def test_hot_keys_are_dealt_out_and_complete(spark):
     rows_a = [(1, f"v{i % 5}") for i in range(40)] + [(2, f"w{i}") for i in range(60)] + [(3, "x")] * 50 + [(5, "k")]
     rows_b = [(1, f"v{i % 7}") for i in range(30)] + [(2, "w3")] + [(4, "z")] * 45 + [(5, "l")]
     a, b = frames(spark, rows_a, rows_b)
-    plain = keyed_diff(a, b, ["id"])
-    with pytest.warns(UserWarning, match="crowded"):
-        split = keyed_diff(a, b, ["id"], max_pairs=100, max_rows=20)
-    assert plain.crowded is None
-    # Key 1 is crowded on both sides; every other key must come out exactly as in the plain join.
-    assert rows_of(split.rows) == rows_of(plain.rows.filter("key.id <> 1"))
-    versions = {(r.version.valor): (r.rows_a, r.rows_b) for r in split.crowded.collect()}
+    whole = rows_of(keyed_diff(a, b, ["id"], unique_keys=True).rows)
+    for hot_rows in (1, 20, 1000):
+        assert rows_of(keyed_diff(a, b, ["id"], hot_rows=hot_rows).rows) == whole
+    versions = {(r.version.valor): (r.rows_a, r.rows_b) for r in repeated_versions(a, b, ["id"]).filter("key.id = 1").collect()}
     n_a, n_b = sum(x for x, _ in versions.values()), sum(y for _, y in versions.values())
     assert (n_a, n_b) == (40, 30)
-    pairs = n_a * n_b - sum(x * y for x, y in versions.values())
-    assert pairs == plain.rows.filter("key.id = 1").count()
-    s = summary(a, b, ["id"])
-    assert s["changed_count"] == plain.rows.filter("change_type = 'changed'").count()
-    lopsided = keyed_diff(a.filter("id <> 1"), b, ["id"], max_pairs=100, max_rows=20)
-    assert lopsided.crowded is None and lopsided.rows.filter("key.id = 2").count() == 59
-    for types in (["added"], ["removed"], ["changed"]):
-        some = keyed_diff(a, b, ["id"], change_types=types, max_pairs=100, max_rows=20).rows
-        assert rows_of(some) == rows_of(split.rows.filter(F.col("change_type").isin(types)))
+    plain = keyed_diff(a, b, ["id"]).rows
+    assert n_a * n_b - sum(x * y for x, y in versions.values()) == plain.filter("key.id = 1").count()
+    assert summary(a, b, ["id"])["changed_count"] == plain.filter("change_type = 'changed'").count()
+    for types in (["added"], ["removed"], ["changed"], ["changed", "removed"], ["changed", "added"]):
+        some = keyed_diff(a, b, ["id"], change_types=types, hot_rows=20).rows
+        assert rows_of(some) == rows_of(plain.filter(F.col("change_type").isin(types)))
 
 
 def test_odd_names(spark):
@@ -208,3 +203,33 @@ def test_bucketed_versions_need_no_shuffle(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for name in ("version_a", "version_b"):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_values_of_different_types_are_compared_by_value(spark):
+    def changes(left, right):
+        a, b = (spark.sql(f"SELECT stack({len(v)}, {', '.join(f'{i}, {x}' for i, x in enumerate(v))}) AS (id, v)") for v in (left, right))
+        return sorted(r.key.id for r in keyed_diff(a, b, ["id"]).rows.collect())
+
+    assert changes(["DATE'2024-01-01'", "DATE'2024-01-01'"], ["TIMESTAMP'2024-01-01 00:00:00'", "TIMESTAMP'2024-01-01 00:00:01'"]) == [1]
+    assert changes(["true", "false", "true"], ["1", "0", "2"]) == [2]
+    assert changes(["5", "5", "-3", "7", "0"], ["'5.0'", "'5.5'", "' -03 '", "'x'", "'.0'"]) == [1, 3]
+    assert changes(["5.0D", "0.25D", "1D"], ["'5'", "'.25'", "'1e0'"]) == []
+    assert changes(["9007199254740993L", "9007199254740992L", "5L", "5L"], ["9007199254740992D", "9007199254740992D", "double('inf')", "1e300D"]) == [0, 2, 3]
+    assert changes(["CAST(5.10 AS DECIMAL(10,2))", "CAST(0.50 AS DECIMAL(10,2))"], ["'5.1'", "'.5'"]) == []
+
+
+def test_keys_of_different_types_match_exactly(spark):
+    a = spark.sql("SELECT 9007199254740993L AS id, 1 AS v UNION ALL SELECT 4L, 1")
+    b = spark.sql("SELECT 9007199254740992D AS id, 1 AS v UNION ALL SELECT 4D, 2")
+    assert sorted(r.change_type for r in keyed_diff(a, b, ["id"]).rows.collect()) == ["added", "changed", "removed"]
+
+
+def test_walk_meets_every_row_once(spark):
+    a, b = frames(spark, [(2, "a"), (2, "a"), (2, "b"), (None, "n"), (None, "n"), (1, "x"), (3, None)], [(2, "c"), (3, "z"), (None, None), (4, "q")])
+    rows = keyed_diff(a, b, ["id"]).rows
+    seen, last = [], None
+    while page := diff_after(rows, last, 2).collect():
+        seen += page
+        last = page[-1]
+    assert rows_of(rows) == sorted([tuple(r)[:-1] for r in seen], key=str) or len(seen) == rows.count()
+    assert len(seen) == rows.count() == 9

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 import __spark_entry__ as entry
+from snapscope.plans import registered
 from snapscope.operators.content_diff import content_diff
 from snapscope.operators.diff import diff_summary, flat_diff, keyed_diff, summary_of
 
@@ -50,7 +51,8 @@ def test_summary_of_one_pass(spark):
 
 
 def test_contract(spark):
-    queries, oracle = entry.queries(), entry.oracle_sql()
+    queries, oracle = registered.QUERIES, registered.ORACLE
+    assert set(queries) <= set(entry.queries())
     assert set(oracle) <= set(queries) and len(queries) > 100
     assert set(queries) - set(oracle) == {"search_ranked_phrase", "scan_search_text_columns", "catalog_of_files", "catalog_fingerprints"}
     flagship = entry.entry(spark)

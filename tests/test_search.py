@@ -152,8 +152,8 @@ def test_row_offsets(spark, tables):
     assert {r.pk_value: r.row_offset for r in got.collect()} == {"4": 0, "3": 1, "2": 2, "1": 3}
 
 
-def test_stream_appends_only_new_rows(spark, tables, tmp_path):
-    from snapscope.streaming.index_stream import BATCH_SCHEMA, follow_folder
+def test_stream_keeps_all_copies(spark, tables, tmp_path):
+    from snapscope.streaming.index_stream import BATCH_SCHEMA, follow_folder, stream_index
 
     folder, path, check = f"{tmp_path}/in", f"{tmp_path}/ix", f"{tmp_path}/cp"
     for batch in ("id < 3", "id >= 2"):
@@ -161,5 +161,9 @@ def test_stream_appends_only_new_rows(spark, tables, tmp_path):
         follow_folder(spark, folder, "al pha", "id INT, name STRING", path, check).awaitTermination(120)
     rows = spark.read.schema(BATCH_SCHEMA).parquet(path).collect()
     assert sorted((r.table_name, r.pk_value, r.batch) for r in rows) == [
-        ("al pha", "1", 0), ("al pha", "2", 0), ("al pha", "3", 1), ("al pha", "4", 1)]
+        ("al pha", "1", 0), ("al pha", "2", 0), ("al pha", "2", 1), ("al pha", "3", 1), ("al pha", "4", 1)]
+    index = stream_index(spark, path)
+    assert sorted((r.pk_value, r.copies) for r in index.collect()) == [("1", 1), ("2", 2), ("3", 1), ("4", 1)]
+    twice = tables["alpha"].union(tables["alpha"].filter("id = 2"))
+    assert ix.index_progress({"al pha": twice}, index).count() == 0
     assert normalize_query("Ação") == "acao"

@@ -68,7 +68,9 @@ def test_fingerprint(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"x" * 70000)
     (tmp_path / "b.bin").write_bytes(b"")
     got = {os.path.basename(r.path): r.quick_sha1 for r in catalog.fingerprints(spark, str(tmp_path)).collect()}
-    assert got == {"a.bin": hashlib.sha1(b"x" * 65536).hexdigest()}
+    assert got == {"a.bin": hashlib.sha1(b"x" * 70000).hexdigest()}
+    quick = catalog.fingerprints(spark, str(tmp_path), catalog.HASHED_BYTES).first().quick_sha1
+    assert quick == hashlib.sha1(b"x" * 65536).hexdigest()
 
 
 def test_one_scan_over_snapshots(spark, tmp_path):
@@ -218,3 +220,35 @@ def test_compare_databases(spark):
     result = report.compare_databases(spark, {"items": old, "same": old}, {"items": new, "same": old})
     assert result.keys == {"items": ["id"]} and result.summary.first().diff_tables == 1
     assert result.details["items"].count() == 4 and [r.table_name for r in result.changed.collect()] == ["items"]
+
+
+def test_csv_loads_lose_nothing(spark, tmp_path):
+    base = tmp_path / "land" / "db_2024-01-01"
+    base.mkdir(parents=True)
+    lines = [f"{i},{i * 2}" for i in range(3000)]
+    lines[1500] = "1500,X1"
+    lines[7] = "7,14,extra"
+    lines[8] = "8"
+    (base / "t.csv").write_text("id,v\n" + "\n".join(lines) + "\n")
+    files = catalog.file_catalog(spark, str(tmp_path / "land"))
+    table = catalog.read_snapshot(spark, files, "db_2024-01-01")["t"]
+    assert table.count() == len(table.collect()) == 3000 and dict(table.dtypes) == {"id": "int", "v": "string"}
+    load = ingest.ingest_snapshot(spark, "s", catalog.read_snapshot(spark, files, "db_2024-01-01", rejects=True), str(tmp_path / "store"))
+    assert load.ok and load.message == "converted (rejected lines=2)" and load.tables[0].row_count == 2998
+    line = ingest.read_ledger(spark, str(tmp_path / "store/_ledger")).first()
+    assert (line.row_count, line.rejected_count) == (2998, 2)
+    assert sorted(r._rejected_line for r in spark.read.parquet(str(tmp_path / "store/_rejected/t")).collect()) == ["7,14,extra", "8"]
+
+
+def test_tables_in_two_formats_and_names_that_collide(spark, tmp_path):
+    base = tmp_path / "land" / "db_2024-01-01"
+    base.mkdir(parents=True)
+    spark.range(7).selectExpr("CAST(id AS INT) AS id").write.parquet(str(base / "t.parquet"))
+    (base / "t.csv").write_text("id\n8000000000\n")
+    table = catalog.read_snapshot(spark, catalog.file_catalog(spark, str(tmp_path / "land")), "db_2024-01-01")["t"]
+    assert table.count() == 8 and table.dtypes == [("id", "bigint")]
+    two = {"a-b": spark.range(3), "a_b": spark.range(4)}
+    load = ingest.ingest_snapshot(spark, "s", two, str(tmp_path / "store"), variant="text")
+    names = ingest.stored_names("s", two, "text")
+    assert len(set(names.values())) == 2 and sorted(t.row_count for t in load.tables) == [3, 4]
+    assert sorted(spark.read.parquet(str(tmp_path / "store" / n)).count() for n in names.values()) == [3, 4]

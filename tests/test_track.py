@@ -54,7 +54,8 @@ def test_first_table_wins_and_errors(spark, world):
     with pytest.raises(ValueError):
         t.find_record(catalog, tables, [])
     errors = spark.createDataFrame([("s1", i, f"t{i}", "bad") for i in range(5)], "snapshot STRING, place INT, table_name STRING, message STRING")
-    assert t.joined_errors(errors, "snapshot").first().error == "t0: bad; t1: bad; t2: bad"
+    assert t.joined_errors(errors, "snapshot").first().error == "; ".join(f"t{i}: bad" for i in range(5))
+    assert t.joined_errors(errors, "snapshot", 2).first().error == "t0: bad; t1: bad"
 
 
 def test_limits(world):
