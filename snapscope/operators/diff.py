@@ -102,7 +102,7 @@ def _in_common(value: Column, own: T.DataType, their: T.DataType) -> Column:
             canonical = F.when(F.isnotnull(parsed), parsed.cast("string"))
         else:
             plain = F.regexp_replace(number, "^[+]", "")
-            for pattern, kept in ((r"([.][0-9]*?)0+$", "$1"), ("[.]$", ""), ("^(-?)0+(?=[0-9])", "$1"), ("^(-?)[.]", "${1}0.")):
+            for pattern, kept in ((r"([.][0-9]*?)0+$", "$1"), ("[.]$", ""), ("^(-?)0+(?=[0-9])", "$1"), ("^(-?)[.]", "$10.")):
                 plain = F.regexp_replace(plain, pattern, kept)
             canonical = F.when((number != "") & ~number.rlike("[eE]"), F.when(plain.isin("", "-", "-0"), "0").otherwise(plain))
         return F.coalesce(canonical, text)
