@@ -44,9 +44,11 @@ INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 @cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of BASE and of INVERSE."""
+
     def of(base: np.uint64) -> np.ndarray:
-        return np.cumprod(np.r_[np.uint64(1), np.full(PART + LENGTH, base)], dtype=np.uint64)
+        return np.cumprod(np.r_[np.uint64(1), np.full(n, base)], dtype=np.uint64)
 
     return of(BASE), of(INVERSE)
 
@@ -55,7 +57,8 @@ class PrefixHashes:
     """Polynomial hashes of all prefixes of a buffer, modulo 2**64; so of any of its substrings."""
 
     def __init__(self, data: np.ndarray):
-        power, self.inverse = _powers()
+        # A part has PART bytes at most; the contexts of one anchor may have a few times as many.
+        power, self.inverse = _powers(1 << max(20, int(len(data) + LENGTH).bit_length()))
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=self.sums[1:])
 

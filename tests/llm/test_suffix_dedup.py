@@ -59,14 +59,12 @@ def test_repeated_rows_ids_and_nulls(spark):
 def test_texts_longer_than_a_part(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PART", 1 << 11)
     monkeypatch.setattr(suffix_dedup, "PLACE", np.uint64((1 << 11) - 1))
-    suffix_dedup._powers.cache_clear()
     parts = list(suffix_dedup.parts_of(prose(9, 2000).encode()))
     text = prose(9, 2000).encode()
     starts = [at + s for at, part in parts for s in range(len(part) - 199)]
     assert starts == list(range(len(text) - 199)) and all(len(p) <= 1 << 11 for _, p in parts)
     found = [(at + a, at + b) for at, part in parts for _, _, _, a, b in zip(*suffix_dedup.anchors([part]))]
     assert [s for a, b in found for s in range(a, b + 1)] == starts
-    suffix_dedup._powers.cache_clear()
 
 
 def test_stage_keeps_columns_and_cuts_texts(spark):
@@ -81,3 +79,9 @@ def test_equal_hashes_of_unequal_bytes_are_told_apart(monkeypatch):
     monkeypatch.setattr(suffix_dedup.PrefixHashes, "of", lambda self, start, length: np.zeros(len(start), np.uint64))
     a, b = b"a" * 200, b"b" * 200
     assert suffix_dedup.repeated_windows([(0, 1, a), (0, 1, b), (0, 1, a)], [0, 0, 0]).tolist() == [True, False, True]
+
+
+def test_one_anchor_with_more_bytes_than_a_part():
+    texts = [bytes([97 + k % 7]) * 200 + b"%07d" % k for k in range(6000)]
+    marks = suffix_dedup.repeated_windows([(0, 1, t) for t in texts], [0] * len(texts))
+    assert marks.all() and sum(map(len, texts)) > suffix_dedup.PART
