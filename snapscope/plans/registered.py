@@ -6,6 +6,7 @@ Numbers that depend on summation order are rounded on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,28 +45,30 @@ def query(name: str, sql: str | None = None):
 
 ORDERS = """
 a AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
-        CASE WHEN o_orderkey % 43 <> 0 THEN o_orderpriority END AS o_orderpriority FROM orders),
+        CASE WHEN o_orderkey % 43 <> 0 THEN o_orderpriority END AS o_orderpriority, date_trunc('day', o_orderdate)::TIMESTAMP AS o_orderdate FROM orders),
 b AS (SELECT CASE WHEN o_orderkey % 89 = 0 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey,
         CASE WHEN o_orderkey % 30 = 0 THEN o_custkey + 1 ELSE o_custkey END AS o_custkey,
         CASE WHEN o_orderkey % 53 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
         CASE WHEN o_orderkey % 29 = 0 THEN o_totalprice + 100 WHEN o_orderkey % 31 = 0 THEN o_totalprice - 37.5::DOUBLE
              ELSE o_totalprice END AS o_totalprice,
-        CASE WHEN o_orderkey % 41 <> 0 THEN o_orderpriority END AS o_orderpriority FROM orders)
+        CASE WHEN o_orderkey % 41 <> 0 THEN o_orderpriority END AS o_orderpriority,
+        (date_trunc('day', o_orderdate) + CASE WHEN o_orderkey % 37 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END)::TIMESTAMP AS o_orderdate FROM orders)
 """
 # d: the diff of orders with all rows; n_changed and changed list the differing columns.
 ORDERS_DIFF = ORDERS + """,
 j AS (SELECT coalesce(a.o_orderkey, b.o_orderkey) AS k, a.o_orderkey AS ka, b.o_orderkey AS kb,
         a.o_custkey AS a_c, b.o_custkey AS b_c, a.o_orderstatus AS a_s, b.o_orderstatus AS b_s,
-        a.o_totalprice AS a_t, b.o_totalprice AS b_t, a.o_orderpriority AS a_p, b.o_orderpriority AS b_p
+        a.o_totalprice AS a_t, b.o_totalprice AS b_t, a.o_orderpriority AS a_p, b.o_orderpriority AS b_p, a.o_orderdate AS a_d, b.o_orderdate AS b_d
       FROM a FULL OUTER JOIN b ON a.o_orderkey = b.o_orderkey),
 e AS (SELECT *, ka IS NOT NULL AND kb IS NOT NULL AS m,
         a_c IS DISTINCT FROM b_c AS c_c, a_s IS DISTINCT FROM b_s AS c_s,
-        a_t IS DISTINCT FROM b_t AS c_t, a_p IS DISTINCT FROM b_p AS c_p FROM j),
+        a_t IS DISTINCT FROM b_t AS c_t, a_p IS DISTINCT FROM b_p AS c_p, a_d IS DISTINCT FROM b_d AS c_d FROM j),
 f AS (SELECT *, CASE WHEN ka IS NULL THEN 'added' WHEN kb IS NULL THEN 'removed'
-        WHEN c_c OR c_s OR c_t OR c_p THEN 'changed' ELSE 'same' END AS change_type,
+        WHEN c_c OR c_s OR c_t OR c_p OR c_d THEN 'changed' ELSE 'same' END AS change_type,
         concat_ws(', ', CASE WHEN m AND c_c THEN 'o_custkey' END, CASE WHEN m AND c_s THEN 'o_orderstatus' END,
-          CASE WHEN m AND c_t THEN 'o_totalprice' END, CASE WHEN m AND c_p THEN 'o_orderpriority' END) AS changed,
-        CASE WHEN m THEN c_c::INT + c_s::INT + c_t::INT + c_p::INT ELSE 0 END AS n_changed,
+          CASE WHEN m AND c_t THEN 'o_totalprice' END, CASE WHEN m AND c_p THEN 'o_orderpriority' END,
+          CASE WHEN m AND c_d THEN 'o_orderdate' END) AS changed,
+        CASE WHEN m THEN c_c::INT + c_s::INT + c_t::INT + c_p::INT + c_d::INT ELSE 0 END AS n_changed,
         'o_orderkey=' || k AS key_text FROM e),
 d AS (SELECT * FROM f WHERE change_type <> 'same'),
 ch AS (SELECT * FROM d WHERE change_type = 'changed'),
@@ -73,14 +76,15 @@ cells AS (
   SELECT k, key_text, 0 AS pos, 'o_custkey' AS column_name, a_c::VARCHAR AS va, b_c::VARCHAR AS vb, a_c::DOUBLE AS na, b_c::DOUBLE AS nb FROM ch WHERE c_c
   UNION ALL SELECT k, key_text, 1, 'o_orderstatus', a_s, b_s, NULL, NULL FROM ch WHERE c_s
   UNION ALL SELECT k, key_text, 2, 'o_totalprice', a_t::VARCHAR, b_t::VARCHAR, a_t, b_t FROM ch WHERE c_t
-  UNION ALL SELECT k, key_text, 3, 'o_orderpriority', a_p, b_p, NULL, NULL FROM ch WHERE c_p),
+  UNION ALL SELECT k, key_text, 3, 'o_orderpriority', a_p, b_p, NULL, NULL FROM ch WHERE c_p
+  UNION ALL SELECT k, key_text, 4, 'o_orderdate', a_d::VARCHAR, b_d::VARCHAR, NULL, NULL FROM ch WHERE c_d),
 states AS (SELECT *, coalesce(b_s, a_s, '') AS old, coalesce(a_s, b_s, '') AS new,
         coalesce(a_p, b_p, '') AS fam FROM ch),
 risk AS (SELECT *, n_changed + CASE WHEN old <> new THEN 2 ELSE 0 END AS score FROM states)
 """
 DIFF_COLUMNS = """k AS key_o_orderkey, change_type, a_c::VARCHAR AS a_o_custkey, b_c::VARCHAR AS b_o_custkey, a_s AS a_o_orderstatus,
   b_s AS b_o_orderstatus, a_t AS a_o_totalprice, b_t AS b_o_totalprice, a_p AS a_o_orderpriority,
-  b_p AS b_o_orderpriority, replace(changed, ', ', ',') AS changed"""
+  b_p AS b_o_orderpriority, a_d::VARCHAR AS a_o_orderdate, b_d::VARCHAR AS b_o_orderdate, replace(changed, ', ', ',') AS changed"""
 PART = """
 a AS (SELECT * FROM part),
 b AS (SELECT CASE WHEN p_partkey % 97 = 0 THEN -p_partkey ELSE p_partkey END AS p_partkey, p_name,
@@ -88,14 +92,13 @@ b AS (SELECT CASE WHEN p_partkey % 97 = 0 THEN -p_partkey ELSE p_partkey END AS
         CASE WHEN p_partkey % 19 = 0 THEN p_retailprice + 0.5::DOUBLE ELSE p_retailprice END AS p_retailprice FROM part)
 """
 LINES = """
-a AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem),
-b AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 50 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity,
-        l_returnflag FROM lineitem)
+a AS (SELECT * FROM lineitem),
+b AS (SELECT * REPLACE (CASE WHEN l_orderkey % 50 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity) FROM lineitem)
 """
 NULL_KEYS = """
-a AS (SELECT CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS c_custkey, c_name, c_acctbal FROM customer),
-b AS (SELECT CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS c_custkey, c_name,
-        CASE WHEN c_custkey % 20 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer)
+a AS (SELECT * REPLACE (CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS c_custkey) FROM customer),
+b AS (SELECT * REPLACE (CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS c_custkey,
+        CASE WHEN c_custkey % 20 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal) FROM customer)
 """
 DAILY = """
 daily AS (SELECT strftime(ts, '%Y-%m-%d') AS snapshot, event_id, user_id, event_type,
@@ -131,7 +134,7 @@ def as_text(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _flat_orders(rows: DataFrame) -> DataFrame:
-    return as_text(diff.flat_diff(rows), "a_o_custkey", "b_o_custkey")
+    return as_text(diff.flat_diff(rows), "a_o_custkey", "b_o_custkey", "a_o_orderdate", "b_o_orderdate")
 
 
 def _orders_rows(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -200,11 +203,27 @@ def _(spark, d):
     SELECT change_type, key_text, 0 AS pos, 'o_custkey' AS column_name, coalesce(a_c, b_c)::VARCHAR AS v FROM d WHERE NOT m
     UNION ALL SELECT change_type, key_text, 1, 'o_orderstatus', coalesce(a_s, b_s) FROM d WHERE NOT m
     UNION ALL SELECT change_type, key_text, 2, 'o_totalprice', coalesce(a_t, b_t)::VARCHAR FROM d WHERE NOT m
-    UNION ALL SELECT change_type, key_text, 3, 'o_orderpriority', coalesce(a_p, b_p) FROM d WHERE NOT m)""")
+    UNION ALL SELECT change_type, key_text, 3, 'o_orderpriority', coalesce(a_p, b_p) FROM d WHERE NOT m
+    UNION ALL SELECT change_type, key_text, 4, 'o_orderdate', coalesce(a_d, b_d)::VARCHAR FROM d WHERE NOT m)""")
 def _(spark, d):
     return signals.sections(_orders_rows(spark, d))
 
 
+@query("diff_orders_walk", f"WITH {ORDERS_DIFF} SELECT {DIFF_COLUMNS} FROM d")
+def _(spark, d):
+    """The whole diff again, page after page, each starting after the last row of the one before."""
+    rows = _orders_rows(spark, d)
+    size, pages, last = rows.count() // 3 + 1, [], None
+    while True:
+        page = diff.diff_after(rows, last, size)
+        end = page.orderBy(*diff.diff_order(page), "copy").tail(1)
+        if not end:
+            break
+        pages.append(page.drop("copy"))
+        last = end[0]
+    return _flat_orders(reduce(DataFrame.unionAll, pages))
+
+
 @query("diff_part_composite_key", f"""WITH {PART} SELECT coalesce(a.p_partkey, b.p_partkey) AS key_p_partkey, coalesce(a.p_name, b.p_name) AS key_p_name,
   CASE WHEN a.p_partkey IS NULL THEN 'added' WHEN b.p_partkey IS NULL THEN 'removed' ELSE 'changed' END AS change_type,
   a.p_brand AS a_p_brand, b.p_brand AS b_p_brand, a.p_retailprice AS a_p_retailprice, b.p_retailprice AS b_p_retailprice,
@@ -216,18 +235,20 @@ def _(spark, d):
     return diff.flat_diff(diff.keyed_diff(*part_versions(spark, d), ["p_partkey", "p_name"], ["p_brand", "p_retailprice"]).rows)
 
 
-LINES_JOIN = """j AS (SELECT a.l_orderkey AS ka, b.l_orderkey AS kb, coalesce(a.l_orderkey, b.l_orderkey) AS k1,
-  coalesce(a.l_linenumber, b.l_linenumber) AS k2, a.l_quantity AS qa, b.l_quantity AS qb, a.l_returnflag AS fa, b.l_returnflag AS fb
+LINE_VALUES = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+LINES_JOIN = f"""j AS (SELECT a.l_orderkey AS ka, b.l_orderkey AS kb, coalesce(a.l_orderkey, b.l_orderkey) AS k1, coalesce(a.l_linenumber, b.l_linenumber) AS k2,
+  {", ".join(f"a.{c} AS a_{c}, b.{c} AS b_{c}" for c in LINE_VALUES)}
   FROM a FULL OUTER JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber),
 f AS (SELECT *, CASE WHEN ka IS NULL THEN 'added' WHEN kb IS NULL THEN 'removed'
-  WHEN qa IS DISTINCT FROM qb OR fa IS DISTINCT FROM fb THEN 'changed' ELSE 'same' END AS change_type FROM j)"""
+  WHEN {" OR ".join(f"a_{c} IS DISTINCT FROM b_{c}" for c in LINE_VALUES)} THEN 'changed' ELSE 'same' END AS change_type FROM j)"""
 
 
 @query("diff_lineitem_repeated_keys", f"""WITH {LINES}, {LINES_JOIN} SELECT k1 AS key_l_orderkey, k2 AS key_l_linenumber, change_type,
-  qa AS a_l_quantity, qb AS b_l_quantity, fa AS a_l_returnflag, fb AS b_l_returnflag,
-  concat_ws(',', CASE WHEN qa <> qb THEN 'l_quantity' END, CASE WHEN fa <> fb THEN 'l_returnflag' END) AS changed FROM f WHERE change_type <> 'same'""")
+  {", ".join(f"{s}_{c}::VARCHAR AS {s}_{c}" if c == "l_shipdate" else f"{s}_{c}" for c in LINE_VALUES for s in "ab")},
+  concat_ws(',', {", ".join(f"CASE WHEN a_{c} <> b_{c} THEN '{c}' END" for c in LINE_VALUES)}) AS changed FROM f WHERE change_type <> 'same'""")
 def _(spark, d):
-    return diff.flat_diff(diff.keyed_diff(*lineitem_versions(spark, d), ["l_orderkey", "l_linenumber"]).rows)
+    rows = diff.keyed_diff(*lineitem_versions(spark, d), ["l_orderkey", "l_linenumber"]).rows
+    return as_text(diff.flat_diff(rows), "a_l_shipdate", "b_l_shipdate")
 
 
 @query("diff_lineitem_repeated_keys_summary", f"WITH {LINES}, {LINES_JOIN} {SUMMARY_SQL}")
@@ -281,14 +302,15 @@ def _(spark, d):
 
 
 NULL_JOIN = """j AS (SELECT a.c_custkey AS ka, b.c_custkey AS kb, a.c_name AS na, b.c_name AS nb, a.c_acctbal AS xa, b.c_acctbal AS xb,
+  a.c_nationkey AS ga, b.c_nationkey AS gb, a.c_mktsegment AS ma, b.c_mktsegment AS mb,
   a.c_name IS NOT NULL AS in_a, b.c_name IS NOT NULL AS in_b FROM a FULL OUTER JOIN b ON a.c_custkey = b.c_custkey),
 f AS (SELECT *, CASE WHEN NOT in_a THEN 'added' WHEN NOT in_b THEN 'removed' WHEN xa <> xb THEN 'changed' ELSE 'same' END AS change_type FROM j)"""
 
 
 @query("diff_null_keys", f"""WITH {NULL_KEYS}, {NULL_JOIN} SELECT coalesce(ka, kb)::VARCHAR AS key_c_custkey, change_type, na AS a_c_name, nb AS b_c_name,
-  xa AS a_c_acctbal, xb AS b_c_acctbal, CASE WHEN change_type = 'changed' THEN 'c_acctbal' ELSE '' END AS changed FROM f WHERE change_type <> 'same'""")
+  xa AS a_c_acctbal, xb AS b_c_acctbal, ga::VARCHAR AS a_c_nationkey, gb::VARCHAR AS b_c_nationkey, ma AS a_c_mktsegment, mb AS b_c_mktsegment, CASE WHEN change_type = 'changed' THEN 'c_acctbal' ELSE '' END AS changed FROM f WHERE change_type <> 'same'""")
 def _(spark, d):
-    return as_text(diff.flat_diff(diff.keyed_diff(*null_key_versions(spark, d), ["c_custkey"]).rows), "key_c_custkey")
+    return as_text(diff.flat_diff(diff.keyed_diff(*null_key_versions(spark, d), ["c_custkey"]).rows), "key_c_custkey", "a_c_nationkey", "b_c_nationkey")
 
 
 @query("diff_null_keys_summary", f"WITH {NULL_KEYS}, {NULL_JOIN} {SUMMARY_SQL}")
@@ -316,7 +338,7 @@ def _(spark, d):
     return content_diff.one_sided_rows(*part_versions(spark, d))
 
 
-OVERVIEW_SQL = f"""WITH {PART}, oa AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CASE WHEN o_orderkey % 43 <> 0 THEN o_orderpriority END AS o_orderpriority FROM orders),
+OVERVIEW_SQL = f"""WITH {PART}, oa AS (WITH {ORDERS} SELECT * FROM a),
 o2 AS (WITH {ORDERS} SELECT * FROM b),
 ov AS (SELECT 'orders' AS table_name, (SELECT count(*) FROM oa) AS row_count_a, (SELECT count(*) FROM o2) AS row_count_b, {EXCEPT_SQL.format(a='oa', b='o2')} AS diff_count
   UNION ALL SELECT 'part', (SELECT count(*) FROM a), (SELECT count(*) FROM b), {EXCEPT_SQL.format(a='a', b='b')}
@@ -367,16 +389,16 @@ def _(spark, d):
     return keys.key_evidence(a, b, keys.infer_keys(a, b))
 
 
-# No single column and no pair of these is unique, so the best-named column is the answer.
-@query("infer_keys_lineitem", f"WITH {LINES} {_key_sql('l_orderkey', 'a', 'b')}")
+# No single column is unique; of the pairs this is the first that is.
+@query("infer_keys_lineitem", f"WITH {LINES} {_key_sql('l_orderkey,l_extendedprice', 'a', 'b')}")
 def _(spark, d):
     a, b = lineitem_versions(spark, d)
     return keys.key_evidence(a, b, keys.infer_keys(a, b))
 
 
-@query("infer_keys_conversations", _key_sql("conv_id,turn", "conversations", "conversations"))
+@query("infer_keys_conversations", _key_sql("text", "conversations", "conversations"))
 def _(spark, d):
-    turns = table(spark, d, "conversations").select("conv_id", "turn", "role")
+    turns = table(spark, d, "conversations")
     return keys.key_evidence(turns, turns, keys.infer_keys(turns, turns))
 
 
@@ -1091,7 +1113,7 @@ def _(spark, d):
 
 @query("ingest_first_failures", f"WITH {ITEMS_SQL} SELECT id, 'boom' AS message FROM items WHERE load_ok AND NOT copy_ok ORDER BY id LIMIT 20")
 def _(spark, d):
-    return ingest.first_failures(_items(spark, d), "copy")
+    return ingest.first_failures(_items(spark, d), "copy", 20)
 
 
 @query("ingest_ledger", "SELECT 'events.parquet' AS source_file, ts::DATE::VARCHAR AS file_date, 'events_' || strftime(ts, '%Y%m%d') AS table_name, count(*) AS row_count FROM events GROUP BY ts::DATE, strftime(ts, '%Y%m%d')")
@@ -1184,11 +1206,11 @@ def _(spark, d):
 # --- reports and export ------------------------------------------------------------------------
 
 
-@query("report_two_lines", f"""WITH {ORDERS_DIFF}, few AS (SELECT * FROM d ORDER BY k LIMIT 200) SELECT 'orders' AS table_name, 'o_orderkey=' || k AS key_text,
+@query("report_two_lines", f"""WITH {ORDERS_DIFF}, few AS (SELECT * FROM d) SELECT 'orders' AS table_name, 'o_orderkey=' || k AS key_text,
   CASE change_type WHEN 'changed' THEN 'modificado' WHEN 'added' THEN 'novo' ELSE 'excluido' END AS type_label, n AS line_no, CASE n WHEN 1 THEN 'velho' ELSE 'novo' END AS side,
   CASE n WHEN 1 THEN {{old}} ELSE {{new}} END AS line_values FROM few, (SELECT unnest([1, 2])::INT AS n)""".format(
-    old=" || ' | ' || ".join(f"'{c}=' || coalesce({v}, '')" for c, v in [("o_custkey", "a_c::VARCHAR"), ("o_orderstatus", "a_s"), ("o_totalprice", nice_sql("a_t")), ("o_orderpriority", "a_p")]),
-    new=" || ' | ' || ".join(f"'{c}=' || coalesce({v}, '')" for c, v in [("o_custkey", "b_c::VARCHAR"), ("o_orderstatus", "b_s"), ("o_totalprice", nice_sql("b_t")), ("o_orderpriority", "b_p")])))
+    old=" || ' | ' || ".join(f"'{c}=' || coalesce({v}, '')" for c, v in [("o_custkey", "a_c::VARCHAR"), ("o_orderstatus", "a_s"), ("o_totalprice", nice_sql("a_t")), ("o_orderpriority", "a_p"), ("o_orderdate", "a_d::VARCHAR")]),
+    new=" || ' | ' || ".join(f"'{c}=' || coalesce({v}, '')" for c, v in [("o_custkey", "b_c::VARCHAR"), ("o_orderstatus", "b_s"), ("o_totalprice", nice_sql("b_t")), ("o_orderpriority", "b_p"), ("o_orderdate", "b_d::VARCHAR")])))
 def _(spark, d):
     a, b = orders_versions(spark, d)
     rows = diff.keyed_diff(a, b, ["o_orderkey"]).rows
@@ -1199,7 +1221,7 @@ def _(spark, d):
     return report.two_lines(detail.select("table_name", "change_type", "key_values", *even))
 
 
-@query("report_table_flags", f"WITH {ORDERS_DIFF}, few AS (SELECT * FROM d ORDER BY k LIMIT 200) SELECT k::VARCHAR AS k, CASE WHEN change_type = 'changed' THEN c_s ELSE true END AS status_changed, CASE WHEN change_type = 'changed' THEN c_p WHEN change_type = 'added' THEN b_p IS NOT NULL ELSE a_p IS NOT NULL END AS priority_changed FROM few")
+@query("report_table_flags", f"WITH {ORDERS_DIFF}, few AS (SELECT * FROM d) SELECT k::VARCHAR AS k, CASE WHEN change_type = 'changed' THEN c_s ELSE true END AS status_changed, CASE WHEN change_type = 'changed' THEN c_p WHEN change_type = 'added' THEN b_p IS NOT NULL ELSE a_p IS NOT NULL END AS priority_changed FROM few")
 def _(spark, d):
     a, b = orders_versions(spark, d)
     detail = report.table_detail(diff.keyed_diff(a, b, ["o_orderkey"]).rows, "orders", a.columns, ["o_orderkey"])
@@ -1208,25 +1230,25 @@ def _(spark, d):
 
 @query("export_diff_csv_rows", f"""WITH {ORDERS_DIFF} SELECT CASE WHEN k < 0 THEN '''' || k ELSE k::VARCHAR END AS "K_o_orderkey", change_type AS type, coalesce(a_c::VARCHAR, '') AS "A_o_custkey", coalesce(b_c::VARCHAR, '') AS "B_o_custkey",
   coalesce(a_s, '') AS "A_o_orderstatus", coalesce(b_s, '') AS "B_o_orderstatus", coalesce(a_t::VARCHAR, '') AS "A_o_totalprice", coalesce(b_t::VARCHAR, '') AS "B_o_totalprice",
-  coalesce(a_p, '') AS "A_o_orderpriority", coalesce(b_p, '') AS "B_o_orderpriority" FROM d""")
+  coalesce(a_p, '') AS "A_o_orderpriority", coalesce(b_p, '') AS "B_o_orderpriority", coalesce(a_d::VARCHAR, '') AS "A_o_orderdate", coalesce(b_d::VARCHAR, '') AS "B_o_orderdate" FROM d""")
 def _(spark, d):
     return export.diff_csv_columns(_orders_rows(spark, d))
 
 
 @query("export_diff_csv_lines", f"""WITH {ORDERS_DIFF} SELECT CASE WHEN k < 0 THEN '''' || k ELSE k::VARCHAR END || ';' || change_type || ';' || coalesce(a_c::VARCHAR, '') || ';' || coalesce(b_c::VARCHAR, '') || ';' || coalesce(a_s, '') || ';' || coalesce(b_s, '')
-  || ';' || coalesce(a_t::VARCHAR, '') || ';' || coalesce(b_t::VARCHAR, '') || ';' || coalesce(a_p, '') || ';' || coalesce(b_p, '') AS line FROM d""")
+  || ';' || coalesce(a_t::VARCHAR, '') || ';' || coalesce(b_t::VARCHAR, '') || ';' || coalesce(a_p, '') || ';' || coalesce(b_p, '') || ';' || coalesce(a_d::VARCHAR, '') || ';' || coalesce(b_d::VARCHAR, '') AS line FROM d""")
 def _(spark, d):
     return export.diff_csv_lines(_orders_rows(spark, d))
 
 
-@query("export_table_csv_lines", """SELECT '"' || doc_id || '","' || replace(text, '"', '""') || '"' AS line FROM documents""")
+@query("export_table_csv_lines", """SELECT '"' || doc_id || '","' || replace(text, '"', '""') || '","' || lang || '","' || source || '","' || n_chars || '"' AS line FROM documents""")
 def _(spark, d):
-    return export.table_csv_lines(table(spark, d, "documents").select("doc_id", "text"))
+    return export.table_csv_lines(table(spark, d, "documents"))
 
 
-@query("export_rows_as_json", "SELECT to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey, 'c_mktsegment': c_mktsegment})::VARCHAR AS row_json FROM customer")
+@query("export_rows_as_json", "SELECT to_json({'c_custkey': c_custkey, 'c_name': c_name, 'c_nationkey': c_nationkey, 'c_acctbal': c_acctbal, 'c_mktsegment': c_mktsegment})::VARCHAR AS row_json FROM customer")
 def _(spark, d):
-    return json_rows(table(spark, d, "customer").drop("c_acctbal"))
+    return json_rows(table(spark, d, "customer"))
 
 
 # --- scalar functions --------------------------------------------------------------------------

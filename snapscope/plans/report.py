@@ -15,7 +15,6 @@ from snapscope.operators import signals
 from snapscope.operators.content_diff import overview, overview_summary, report_order
 from snapscope.operators.diff import KeyedDiff, diff_order, diff_summary, keyed_diff, summary_of
 from snapscope.operators.keys import infer_keys_checked
-from snapscope.session import settled
 
 # Columns a report always shows, by the end of the table name; labels.
 ALWAYS_SHOWN = ["RTUNO", "PNTNO", "PTNAM", "PNTNAM", "STTYPE", "BITBYT", "UNIQID", "ITEMNB"]
@@ -23,7 +22,6 @@ ALWAYS_SHOWN_ANALOG = ["RTUNO", "PNTNO", "PTNAM", "PNTNAM", "BIAS", "SCALE", "EN
 TYPE_LABELS = {"changed": "modificado", "added": "novo", "removed": "excluido"}
 STATUS_LABELS = {"diff": "alterado", "same": "igual", "no_key": "sem_chave", "error": "erro"}
 OLD_LABEL, NEW_LABEL = "velho", "novo"
-DETAIL_ROWS = 200
 FALLBACK_COLUMNS = 4
 
 
@@ -62,11 +60,12 @@ def changed_in_order(rows: DataFrame) -> list[str]:
     return [name for group in groups for name in sorted(group, key=place.__getitem__)]
 
 
-def table_detail(rows: DataFrame, table: str, columns: Sequence[str], keys: Sequence[str], most: int = DETAIL_ROWS) -> DataFrame:
-    """Up to `most` diff rows in key order with formatted old and new values and a changed flag per shown column."""
-    # A bounded number of rows, settled because the columns to show depend on them.
-    few = settled(rows.orderBy(*diff_order(rows)).limit(most))
-    shown = visible_columns(table, columns, keys, changed_in_order(few))
+def table_detail(rows: DataFrame, table: str, columns: Sequence[str], keys: Sequence[str], most: int | None = None) -> DataFrame:
+    """All diff rows, or the first `most` of them, in key order with formatted old and new values and a changed flag per shown column."""
+    # The columns to show are those that change anywhere in the diff, whatever part of it is asked for.
+    shown = visible_columns(table, columns, keys, changed_in_order(rows))
+    few = rows.orderBy(*diff_order(rows))
+    few = few if most is None else few.limit(most)
     kinds = {side: {f.name: f.dataType for f in rows.schema[side].dataType.fields} for side in ("key", "a", "b")}
 
     def text(side: str, name: str) -> Column:
@@ -134,7 +133,7 @@ class DatabaseComparison:
 
 def compare_databases(
     spark: SparkSession, a: Mapping[str, DataFrame], b: Mapping[str, DataFrame], tables: Sequence[str] | None = None,
-    detail_rows: int = DETAIL_ROWS,
+    detail_rows: int | None = None,
 ) -> DatabaseComparison:
     """Overview of all common tables, then keys, full diff and compact details of each differing one."""
     seen = overview(spark, a, b, tables)

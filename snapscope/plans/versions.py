@@ -32,11 +32,13 @@ def _moved(key: str, n: int) -> Column:
 
 
 def orders_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """All columns of orders; their dates are DATE in one version and TIMESTAMP in the other."""
     orders = table(spark, sf_dir, "orders")
     key = "o_orderkey"
     a = orders.select(
         key, "o_custkey", "o_orderstatus", "o_totalprice",
         F.when(~_every(key, 43), F.col("o_orderpriority")).alias("o_orderpriority"),
+        F.col("o_orderdate").cast("date").alias("o_orderdate"),
     )
     b = orders.select(
         _moved(key, 89),
@@ -46,6 +48,8 @@ def orders_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
         .when(_every(key, 31), F.col("o_totalprice") - 37.5)
         .otherwise(F.col("o_totalprice")).alias("o_totalprice"),
         F.when(~_every(key, 41), F.col("o_orderpriority")).alias("o_orderpriority"),
+        F.when(_every(key, 37), F.date_trunc("day", "o_orderdate") + F.expr("INTERVAL 1 DAY"))
+        .otherwise(F.date_trunc("day", "o_orderdate")).cast("timestamp").alias("o_orderdate"),
     )
     return a, b
 
@@ -66,22 +70,15 @@ def null_key_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     """Customers of which every third has lost its key in both versions."""
     customer = table(spark, sf_dir, "customer")
     lost = F.when(~_every("c_custkey", 3), F.col("c_custkey")).alias("c_custkey")
-    a = customer.select(lost, "c_name", "c_acctbal")
-    b = customer.select(
-        lost, "c_name", F.when(_every("c_custkey", 20), F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")).alias("c_acctbal")
-    )
-    return a, b
+    more = F.when(_every("c_custkey", 20), F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal"))
+    return customer.withColumn("c_custkey", lost), customer.withColumn("c_acctbal", more).withColumn("c_custkey", lost)
 
 
 def lineitem_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Line items by a key that repeats."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
-    b = line.select(
-        "l_orderkey", "l_linenumber",
-        F.when(_every("l_orderkey", 50), F.col("l_quantity") + 1).otherwise(F.col("l_quantity")).alias("l_quantity"),
-        "l_returnflag",
-    )
-    return line, b
+    line = table(spark, sf_dir, "lineitem")
+    more = F.when(_every("l_orderkey", 50), F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))
+    return line, line.withColumn("l_quantity", more)
 
 
 def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
