@@ -143,13 +143,12 @@ def profile(
     columns: Sequence[str] | None = None,
     mode: str = "clean",
     accuracy: int = 10_000,
-    quantiles: str = "sketch",
+    quantiles: str = "exact",
 ) -> DataFrame:
     """One row per column (and per `by` group, e.g. a snapshot date), in the order of `SUMMARY_COLUMNS`.
 
-    `distinct_est` is exact up to `distinct_cap`, beyond it -1 with the flag set. Quartiles are values
-    picked by a sketch, or with `quantiles='exact'` interpolated exact ones, at the price of ordering
-    the distinct numbers.
+    `distinct_est` is exact; the flag tells that it exceeds `distinct_cap`. Quartiles are interpolated exact
+    ones, which takes an order of the distinct numbers, or with `quantiles='sketch'` values picked by a sketch.
     """
     cell_rows = cells(df, by, columns, mode)
     stats = _column_stats(cell_rows, by, accuracy)
@@ -188,7 +187,7 @@ def _summary(joined: DataFrame, by: Sequence[str], distinct_cap: int) -> DataFra
     values = {
         "tipo_aparente": kind,
         "linhas_nao_nulas": non_null,
-        "distinct_est": F.when(over, F.lit(-1)).otherwise(F.coalesce(F.col("distinct"), F.lit(0))),
+        "distinct_est": F.coalesce(F.col("distinct"), F.lit(0)),
         "distinct_cap_excedido": over,
         "mean": zero(F.col("mean")),
         "M2": zero(F.col("variancia") * F.col("value_count")),

@@ -108,17 +108,13 @@ cat AS (SELECT snapshot, row_number() OVER (ORDER BY snapshot) - 1 AS order_idx
 STATE, FAMILY = ["o_orderstatus"], ["o_orderpriority"]
 
 
-# Sums differ in their last bits between engines. Before rounding, values are nudged up by less than anyone
-# can see but more than that, so an exact half rounds the same way on both sides.
-NUDGE = 1.0000000001
-
-
+# Sums differ in their last bits between engines, so both sides round them.
 def _r(expression: str, digits: int) -> str:
-    return f"round(({expression}) * {NUDGE}::DOUBLE, {digits})"
+    return f"round({expression}, {digits})"
 
 
 def _rounded(value, digits: int):
-    return F.round(value * F.lit(NUDGE), digits)
+    return F.round(value, digits)
 
 
 def norm_sql(value: str) -> str:
@@ -594,27 +590,26 @@ def _profile_sql(by: str = "", cap: int = 200000) -> str:
 vc AS (SELECT {g}, valor, count(*) AS contagem FROM cells WHERE NOT is_null GROUP BY {g}, valor),
 md AS (SELECT {g}, count(*) AS dist, min_by(valor, {{'c': -contagem, 'v': valor}}) AS top_v, max(contagem) AS top_c FROM vc GROUP BY {g}),
 st AS (SELECT {g}, count(*) AS n, count(*) FILTER (is_null) AS nulls, count(number) AS parsed, avg(number) AS mu, var_pop(number) AS vp, var_samp(number) AS vs,
-  min(number) AS mn, max(number) AS mx, quantile_disc(number, 0.25) AS q1, quantile_disc(number, 0.5) AS q2, quantile_disc(number, 0.75) AS q3 FROM cells GROUP BY {g}),
+  min(number) AS mn, max(number) AS mx, quantile_cont(number, 0.25) AS q1, quantile_cont(number, 0.5) AS q2, quantile_cont(number, 0.75) AS q3 FROM cells GROUP BY {g}),
 prof AS (SELECT {b}s.coluna, CASE WHEN n - nulls > 0 AND parsed >= 0.6 * (n - nulls) THEN 'numérico' WHEN n - nulls > 0 THEN 'texto' ELSE '' END AS tipo_aparente,
-  n AS linhas_lidas, nulls AS nulos, n - nulls AS linhas_nao_nulas, CASE WHEN dist > {cap} THEN -1 ELSE coalesce(dist, 0) END AS distinct_est, coalesce(dist > {cap}, false) AS distinct_cap_excedido,
+  n AS linhas_lidas, nulls AS nulos, n - nulls AS linhas_nao_nulas, coalesce(dist, 0) AS distinct_est, coalesce(dist > {cap}, false) AS distinct_cap_excedido,
   parsed AS value_count, {_r('coalesce(mu, 0)', 4)} AS mean, {_r('coalesce(vp * parsed, 0)', 2)} AS "M2", {_r('coalesce(vp, 0)', 4)} AS variancia,
   {_r('coalesce(sqrt(vp), 0)', 4)} AS desvio_padrao_pop, {_r('coalesce(vs, 0)', 4)} AS variancia_amostral, {_r('coalesce(sqrt(vs), 0)', 4)} AS desvio_padrao_amostral,
   {_r('CASE WHEN mu <> 0 THEN sqrt(vp) / mu ELSE 0 END', 4)} AS coef_variacao, mn AS min,
-  CASE WHEN parsed >= 0.6 * (n - nulls) THEN q1 END AS q25_approx, CASE WHEN parsed >= 0.6 * (n - nulls) THEN q2 END AS median_approx,
-  CASE WHEN parsed >= 0.6 * (n - nulls) THEN q3 END AS q75_approx, mx AS max, coalesce(top_v, '') AS top1_val, coalesce(top_c, 0) AS top1_count,
+  CASE WHEN parsed >= 0.6 * (n - nulls) THEN round(q1, 4) END AS q25_approx, CASE WHEN parsed >= 0.6 * (n - nulls) THEN round(q2, 4) END AS median_approx,
+  CASE WHEN parsed >= 0.6 * (n - nulls) THEN round(q3, 4) END AS q75_approx, mx AS max, coalesce(top_v, '') AS top1_val, coalesce(top_c, 0) AS top1_count,
   CASE WHEN top_c > 0 THEN round_even(100.0 * top_c / (n - nulls), 3) END AS top1_pct_of_column, coalesce(round_even(100.0 * top_c / (n - nulls), 3) >= 50, false) AS top1_domina
   FROM st s LEFT JOIN md ON {"s." + by + " = md." + by + " AND " if by else ""}s.coluna = md.coluna)"""
 
 
 def _rounded_profile(df: DataFrame) -> DataFrame:
-    places = {c: 2 if c == "M2" else 4 for c in PROFILE_COLUMNS}
+    places = {c: 2 if c == "M2" else 4 for c in [*PROFILE_COLUMNS, "q25_approx", "median_approx", "q75_approx"]}
     return df.select(*[_rounded(col(c), places[c]).alias(c) if c in places else col(c) for c in df.columns])
 
 
 @query("profile_customer", f"WITH cells AS ({CUSTOMER_CELLS}), {_profile_sql()} SELECT * FROM prof")
 def _(spark, d):
-    # Quantiles are exact up to as many rows as the accuracy says.
-    return _rounded_profile(profile.profile(table(spark, d, "customer"), accuracy=1_000_000))
+    return _rounded_profile(profile.profile(table(spark, d, "customer")))
 
 
 @query("profile_distinct_cap", f"WITH cells AS ({CUSTOMER_CELLS}), {_profile_sql(cap=100)} SELECT coluna, distinct_est, distinct_cap_excedido FROM prof")
@@ -635,10 +630,10 @@ NUMBER_TEXT_CELLS = _cells_sql(
     [("event_type", "NULL", "event_type"), ("amount", "amount", nice_sql("amount"))])
 
 
-@query("profile_numbers_in_text", f"WITH cells AS ({NUMBER_TEXT_CELLS}), {_profile_sql()} SELECT * EXCLUDE (q25_approx, median_approx, q75_approx) FROM prof")
+@query("profile_numbers_in_text", f"WITH cells AS ({NUMBER_TEXT_CELLS}), {_profile_sql()} SELECT * FROM prof")
 def _(spark, d):
     df = profile.profile(number_texts(spark, d), columns=["event_type", "amount"])
-    return _rounded_profile(df.drop("q25_approx", "median_approx", "q75_approx"))
+    return _rounded_profile(df)
 
 
 @query("profile_raw_values", "SELECT coluna, valor, contagem FROM (SELECT *, row_number() OVER (PARTITION BY coluna ORDER BY contagem DESC, valor) AS r FROM ("
@@ -676,10 +671,10 @@ DAILY_CELLS = _cells_sql("daily", [("event_type", "NULL", "event_type"), ("user_
 DAILY_COLUMNS = ["event_type", "user_id", "value"]
 
 
-@query("profile_events_daily", f"WITH {DAILY}, cells AS ({DAILY_CELLS}), {_profile_sql('snapshot')} SELECT * EXCLUDE (q25_approx, median_approx, q75_approx) FROM prof")
+@query("profile_events_daily", f"WITH {DAILY}, cells AS ({DAILY_CELLS}), {_profile_sql('snapshot')} SELECT * FROM prof")
 def _(spark, d):
     df = profile.profile(events_daily(spark, d), by=["snapshot"], columns=DAILY_COLUMNS)
-    return _rounded_profile(df.drop("q25_approx", "median_approx", "q75_approx"))
+    return _rounded_profile(df)
 
 
 @query("profile_latest", f"WITH {DAILY}, cells AS ({DAILY_CELLS}), {_profile_sql('snapshot')} SELECT snapshot, coluna, linhas_lidas, nulos, distinct_est FROM prof WHERE snapshot = (SELECT max(snapshot) FROM daily)")
