@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Column-name hints that raise or lower a column in displays.
@@ -101,44 +102,38 @@ def column_key(name: str) -> str:
     return re.sub(r"[^A-Z0-9]", "", str(name).upper())
 
 
-def display_order(columns: Sequence[str]) -> list[str]:
-    """Columns by display score, known names first; ties keep their schema order."""
+def column_catalog(spark: SparkSession, tables: Mapping[str, Sequence[str]]) -> DataFrame:
+    """One row per column of the given tables: table_name, position, column_name, score, column_group, is_wide.
 
-    def score(position: int, name: str) -> int:
-        key = column_key(name)
-        points = 1000 - position
-        if key in DISPLAY_FIRST:
-            points += 8000 - 20 * DISPLAY_FIRST.index(key)
-        if key.endswith(("ID", "NO", "NB")) or "KEY" in key:
-            points += 400
-        if any(part in key for part in ("NAM", "DESC", "TEXT")):
-            points += 300
-        if any(part in key for part in ("STAT", "TYPE", "FLAG")):
-            points += 160
-        return points
+    The score orders a display, known names first. The group is the first whose parts occur in the name.
+    """
+    rows = [(t, i, c) for t, columns in tables.items() for i, c in enumerate(columns)]
+    named = spark.createDataFrame(rows, "table_name STRING, position INT, column_name STRING")
+    key = F.regexp_replace(F.upper("column_name"), "[^A-Z0-9]", "")
 
-    ranked = sorted(enumerate(columns), key=lambda item: (-score(*item), item[0]))
-    return [name for _, name in ranked]
+    def holds(parts: Sequence[str]) -> Column:
+        return reduce(lambda x, y: x | y, [key.contains(p) for p in parts])
 
+    def bonus(condition: Column, points: int) -> Column:
+        return F.when(condition, points).otherwise(0)
 
-def pinned_columns(columns: Sequence[str]) -> list[str]:
-    return list(columns[:2])
+    place = F.array_position(F.array(*map(F.lit, DISPLAY_FIRST)), key)
+    score = (
+        1000 - F.col("position")
+        + F.when(place > 0, 8020 - 20 * place).otherwise(0)
+        + bonus(key.rlike("(ID|NO|NB)$") | key.contains("KEY"), 400)
+        + bonus(holds(["NAM", "DESC", "TEXT"]), 300)
+        + bonus(holds(["STAT", "TYPE", "FLAG"]), 160)
+    )
+    group = F.coalesce(*[F.when(holds(parts), name) for name, parts in COLUMN_GROUPS], F.lit(OTHER_GROUP))
+    return named.select("*", score.cast("int").alias("score"), group.alias("column_group"), holds(WIDE_NAME_PARTS).alias("is_wide"))
 
 
-def is_wide_column(name: str) -> bool:
-    key = column_key(name)
-    return any(part in key for part in WIDE_NAME_PARTS)
+def display_order(spark: SparkSession, columns: Sequence[str]) -> list[str]:
+    """Columns by display score; ties keep their schema order."""
+    ranked = column_catalog(spark, {"": columns}).orderBy(F.col("score").desc(), "position")
+    return [r.column_name for r in ranked.select("column_name").collect()]
 
 
-def column_groups(columns: Sequence[str]) -> dict[str, list[str]]:
-    """First matching name group per column; empty groups are left out, the rest is `OUTROS`."""
-    groups: dict[str, list[str]] = {name: [] for name, _ in COLUMN_GROUPS}
-    groups[OTHER_GROUP] = []
-    for column in columns:
-        texts = (column_key(column), column.upper())
-        home = next(
-            (name for name, parts in COLUMN_GROUPS if any(p in t for p in parts for t in texts)),
-            OTHER_GROUP,
-        )
-        groups[home].append(column)
-    return {name: members for name, members in groups.items() if members}
+def pinned_columns(columns: Sequence[str]) -> list[str]:
+    return list(columns[:2])

@@ -65,7 +65,7 @@ def table_page(
 
 
 def for_display(df: DataFrame) -> DataFrame:
-    return df.select(*[col(c) for c in display_order(df.columns)])
+    return df.select(*[col(c) for c in display_order(df.sparkSession, df.columns)])
 
 
 def headline(df: DataFrame, most: int = 4) -> Column:

@@ -1172,11 +1172,18 @@ def _(spark, d):
 CANON_SQL = "to_json({'c_custkey': c_custkey::VARCHAR, 'c_name': c_name, 'c_nationkey': c_nationkey::VARCHAR, 'c_acctbal': regexp_replace(c_acctbal::VARCHAR, '\\.0$', ''), 'c_mktsegment': c_mktsegment})::VARCHAR"
 
 
-@query("validate_sampled_rows", f"""WITH r AS (SELECT {CANON_SQL} AS canonical, count(*) OVER () AS n FROM customer), p AS (SELECT canonical, n, row_number() OVER (ORDER BY canonical) - 1 AS position FROM r)
-  SELECT position, canonical FROM p WHERE position IN (SELECT round_even(i * (n - 1) / 8, 0)::BIGINT FROM (SELECT any_value(n) AS n FROM p), range(0, 9) AS t(i))""")
+@query("validate_sampled_rows", f"""WITH r AS (SELECT {CANON_SQL} AS canonical FROM customer)
+  SELECT row_number() OVER (ORDER BY sha256(canonical)) - 1 AS position, sha256(canonical) AS digest, canonical FROM r ORDER BY digest LIMIT 9""")
+def _(spark, d):
+    return validate.sampled_rows(table(spark, d, "customer"))
+
+
+@query("validate_sample_hashes", f"""WITH r AS (SELECT {CANON_SQL} AS canonical FROM customer), f AS (SELECT canonical, sha256(canonical) AS digest FROM r ORDER BY digest LIMIT 9),
+  h AS (SELECT sha256(string_agg(canonical || chr(10), '' ORDER BY digest)) AS h FROM f)
+  SELECT 9::BIGINT AS sampled, h AS sample_hash_source, h AS sample_hash_copy, NULL::VARCHAR AS first_mismatch FROM h""")
 def _(spark, d):
     customer = table(spark, d, "customer")
-    return validate.sampled_rows(customer, validate.sample_positions(customer.count()))
+    return as_text(validate.sample_check(customer, customer.repartition(3)), "first_mismatch")
 
 
 @query("validate_copy", """WITH v AS (SELECT 'customer' AS table_name, 'ok' AS status, true AS columns_ok, (SELECT count(*) FROM customer) AS rows_source, (SELECT count(*) FROM customer) AS rows_copy, true AS rows_ok, 9 AS sampled, true AS content_ok, NULL::VARCHAR AS issue

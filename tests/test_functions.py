@@ -130,11 +130,13 @@ def test_similarity(spark):
     assert score("fuzzy was", "fuzzy wuzzy bear") == pytest.approx(want)
 
 
-def test_names():
+def test_names(spark):
     assert names.safe_table_name("1 a-b") == "T_1_a_b"
     assert names.user_tables([" items ", "items", "", "_FULLTEXT", "MSysX", "sqlite_y"]) == ["items"]
-    assert names.display_order(["note", "ITEMNB", "x_id", "name"]) == ["ITEMNB", "x_id", "name", "note"]
-    assert names.column_groups(["PNTNAM", "STACON", "zzz"]) == {"IDENTIFICACAO": ["PNTNAM"], "STATUS": ["STACON"], "OUTROS": ["zzz"]}
+    assert names.display_order(spark, ["note", "ITEMNB", "x_id", "name"]) == ["ITEMNB", "x_id", "name", "note"]
+    catalog = names.column_catalog(spark, {"T": ["PNT-NAM", "STACON", "zzz"], "U": ["h.w"]}).collect()
+    assert [(r.table_name, r.column_group, r.is_wide) for r in catalog] == [
+        ("T", "IDENTIFICACAO", True), ("T", "STATUS", False), ("T", "OUTROS", False), ("U", "LOCAL", False)]
     assert names.quoted("a`b") == "`a``b`"
     with pytest.raises(ValueError):
         names.known_name("ID", ["id"])
