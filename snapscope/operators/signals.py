@@ -226,11 +226,11 @@ def high_impact_rows(rows: DataFrame, least: int = HIGH_IMPACT_COLUMNS, top: int
 
 
 def rows_without_key(rows: DataFrame, top: int | None = 4) -> DataFrame:
-    """Changed rows whose key values are all blank."""
+    """Changed rows whose key values are all blank, in the order of their values."""
     types = _fields(rows, "key")
     blank = reduce(lambda x, y: x & y, [is_blank(F.col("key").getField(k), t) for k, t in types.items()])
-    picked = _changed(rows).filter(blank).select(key_text(rows).alias("key_text"))
-    return picked if top is None else picked.limit(top)
+    ordered = _changed(rows).filter(blank).orderBy("a", "b").select(key_text(rows).alias("key_text"))
+    return ordered if top is None else ordered.limit(top)
 
 
 def state_transitions(
@@ -456,6 +456,32 @@ def recommended_actions(counts: DataFrame) -> DataFrame:
     return counts.select(F.posexplode(chosen).alias("position", "action"))
 
 
+def report_actions(counts: DataFrame, quality: DataFrame, transitions: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """The exported report's list of what to do first, from the signal counts, key quality, state transitions and anomalies.
+
+    The texts are fixed values.
+    """
+    share = F.regexp_replace(F.format_string("%.1f", "impacted_pct"), "[.]0$", "")
+    leading = transitions.orderBy(F.col("row_count").desc(), "transition").limit(1)
+    worst = anomalies.orderBy(F.col("score").desc(), "label").limit(1)
+    lines = [
+        quality.filter("blank_key_rows > 0").select(
+            F.format_string("Revisar %d linha(s) com chave incompleta antes de consolidar a comparacao.", "blank_key_rows")),
+        quality.filter("duplicate_key_rows > 0").select(
+            F.format_string("Revisar %d ocorrencia(s) de chave duplicada no recorte comparado.", "duplicate_key_rows")),
+        counts.filter("impacted_pct >= 25").select(
+            F.concat(F.lit("Volume de mudanca alto ("), share, F.lit("%). Priorizar validacao por lote antes de aplicar."))),
+        leading.select(F.format_string('Validar transicao dominante "%s" (%d ocorrencia(s)).', "transition", "row_count")),
+        worst.select(F.format_string("Comecar pela anomalia de maior score: %s.", "label")),
+        counts.limit(1).select(F.lit(QUIET_ACTION)),
+    ]
+    placed = [df.toDF("action").select(F.lit(i).alias("place"), "action") for i, df in enumerate(lines)]
+    # At most six lines, the last of which stands only for itself.
+    found = reduce(DataFrame.unionAll, placed).agg(F.array_sort(F.collect_list(F.struct("place", "action"))).alias("lines"))
+    spoken = F.when(F.size("lines") > 1, F.slice("lines", 1, F.size("lines") - 1)).otherwise(F.col("lines"))
+    return found.select(F.posexplode(F.transform(spoken, lambda x: x["action"])).alias("position", "action"))
+
+
 def priority_anomalies(
     rows: DataFrame, state_columns: Sequence[str] = STATE_COLUMNS, new_side: str = "a", top: int = 8
 ) -> DataFrame:
@@ -465,25 +491,25 @@ def priority_anomalies(
         return df.select(score.cast("double").alias("score"), label.alias("label"), detail.alias("detail"))
 
     impact = item(
-        high_impact_rows(rows),
+        high_impact_rows(rows, top=None),
         F.col("n_changed") * 4,
         F.concat(F.lit("Chave com alto impacto: "), "key_text"),
         F.format_string("%d colunas alteradas", "n_changed"),
     )
     risk = item(
-        top_risk_rows(risk_rows(rows, state_columns, new_side)),
+        top_risk_rows(risk_rows(rows, state_columns, new_side), top=None),
         F.col("risk_score") * 3,
         F.concat(F.lit("Risco operacional: "), "key_text"),
         F.format_string("%d pontos · %s", "risk_score", "first_columns"),
     )
     drift = item(
-        numeric_drift(rows, new_side, top=6),
+        numeric_drift(rows, new_side, top=None),
         F.col("sum_abs_delta"),
         F.concat(F.lit("Drift numerico: "), "column_name"),
         F.format_string("soma abs %.2f · pico %.2f", "sum_abs_delta", "max_signed_delta"),
     )
     moves = item(
-        transition_risk(rows, state_columns, new_side),
+        transition_risk(rows, state_columns, new_side, top=None),
         F.col("row_count") * 2,
         F.concat(F.lit("Transicao concentrada: "), "transition"),
         F.format_string("%d ocorrencia(s)", "row_count"),
@@ -494,17 +520,17 @@ def priority_anomalies(
 
 def export_anomalies(rows: DataFrame, new_side: str = "a", top: int = 8) -> DataFrame:
     """The exported report's scale: changed column x4, emptied or filled x3, absolute drift."""
-    columns = column_changes(rows, 8).select(
+    columns = column_changes(rows, None).select(
         (F.col("changes") * 4).cast("double").alias("score"),
         F.concat(F.lit("coluna impactada: "), "column_name").alias("label"),
         F.format_string("%d chave(s) alteradas", "changes").alias("detail"),
     )
-    nulls = null_transitions(rows, new_side).select(
+    nulls = null_transitions(rows, new_side, None).select(
         (F.col("transitions") * 3).cast("double").alias("score"),
         F.concat(F.lit("transicao nulo/preenchido: "), "column_name", F.lit(" | "), "direction").alias("label"),
         F.format_string("%d ocorrencia(s)", "transitions").alias("detail"),
     )
-    drift = numeric_drift(rows, new_side).select(
+    drift = numeric_drift(rows, new_side, None).select(
         F.round("sum_abs_delta", 4).alias("score"),
         F.concat(F.lit("drift numerico: "), "column_name").alias("label"),
         F.format_string("soma abs %.4f · pico %.4f", "sum_abs_delta", "max_signed_delta").alias("detail"),

@@ -540,9 +540,9 @@ def _(spark, d):
 
 
 @query("signal_priority_anomalies", f"""WITH {ORDERS_DIFF}, x AS (SELECT column_name, na - nb AS dl FROM cells WHERE na <> nb),
-  items AS (SELECT * FROM (SELECT score * 3.0::DOUBLE AS score, 'Risco operacional: ' || key_text AS label FROM risk WHERE score >= 4 ORDER BY risk.score DESC, k LIMIT 6)
+  items AS (SELECT * FROM (SELECT score * 3.0::DOUBLE AS score, 'Risco operacional: ' || key_text AS label FROM risk WHERE score >= 4)
    UNION ALL SELECT round(sum(abs(dl)), 2), 'Drift numerico: ' || column_name FROM x GROUP BY column_name
-   UNION ALL SELECT * FROM (SELECT count(*) * 2.0::DOUBLE, 'Transicao concentrada: ' || old || ' => ' || new FROM states GROUP BY old, new ORDER BY 1 DESC, 2 LIMIT 5))
+   UNION ALL SELECT * FROM (SELECT count(*) * 2.0::DOUBLE, 'Transicao concentrada: ' || old || ' => ' || new FROM states GROUP BY old, new))
   SELECT score, label FROM items ORDER BY score DESC, label LIMIT 8""")
 def _(spark, d):
     found = signals.priority_anomalies(_orders_rows(spark, d), STATE)
@@ -560,6 +560,21 @@ def _(spark, d):
     return found.select(F.round("score", 2).alias("score"), "label")
 
 
+@query("signal_report_actions", f"""{COUNTS_SQL}, x AS (SELECT column_name, na - nb AS dl FROM cells WHERE na <> nb),
+  items AS (SELECT count(*) * 4.0::DOUBLE AS score, 'coluna impactada: ' || column_name AS label FROM cells GROUP BY column_name
+   UNION ALL SELECT count(*) * 3.0::DOUBLE, 'transicao nulo/preenchido: ' || column_name || ' | ' || CASE WHEN vb IS NULL THEN 'vazio -> preenchido' ELSE 'preenchido -> vazio' END
+     FROM cells WHERE (va IS NULL) <> (vb IS NULL) GROUP BY column_name, vb IS NULL
+   UNION ALL SELECT round(sum(abs(dl)), 4), 'drift numerico: ' || column_name FROM x GROUP BY column_name),
+  t AS (SELECT old || ' -> ' || new AS transition, count(*) AS n FROM states GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1),
+  l AS (SELECT 1 AS o, 'Volume de mudanca alto (' || regexp_replace(printf('%.1f', pct), '[.]0$', '') || '%). Priorizar validacao por lote antes de aplicar.' AS action FROM v WHERE pct >= 25
+   UNION ALL SELECT 2, 'Validar transicao dominante "' || transition || '" (' || n || ' ocorrencia(s)).' FROM t
+   UNION ALL SELECT 3, 'Comecar pela anomalia de maior score: ' || label || '.' FROM (SELECT label FROM items ORDER BY score DESC, label LIMIT 1))
+  SELECT (row_number() OVER (ORDER BY o) - 1)::INT AS position, action FROM l""")
+def _(spark, d):
+    rows = _orders_rows(spark, d)
+    return signals.report_actions(_counts(spark, d), signals.key_quality(rows), signals.state_transitions(rows, STATE), signals.export_anomalies(rows))
+
+
 # --- profiles ----------------------------------------------------------------------------------
 
 

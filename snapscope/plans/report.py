@@ -167,6 +167,8 @@ def diff_report(
         "severity": signals.severity(counts),
         "priority": signals.report_priority(counts),
         "actions": signals.recommended_actions(counts),
+        "report_actions": signals.report_actions(
+            counts, signals.key_quality(rows), signals.state_transitions(rows, state_columns, new_side), signals.export_anomalies(rows, new_side)),
         "column_changes": signals.column_changes(rows),
         "first_keys": signals.first_key_per_column(rows),
         "highlights": signals.highlights(rows),
