@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from snapscope.llm.common import bounded_batches
+
 WINDOW = 10
 BLOCK_WORDS = 500_000
 # A document of which more than this share of the words is hit goes as a whole.
@@ -165,6 +167,7 @@ def _automaton(block, window: int) -> Automaton:
 
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list:
     """The items (id, text), sent out in blocks of bounded size."""
+    bounded_batches(benchmark)
     spark, out, block, held = benchmark.sparkSession, [], [], 0
     items = benchmark.where("text IS NOT NULL").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text")
     for row in items.toLocalIterator():

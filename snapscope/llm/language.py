@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapscope.llm.common import join_small_groups, stored
+from snapscope.llm.common import bounded_batches, join_small_groups, stored
 from snapscope.llm.extract import main_text
 from snapscope.llm.url_filter import host_of
 
@@ -96,6 +96,7 @@ def _with_counts(rows: DataFrame, base: DataFrame, key: str, n_languages: int) -
 
 def identify(pages: DataFrame, docs: DataFrame, smooth: float = SMOOTH) -> DataFrame:
     """(page_id, lang, confidence, text_lang, declared, host) of every page."""
+    bounded_batches(pages)
     languages, model = text_model(docs)
     n = len(languages)
     host = host_of(F.col("url"))

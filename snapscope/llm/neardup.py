@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapscope.llm.common import join_small_groups, stored
+from snapscope.llm.common import bounded_batches, join_small_groups, stored
 from snapscope.llm.components import components
 
 SKETCH = 40
@@ -55,7 +55,7 @@ class Shingler:
         words, known = text.translate(_LOWER).split(), self.known
         if not words:
             return np.empty(0, np.uint64)
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxhash.xxh64_intdigest(w)
@@ -281,6 +281,7 @@ def exact_edges(docs: DataFrame, members: DataFrame, width: int, percent: int) -
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, node, rid) of every document."""
+    bounded_batches(docs)
     rows = stored(sketched(docs, width), "sketches")
     classes = rows.where("node IS NOT NULL").groupBy("node", "sketch", "n_shingles").agg(
         F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "rid")).alias("first"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapscope.llm.common import stored
+from snapscope.llm.common import bounded_batches, stored
 
 CAPACITY = 1024
 END = 2
@@ -64,6 +64,7 @@ def tokenised(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: i
             columns = zip(*rows) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, PIECES_ARROW)], schema=PIECES_ARROW)
 
+    bounded_batches(docs)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, PIECES)
 
 

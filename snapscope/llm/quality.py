@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapscope.llm.common import join_small_groups, stored
+from snapscope.llm.common import bounded_batches, join_small_groups, stored
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -177,12 +177,14 @@ def fitted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def quality(docs: DataFrame) -> DataFrame:
     """(doc_id, base counts, base_failed, kept, distance2) of every document."""
+    bounded_batches(docs)
     rows = stored(docs.select("doc_id", "lang", "source", features("text").alias("f")).select("doc_id", "lang", "source", "f.*"), "quality")
     return judged(rows, *fitted(rows)).select("doc_id", *BASE, "base_failed", "kept", "distance2")
 
 
 def kept(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their columns."""
+    bounded_batches(docs)
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), "lang", "source", features("text").alias("_f")).select("_doc", "lang", "source", "_f.*")
     model = fitted(stored(rows.select("lang", "source", "x"), "quality"))
     return judged(rows, *model).where("kept").select("_doc.*")

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapscope.llm.common import join_small_groups, stored
+from snapscope.llm.common import bounded_batches, join_small_groups, stored
 
 LENGTH = 200
 GRAM = 50
@@ -43,7 +43,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-@cache
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of BASE and of INVERSE."""
 
@@ -131,8 +131,8 @@ def _gathered(texts: Iterator[bytes]) -> Iterator[tuple[list[int], list[int], li
         yield rows, offsets, parts
 
 
-def _bytes(column: pa.Array) -> list[bytes]:
-    return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+def _bytes(column: pa.Array) -> Iterator[bytes]:
+    return (t.as_py() or b"" for t in column.cast(pa.binary()))
 
 
 # A place in a text with its run: anchor place, and how far before it the first and last window start (below 256).
@@ -383,6 +383,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """(rid, spans): the byte ranges of each keyed document that windows found twice or more cover."""
+    bounded_batches(docs)
     counts = stored(anchor_counts(docs).where("n > 1"), "anchors")
     rows = join_small_groups(anchor_rows(docs), counts.withColumn("_n", F.col("n")), ["h"], "_n", F.col("rid")).where("n IS NOT NULL").drop("n")
     rows = stored(rows, "repeated-anchors")

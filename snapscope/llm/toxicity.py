@@ -24,7 +24,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapscope.llm.common import stored
+from snapscope.llm.common import bounded_batches, stored
 
 MAX_LABELLED = 20_000
 MAX_LEXICON = 5_000
@@ -135,6 +135,7 @@ def learned_lexicon(texts: DataFrame) -> dict[str, float]:
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
+    bounded_batches(docs)
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("fold", remainder("doc_id")).where("fold > 0")
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapscope.llm.common import fresh_path, join_small_groups, stored
+from snapscope.llm.common import bounded_batches, fresh_path, join_small_groups, stored
 
 MIN_REVISIT = 100
 FRAME_BYTES = 1 << 18
@@ -161,6 +161,7 @@ READ_ARROW = pa.schema([
 
 def write_bundles(pages: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Writes the bundles of (page_id, url, html) under folder; returns the places of all records, stored."""
+    bounded_batches(pages)
     fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
 
