@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from snapscope.functions.names import HEADLINE_FIELDS, col, column_key, display_order, known_name
 from snapscope.functions.text import strip
 
-LIMIT_DEFAULT, LIMIT_MAX = 50, 1000
+LIMIT_DEFAULT = 50
 
 
 @dataclass(frozen=True)
@@ -48,8 +48,8 @@ def table_rows(
     limit: int = LIMIT_DEFAULT, offset: int = 0,
 ) -> DataFrame:
     """One page, as a lazy plan: the filter is pushed to the scan and only the page's rows are kept while sorting."""
-    if not 1 <= limit <= LIMIT_MAX:
-        raise ValueError(f"limit must be between 1 and {LIMIT_MAX}")
+    if limit < 1:
+        raise ValueError("limit must be at least 1")
     if offset < 0:
         raise ValueError("offset must not be negative")
     return order_by(contains_filter(df, column, q), sort, order).offset(offset).limit(limit)

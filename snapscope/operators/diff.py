@@ -518,8 +518,8 @@ def diff_page(rows: DataFrame, page: int = 1, page_size: int = 200) -> Page:
     """
     if page < 1:
         raise ValueError("page must be at least 1")
-    if not 1 <= page_size <= 1000:
-        raise ValueError("page size must be between 1 and 1000")
+    if page_size < 1:
+        raise ValueError("page size must be at least 1")
     total = rows.count()
     pages = max(1, -(-total // page_size))
     page = min(page, pages)

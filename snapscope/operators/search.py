@@ -37,9 +37,9 @@ class SearchArgs:
     priority: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
-        # The result is sent to every executor to fetch the stored rows, so its size must stay bounded.
-        _bounded(self.per_table, "per_table", 1, PER_TABLE_MAX)
-        _bounded(self.total_limit, "total_limit", 1, TOTAL_MAX)
+        # The upper bounds of a request are checked by `search_args`; the engine takes any.
+        _bounded(self.per_table, "per_table", 1)
+        _bounded(self.total_limit, "total_limit", 1)
 
     @property
     def normalized(self) -> str:
@@ -151,13 +151,15 @@ def within_quota(rows: DataFrame, args: SearchArgs, rank_by: str = "coverage") -
     return kept.orderBy(*_rank(rank_by)).limit(args.total_limit)
 
 
-def with_payload(chosen: DataFrame, index: DataFrame) -> DataFrame:
-    """Add the stored row. `chosen` is bounded by the total limit, so it is sent to the index partitions.
+def with_payload(chosen: DataFrame, index: DataFrame, limit: int) -> DataFrame:
+    """Add the stored row. `chosen` has at most `limit` rows: up to TOTAL_MAX they are sent to the index partitions,
+    more are joined by shuffle.
 
     Equal rows share their id; each chosen place keeps one stored row.
     """
     stored = index.select("table_name", "row_id", "row_json")
-    return stored.join(F.broadcast(chosen), ["table_name", "row_id"]).dropDuplicates(["table_name", "rank_in_table"])
+    side = F.broadcast(chosen) if limit <= TOTAL_MAX else chosen
+    return stored.join(side, ["table_name", "row_id"]).dropDuplicates(["table_name", "rank_in_table"])
 
 
 def grouped_order(chosen: DataFrame, args: SearchArgs) -> DataFrame:
@@ -189,7 +191,7 @@ def search(
     carry = ["row_json"] if payload and not stored else []
     chosen = within_quota(scored(candidates(index, args), args, carry), args, rank_by)
     if payload and stored:
-        chosen = with_payload(chosen, index)
+        chosen = with_payload(chosen, index, args.total_limit)
     return grouped_order(chosen, args)
 
 

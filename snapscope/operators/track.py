@@ -19,6 +19,8 @@ from snapscope.operators.filters import Condition, equals_value, matches, missin
 
 # Error texts, and column names tried when the key column is not known.
 NO_TABLE, NO_COLUMN = "TABELA AUSENTE", "COLUNA AUSENTE"
+# So many snapshot names are sent to every task; more are joined by shuffle.
+MANY_SNAPSHOTS = 10_000
 KEY_GUESSES = ["id", "code", "codigo", "cod", "codigo_id", "pk", "codigo_pk", "record_id", "key", "uid"]
 
 
@@ -50,7 +52,8 @@ def _within(df: DataFrame, chosen: DataFrame, snapshot: str, most: int | None) -
     """Rows of the chosen snapshots. At most `most` names are sent, and they prune a snapshot partition column."""
     if most is None:
         return df
-    names = F.broadcast(chosen.select(col(snapshot)).distinct())
+    names = chosen.select(col(snapshot)).distinct()
+    names = F.broadcast(names) if most <= MANY_SNAPSHOTS else names
     return df.join(names, snapshot, "left_semi").select(*[col(c) for c in df.columns])
 
 
