@@ -17,7 +17,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,15 +101,16 @@ GROUP = ["g_lang", "g_source"]
 MODEL = "g_lang string, g_source string, g_rows long, center array<double>, whiten array<double>"
 
 
-def _model_row(key: tuple, n: int, center: np.ndarray, cov: np.ndarray, scale: float) -> pd.DataFrame:
+def _model_row(key: tuple, n: int, center: np.ndarray, cov: np.ndarray, scale: float) -> pa.Table:
     cov = cov * max(scale, 1e-6) + np.diag(np.square(FLOORS))
     whiten = np.linalg.inv(np.linalg.cholesky(cov))
-    return pd.DataFrame({"g_lang": [key[0]], "g_source": [key[1]], "g_rows": [n], "center": [center.tolist()], "whiten": [whiten.ravel().tolist()]})
+    row = {"g_lang": [key[0].as_py()], "g_source": [key[1].as_py()], "g_rows": [n], "center": [center.tolist()], "whiten": [whiten.ravel().tolist()]}
+    return pa.table(row)
 
 
-def _concentrated(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
+def _concentrated(key: tuple, bins: pa.Table) -> pa.Table:
     """New center and covariance from the nearest bins that hold SHARE of the group."""
-    bins = bins.sort_values("bin")
+    bins = bins.sort_by("bin")
     counts = bins["n"].to_numpy()
     total = int(counts.sum())
     cut = int(np.searchsorted(np.cumsum(counts), math.ceil(SHARE * total))) + 1
@@ -156,7 +156,7 @@ def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
         near = join_small_groups(rows, model, GROUP, "g_rows", F.xxhash64("x"))
         bins = near.withColumn("bin", F.least(F.floor(F.sqrt(_distance2()) * BINS_PER_UNIT), F.lit(BINS)).cast("int"))
         moments = bins.groupBy(*GROUP, "bin").agg(F.count("*").alias("n"), *sums)
-        model = stored(moments.groupBy(*GROUP).applyInPandas(_concentrated, MODEL), f"mcd-{step}")
+        model = stored(moments.groupBy(*GROUP).applyInArrow(_concentrated, MODEL), f"mcd-{step}")
     return model
 
 
