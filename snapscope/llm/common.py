@@ -44,6 +44,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_files(df: DataFrame) -> DataFrame:
+    """What a shuffle has made, in as many tasks as twice the cores: narrow tables aren't stored in countless files."""
+    return df.coalesce(max(8, 2 * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def bounded_batches(df: DataFrame) -> None:
     """Bounds what a Python worker is handed at a time by bytes, whatever the length of the texts."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snapscope.llm.common import join_small_groups, stored
+from snapscope.llm.common import few_files, join_small_groups, stored
 
 
 def _stars(edges: DataFrame, neighbours: DataFrame) -> DataFrame:
@@ -20,14 +20,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     A node with very many neighbours is met by join_small_groups. Each round is stored, so a lost executor costs
     that round only. An error, never a partial result, if max_rounds don't suffice.
     """
-    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = stored(few_files(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), "edges")
     mark = None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _stars(both.where("v > u"), both).select(F.col("v").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
         pairs = _stars(large, large)
         small = pairs.select("u", F.col("least").alias("v")).union(pairs.select(F.col("v").alias("u"), F.col("least").alias("v")))
-        now = stored(small.where("u <> v").distinct(), "edges")
+        now = stored(few_files(small.where("u <> v").distinct()), "edges")
         before, mark = mark, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from snapscope.llm.common import bounded_batches, join_small_groups, stored
+from snapscope.llm.common import bounded_batches, few_files, join_small_groups, stored
 from snapscope.llm.components import components
 
 SKETCH = 40
@@ -285,14 +285,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rows = stored(sketched(docs, width), "sketches")
     classes = rows.where("node IS NOT NULL").groupBy("node", "sketch", "n_shingles").agg(
         F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "rid")).alias("first"))
-    classes = stored(classes.select("node", "sketch", "n_shingles", "copies", "first_id", F.col("first.rid").alias("rid")), "classes")
+    classes = stored(few_files(classes.select("node", "sketch", "n_shingles", "copies", "first_id", F.col("first.rid").alias("rid"))), "classes")
     groups = components(coarse_edges(classes, percent / 100)).withColumnRenamed("root", "g")
-    members = stored(classes.select("rid", "node", "n_shingles").join(groups, "node"), "groups")
+    members = stored(few_files(classes.select("rid", "node", "n_shingles").join(groups, "node")), "groups")
     linked = components(exact_edges(docs, members, width, percent))
     found = classes.select("node", "copies", "first_id").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = found.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("_classes"))
     facts = join_small_groups(found.select("root", "node", "copies"), smallest, ["root"], "_classes", F.col("node")).select("node", "copies", "component_id")
-    out = join_small_groups(rows.drop("sketch"), stored(facts, "components"), ["node"], "copies", F.xxhash64("doc_id"))
+    out = join_small_groups(rows.drop("sketch"), stored(few_files(facts), "components"), ["node"], "copies", F.xxhash64("doc_id"))
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "node", "rid")
 

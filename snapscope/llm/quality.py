@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapscope.llm.common import bounded_batches, join_small_groups, stored
+from snapscope.llm.common import bounded_batches, few_files, join_small_groups, stored
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -138,7 +138,7 @@ def keyed(rows: DataFrame) -> DataFrame:
 def group_sizes(rows: DataFrame) -> DataFrame:
     """(g_lang, _source, g_source, g_count): language and source, and the group they belong to; stored."""
     sizes = keyed(rows.select("lang", "source")).groupBy("g_lang", "_source").agg(F.count("*").alias("g_count"))
-    return stored(sizes.withColumn("g_source", F.when(F.col("g_count") < MIN_GROUP, POOL).otherwise(F.col("_source"))), "group-sizes")
+    return stored(few_files(sizes.withColumn("g_source", F.when(F.col("g_count") < MIN_GROUP, POOL).otherwise(F.col("_source")))), "group-sizes")
 
 
 def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
@@ -146,17 +146,17 @@ def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     middle = [F.percentile_approx(F.get("x", F.lit(i)), [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIM)]
     quartiles = rows.groupBy(*GROUP).agg(F.count("*").alias("g_rows"), *middle)
     sd = [F.sqrt(F.pow((F.get(f"q{i}", F.lit(2)) - F.get(f"q{i}", F.lit(0))) / 1.349, 2) + F.lit(FLOORS[i] ** 2)) for i in range(DIM)]
-    model = stored(quartiles.select(
+    model = stored(few_files(quartiles.select(
         *GROUP, "g_rows", F.array(*(F.get(f"q{i}", F.lit(1)) for i in range(DIM))).alias("center"),
         F.array(*(1 / sd[i] if i == j else F.lit(0.0) for i in range(DIM) for j in range(DIM))).alias("whiten"),
-    ), "mcd-start")
+    )), "mcd-start")
     x = [F.get("x", F.lit(i)) for i in range(DIM)]
     sums = [F.sum(x[i]).alias(f"s{i}") for i in range(DIM)] + [F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(DIM) for j in range(i + 1)]
     for step in range(steps):
         near = join_small_groups(rows, model, GROUP, "g_rows", F.xxhash64("x"))
         bins = near.withColumn("bin", F.least(F.floor(F.sqrt(_distance2()) * BINS_PER_UNIT), F.lit(BINS)).cast("int"))
         moments = bins.groupBy(*GROUP, "bin").agg(F.count("*").alias("n"), *sums)
-        model = stored(moments.groupBy(*GROUP).applyInArrow(_concentrated, MODEL), f"mcd-{step}")
+        model = stored(few_files(moments.groupBy(*GROUP).applyInArrow(_concentrated, MODEL)), f"mcd-{step}")
     return model
 
 
@@ -172,7 +172,7 @@ def fitted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Group sizes and model of stored rows (lang, source, x)."""
     sizes = group_sizes(rows)
     grouped = join_small_groups(keyed(rows), sizes, ["g_lang", "_source"], "g_count", F.xxhash64("x"))
-    return sizes, estimate(stored(grouped.select(*GROUP, "x"), "grouped"))
+    return sizes, estimate(stored(few_files(grouped.select(*GROUP, "x")), "grouped"))
 
 
 def quality(docs: DataFrame) -> DataFrame:

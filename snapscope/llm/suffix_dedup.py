@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapscope.llm.common import bounded_batches, join_small_groups, stored
+from snapscope.llm.common import bounded_batches, few_files, join_small_groups, stored
 
 LENGTH = 200
 GRAM = 50
@@ -384,11 +384,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """(rid, spans): the byte ranges of each keyed document that windows found twice or more cover."""
     bounded_batches(docs)
-    counts = stored(anchor_counts(docs).where("n > 1"), "anchors")
+    counts = stored(few_files(anchor_counts(docs).where("n > 1")), "anchors")
     rows = join_small_groups(anchor_rows(docs), counts.withColumn("_n", F.col("n")), ["h"], "_n", F.col("rid")).where("n IS NOT NULL").drop("n")
     rows = stored(rows, "repeated-anchors")
     contexts = rows.groupBy("h", "c").agg(F.count("*").alias("times"), F.min(F.struct("rid", "place")).alias("one"))
-    contexts = stored(contexts.select("h", "c", "times", "one.*"), "contexts")
+    contexts = stored(few_files(contexts.select("h", "c", "times", "one.*")), "contexts")
     several = contexts.groupBy("h").agg(F.count("*").alias("contexts"), F.max("times").alias("most"))
     known = contexts.where("times > 1").select("h", "c", "times", F.lit(True).alias("known"))
     whole = join_small_groups(rows, known, ["h", "c"], "times", F.col("rid")).where("known")
