@@ -94,7 +94,7 @@ def lexicon_features(text: str, lexicon: dict[str, float]) -> list[float]:
         near / n,
         (len(raw) - len(raw.translate(None, _CAPS))) / (letters + 1),
         (text.count("!") + text.count("?")) / n,
-        (hidden + (len(_SPELLED.findall(text)) if hidden or len(text) < 100_000 else 0)) / n,
+        (hidden + sum(1 for _ in _SPELLED.finditer(text))) / n,
     ]
 
 

@@ -49,3 +49,9 @@ def test_hidden_and_shouted_words_are_features():
     plain, hidden = toxicity.lexicon_features("you idiot there", lexicon), toxicity.lexicon_features("you 1d10t there", lexicon)
     assert plain[0] == 4.0 and plain[6] > 0 and hidden[9] > 0 and toxicity.lexicon_features("", lexicon) == [0.0] * toxicity.N_FEATURES
     assert toxicity.lexicon_features("YOU THERE!!", lexicon)[7] > 0.8
+
+
+def test_spelled_words_count_in_texts_of_any_length():
+    line = "some plain words here and i d i o t sh*t there\n"
+    below, above = (toxicity.lexicon_features(line * k, {"idiot": 4.0})[9] for k in (90_000 // len(line), 300_000 // len(line)))
+    assert below == above == 2 / len(toxicity.tokens(line))
