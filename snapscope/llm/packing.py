@@ -7,6 +7,8 @@ on the number of lengths, never on the number of pieces. A piece takes its place
 length; ranks come from counts by (length, part) and a row number within each part, so a length that a third of all
 pieces share is still spread over PARTS tasks.
 
+Ids are those that the tokenizers library gives by default: the markers of special tokens in a text get their own id.
+
 Defined results: null text is empty and has the closing id only; every row is packed, repeated rows and ids as often
 as they occur; an empty table gives no row.
 """
@@ -14,8 +16,11 @@ as they occur; an empty table gives no row.
 from __future__ import annotations
 
 import base64
+import json
+import os
 import zlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +40,20 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def encoder(vocabulary: str):
-    """Text to ids by a vocabulary file of base64 tokens and ranks; special tokens in a text are ordinary text."""
+def added_tokens(vocabulary: str) -> dict[str, int]:
+    """The added tokens of the tokenizers file that lies beside a vocabulary file, and their ids."""
+    with open(os.path.splitext(vocabulary)[0] + ".json", encoding="utf-8") as file:
+        return {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+
+
+def encoder(vocabulary: str, added: dict[str, int] | None = None):
+    """Text to ids by a vocabulary file of base64 tokens and ranks. Added tokens in a text get their ids; others are ordinary text."""
     import tiktoken
 
     with open(vocabulary, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
-    return tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encoding = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added or {})
+    return partial(encoding.encode, allowed_special="all") if added else encoding.encode_ordinary
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -54,7 +66,7 @@ def tokenised(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end: i
     """(doc_id, piece, start, length, ids_crc32) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, added_tokens(vocabulary))
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0), batch.column(1)):

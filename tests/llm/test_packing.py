@@ -1,6 +1,8 @@
 import os
 import random
+import zlib
 
+import numpy as np
 import pytest
 from snapscope.llm import packing
 from snapscope.llm.queries import vocabulary
@@ -62,3 +64,13 @@ def test_pieces_of_odd_documents(spark):
             assert all(x == 64 for _, _, x in pieces[1:]) and [s for _, s, _ in pieces] == [sum(x for _, _, x in pieces[:k]) for k in range(len(pieces))]
     assert len(by_doc[0]) == 3 and len(by_doc[None]) == 1
     assert packing.pack_documents(documents(spark, []), vocabulary()).count() == 0
+
+
+def test_markers_in_a_text_get_the_ids_of_the_tokenizers_library(spark):
+    Tokenizer = pytest.importorskip("tokenizers").Tokenizer
+    other = Tokenizer.from_file(os.path.splitext(vocabulary())[0] + ".json")
+    texts = ["x <|endoftext|> a", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b <|endoftext|", "<|fim_prefix|> <|ENDOFTEXT|>", *(t or "" for t in odd_texts())]
+    got = {r.doc_id: r for r in packing.tokenised(documents(spark, texts), vocabulary(), 1 << 20).collect()}
+    for i, text in enumerate(texts):
+        ids = [*other.encode(text, add_special_tokens=False).ids, packing.END]
+        assert (got[i].length, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
