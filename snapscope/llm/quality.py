@@ -2,9 +2,11 @@
 
 Each text becomes a vector of transformed statistics. Center and covariance of a group are minimum-covariance-
 determinant estimates: from a start of medians and deviations, each concentration step re-estimates them from the
-share SHARE of rows nearest by Mahalanobis distance. A step is one aggregation over all rows: moments by group and
-distance bin, so that the nearest share is a prefix of a group's bins (no sampling, at most BINS lines a group). The
-estimate is scaled so that the median distance is that of a normal vector; rows beyond CUTOFF are rejected.
+share SHARE of rows nearest by Mahalanobis distance, until the determinant falls by less than the share FALL. A step is
+one aggregation over all rows: moments by group and distance bin, so that the nearest share is a prefix of a group's
+bins, the last one by its part (no sampling, at most BINS lines a group). The step that ends a group's search has the
+distances under its final estimate; that is scaled so that their median is that of a normal vector, and never down.
+Rows beyond CUTOFF are rejected. Determinants have a least value by FLOORS, so the search ends.
 
 Groups of fewer than MIN_GROUP rows are pooled by language; a pool of fewer than MIN_POOL rows rejects nothing.
 
@@ -27,7 +29,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 SHARE = 0.75
-STEPS = 3
+FALL = 1e-3
 BINS, BINS_PER_UNIT = 400, 16
 MIN_GROUP, MIN_POOL = 100, 30
 # Fixed values for six dimensions: the median and the 0.999 quantile of chi-square.
@@ -98,34 +100,37 @@ def _distance2() -> Column:
 
 
 GROUP = ["g_lang", "g_source"]
-MODEL = "g_lang string, g_source string, g_rows long, center array<double>, whiten array<double>"
+MODEL = "g_lang string, g_source string, g_rows long, center array<double>, whiten array<double>, logdet double, scale double, fell boolean"
 
 
-def _model_row(key: tuple, n: int, center: np.ndarray, cov: np.ndarray, scale: float) -> pa.Table:
-    cov = cov * max(scale, 1e-6) + np.diag(np.square(FLOORS))
-    whiten = np.linalg.inv(np.linalg.cholesky(cov))
-    row = {"g_lang": [key[0].as_py()], "g_source": [key[1].as_py()], "g_rows": [n], "center": [center.tolist()], "whiten": [whiten.ravel().tolist()]}
-    return pa.table(row)
+def _quantile(counts: np.ndarray, share: float) -> float:
+    """The place in bins, as a real number, below which that share of the rows lies."""
+    ends = np.cumsum(counts)
+    at = int(np.searchsorted(ends, share * ends[-1]))
+    return at + 1 - (ends[at] - share * ends[-1]) / counts[at]
 
 
-def _concentrated(key: tuple, bins: pa.Table) -> pa.Table:
-    """New center and covariance from the nearest bins that hold SHARE of the group."""
-    bins = bins.sort_by("bin")
+def _concentrated(key: tuple, bins: pa.Table, model: pa.Table) -> pa.Table:
+    """Center and covariance from the nearest bins that hold SHARE of the group, or the former ones, scaled, if the determinant doesn't fall."""
+    bins, former = bins.sort_by("bin"), model.to_pylist()[0]
     counts = bins["n"].to_numpy()
-    total = int(counts.sum())
-    cut = int(np.searchsorted(np.cumsum(counts), math.ceil(SHARE * total))) + 1
-    n = counts[:cut].sum()
-    center = np.array([bins[f"s{i}"].to_numpy()[:cut].sum() for i in range(DIM)]) / n
+    part = np.clip(_quantile(counts, SHARE) - np.arange(len(counts)), 0, 1)
+    n = (part * counts).sum()
+    center = np.array([(part * bins[f"s{i}"].to_numpy()).sum() for i in range(DIM)]) / n
     cov = np.empty((DIM, DIM))
     for i in range(DIM):
         for j in range(i + 1):
-            cov[i, j] = cov[j, i] = bins[f"s{i}_{j}"].to_numpy()[:cut].sum() / n - center[i] * center[j]
-    middle = int(np.searchsorted(np.cumsum(counts), total / 2))
-    d = (bins["bin"].to_numpy()[middle] + 0.5) / BINS_PER_UNIT
+            cov[i, j] = cov[j, i] = (part * bins[f"s{i}_{j}"].to_numpy()).sum() / n - center[i] * center[j]
     values, vectors = np.linalg.eigh(cov)
-    cov = (vectors * np.maximum(values, 0)) @ vectors.T
-    # The distances were taken with the former scale, so this corrects it step by step; never below the subset's own.
-    return _model_row(key, total, center, cov, max(1.0, d * d / CHI2_MEDIAN))
+    root = np.linalg.cholesky((vectors * np.maximum(values, 0)) @ vectors.T + np.diag(np.square(FLOORS)))
+    logdet = 2 * float(np.log(np.diag(root)).sum())
+    if logdet < former["logdet"] - FALL:
+        new = {"center": center.tolist(), "whiten": np.linalg.inv(root).ravel().tolist(), "logdet": logdet, "scale": 1.0, "fell": True}
+    else:
+        middle = _quantile(counts, 0.5)
+        d = (bins["bin"].to_numpy()[int(middle)] + middle % 1) / BINS_PER_UNIT
+        new = {"scale": max(1.0, d * d / CHI2_MEDIAN), "fell": False}
+    return pa.Table.from_pylist([former | new], model.schema)
 
 
 NULL, POOL = "\x00null", "\x00pool"
@@ -141,7 +146,7 @@ def group_sizes(rows: DataFrame) -> DataFrame:
     return stored(few_files(sizes.withColumn("g_source", F.when(F.col("g_count") < MIN_GROUP, POOL).otherwise(F.col("_source")))), "group-sizes")
 
 
-def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+def estimate(rows: DataFrame) -> DataFrame:
     """The model of each group of rows (g_lang, g_source, x); stored."""
     middle = [F.percentile_approx(F.get("x", F.lit(i)), [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIM)]
     quartiles = rows.groupBy(*GROUP).agg(F.count("*").alias("g_rows"), *middle)
@@ -149,15 +154,19 @@ def estimate(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     model = stored(few_files(quartiles.select(
         *GROUP, "g_rows", F.array(*(F.get(f"q{i}", F.lit(1)) for i in range(DIM))).alias("center"),
         F.array(*(1 / sd[i] if i == j else F.lit(0.0) for i in range(DIM) for j in range(DIM))).alias("whiten"),
+        F.lit(math.inf).alias("logdet"), F.lit(1.0).alias("scale"), F.lit(True).alias("fell"),
     )), "mcd-start")
     x = [F.get("x", F.lit(i)) for i in range(DIM)]
     sums = [F.sum(x[i]).alias(f"s{i}") for i in range(DIM)] + [F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(DIM) for j in range(i + 1)]
-    for step in range(steps):
-        near = join_small_groups(rows, model, GROUP, "g_rows", F.xxhash64("x"))
+    searched, step = True, 0
+    while searched:
+        near = join_small_groups(rows, model.drop("logdet", "scale", "fell"), GROUP, "g_rows", F.xxhash64("x"))
         bins = near.withColumn("bin", F.least(F.floor(F.sqrt(_distance2()) * BINS_PER_UNIT), F.lit(BINS)).cast("int"))
         moments = bins.groupBy(*GROUP, "bin").agg(F.count("*").alias("n"), *sums)
-        model = stored(few_files(moments.groupBy(*GROUP).applyInArrow(_concentrated, MODEL)), f"mcd-{step}")
-    return model
+        found = moments.groupBy(*GROUP).cogroup(model.groupBy(*GROUP)).applyInArrow(_concentrated, MODEL)
+        model = stored(few_files(found), f"mcd-{step}")
+        searched, step = not model.where("fell").isEmpty(), step + 1
+    return model.select(*GROUP, "g_rows", "center", F.transform("whiten", lambda w: w / F.sqrt("scale")).alias("whiten"))
 
 
 def judged(rows: DataFrame, sizes: DataFrame, model: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 from snapscope.llm import quality
 
 from tests.llm.cases import documents, odd_texts, prose
@@ -52,3 +53,10 @@ def test_estimate_agrees_with_a_plain_concentration_of_all_rows(spark):
     whiten = np.array(model.whiten).reshape(quality.DIM, quality.DIM)
     d2 = (((x - model.center) @ whiten.T) ** 2).sum(axis=1)
     assert (d2[:60] > quality.CUTOFF).all() and (d2[60:] <= quality.CUTOFF).mean() > 0.97
+
+
+def test_normal_rows_are_rejected_as_the_cutoff_means(spark):
+    x = [F.randn(7 + i) * 3 for i in range(quality.DIM)]
+    rows = spark.range(0, 100_000, 1, 4).select(F.lit("l").alias("g_lang"), F.lit("s").alias("g_source"), F.array(*x[:-1], x[-1] + 2 * x[0]).alias("x"))
+    far = rows.crossJoin(quality.estimate(rows).drop("g_lang", "g_source")).where(quality._distance2() > quality.CUTOFF).count()
+    assert 65 <= far <= 140
