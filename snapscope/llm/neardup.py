@@ -81,24 +81,24 @@ def row_id(doc_id: str, text: str) -> Column:
 
 
 def sketched(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, rid, n_shingles, node, sketch) of every row; node is null for empty sets."""
+    """(doc_id, rid, text_hash, n_shingles, node, sketch) of every row; node is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
         for batch in batches:
             sizes, nodes, sketches = [], [], []
-            for text in batch.column(2).cast(pa.binary()):
+            for text in batch.column(3).cast(pa.binary()):
                 values = shingles(text.as_py() or b"")
                 sizes.append(len(values))
                 nodes.append(node_of(values) if len(values) else None)
                 sketches.append(values[:SKETCH].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())],
-                names=["doc_id", "rid", "n_shingles", "node", "sketch"],
+                [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.binary())],
+                names=["doc_id", "rid", "text_hash", "n_shingles", "node", "sketch"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id("doc_id", "text").alias("rid"), "text")
-    return rows.mapInArrow(run, "doc_id long, rid long, n_shingles long, node long, sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id("doc_id", "text").alias("rid"), F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(run, "doc_id long, rid long, text_hash long, n_shingles long, node long, sketch binary")
 
 
 def links(n: int, pairs: list[list[int]], block: list) -> list[tuple[int, int]]:
@@ -279,8 +279,8 @@ def exact_edges(docs: DataFrame, members: DataFrame, width: int, percent: int) -
     return _edges_of_units(full, ["g", "lo", "hi"], "own", lambda s: alike_sets(s, percent)).distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, node, rid) of every document."""
+def in_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, node, rid, text_hash, root) of every document; root is a component's own id, null without words."""
     bounded_batches(docs)
     rows = stored(sketched(docs, width), "sketches")
     classes = rows.where("node IS NOT NULL").groupBy("node", "sketch", "n_shingles").agg(
@@ -291,16 +291,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     linked = components(exact_edges(docs, members, width, percent))
     found = classes.select("node", "copies", "first_id").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = found.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("_classes"))
-    facts = join_small_groups(found.select("root", "node", "copies"), smallest, ["root"], "_classes", F.col("node")).select("node", "copies", "component_id")
+    facts = join_small_groups(found.select("root", "node", "copies"), smallest, ["root"], "_classes", F.col("node")).select("node", "copies", "component_id", "root")
     out = join_small_groups(rows.drop("sketch"), stored(few_files(facts), "components"), ["node"], "copies", F.xxhash64("doc_id"))
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "node", "rid")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "node", "rid", "text_hash", "root")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, node, rid) of every document."""
+    return in_components(docs, width, percent).drop("text_hash", "root")
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: that with the smallest id, once; rows without words all stay."""
-    found = near_duplicates(docs, width, percent)
-    stay = found.where("kept").groupBy(F.col("rid").alias("_id")).agg(F.max(F.col("node").isNull()).alias("_empty"))
-    rows = docs.join(stay, row_id("doc_id", "text") == F.col("_id"))
-    again = Window.partitionBy("_id").orderBy(F.xxhash64("text"))
+    """docs with one document of each component: that with the smallest id, once; rows without words all stay.
+
+    Ids may repeat with other texts, so a row is known by its id and the hash of its text. Of a component's texts with
+    the smallest id, that of least hash stays.
+    """
+    found = in_components(docs, width, percent).where("kept")
+    first = found.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("rid", "text_hash")).alias("first"))
+    stay = first.select("first.*", F.lit(False).alias("_empty")).union(found.where("root IS NULL").select("rid", "text_hash", F.lit(True)).distinct())
+    stay = stay.select(F.col("rid").alias("_id"), F.col("text_hash").alias("_hash"), "_empty")
+    rows = docs.join(stay, (row_id("doc_id", "text") == F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    again = Window.partitionBy("_id", "_hash").orderBy(F.xxhash64("text"))
     return rows.withColumn("_copy", F.row_number().over(again)).where("_copy = 1 OR _empty").select(*docs.columns)

@@ -74,6 +74,17 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert neardup.deduplicated(twice, 5).count() == 1
 
 
+def test_unlike_texts_of_one_id_are_told_apart(spark):
+    x, y, z = prose(11, 60), prose(12, 60), prose(13, 60)
+    near = near_copies(3, 0.01, 14)
+    docs = documents(spark, [x, y, y, z, None, *near, None, None], [7, 7, 3, 7, 7, 8, 8, None, None, 7])
+    texts = [r.text for r in neardup.deduplicated(docs, 4).collect()]
+    assert sorted(t for t in texts if t and t not in near) == sorted([x, y, z]) and texts.count(None) == 3
+    assert len([t for t in texts if t in near]) == 1
+    assert sorted(r.text for r in neardup.deduplicated(documents(spark, [x, y], [7, 7]), 5).collect()) == sorted([x, y])
+    assert neardup.deduplicated(documents(spark, near, [None] * 3), 4).count() == 1
+
+
 def test_components_of_chains_stars_and_rings(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 202), (202, 200), (-5, 300), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
