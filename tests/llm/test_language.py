@@ -32,3 +32,20 @@ def test_empty_tables_and_long_pages(spark):
     assert run(spark, []) == {}
     assert run(spark, [(1, "u", page(TEXTS["en"] * 20_000))])[1].lang == "en"
     assert run(spark, [(1, "u", page("x"))], documents(spark, []))[1].lang is None
+
+
+def test_the_rarest_of_many_languages_is_known(spark):
+    texts = [f"{chr(0x4E00 + k)}{chr(0x5E00 + k)} {chr(0x6E00 + k)}" * 9 for k in range(205)]
+    docs = documents(spark, [TEXTS["de"]], lang="de")
+    docs = docs.union(spark.createDataFrame([(k, t, f"x{k % 205:03}") for k, t in enumerate(texts * 2)], "doc_id long, text string, lang string").selectExpr(
+        "doc_id", "text", "lang", *(f"CAST(NULL AS {t})" for _, t in docs.dtypes[3:])))
+    got = run(spark, [(1, "http://a.example.org/", page(TEXTS["de"])), (2, "http://b.example.org/", page(texts[204])), (3, "http://b.example.org/", page(""))], docs)
+    assert (got[1].lang, got[2].lang, got[1].text_lang, got[2].text_lang) == ("de", "x204", "de", "x204") and got[3].text_lang is None
+
+
+def test_blocks_of_languages_change_nothing(spark, monkeypatch):
+    rows = [(k, f"http://h{k % 4}.example.fr/", page(TEXTS[lang], lang)) for k, lang in enumerate([*TEXTS] * 3)] + [(50, None, None)]
+    one = run(spark, rows)
+    monkeypatch.setattr(language, "LANGUAGE_BLOCK", 1)
+    several = run(spark, rows)
+    assert all((one[k].lang, one[k].text_lang) == (several[k].lang, several[k].text_lang) and abs(one[k].confidence - several[k].confidence) < 1e-9 for k in one)
