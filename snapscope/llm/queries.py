@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from snapscope.llm import decontaminate, extract, language, neardup, packing, quality, suffix_dedup, toxicity, url_filter, warc
+from snapscope.llm import bpe, decontaminate, extract, language, neardup, packing, quality, suffix_dedup, toxicity, url_filter, warc
 from snapscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,3 +118,20 @@ def op5(spark, sf_dir):
 @query("op3_suffix_dedup")
 def op3(spark, sf_dir):
     return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
+
+
+def multilingual_vocabulary() -> tuple[str, str]:
+    """The rank file for many languages and the pattern that splits texts for it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+@query("op11_byte_bpe")
+def op11(spark, sf_dir):
+    vocabulary = multilingual_vocabulary()
+    ids = bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary)
+    return bpe.decoded(ids, *vocabulary).select(
+        "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
