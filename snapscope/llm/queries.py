@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapscope.llm import bpe, decontaminate, extract, language, neardup, packing, quality, suffix_dedup, toxicity, url_filter, warc
+from snapscope.llm import bpe, decontaminate, extract, importance, language, neardup, packing, quality, suffix_dedup, toxicity, url_filter, warc
 from snapscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,3 +135,31 @@ def op11(spark, sf_dir):
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("bytes", 256).alias("decoded_sha256"),
     )
+
+
+def _crc32(word: str) -> str:
+    """SQL for the unsigned CRC-32 of a text's bytes, one byte after the other over a list r of 256 remainders."""
+    digits = f"hex(encode({word}))"
+    read = f"list_transform(range(1, octet_length(encode({word})) + 1), lambda i: CAST('0x' || substr({digits}, CAST(2 * i - 1 AS INT), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {read}), lambda c, b: xor(c >> 8, r[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+@query("op13_importance_resampling", f"""
+    WITH remainders AS (SELECT list_transform(range(256), lambda n: list_reduce(
+        [n, 1, 2, 3, 4, 5, 6, 7, 8], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS r),
+    d AS (SELECT doc_id, regexp_extract_all({ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    sw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w) AS w FROM d) GROUP BY ALL),
+    tw AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all({ASCII_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark) GROUP BY w),
+    v AS (SELECT w, {_crc32("w")} % 10000 AS b FROM (SELECT w FROM sw UNION SELECT w FROM tw), remainders),
+    s AS (SELECT b, sum(n) AS s FROM sw JOIN v USING (w) GROUP BY b), t AS (SELECT b, sum(n) AS t FROM tw JOIN v USING (w) GROUP BY b),
+    g AS (SELECT b, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (coalesce((SELECT sum(s) FROM s), 0)::DOUBLE + 10000)
+        / ((coalesce(s, 0)::DOUBLE + 1) * (coalesce((SELECT sum(t) FROM t), 0)::DOUBLE + 10000)))) AS BIGINT) AS g FROM s FULL JOIN t USING (b)),
+    x AS (SELECT doc_id, sum(n * g)::BIGINT AS weight FROM sw JOIN v USING (w) JOIN g USING (b) GROUP BY doc_id),
+    y AS (SELECT doc_id, len(w) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln(
+        (CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT)::DOUBLE + 0.5) / 4294967296))) AS BIGINT) AS score FROM d LEFT JOIN x USING (doc_id)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS p, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM y)
+    SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND p <= 10 * n // 100 THEN p END AS rank FROM r
+""")
+def op13(spark, sf_dir):
+    drawn = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
