@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapscope.llm import bpe, decontaminate, extract, importance, language, neardup, packing, quality, suffix_dedup, toxicity, url_filter, warc
+from snapscope.llm import bpe, conversations, decontaminate, extract, importance, language, neardup, packing, quality, suffix_dedup, toxicity, url_filter, warc
 from snapscope.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,3 +163,9 @@ def _crc32(word: str) -> str:
 def op13(spark, sf_dir):
     drawn = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_conversation_repair")
+def op12(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damaged(rows), rows)

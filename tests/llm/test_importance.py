@@ -16,7 +16,8 @@ def words_of(text):
         elif "A" <= c <= "Z":
             word += c.lower()
         elif word:
-            out, word = out + [word], ""
+            out.append(word)
+            word = ""
     return out
 
 
