@@ -1,8 +1,9 @@
 """Ranked text search over the row index, or straight over tables without one.
 
-One plan: filter the index on the tokens (table names prune partitions), score in parallel, keep the
-best rows per table and then in total, and fetch the stored rows only for those few. The candidates'
-text never leaves the scoring stage.
+Rows are found by the posting lists of an index that has them, else by reading its texts. Scores are bounded first by
+lengths, contained words and counts of signs. Over a stored index, the bounds give a score per table that its quota is
+certain to reach, and only rows that can reach it are scored exactly. The best rows per table and then in total
+are kept, and the stored rows fetched only for those few. The candidates' text never leaves the scoring stage.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from snapscope.functions.similarity import with_token_set_ratio
+from snapscope.functions.similarity import STAGED, ratio_bounds, with_common_bounds, with_exact_ratio
 from snapscope.functions.text import normalize_query
+from snapscope.operators.posting_lists import PostingIndex, narrowed
 from snapscope.operators.text_index import build_index
+from snapscope.session import settled
 
 # Bounds of the query arguments.
 PER_TABLE_MAX, CANDIDATES_MAX, TOTAL_MAX, TABLES_MAX = 200, 2000, 5000, 200
@@ -102,9 +105,9 @@ def _holds(tokens: Sequence[str], mode: str) -> Column:
     return F.exists(F.array("content_norm"), lambda text: reduce(both, _contains(text, tokens)))
 
 
-def candidates(index: DataFrame, args: SearchArgs) -> DataFrame:
+def candidates(index: DataFrame | PostingIndex, args: SearchArgs) -> DataFrame:
     """Index rows that hold any (or all) of the tokens as substrings; without tokens, every row."""
-    rows = index
+    rows = narrowed(index, args.tokens, args.token_mode) if isinstance(index, PostingIndex) else index
     if args.tables:
         rows = rows.filter(F.col("table_name").isin(list(args.tables)))
     if args.tokens:
@@ -120,17 +123,47 @@ def coverage(tokens: Sequence[str]) -> Column:
     return reduce(lambda x, y: x + y, [c.cast("int") for c in _contains(F.col("content_norm"), tokens)], F.lit(0))
 
 
-def scored(rows: DataFrame, args: SearchArgs, carry: Sequence[str] = ()) -> DataFrame:
-    """Coverage, has_all and score (whole number) per candidate; below `min_score` dropped. `carry` names columns to keep."""
+_NEEDED = ["table_name", "pk_col", "pk_value", "row_id", "copies"]
+
+
+def bounded(rows: DataFrame, args: SearchArgs, carry: Sequence[str] = ()) -> DataFrame:
+    """Coverage, has_all and bounds of the score (`low`, `high`, whole numbers) per candidate; those below `min_score` for certain are
+    dropped. What an exact score takes is staged beside them. `carry` names columns to keep."""
     tokens = args.tokens
     cover = coverage(tokens)
     has_all = F.when(cover == len(tokens), 1).otherwise(0) if tokens else F.lit(0)
-    needed = ["table_name", "pk_col", "pk_value", "row_id", "copies", *carry]
+    needed = [*_NEEDED, *carry]
     rows = rows.select(*needed, "content_norm", cover.alias("coverage"), has_all.alias("has_all"))
-    rows = with_token_set_ratio(rows, tokens, "content_norm")
-    if args.min_score is not None:
-        rows = rows.filter(F.col("ratio") >= args.min_score)
-    return rows.select(*needed, F.col("ratio").cast("int").alias("score"), "coverage", "has_all")
+    rows = with_common_bounds(rows, tokens, "content_norm", whole_scores=True)
+    low, high = ratio_bounds()
+    rows = rows.select(*needed, "coverage", "has_all", low.cast("int").alias("low"), high.cast("int").alias("high"), *STAGED)
+    return rows if args.min_score is None else rows.filter(F.col("high") >= args.min_score)
+
+
+def exact(rows: DataFrame, args: SearchArgs) -> DataFrame:
+    """The score of bounded rows; below `min_score` dropped."""
+    rows = with_exact_ratio(rows, args.tokens, "score").drop(*STAGED, "low", "high").withColumn("score", F.col("score").cast("int"))
+    return rows if args.min_score is None else rows.filter(F.col("score") >= args.min_score)
+
+
+def scored(rows: DataFrame, args: SearchArgs, carry: Sequence[str] = ()) -> DataFrame:
+    """Coverage, has_all and score (whole number) per candidate; below `min_score` dropped."""
+    return exact(bounded(rows, args, carry), args)
+
+
+def contenders(rows: DataFrame, args: SearchArgs, rank_by: str = "coverage") -> DataFrame:
+    """The bounded rows that can enter their table's quota: `per_table` rows are certain to rank as high as their lower bounds
+    say, and a row whose upper bound ranks below them all is out. One row per table is sent to the tasks."""
+
+    def place(score: str) -> Column:
+        return F.struct(*([] if rank_by == "score" else ["has_all", "coverage"]), F.col(score).alias("score"))
+
+    certain = rows if args.min_score is None else rows.filter(F.col("low") >= args.min_score)
+    first = Window.partitionBy("table_name").orderBy(place("low").desc())
+    filled = certain.select("table_name", place("low").alias("place"), F.row_number().over(first).alias("n")).filter(F.col("n") <= args.per_table)
+    least = filled.groupBy("table_name").agg(F.min("place").alias("least"), F.count("*").alias("n")).filter(F.col("n") == args.per_table)
+    met = rows.join(F.broadcast(least.select("table_name", "least")), "table_name", "left")
+    return met.filter(F.col("least").isNull() | (place("high") >= F.col("least"))).drop("least")
 
 
 def _rank(by: str) -> list[Column]:
@@ -151,15 +184,17 @@ def within_quota(rows: DataFrame, args: SearchArgs, rank_by: str = "coverage") -
     return kept.orderBy(*_rank(rank_by)).limit(args.total_limit)
 
 
-def with_payload(chosen: DataFrame, index: DataFrame, limit: int) -> DataFrame:
+def with_payload(chosen: DataFrame, index: DataFrame | PostingIndex, limit: int) -> DataFrame:
     """Add the stored row. `chosen` has at most `limit` rows: up to TOTAL_MAX they are sent to the index partitions,
-    more are joined by shuffle.
+    more are joined by shuffle. Of an index with posting lists only the partitions of the chosen keys are opened.
 
     Equal rows share their id; each chosen place keeps one stored row.
     """
-    stored = index.select("table_name", "row_id", "row_json")
+    keys = ["part", "row_key"] if isinstance(index, PostingIndex) else []
+    rows = index.rows if isinstance(index, PostingIndex) else index
+    stored = rows.select(*keys, "table_name", "row_id", "row_json")
     side = F.broadcast(chosen) if limit <= TOTAL_MAX else chosen
-    return stored.join(side, ["table_name", "row_id"]).dropDuplicates(["table_name", "rank_in_table"])
+    return stored.join(side, [*keys, "table_name", "row_id"]).dropDuplicates(["table_name", "rank_in_table"])
 
 
 def grouped_order(chosen: DataFrame, args: SearchArgs) -> DataFrame:
@@ -181,21 +216,26 @@ def grouped_order(chosen: DataFrame, args: SearchArgs) -> DataFrame:
 
 
 def search(
-    index: DataFrame, args: SearchArgs, payload: bool = True, rank_by: str = "coverage", stored: bool = True
+    index: DataFrame | PostingIndex, args: SearchArgs, payload: bool = True, rank_by: str = "coverage", stored: bool = True
 ) -> DataFrame:
     """Ranked rows: table_rank, table_name, rank, score, coverage, has_all, pk, row_id, copies, row_json.
 
-    The row itself is fetched in a second narrow read of a stored index; an index formed on the fly
-    (`stored=False`) has it at hand, so it is carried along and cut down by the quotas.
+    Over a stored index the bounded candidates are stored in turn, since they are read for the quotas' least scores and again for
+    the rows that can reach these; the row itself is fetched in a second narrow read. An index formed on the fly
+    (`stored=False`) is read once: its open rows are all scored, and the row is carried along and cut down by the quotas.
     """
-    carry = ["row_json"] if payload and not stored else []
-    chosen = within_quota(scored(candidates(index, args), args, carry), args, rank_by)
+    keys = ["part", "row_key"] if isinstance(index, PostingIndex) else []
+    carry = ["row_json"] if payload and not stored else keys
+    rows = bounded(candidates(index, args), args, carry)
+    if stored:
+        rows = contenders(settled(rows), args, rank_by)
+    chosen = within_quota(exact(rows, args), args, rank_by)
     if payload and stored:
         chosen = with_payload(chosen, index, args.total_limit)
     return grouped_order(chosen, args)
 
 
-def search_counts(index: DataFrame, args: SearchArgs) -> DataFrame:
+def search_counts(index: DataFrame | PostingIndex, args: SearchArgs) -> DataFrame:
     """One row: query, normalised query, candidates (after `min_score`) and returned rows."""
     per_table = scored(candidates(index, args), args).groupBy("table_name").agg(F.count("*").alias("n"))
     within = F.coalesce(F.sum(F.least("n", F.lit(args.per_table))), F.lit(0))

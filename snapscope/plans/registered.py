@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from snapscope.functions import numbers, text
 from snapscope.operators import (
-    browse, content_diff, diff, keys, profile, rollup, search, signals, text_index, track, validate,
+    browse, content_diff, diff, keys, posting_lists, profile, rollup, search, signals, text_index, track, validate,
 )
 from snapscope.functions.dates import date_in_name
 from snapscope.functions.names import col
@@ -21,9 +21,10 @@ from snapscope.functions.serial import flatten_nested, json_rows
 from snapscope.operators.filters import matches, parse_conditions
 from snapscope.plans import report
 from snapscope.plans.versions import (
-    daily_catalog, events_daily, lineitem_versions, null_key_versions, number_texts, order_files,
+    TABLES, daily_catalog, events_daily, lineitem_versions, null_key_versions, number_texts, order_files,
     orders_versions, part_versions, table, tables,
 )
+from snapscope.session import shared_path
 from snapscope.sources import catalog, export, ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -752,17 +753,63 @@ def _(spark, d):
 
 # --- text index and search ---------------------------------------------------------------------
 
-SEARCHED = ["part", "supplier", "documents", "benchmark", "conversations"]
-INDEX_SQL = f"""idx AS (
-  SELECT 'part' AS table_name, NULL AS pk_col, NULL AS pk_value, {norm_sql("concat_ws(' ', p_partkey, p_name, p_brand, p_type, p_size, p_retailprice)")} AS content_norm, sha256('part' || chr(10) || to_json(part)) AS row_id FROM part
-  UNION ALL SELECT 'supplier', NULL, NULL, {norm_sql("concat_ws(' ', s_suppkey, s_name, s_nationkey, s_acctbal)")}, sha256('supplier' || chr(10) || to_json(supplier)) FROM supplier
-  UNION ALL SELECT 'documents', 'doc_id', doc_id::VARCHAR, {norm_sql("concat_ws(' ', doc_id, text, lang, source, n_chars)")}, NULL FROM documents
-  UNION ALL SELECT 'benchmark', 'item_id', item_id::VARCHAR, {norm_sql("concat_ws(' ', item_id, text)")}, NULL FROM benchmark
-  UNION ALL SELECT 'conversations', 'conv_id', conv_id::VARCHAR, {norm_sql("concat_ws(' ', conv_id, turn, role, text)")}, NULL FROM conversations)"""
+# Columns of every table, and its key by name.
+COLUMNS = {
+    "region": "r_regionkey, r_name", "nation": "n_nationkey, n_name, n_regionkey",
+    "customer": "c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment", "supplier": "s_suppkey, s_name, s_nationkey, s_acctbal",
+    "part": "p_partkey, p_name, p_brand, p_type, p_size, p_retailprice",
+    "orders": "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority",
+    "lineitem": "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate",
+    "events": "event_id, ts, user_id, event_type, value, props", "documents": "doc_id, text, lang, source, n_chars",
+    "embeddings": "vec_id, embedding, label", "pages": "page_id, url, html", "benchmark": "item_id, text", "labels": "doc_id, quality, toxic",
+    "conversations": "conv_id, turn, role, text",
+}
+KEYED = {"events": "event_id", "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id", "conversations": "conv_id"}
+TEXTS = {
+    "region": "r_name", "nation": "n_name", "customer": "c_name, c_mktsegment", "supplier": "s_name", "part": "p_name, p_brand, p_type",
+    "orders": "o_orderstatus, o_orderpriority", "lineitem": "l_returnflag, l_linestatus", "events": "event_type, props", "documents": "text, lang, source",
+    "embeddings": "vec_id, embedding, label", "pages": "url, html", "benchmark": "text", "labels": "doc_id, quality, toxic", "conversations": "role, text",
+}
+# Floats as Spark writes them: below a thousandth with an exponent.
+FLOATS_SQL = """'[' || array_to_string(list_transform(embedding, lambda x: CASE WHEN x = 0 OR abs(x) >= 0.001 THEN x::VARCHAR ELSE
+    (CASE WHEN x < 0 THEN '-' ELSE '' END) || regexp_replace(CASE WHEN contains(x::VARCHAR, 'e') THEN replace(replace(split_part(x::VARCHAR, 'e', 1), '.', ''), '-', '')
+      ELSE ltrim(split_part(x::VARCHAR, '.', 2), '0') END, '^(.)(.*)$', '\\1.\\2') || CASE WHEN len(ltrim(replace(replace(split_part(x::VARCHAR, 'e', 1), '.', ''), '-', ''), '0')) = 1 THEN '0' ELSE '' END
+    || 'E' || CASE WHEN contains(x::VARCHAR, 'e') THEN split_part(x::VARCHAR, 'e', 2)::INT ELSE len(ltrim(split_part(x::VARCHAR, '.', 2), '0')) - len(split_part(x::VARCHAR, '.', 2)) - 1 END END), ',') || ']'"""
+
+
+def _index_sql(searched=COLUMNS, first_column=False) -> str:
+    """Index rows of every table in SQL; equal rows once per occurrence."""
+    parts = []
+    for name, columns in COLUMNS.items():
+        key = columns.split(",")[0] if first_column else KEYED.get(name)
+        content = norm_sql(f"concat_ws(' ', {searched[name]})".replace("embedding", f"({FLOATS_SQL})") if name == "embeddings" else f"concat_ws(' ', {searched[name]})")
+        as_json = f"to_json({name})::VARCHAR"
+        if name in ("orders", "lineitem"):
+            as_json = f"regexp_replace({as_json}, '(\"(o_orderdate|l_shipdate)\":\"[0-9-]+) ', '\\1T')"
+        elif name == "events":
+            as_json = """to_json({'event_id': event_id, 'ts': strftime(ts, CASE WHEN date_trunc('second', ts) = ts THEN '%Y-%m-%dT%H:%M:%S' ELSE '%Y-%m-%dT%H:%M:%S.%f' END),
+      'user_id': user_id, 'event_type': event_type, 'value': value, 'props': props})::VARCHAR"""
+        elif name == "embeddings":
+            as_json = f"""'{{"vec_id":' || vec_id || ',"embedding":' || {FLOATS_SQL} || ',"label":' || label || '}}'"""
+        parts.append(f"""SELECT '{name}' AS table_name, {f"'{key}'" if key else 'NULL'} AS pk_col, {f'{key}::VARCHAR' if key else 'NULL'} AS pk_value,
+    {content} AS content_norm, sha256('{name}' || chr(10) || {as_json}) AS row_id FROM {name}""")
+    return "idx AS (" + "\n  UNION ALL ".join(parts) + ")"
+
+
+INDEX_SQL = _index_sql()
+_STORED_INDEXES: dict[tuple[str, str], posting_lists.PostingIndex] = {}
+
+
+def _index(spark, d, names=TABLES):
+    return text_index.build_index(tables(spark, d, *names))
 
 
-def _index(spark, d, names=SEARCHED):
-    return text_index.build_index(tables(spark, d, *names))
+def _stored_index(spark, d) -> posting_lists.PostingIndex:
+    """The index of all tables with its posting lists, stored once per session."""
+    known = spark.sparkContext.applicationId, d
+    if known not in _STORED_INDEXES:
+        _STORED_INDEXES[known] = posting_lists.write_postings(_index(spark, d), shared_path(spark, "row-index"))
+    return _STORED_INDEXES[known]
 
 
 @query("index_rows", f"WITH {INDEX_SQL} SELECT table_name, pk_col, pk_value, content_norm FROM idx")
@@ -770,19 +817,24 @@ def _(spark, d):
     return _index(spark, d).select("table_name", "pk_col", "pk_value", "content_norm")
 
 
-@query("index_row_ids", f"WITH {INDEX_SQL} SELECT row_id, count(*) AS copies FROM idx WHERE row_id IS NOT NULL GROUP BY 1")
+@query("index_row_ids", f"WITH {INDEX_SQL} SELECT row_id, count(*) AS copies FROM idx GROUP BY 1")
 def _(spark, d):
-    return text_index.folded(_index(spark, d, ["part", "supplier"])).select("row_id", "copies")
+    return text_index.folded(_index(spark, d)).select("row_id", "copies")
 
 
-@query("index_row_offsets", "SELECT 'part' AS table_name, p_partkey::VARCHAR AS key_text, row_number() OVER (ORDER BY p_partkey) - 1 AS row_offset FROM part UNION ALL SELECT 'supplier', s_suppkey::VARCHAR, row_number() OVER (ORDER BY s_suppkey) - 1 FROM supplier")
+@query("index_posting_lists", f"""WITH {INDEX_SQL}, d AS (SELECT DISTINCT row_id, content_norm FROM idx),
+  w AS (SELECT DISTINCT row_id, unnest(string_split(content_norm, ' ')) AS w FROM d),
+  g AS (SELECT DISTINCT row_id, unnest(list_transform(range(1, len(w) - 1), lambda i: substr(w, CAST(i AS INT), 3))) AS gram FROM w WHERE len(w) >= 3)
+  SELECT gram, count(*) AS row_count FROM g GROUP BY 1""")
 def _(spark, d):
-    parts = [
-        text_index.index_rows("part", table(spark, d, "part")).withColumn("sort_key", F.get_json_object("row_json", "$.p_partkey").cast("bigint")),
-        text_index.index_rows("supplier", table(spark, d, "supplier")).withColumn("sort_key", F.get_json_object("row_json", "$.s_suppkey").cast("bigint")),
-    ]
-    placed = text_index.with_row_offset(parts[0].unionByName(parts[1]), ["sort_key"])
-    return placed.select("table_name", F.col("sort_key").cast("string").alias("key_text"), "row_offset")
+    return _stored_index(spark, d).counts.select("gram", F.col("n").alias("row_count"))
+
+
+@query("index_row_offsets", f"""WITH {INDEX_SQL}, f AS (SELECT table_name, row_id, count(*) AS n FROM idx GROUP BY 1, 2)
+  SELECT table_name, row_id, (sum(n) OVER (PARTITION BY table_name ORDER BY row_id) - n)::BIGINT AS row_offset FROM f""")
+def _(spark, d):
+    folded = text_index.folded(_index(spark, d)).drop("content_norm", "row_json")
+    return text_index.with_row_offset(folded, []).select("table_name", "row_id", "row_offset")
 
 
 @query("index_statistics", f"WITH {INDEX_SQL} SELECT table_name, count(*) AS indexed_rows FROM idx GROUP BY 1")
@@ -790,14 +842,14 @@ def _(spark, d):
     return text_index.index_statistics(_index(spark, d))
 
 
-@query("index_progress", "SELECT 'orders' AS table_name, (SELECT count(*) FROM orders) AS total_rows, 0::BIGINT AS indexed_rows, (SELECT count(*) FROM orders) AS missing_rows")
+@query("index_progress", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS total_rows, 0::BIGINT AS indexed_rows, count(*) AS missing_rows FROM {n}" for n in TABLES if n not in ("part", "supplier")))
 def _(spark, d):
-    return text_index.index_progress(tables(spark, d, "part", "supplier", "orders"), _index(spark, d, ["part", "supplier"]))
+    return text_index.index_progress(tables(spark, d, *TABLES), _index(spark, d, ["part", "supplier"]))
 
 
-@query("index_missing_rows", f"WITH {INDEX_SQL} SELECT table_name, count(*) AS row_count FROM idx WHERE table_name = 'supplier' GROUP BY 1")
+@query("index_missing_rows", f"WITH {INDEX_SQL} SELECT table_name, count(*) AS row_count FROM idx WHERE table_name <> 'part' GROUP BY 1")
 def _(spark, d):
-    wanted = text_index.folded(_index(spark, d, ["part", "supplier"]))
+    wanted = text_index.folded(_index(spark, d))
     stored = text_index.folded(_index(spark, d, ["part"]))
     return text_index.missing_rows(wanted, stored).groupBy("table_name").agg(F.sum("copies").alias("row_count"))
 
@@ -805,13 +857,13 @@ def _(spark, d):
 def _candidate_sql(tokens: list[str], how: str) -> str:
     tests = [f"contains(content_norm, '{t}')" for t in tokens]
     cover = " + ".join(f"({t})::INT" for t in tests)
-    return f"""WITH {INDEX_SQL} SELECT table_name, pk_value, md5(content_norm) AS content_hash, {cover} AS coverage, (({cover}) = {len(tokens)})::INT AS has_all
-  FROM idx WHERE {f' {how} '.join(tests)}"""
+    return f"""WITH {INDEX_SQL}, d AS (SELECT DISTINCT * FROM idx) SELECT table_name, pk_value, md5(content_norm) AS content_hash, {cover} AS coverage, (({cover}) = {len(tokens)})::INT AS has_all
+  FROM d WHERE {f' {how} '.join(tests)}"""
 
 
 def _candidates(spark, d, q, mode):
     args = search.SearchArgs(q, token_mode=mode)
-    found = search.candidates(_index(spark, d), args)
+    found = search.candidates(_stored_index(spark, d), args)
     cover = search.coverage(args.tokens)
     return found.select("table_name", "pk_value", F.md5("content_norm").alias("content_hash"), cover.alias("coverage"),
                         F.when(cover == len(args.tokens), 1).otherwise(0).alias("has_all"))
@@ -827,46 +879,80 @@ def _(spark, d):
     return _candidates(spark, d, "elle_áux-de", "all")
 
 
-# A single whole word scores 100 wherever it occurs, so the complete ranking can be written in SQL.
-SINGLE_SQL = f"""WITH {INDEX_SQL}, hits AS (SELECT * FROM idx WHERE table_name IN ('part', 'supplier') AND contains(content_norm, '{{q}}'))
-  SELECT 1::INT AS table_rank, table_name, r::INT AS "rank", 100 AS score, 1 AS coverage, 1 AS has_all, row_id
-  FROM (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY row_id) AS r FROM hits) WHERE r <= {{n}}"""
+@query("search_rare_token", _candidate_sql(["000000077"], "OR"))
+def _(spark, d):
+    return _candidates(spark, d, "#000000077", "any")
 
 
-@query("search_ranked_word", SINGLE_SQL.format(q="widget", n=25))
-def _(spark, d):
-    found = search.search(_index(spark, d, ["part", "supplier"]), search.SearchArgs("widget", per_table=25))
-    return found.select("table_rank", "table_name", "rank", "score", "coverage", "has_all", "row_id")
+def ranked_sql(args: search.SearchArgs, index_sql: str = INDEX_SQL, folded: bool = True, rank_by: str = "coverage") -> str:
+    """The complete ranked search in SQL. The longest common subsequence of the leftovers is a fold over bits."""
+    words = sorted(set(args.tokens))
+    q = "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    tests = [f"contains(content_norm, '{t}')" for t in args.tokens]
+    cover = " + ".join(f"({t})::INT" for t in tests)
+    first = f"table_name IN ({', '.join(repr(t) for t in args.priority)})" if args.priority else "false"
+    limit = "" if args.candidate_limit is None else f"ORDER BY {first} DESC, table_name, row_id LIMIT {args.candidate_limit}"
+    tables_ = f"AND table_name IN ({', '.join(repr(t) for t in args.tables)})" if args.tables else ""
+    place = "CASE table_name " + " ".join(f"WHEN '{t}' THEN {i + 1}" for i, t in enumerate(args.priority)) + f" ELSE {len(args.priority) + 1} END" if args.priority else "1"
+    best = "score DESC" if rank_by == "score" else "has_all DESC, coverage DESC, score DESC"
+    return f"""WITH {index_sql}, d AS (SELECT {'DISTINCT' if folded else ''} * FROM idx),
+  h AS (SELECT *, {cover} AS coverage, (({cover}) = {len(args.tokens)})::INT AS has_all FROM d WHERE ({' OR '.join(tests) if args.token_mode == 'any' else ' AND '.join(tests)}) {tables_} {limit}),
+  w AS (SELECT *, list_distinct(string_split(content_norm, ' ')) AS ws FROM h),
+  r AS (SELECT * EXCLUDE (ws, content_norm), array_to_string(list_filter({q}, lambda t: list_contains(ws, t)), ' ') AS shared, array_to_string(list_filter({q}, lambda t: NOT list_contains(ws, t)), ' ') AS rq,
+    array_to_string(list_sort(list_filter(ws, lambda t: NOT list_contains({q}, t))), ' ') AS rt FROM w),
+  m AS (SELECT *, len(shared) AS s, len(rq) AS lq, len(rt) AS lt, list_filter(list_distinct(string_split(rq, '')), lambda c: c <> '') AS signs FROM r),
+  k AS (SELECT *, CASE WHEN rq = '' THEN map(['-'], [0::BIGINT]) ELSE map(signs, list_transform(signs, lambda c: list_sum(list_transform(range(1, lq + 1), lambda i: CASE WHEN substr(rq, CAST(i AS INT), 1) = c THEN 1::BIGINT << (i - 1) ELSE 0 END))::BIGINT)) END AS bits FROM m),
+  c AS (SELECT *, lq - bit_count(list_reduce(list_prepend(((1::BIGINT << lq) - 1)::BIGINT, list_transform(list_filter(string_split(rt, ''), lambda x: list_contains(signs, x)), lambda x: bits[x])),
+    lambda u, b: ((u + (u & b)) | (u - (u & b))) & ((1::BIGINT << lq) - 1))) AS common FROM k),
+  e AS (SELECT *, (CASE WHEN s > 0 THEN s + 1 ELSE 0 END) + lq AS sq, (CASE WHEN s > 0 THEN s + 1 ELSE 0 END) + lt AS st FROM c),
+  x AS (SELECT table_name, pk_col, pk_value, row_id, coverage, has_all, CASE WHEN s > 0 AND (lq = 0 OR lt = 0) THEN 100.0::DOUBLE ELSE greatest(
+      100.0::DOUBLE * (1 - (lq + lt - 2 * common)::DOUBLE / (sq + st)), CASE WHEN s > 0 THEN 100.0::DOUBLE * (1 - (1 + lq)::DOUBLE / (s + sq)) ELSE 0 END,
+      CASE WHEN s > 0 THEN 100.0::DOUBLE * (1 - (1 + lt)::DOUBLE / (s + st)) ELSE 0 END) END AS ratio FROM e),
+  y AS (SELECT * EXCLUDE ratio, floor(ratio)::INT AS score FROM x {'' if args.min_score is None else f'WHERE ratio >= {args.min_score}'}),
+  z AS (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY {best}, row_id) AS n FROM y),
+  l AS (SELECT * FROM z WHERE n <= {args.per_table} ORDER BY {best}, table_name, row_id LIMIT {args.total_limit}),
+  b AS (SELECT *, {place} AS place, max(score) OVER (PARTITION BY table_name) AS best FROM l)
+  SELECT (dense_rank() OVER (ORDER BY place, best DESC, table_name))::INT AS table_rank, table_name, n::INT AS "rank", score, coverage, has_all, pk_col, pk_value, row_id FROM b"""
 
 
-@query("scan_search_word", SINGLE_SQL.format(q="gear", n=10))
-def _(spark, d):
-    found = search.scan_search(tables(spark, d, "part", "supplier"), search.SearchArgs("gear"))
-    return found.select("table_rank", "table_name", "rank", "score", "coverage", "has_all", "row_id")
+def _ranked(name: str, args: search.SearchArgs) -> None:
+    @query(name, ranked_sql(args))
+    def _(spark, d):
+        return search.search(_stored_index(spark, d), args).drop("row_json", "copies")
 
 
-@query("search_counts", f"WITH {INDEX_SQL}, h AS (SELECT table_name, count(*) AS n FROM idx WHERE contains(content_norm, 'the') GROUP BY 1) SELECT 'The' AS q, 'the' AS q_norm, sum(n)::BIGINT AS candidate_count, least(sum(least(n, 10)), 500)::BIGINT AS returned_count FROM h")
-def _(spark, d):
-    return search.search_counts(_index(spark, d), search.SearchArgs("The"))
+_ranked("search_ranked_word", search.SearchArgs("widget", per_table=25))
+_ranked("search_ranked_phrase", search.SearchArgs("the red widget ation", per_table=20, priority=("supplier", "part")))
+_ranked("search_ranked_all_tokens", search.SearchArgs("click 12", token_mode="all", per_table=30))
+# Two tables together, with a priority, a least score and a limit of candidates.
+_ranked("search_ranked_options", search.SearchArgs(
+    "large gear ring", per_table=15, candidate_limit=900, total_limit=40, min_score=30, tables=("part", "orders", "documents"), priority=("orders", "part")))
 
 
-# Scores need a longest common subsequence, which plain SQL cannot give at this size; see the tests.
-@query("search_ranked_phrase")
-def _(spark, d):
-    args = search.SearchArgs("the red widget ation", per_table=20, priority=("supplier", "part"))
-    return search.search(_index(spark, d), args, stored=False).drop("row_json", "copies")
+def _scanned(name: str, args: search.SearchArgs, only_text: bool) -> None:
+    """Without an index, equal rows stay apart."""
+    sql = _index_sql(TEXTS, first_column=True) if only_text else INDEX_SQL
+
+    @query(name, ranked_sql(args, sql, folded=False, rank_by="score"))
+    def _(spark, d):
+        return search.scan_search(tables(spark, d, *TABLES), args, only_text=only_text).drop("row_json", "copies")
+
+
+_scanned("scan_search_word", search.SearchArgs("gear"), False)
+_scanned("scan_search_text_columns", search.SearchArgs("small ring elle"), True)
 
 
-@query("scan_search_text_columns")
+@query("search_counts", f"WITH {INDEX_SQL}, h AS (SELECT table_name, count(DISTINCT row_id) AS n FROM idx WHERE contains(content_norm, 'the') GROUP BY 1) SELECT 'The' AS q, 'the' AS q_norm, sum(n)::BIGINT AS candidate_count, least(sum(least(n, 10)), 500)::BIGINT AS returned_count FROM h")
 def _(spark, d):
-    found = search.scan_search(tables(spark, d, "part", "documents"), search.SearchArgs("small ring elle"), only_text=True)
-    return found.drop("row_json", "copies")
+    return search.search_counts(_stored_index(spark, d), search.SearchArgs("The"))
 
 
-@query("search_results_table", """SELECT 'part' AS "table", 100 AS score, p_partkey::VARCHAR AS p_partkey, p_name, NULL::VARCHAR AS s_name FROM
-  (SELECT * FROM part WHERE contains(p_name, 'bolt') ORDER BY sha256('part' || chr(10) || to_json(part)) LIMIT 50)""")
+@query("search_results_table", f"""WITH {INDEX_SQL}, h AS (SELECT DISTINCT table_name, pk_value, row_id, list_contains(string_split(content_norm, ' '), 'bolt') AS whole FROM idx WHERE contains(content_norm, 'bolt')),
+  r AS (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY row_id) AS n FROM h)
+  SELECT r.table_name AS "table", 100 AS score, p_partkey::VARCHAR AS p_partkey, p_name, NULL::VARCHAR AS s_name
+  FROM r LEFT JOIN part p ON r.table_name = 'part' AND sha256('part' || chr(10) || to_json(p)) = r.row_id WHERE n <= 50 AND whole""")
 def _(spark, d):
-    found = search.search(_index(spark, d, ["part", "supplier"]), search.SearchArgs("bolt", per_table=50))
+    found = search.search(_stored_index(spark, d), search.SearchArgs("bolt", per_table=50))
     return search.results_table(found, ["p_partkey", "p_name", "s_name"])
 
 

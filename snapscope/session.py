@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,13 +30,8 @@ def local_session(
     return spark
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an intermediate result that several later plans read.
-
-    Uses the reliable checkpoint folder the cluster names in `spark.checkpoint.dir`; only a local
-    session without one gets a folder of its own.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in `spark.checkpoint.dir`; only a local session without one gets a folder of its own."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None and context.master.startswith("local"):
@@ -44,6 +40,18 @@ def settled(df: DataFrame) -> DataFrame:
         ) or tempfile.mkdtemp(prefix="snapscope-checkpoints-")
     if folder is None:
         raise ValueError("name a shared folder in spark.checkpoint.dir")
+    return folder.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an intermediate result that several later plans read, by a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint()

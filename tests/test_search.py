@@ -1,8 +1,10 @@
 import itertools
+from dataclasses import replace
 
 import pytest
 
 from snapscope.functions.text import normalize_query
+from snapscope.operators import posting_lists as pl
 from snapscope.operators import search as q
 from snapscope.operators import text_index as ix
 from tests.test_functions import lcs
@@ -167,3 +169,63 @@ def test_stream_keeps_all_copies(spark, tables, tmp_path):
     twice = tables["alpha"].union(tables["alpha"].filter("id = 2"))
     assert ix.index_progress({"al pha": twice}, index).count() == 0
     assert normalize_query("Ação") == "acao"
+
+
+def random_texts(n, seed=4):
+    import random
+
+    r = random.Random(seed)
+    words = ["red", "reed", "green", "gren", "blue", "pump", "pumps", "valve", "ação", "日本語訳", "x", "ab", "the", "there", "other"] + [f"unit{k}" for k in range(60)]
+    return [(k, " ".join(r.choice(words) for _ in range(r.choice([0, 1, 3, 9, 60])))) for k in range(n)]
+
+
+@pytest.fixture(scope="module")
+def posted(spark, tmp_path_factory):
+    tables = {
+        "one": spark.createDataFrame(random_texts(300), "id INT, txt STRING"),
+        "two": spark.createDataFrame([(t,) for _, t in random_texts(200, 5)] * 2, "txt STRING"),
+    }
+    index = ix.build_index(tables)
+    return pl.write_postings(index, str(tmp_path_factory.mktemp("postings")), part_rows=20), ix.folded(index).persist()
+
+
+@pytest.mark.parametrize("args", [
+    q.SearchArgs("unit7", per_table=5), q.SearchArgs("unit12 pump", token_mode="all"), q.SearchArgs("the gren", per_table=7), q.SearchArgs("ab"), q.SearchArgs("x unit5", token_mode="all"),
+    q.SearchArgs("ção there ump", per_table=9, min_score=20), q.SearchArgs("本語訳"), q.SearchArgs("unit7 nothing", token_mode="all"), q.SearchArgs("zzz qqq"), q.SearchArgs(""),
+    q.SearchArgs("other valve unit3", per_table=3, candidate_limit=40, priority=("two",), tables=("two", "one")), q.SearchArgs("red the", 4, min_score=55),
+], ids=str)
+def test_posting_lists_find_what_the_scan_finds(posted, args):
+    index, rows = posted
+    same = ["table_name", "rank", "score", "coverage", "has_all", "row_id", "copies"]
+    got = sorted(tuple(r[c] for c in same) for r in q.search(index, args).collect())
+    assert got == sorted(tuple(r[c] for c in same) for r in q.search(rows, args, stored=False).collect())
+    if args.candidate_limit is None:
+        every = [(r.table_name, r.row_id, r.content_norm) for r in rows.collect()]
+        assert sorted((g[4], g[3], g[2], g[0], g[5]) for g in got) == sorted(brute_force(every, args))
+    assert sorted(map(tuple, q.candidates(index, args).select("row_id").collect())) == sorted(map(tuple, q.candidates(rows, args).select("row_id").collect()))
+
+
+def test_lookups_read_few_partitions_and_common_tokens_all_rows(posted):
+    index, _ = posted
+    keys = pl.candidate_keys(index, ["unit12"])
+    assert keys is not None and 0 < keys.count() < 200 and index.parts > 10
+    plan = pl.narrowed(index, ["unit12"])._jdf.queryExecution().toString()
+    assert "dynamicpruning" in plan and "EqualTo(gram" not in plan
+    assert pl.candidate_keys(index, ["ab"]) is None and pl.candidate_keys(index, ["unit", "ab"]) is None
+    assert pl.candidate_keys(replace(index, keys_sent=3), ["unit"]) is None
+    assert pl.candidate_keys(index, ["unit12", "x"], "all") is not None
+
+
+def test_bounds_hold_and_decide_most_rows(spark):
+    from snapscope.functions.similarity import ratio_bounds, with_common_bounds, with_exact_ratio, with_token_set_ratio
+
+    frame = spark.createDataFrame([(t,) for _, t in random_texts(400, 6)], "t STRING")
+    for query in ("gren unit1", "the red widget ation", "日本 ação", "a b c", "pump", "it's b\\\\c", "w" * 70 + " there " + "v" * 20, ""):
+        low, high = ratio_bounds()
+        staged = with_common_bounds(frame, query.split(), "t")
+        rows = with_exact_ratio(staged.withColumn("low", low).withColumn("high", high), query.split(), "ratio").collect()
+        for r in rows:
+            assert r.low <= r.ratio <= r.high and r.ratio == pytest.approx(ratio(query, r.t))
+        whole = with_common_bounds(frame, query.split(), "t", whole_scores=True)
+        assert whole.where("_rest_text IS NOT NULL").count() <= staged.where("_rest_text IS NOT NULL").count()
+        assert [r.ratio for r in with_token_set_ratio(frame, query.split(), "t").collect()] == [r.ratio for r in rows]
