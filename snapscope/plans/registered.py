@@ -787,7 +787,7 @@ def _index_sql(searched=COLUMNS, first_column=False) -> str:
         if name in ("orders", "lineitem"):
             as_json = f"regexp_replace({as_json}, '(\"(o_orderdate|l_shipdate)\":\"[0-9-]+) ', '\\1T')"
         elif name == "events":
-            as_json = """to_json({'event_id': event_id, 'ts': strftime(ts, CASE WHEN date_trunc('second', ts) = ts THEN '%Y-%m-%dT%H:%M:%S' ELSE '%Y-%m-%dT%H:%M:%S.%f' END),
+            as_json = """to_json({'event_id': event_id, 'ts': CASE WHEN date_trunc('second', ts) = ts THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END,
       'user_id': user_id, 'event_type': event_type, 'value': value, 'props': props})::VARCHAR"""
         elif name == "embeddings":
             as_json = f"""'{{"vec_id":' || vec_id || ',"embedding":' || {FLOATS_SQL} || ',"label":' || label || '}}'"""
