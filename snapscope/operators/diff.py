@@ -201,12 +201,14 @@ def _labelled(joined: DataFrame, spec: DiffSpec, keys: list[str]) -> DataFrame:
     )
     named = [F.when(both & d, F.lit(c)) for d, c in zip(differs, spec.compare)]
     changed = F.array_compact(F.array(*named)) if named else F.array()
+    weight = (F.coalesce("rows_a", F.lit(1)) * F.coalesce("rows_b", F.lit(1))).alias("weight")
     return joined.select(
         change.alias("change_type"),
         F.struct(*[F.col(k).alias(c) for k, c in zip(keys, spec.keys)]).alias("key"),
         F.struct(*[F.col(f"a{i}").alias(c) for i, c in enumerate(spec.compare)]).alias("a"),
         F.struct(*[F.col(f"b{i}").alias(c) for i, c in enumerate(spec.compare)]).alias("b"),
         changed.cast("array<string>").alias("changed_columns"),
+        *([weight] if "rows_a" in joined.columns else []),
     )
 
 
@@ -246,9 +248,13 @@ def keyed_diff(
     include_same: bool = False,
     unique_keys: bool = False,
     hot_rows: int = HOT_ROWS,
+    weighted: bool = False,
 ) -> KeyedDiff:
     """Differences between A and B by key.
 
+    A key that repeats gives one row per pair. With `weighted=True` equal rows of a side are counted together before they
+    are matched, and a diff row stands for `weight` pairs; the signals count by it, and `expanded` gives the pairs.
+
     `unique_keys=True` promises that no key repeats (a declared or inferred key) and skips the count
     over the key columns. Filters on keys and change types narrow the inputs and the join itself.
     """
@@ -260,6 +266,8 @@ def keyed_diff(
         a, b = (df.filter(key_text_filter(df, spec.keys, key_filter)) for df in (a, b))
 
     left, right, names = _sides(a, b, spec)
+    if weighted:
+        left, right = (df.groupBy(*df.columns).agg(F.count("*").alias(f"rows_{tag}")) for df, tag in ((left, "a"), (right, "b")))
     kind = "full_outer" if include_same else _join_kind(wanted)
     null_left, null_right = left.filter(_any_null(names)), right.filter(_any_null(names))
     left, right = left.filter(~_any_null(names)), right.filter(~_any_null(names))
@@ -324,6 +332,11 @@ def _match_dealt(left: DataFrame, right: DataFrame, names: list[str], kind: str,
     return joined.filter(~lost).drop("part", "matched_a", "matched_b")
 
 
+def expanded(rows: DataFrame) -> DataFrame:
+    """The pairs of a weighted diff, each as a row of its own."""
+    return rows.withColumn("weight", F.explode(F.sequence(F.lit(1), F.col("weight").cast("bigint")))).drop("weight")
+
+
 def repeated_versions(a: DataFrame, b: DataFrame, keys: Sequence[str], compare: Sequence[str] | None = None) -> DataFrame:
     """`(key, version, rows_a, rows_b)` of the keys that occur twice or more on a side: linear in the input, whatever
     number of pairs they stand for. Keys with a NULL part match nothing and are left out."""

@@ -1,7 +1,8 @@
 """What a diff says: which columns changed, drift, emptied values, state changes, risk, severity.
 
 Input is the `rows` frame of a keyed diff. Everything is expressed as aggregations that combine
-before they shuffle, over one long form with a row per differing cell (`diff_long`).
+before they shuffle, over one long form with a row per differing cell (`diff_long`). Rows of a weighted diff
+count by their weight; listings show each of them once.
 
 Direction: `new_side` names the side that is the newer version (A by default).
 """
@@ -52,6 +53,16 @@ def key_order(rows: DataFrame) -> Column:
     return F.struct(*parts)
 
 
+def _weight(rows: DataFrame) -> Column:
+    """How many pairs a row stands for."""
+    return (F.col("weight") if "weight" in rows.columns else F.lit(1)).cast("bigint").alias("weight")
+
+
+def _pairs(condition: Column) -> Column:
+    """Pairs of the rows that meet a condition."""
+    return F.coalesce(F.sum(F.when(condition, F.col("weight"))), F.lit(0))
+
+
 def _changed(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("change_type") == "changed")
 
@@ -112,9 +123,9 @@ def diff_long(rows: DataFrame, one_sided: bool = False) -> DataFrame:
     else:
         source = _changed(rows)
     return (
-        source.select("key", "change_type", "changed_columns", F.explode(F.array(*cells)).alias("cell"))
+        source.select("key", "change_type", "changed_columns", _weight(rows), F.explode(F.array(*cells)).alias("cell"))
         .filter(in_row)
-        .select("key", "change_type", "cell.*")
+        .select("key", "change_type", "weight", "cell.*")
     )
 
 
@@ -125,9 +136,9 @@ def column_changes(rows: DataFrame, top: int | None = 12) -> DataFrame:
     """Changed rows per column, most changed first."""
     counts = (
         _changed(rows)
-        .select(F.explode("changed_columns").alias("column_name"))
+        .select(F.explode("changed_columns").alias("column_name"), _weight(rows))
         .groupBy("column_name")
-        .agg(F.count("*").alias("changes"))
+        .agg(F.sum("weight").alias("changes"))
     )
     return _top(counts, top, F.col("changes").desc(), F.col("column_name"))
 
@@ -152,7 +163,7 @@ def null_transitions(rows: DataFrame, new_side: str = "a", top: int | None = 8)
         diff_long(rows)
         .filter(old != new)
         .groupBy("column_name", F.when(old, FILLED).otherwise(EMPTIED).alias("direction"))
-        .agg(F.count("*").alias("transitions"))
+        .agg(F.sum("weight").alias("transitions"))
     )
     return _top(counts, top, F.col("transitions").desc(), F.col("column_name"), F.col("direction"))
 
@@ -162,12 +173,12 @@ def numeric_drift(rows: DataFrame, new_side: str = "a", top: int | None = 8) ->
     delta = F.col(f"number_{new_side}") - F.col(f"number_{_other(new_side)}")
     stats = (
         diff_long(rows)
-        .select("column_name", delta.alias("delta"))
+        .select("column_name", delta.alias("delta"), "weight")
         .filter(F.col("delta").isNotNull() & (F.col("delta") != 0))
         .groupBy("column_name")
         .agg(
-            F.count("*").alias("drift_count"),
-            F.sum(F.abs("delta")).alias("sum_abs_delta"),
+            F.sum("weight").alias("drift_count"),
+            F.sum(F.abs("delta") * F.col("weight")).alias("sum_abs_delta"),
             F.max(F.abs("delta")).alias("max_abs_delta"),
             F.max(F.struct(F.abs("delta"), F.col("delta"))).getField("delta").alias("max_signed_delta"),
         )
@@ -180,7 +191,7 @@ def change_patterns(rows: DataFrame, top: int | None = 5) -> DataFrame:
     found = (
         _changed(rows)
         .groupBy(F.array_join("changed_columns", ", ").alias("pattern"))
-        .agg(F.count("*").alias("row_count"), F.min_by(key_text(rows), key_order(rows)).alias("sample_key"))
+        .agg(F.sum(_weight(rows)).alias("row_count"), F.min_by(key_text(rows), key_order(rows)).alias("sample_key"))
     )
     return _top(found, top, F.col("row_count").desc(), F.col("pattern"))
 
@@ -240,10 +251,10 @@ def state_transitions(
     old, new = state_change(rows, state_columns, new_side)
     counts = (
         _changed(rows)
-        .select(old.alias("old"), new.alias("new"))
+        .select(old.alias("old"), new.alias("new"), _weight(rows))
         .filter((F.col("old") != "") | (F.col("new") != ""))
         .groupBy(_arrow(F.col("old"), F.col("new"), "->").alias("transition"))
-        .agg(F.count("*").alias("row_count"))
+        .agg(F.sum("weight").alias("row_count"))
     )
     return _top(counts, top, F.col("row_count").desc(), F.col("transition"))
 
@@ -254,8 +265,8 @@ def family_counts(
 ) -> DataFrame:
     """Changed rows per family. Rows without one are left out, or counted as `unknown`."""
     family = _pick(rows, family_columns, new_side, _other(new_side))
-    named = _changed(rows).select(F.when(family != "", family).otherwise(F.lit(unknown)).alias("family"))
-    counts = named.filter(F.col("family").isNotNull()).groupBy("family").agg(F.count("*").alias("row_count"))
+    named = _changed(rows).select(F.when(family != "", family).otherwise(F.lit(unknown)).alias("family"), _weight(rows))
+    counts = named.filter(F.col("family").isNotNull()).groupBy("family").agg(F.sum("weight").alias("row_count"))
     return _top(counts, top, F.col("row_count").desc(), F.col("family"))
 
 
@@ -273,6 +284,7 @@ def _scored(rows, state_columns, family_columns, new_side) -> DataFrame:
             old.alias("old"),
             new.alias("new"),
             F.when(family == "", UNKNOWN_FAMILY).otherwise(family).alias("family"),
+            _weight(rows),
         )
         .withColumn("moved", (F.col("old") != "") & (F.col("new") != "") & (F.col("old") != F.col("new")))
     )
@@ -287,8 +299,8 @@ def family_risk(
     no_state = (F.col("old") == "") & (F.col("new") == "")
     transition = F.when(no_state, NO_TRANSITION).otherwise(_arrow(F.col("old"), F.col("new"), "=>"))
     per_transition = scored.groupBy("family", transition.alias("transition")).agg(
-        F.count("*").alias("n"),
-        F.sum(F.col("n_changed") + F.when(F.col("moved"), 3).otherwise(0)).alias("score"),
+        F.sum("weight").alias("n"),
+        F.sum((F.col("n_changed") + F.when(F.col("moved"), 3).otherwise(0)) * F.col("weight")).alias("score"),
         F.min_by("key_text", "o").alias("sample"),
         F.min("o").alias("o"),
     )
@@ -306,11 +318,11 @@ def transition_risk(
 ) -> DataFrame:
     """Rows per `old => new` state, rows without any state counted as such."""
     old, new = state_change(rows, state_columns, new_side)
-    states = _changed(rows).select(old.alias("old"), new.alias("new"))
+    states = _changed(rows).select(old.alias("old"), new.alias("new"), _weight(rows))
     label = F.when((F.col("old") == "") & (F.col("new") == ""), NO_TRANSITION).otherwise(
         _arrow(F.col("old"), F.col("new"), "=>")
     )
-    counts = states.groupBy(label.alias("transition")).agg(F.count("*").alias("row_count"))
+    counts = states.groupBy(label.alias("transition")).agg(F.sum("weight").alias("row_count"))
     return _top(counts, top, F.col("row_count").desc(), F.col("transition"))
 
 
@@ -330,16 +342,18 @@ def risk_rows(
         "first_columns",
         F.when(known, F.concat("old", F.lit(" => "), "new")).otherwise(NO_TRANSITION).alias("transition"),
         "o",
+        "weight",
     ).filter(F.col("risk_score") >= least)
 
 
 def top_risk_rows(risky: DataFrame, top: int = 6) -> DataFrame:
-    return _top(risky, top, F.col("risk_score").desc(), F.col("o")).drop("o")
+    return _top(risky, top, F.col("risk_score").desc(), F.col("o")).drop("o", "weight")
 
 
 def risk_by_key(risky: DataFrame, top: int = 4) -> DataFrame:
     """Risk added up per key: a key may occur in several rows."""
-    sums = risky.groupBy("key_text").agg(F.sum("risk_score").alias("risk_score"), F.count("*").alias("row_count"))
+    sums = risky.groupBy("key_text").agg(
+        F.sum(F.col("risk_score") * F.col("weight")).alias("risk_score"), F.sum("weight").alias("row_count"))
     return _top(sums, top, F.col("risk_score").desc(), F.col("key_text"))
 
 
@@ -351,8 +365,8 @@ def key_quality(rows: DataFrame) -> DataFrame:
         "|",
         *[F.concat(F.lit(f"{k}="), F.coalesce(F.col("key").getField(k).cast("string"), F.lit(""))) for k in types],
     )
-    per_key = rows.groupBy(text.alias("key_text")).agg(
-        F.count("*").alias("n"), F.count_if(blank).alias("blank_rows")
+    per_key = rows.select(text.alias("key_text"), blank.alias("blank"), _weight(rows)).groupBy("key_text").agg(
+        F.sum("weight").alias("n"), _pairs(F.col("blank")).alias("blank_rows")
     )
     return per_key.agg(
         F.coalesce(F.sum("blank_rows"), F.lit(0)).alias("blank_key_rows"),
@@ -390,17 +404,17 @@ def signal_counts(
     long = diff_long(rows)
     delta = F.col("number_a") - F.col("number_b")
     cells = long.groupBy("column_name").agg(
-        F.count_if(F.col("blank_a") & ~F.col("blank_b")).alias("to_null"),
-        F.count_if(~F.col("blank_a") & F.col("blank_b")).alias("from_null"),
-        F.count_if(delta != 0).alias("drifts"),
+        _pairs(F.col("blank_a") & ~F.col("blank_b")).alias("to_null"),
+        _pairs(~F.col("blank_a") & F.col("blank_b")).alias("from_null"),
+        _pairs(delta != 0).alias("drifts"),
     ).agg(
         F.coalesce(F.sum(F.col("to_null") + F.col("from_null")), F.lit(0)).alias("null_transitions_total"),
         (F.count_if(F.col("to_null") > 0) + F.count_if(F.col("from_null") > 0)).alias("null_transition_kinds"),
         F.count_if(F.col("drifts") > 0).alias("drift_columns"),
     )
     per_row = _scored(rows, state_columns, [], new_side).agg(
-        F.count_if(_risk_score() >= RISKY_SCORE).alias("risk_row_count"),
-        F.count_if(F.col("n_changed") >= HIGH_IMPACT_COLUMNS).alias("high_impact_count"),
+        _pairs(_risk_score() >= RISKY_SCORE).alias("risk_row_count"),
+        _pairs(F.col("n_changed") >= HIGH_IMPACT_COLUMNS).alias("high_impact_count"),
     )
     share = F.when(F.col("total_keys") > 0, F.col("impacted_keys") / F.col("total_keys") * 100).otherwise(F.lit(0.0))
     return _one_row(totals, cells, per_row).withColumn("impacted_pct", share)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from snapscope.functions import numbers, text
 from snapscope.operators import (
-    browse, content_diff, diff, keys, posting_lists, profile, rollup, search, signals, text_index, track, validate,
+    browse, content_diff, crowded, diff, keys, posting_lists, profile, rollup, search, signals, text_index, track, validate,
 )
 from snapscope.functions.dates import date_in_name
 from snapscope.functions.names import col
@@ -298,6 +298,97 @@ def _(spark, d):
     return signals.numeric_drift(rows).select("column_name", "drift_count", F.col("sum_abs_delta").cast("bigint").alias("sum_abs_delta"))
 
 
+# Three keys hold all rows: a diff row stands for all pairs of its two versions, and the signals count by its weight.
+CROWD = ["l_linestatus", "l_quantity"]
+WEIGHTED_SQL = f"""WITH {LINES}, va AS (SELECT l_returnflag, {", ".join(CROWD)}, count(*) AS n FROM a GROUP BY ALL), vb AS (SELECT l_returnflag, {", ".join(CROWD)}, count(*) AS n FROM b GROUP BY ALL),
+d AS (SELECT va.l_returnflag AS k, va.l_linestatus AS sa, vb.l_linestatus AS sb, va.l_quantity AS qa, vb.l_quantity AS qb, va.n * vb.n AS w,
+  concat_ws(', ', CASE WHEN va.l_linestatus <> vb.l_linestatus THEN 'l_linestatus' END, CASE WHEN va.l_quantity <> vb.l_quantity THEN 'l_quantity' END) AS changed,
+  (va.l_linestatus <> vb.l_linestatus)::INT + (va.l_quantity <> vb.l_quantity)::INT AS n_changed
+  FROM va JOIN vb USING (l_returnflag)), ch AS (SELECT *, 'l_returnflag="' || k || '"' AS key_text FROM d WHERE n_changed > 0)"""
+
+
+def _crowded_rows(spark, d):
+    return diff.keyed_diff(*lineitem_versions(spark, d), ["l_returnflag"], CROWD, weighted=True).rows
+
+
+@query("diff_crowded_weights", f"{WEIGHTED_SQL} SELECT k AS key_text, changed, count(*) AS row_count, sum(w)::BIGINT AS pairs FROM ch GROUP BY 1, 2")
+def _(spark, d):
+    rows = _crowded_rows(spark, d)
+    return rows.groupBy(F.col("key.l_returnflag").alias("key_text"), F.array_join("changed_columns", ", ").alias("changed")).agg(
+        F.count("*").alias("row_count"), F.sum("weight").alias("pairs"))
+
+
+@query("signal_crowded_patterns", f"{WEIGHTED_SQL} SELECT changed AS pattern, sum(w)::BIGINT AS row_count, min(key_text) AS sample_key FROM ch GROUP BY 1")
+def _(spark, d):
+    return signals.change_patterns(_crowded_rows(spark, d), None)
+
+
+@query("signal_crowded_states", f"{WEIGHTED_SQL} SELECT sb || ' -> ' || sa AS transition, sum(w)::BIGINT AS row_count FROM ch GROUP BY 1")
+def _(spark, d):
+    return signals.state_transitions(_crowded_rows(spark, d), ["l_linestatus"], top=None)
+
+
+@query("signal_crowded_families", f"""{WEIGHTED_SQL}, g AS (SELECT sa AS family, sb || ' => ' || sa AS tr, sum(w) AS n, sum(w * (n_changed + CASE WHEN sa <> sb THEN 3 ELSE 0 END)) AS score, min(key_text) AS key_text FROM ch GROUP BY 1, 2)
+  SELECT family, sum(n)::BIGINT AS row_count, sum(score)::BIGINT AS score, min(key_text) AS sample_key, arg_min(tr, (-n, tr)) AS top_transition FROM g GROUP BY 1""")
+def _(spark, d):
+    return signals.family_risk(_crowded_rows(spark, d), ["l_linestatus"], ["l_linestatus"], top=None)
+
+
+@query("signal_crowded_risk", f"""{WEIGHTED_SQL}, r AS (SELECT key_text, w, n_changed + CASE WHEN sa <> sb THEN 2 ELSE 0 END AS score FROM ch)
+  SELECT key_text, sum(w * score)::BIGINT AS risk_score, sum(w)::BIGINT AS row_count FROM r WHERE score >= 4 GROUP BY 1""")
+def _(spark, d):
+    return signals.risk_by_key(signals.risk_rows(_crowded_rows(spark, d), ["l_linestatus"]), None)
+
+
+@query("signal_crowded_key_quality", f"{WEIGHTED_SQL} SELECT 0::BIGINT AS blank_key_rows, sum(w)::BIGINT - count(DISTINCT k) AS duplicate_key_rows, count(DISTINCT k) AS unique_keys FROM ch")
+def _(spark, d):
+    return signals.key_quality(_crowded_rows(spark, d))
+
+
+@query("signal_crowded_counts", f"""{WEIGHTED_SQL}, t AS (SELECT sum(w)::BIGINT AS total_keys FROM d)
+  SELECT sum(w)::BIGINT AS impacted_keys, (SELECT total_keys FROM t) AS total_keys, sum(w)::BIGINT AS changed_count, 0::BIGINT AS null_transitions_total,
+  max(qa <> qb)::BIGINT AS drift_columns, coalesce(sum(w) FILTER (n_changed + CASE WHEN sa <> sb THEN 2 ELSE 0 END >= 4), 0)::BIGINT AS risk_row_count FROM ch""")
+def _(spark, d):
+    a, b = lineitem_versions(spark, d)
+    summary = diff.diff_summary(a, b, ["l_returnflag"], CROWD)
+    return signals.signal_counts(_crowded_rows(spark, d), summary, ["l_linestatus"]).select(
+        "impacted_keys", "total_keys", "changed_count", "null_transitions_total", "drift_columns", "risk_row_count")
+
+
+# The same three keys over all columns, where nearly every version is its own: from counts of values, no pair is formed.
+def _line_counts(spark, d):
+    return crowded.value_counts(*lineitem_versions(spark, d), ["l_returnflag"])
+
+
+ALL_LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_shipdate"]
+
+
+@query("signal_value_count_changes", f"WITH {LINES}" + "".join(
+    f""", c{i} AS (SELECT sum(na * nb - eq) AS changes FROM (SELECT k, sum(na) AS na, sum(nb) AS nb, sum(na * nb) AS eq FROM (SELECT k, v, count(*) FILTER (s = 'a') AS na, count(*) FILTER (s = 'b') AS nb
+    FROM (SELECT l_returnflag AS k, {c} AS v, 'a' AS s FROM a UNION ALL SELECT l_returnflag, {c}, 'b' FROM b) GROUP BY 1, 2) GROUP BY 1))""" for i, c in enumerate(ALL_LINE_COLUMNS))
+    + " SELECT column_name, changes FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, changes::BIGINT AS changes FROM c{i}" for i, c in enumerate(ALL_LINE_COLUMNS)) + ") WHERE changes > 0")
+def _(spark, d):
+    return crowded.column_changes(_line_counts(spark, d), None)
+
+
+@query("signal_value_count_drift", f"WITH {LINES}" + "".join(
+    f""", v{i} AS (SELECT k, v, count(*) FILTER (s = 'a') AS na, count(*) FILTER (s = 'b') AS nb FROM (SELECT l_returnflag AS k, {c}::DOUBLE AS v, 'a' AS s FROM a UNION ALL SELECT l_returnflag, {c}, 'b' FROM b) GROUP BY 1, 2),
+    g{i} AS (SELECT *, sum(na) OVER u AS ca, sum(nb) OVER u AS cb, sum(na) OVER (PARTITION BY k) AS ta, sum(nb) OVER (PARTITION BY k) AS tb, lead(v) OVER (PARTITION BY k ORDER BY v) - v AS gap FROM v{i} WINDOW u AS (PARTITION BY k ORDER BY v)),
+    c{i} AS (SELECT (SELECT sum(n) FROM (SELECT sum(na) * sum(nb) - sum(na * nb) AS n FROM v{i} GROUP BY k)) AS n, sum(gap * (ca * (tb - cb) + cb * (ta - ca))) AS total,
+      (SELECT max(greatest(x, y)) FROM (SELECT max(v) FILTER (na > 0) - min(v) FILTER (nb > 0) AS x, max(v) FILTER (nb > 0) - min(v) FILTER (na > 0) AS y FROM v{i} GROUP BY k)) AS most FROM g{i})""" for i, c in enumerate(ALL_LINE_COLUMNS[:8]))
+    + " SELECT column_name, n::BIGINT AS drift_count, round(total / 1000000)::BIGINT AS millions, round(most, 2) AS max_abs_delta FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, n, total, most FROM c{i}" for i, c in enumerate(ALL_LINE_COLUMNS[:8])) + ")")
+def _(spark, d):
+    drift = crowded.numeric_drift(_line_counts(spark, d), top=None)
+    return drift.select("column_name", "drift_count", F.round(F.col("sum_abs_delta") / 1000000).cast("bigint").alias("millions"), F.round("max_abs_delta", 2).alias("max_abs_delta"))
+
+
+@query("signal_value_count_nulls", f"""WITH {ORDERS}, p AS (SELECT a.o_orderstatus AS k, count(*) FILTER (a.o_orderpriority IS NULL) AS na, count(*) AS ta FROM a GROUP BY 1),
+  q AS (SELECT b.o_orderstatus AS k, count(*) FILTER (b.o_orderpriority IS NULL) AS nb, count(*) AS tb FROM b GROUP BY 1)
+  SELECT 'o_orderpriority' AS column_name, unnest(['vazio -> preenchido', 'preenchido -> vazio']) AS direction, unnest([sum(nb * (ta - na)), sum((tb - nb) * na)])::BIGINT AS transitions FROM p JOIN q USING (k)""")
+def _(spark, d):
+    return crowded.null_transitions(crowded.value_counts(*orders_versions(spark, d), ["o_orderstatus"]), top=None)
+
+
 NULL_JOIN = """j AS (SELECT a.c_custkey AS ka, b.c_custkey AS kb, a.c_name AS na, b.c_name AS nb, a.c_acctbal AS xa, b.c_acctbal AS xb,
   a.c_nationkey AS ga, b.c_nationkey AS gb, a.c_mktsegment AS ma, b.c_mktsegment AS mb,
   a.c_name IS NOT NULL AS in_a, b.c_name IS NOT NULL AS in_b FROM a FULL OUTER JOIN b ON a.c_custkey = b.c_custkey),

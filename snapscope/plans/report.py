@@ -15,6 +15,7 @@ from snapscope.operators import signals
 from snapscope.operators.content_diff import overview, overview_summary, report_order
 from snapscope.operators.diff import KeyedDiff, diff_order, diff_summary, keyed_diff, summary_of
 from snapscope.operators.keys import infer_keys_checked
+from snapscope.session import settled
 
 # Columns a report always shows, by the end of the table name; labels.
 ALWAYS_SHOWN = ["RTUNO", "PNTNO", "PTNAM", "PNTNAM", "STTYPE", "BITBYT", "UNIQID", "ITEMNB"]
@@ -155,9 +156,9 @@ def diff_report(
     state_columns: Sequence[str] = signals.STATE_COLUMNS, family_columns: Sequence[str] = signals.FAMILY_COLUMNS,
     new_side: str = "a", scope: str = "all_keys",
 ) -> dict[str, DataFrame]:
-    """Every signal of one diff. The diff rows are computed once and kept for the run."""
-    diff = keyed_diff(a, b, keys, compare)
-    rows = diff.rows.persist()
+    """Every signal of one diff. The diff is weighted, so a key that repeats costs its distinct rows, not their pairs; it is
+    computed once and stored."""
+    rows = settled(keyed_diff(a, b, keys, compare, weighted=True).rows)
     summary = diff_summary(a, b, keys, compare)
     counts = signals.signal_counts(rows, summary, state_columns, new_side, scope)
     risky = signals.risk_rows(rows, state_columns, new_side)
