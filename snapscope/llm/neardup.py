@@ -236,7 +236,7 @@ def coarse_edges(classes: DataFrame, threshold: float) -> DataFrame:
     own = F.pmod(F.xxhash64("node", F.lit(1)), blocks.cast("long")).cast("int")
     units = used.select("value", "node", F.col("sketch").alias("values"), own.alias("own"), F.explode(_block_pairs(own, blocks)).alias("p"))
     units = units.select("value", "p.lo", "p.hi", "node", "values", "own")
-    return _edges_of_units(units, ["value", "lo", "hi"], "own", lambda sketches: alike_sketches(sketches, least)).distinct()
+    return _edges_of_units(units, ["value", "lo", "hi"], "own", lambda sketches: alike_sketches(sketches, least))
 
 
 def exact_edges(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
@@ -276,7 +276,7 @@ def exact_edges(docs: DataFrame, members: DataFrame, width: int, percent: int) -
     full = texts.mapInArrow(sets, f"node long, units {kind}, values binary")
     full = full.select("node", "values", F.explode("units").alias("u")).select(
         "node", "values", "u.g", F.to_json("u.lo").alias("lo"), F.to_json("u.hi").alias("hi"), F.to_json("u.own").alias("own"))
-    return _edges_of_units(full, ["g", "lo", "hi"], "own", lambda s: alike_sets(s, percent)).distinct()
+    return _edges_of_units(full, ["g", "lo", "hi"], "own", lambda s: alike_sets(s, percent))
 
 
 def in_components(docs: DataFrame, width: int, percent: int) -> DataFrame:

@@ -17,10 +17,11 @@ repeated rows and ids are judged row by row; empty tables give no rows.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from snapscope.llm.common import bounded_batches, few_files, join_small_groups, stored
@@ -158,14 +159,18 @@ def estimate(rows: DataFrame) -> DataFrame:
     )), "mcd-start")
     x = [F.get("x", F.lit(i)) for i in range(DIM)]
     sums = [F.sum(x[i]).alias(f"s{i}") for i in range(DIM)] + [F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(DIM) for j in range(i + 1)]
-    searched, step = True, 0
+    # Groups whose determinant has stopped falling are set aside; the others' rows are met again.
+    ended, searched, step = [], True, 0
     while searched:
-        near = join_small_groups(rows, model.drop("logdet", "scale", "fell"), GROUP, "g_rows", F.xxhash64("x"))
+        near = join_small_groups(rows, model.drop("logdet", "scale", "fell"), GROUP, "g_rows", F.xxhash64("x")).where("center IS NOT NULL")
         bins = near.withColumn("bin", F.least(F.floor(F.sqrt(_distance2()) * BINS_PER_UNIT), F.lit(BINS)).cast("int"))
         moments = bins.groupBy(*GROUP, "bin").agg(F.count("*").alias("n"), *sums)
+        seen = Observation()
         found = moments.groupBy(*GROUP).cogroup(model.groupBy(*GROUP)).applyInArrow(_concentrated, MODEL)
-        model = stored(few_files(found), f"mcd-{step}")
-        searched, step = not model.where("fell").isEmpty(), step + 1
+        found = stored(few_files(found).observe(seen, F.count_if(F.col("fell")).alias("falling")), f"mcd-{step}")
+        ended.append(found.where("NOT fell"))
+        model, searched, step = found.where("fell"), seen.get["falling"] > 0, step + 1
+    model = reduce(DataFrame.union, ended)
     return model.select(*GROUP, "g_rows", "center", F.transform("whiten", lambda w: w / F.sqrt("scale")).alias("whiten"))
 
 

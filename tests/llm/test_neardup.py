@@ -97,3 +97,36 @@ def test_overlaps_of_many_sets():
     want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
     got = neardup.overlaps(sets)
     assert all(got[i, j] == want[i][j] for i in range(9) for j in range(9) if i != j)
+
+
+def test_components_of_hot_nodes_chains_and_repeats(spark, monkeypatch):
+    monkeypatch.setattr("snapscope.llm.common.HOT_ROWS", 20)
+    r = random.Random(8)
+    ids = [r.randrange(-(2**62), 2**62) for _ in range(900)]
+    edges = [(ids[k], ids[k + 1]) for k in range(200)] + [(ids[300], ids[300 + k]) for k in range(150)] * 2 + [(ids[r.randrange(500, 900)], ids[r.randrange(500, 900)]) for _ in range(300)]
+    r.shuffle(edges)
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    got = {x.node: x.root for x in components(frame).collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    assert components(frame.limit(0)).count() == 0
+
+
+def test_few_stages(spark):
+    """The driver keeps plans and records of all stages, so their number is part of what the operator costs."""
+    context = spark.sparkContext
+    context.setJobGroup("near-duplicates", "counted")
+    docs = documents(spark, [t for k in range(6) for t in near_copies(12, 0.01, k)] + [prose(100 + k, 90) for k in range(40)])
+    neardup.near_duplicates(docs).collect()
+    jobs = context.statusTracker().getJobIdsForGroup("near-duplicates")
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 70
