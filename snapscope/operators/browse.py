@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from snapscope.functions.arguments import whole_number
 from snapscope.functions.names import HEADLINE_FIELDS, col, column_key, display_order, known_name
 from snapscope.functions.text import strip
 
-LIMIT_DEFAULT = 50
+# Bounds of a request for a page.
+LIMIT_DEFAULT, LIMIT_MAX = 50, 1000
 
 
 @dataclass(frozen=True)
@@ -24,6 +26,29 @@ class TablePage:
     offset: int
 
 
+@dataclass(frozen=True)
+class PageArgs:
+    """Arguments of `table_rows` and `table_page`."""
+
+    column: str | None
+    q: str | None
+    sort: str | None
+    order: str
+    limit: int
+    offset: int
+
+
+def page_args(raw: Mapping[str, object]) -> PageArgs:
+    """Check raw request values. The bounds are those of a request; the engine takes any page size."""
+    order = str(raw.get("order") or "ASC").upper()
+    return PageArgs(
+        column=str(raw.get("col") or "") or None, q=str(raw.get("q") or "") or None, sort=str(raw.get("sort") or "") or None,
+        order=order if order in ("ASC", "DESC") else "ASC",
+        limit=whole_number(raw.get("limit", LIMIT_DEFAULT), "limit", 1, LIMIT_MAX),
+        offset=whole_number(raw.get("offset", 0), "offset", 0),
+    )
+
+
 def contains_filter(df: DataFrame, column: str | None, q: str | None) -> DataFrame:
     """Rows whose text contains q, ignoring case; `%` and `_` in q are wildcards. No column or no q: all rows."""
     if not column or not q:

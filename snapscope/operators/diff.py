@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from snapscope.functions.arguments import whole_number
 from snapscope.functions.names import col, common_columns, reject_case_clashes
 
 CHANGE_TYPES = ("added", "removed", "changed")
@@ -524,6 +525,17 @@ class Page:
     total_pages: int
 
 
+# Bounds of a request for a page of a diff.
+PAGE_SIZE_DEFAULT, PAGE_SIZE_MAX = 200, 1000
+
+
+def page_request(raw: Mapping[str, object]) -> dict[str, int]:
+    """Checked `page` and `page_size` of a request; `row_limit` stands for the page size where that is not given. The engine
+    takes any page size."""
+    size = next((raw[k] for k in ("page_size", "row_limit") if raw.get(k) not in (None, "")), PAGE_SIZE_DEFAULT)
+    return {"page": whole_number(raw.get("page") or 1, "page", 1), "page_size": whole_number(size, "page_size", 1, PAGE_SIZE_MAX)}
+
+
 def diff_page(rows: DataFrame, page: int = 1, page_size: int = 200) -> Page:
     """One page in key order; a page past the end becomes the last one.
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from snapscope.functions.arguments import whole_number
 from snapscope.functions.similarity import STAGED, ratio_bounds, with_common_bounds, with_exact_ratio
 from snapscope.functions.text import normalize_query
 from snapscope.operators.posting_lists import PostingIndex, narrowed
@@ -41,8 +42,8 @@ class SearchArgs:
 
     def __post_init__(self) -> None:
         # The upper bounds of a request are checked by `search_args`; the engine takes any.
-        _bounded(self.per_table, "per_table", 1)
-        _bounded(self.total_limit, "total_limit", 1)
+        whole_number(self.per_table, "per_table", 1)
+        whole_number(self.total_limit, "total_limit", 1)
 
     @property
     def normalized(self) -> str:
@@ -53,16 +54,6 @@ class SearchArgs:
         return self.normalized.split()
 
 
-def _bounded(value, name: str, least: int, most: int | None = None) -> int:
-    try:
-        number = int(value)
-    except (TypeError, ValueError):
-        raise ValueError(f"{name} must be a whole number") from None
-    if number < least or (most is not None and number > most):
-        raise ValueError(f"{name} is out of range")
-    return number
-
-
 def priority_tables(value: str | Sequence[str]) -> tuple[str, ...]:
     """From `a, b` or a list; blanks dropped, order kept."""
     if not isinstance(value, (str, list, tuple)):
@@ -85,11 +76,11 @@ def search_args(raw: Mapping[str, object]) -> SearchArgs:
             raise ValueError(f"at most {TABLES_MAX} tables can be named")
     return SearchArgs(
         q=q,
-        per_table=_bounded(raw.get("per_table", 10), "per_table", 1, PER_TABLE_MAX),
-        candidate_limit=None if limit in (None, "") else _bounded(limit, "candidate_limit", 1, CANDIDATES_MAX),
-        total_limit=_bounded(raw.get("total_limit", 500), "total_limit", 1, TOTAL_MAX),
+        per_table=whole_number(raw.get("per_table", 10), "per_table", 1, PER_TABLE_MAX),
+        candidate_limit=None if limit in (None, "") else whole_number(limit, "candidate_limit", 1, CANDIDATES_MAX),
+        total_limit=whole_number(raw.get("total_limit", 500), "total_limit", 1, TOTAL_MAX),
         token_mode=mode if mode in ("any", "all") else "any",
-        min_score=None if least in (None, "") else _bounded(least, "min_score", 0),
+        min_score=None if least in (None, "") else whole_number(least, "min_score", 0),
         tables=tables,
         priority=priority_tables(raw.get("priority") or ()),
     )

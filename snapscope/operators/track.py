@@ -7,15 +7,19 @@ the wanted snapshots reach the scan. `catalog(order_idx, <snapshot>, ...)` lists
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from snapscope.functions.names import col
 from snapscope.functions.serial import row_json
 from snapscope.operators.filters import Condition, equals_value, matches, missing_columns, resolve
+from snapscope.session import settled
 
 # Error texts, and column names tried when the key column is not known.
 NO_TABLE, NO_COLUMN = "TABELA AUSENTE", "COLUNA AUSENTE"
@@ -105,6 +109,76 @@ def find_record(
     )
 
 
+def _message(problem: Exception) -> str:
+    """The error condition where the problem has one, else its first line."""
+    named = problem.getCondition() if isinstance(problem, PySparkException) else None
+    return named or next((line for line in str(problem).splitlines() if line.strip()), type(problem).__name__).strip()
+
+
+def find_record_past_errors(
+    catalog: DataFrame,
+    tables: Mapping[str, DataFrame | Callable[[], DataFrame]],
+    conditions: Sequence[Condition],
+    snapshot: str = "snapshot",
+    show: Sequence[str] | None = None,
+    max_snapshots: int | None = None,
+    most_errors: int | None = 3,
+) -> DataFrame:
+    """Like `find_record`, but a table that can't be read is an error of its own and later tables still win.
+
+    Each table is searched by a job of its own, whose result, a row per snapshot with a match, is stored; where it fails, its
+    snapshots are searched one by one, so that only broken ones are lost. A table may be given as a function that opens it.
+    Of a snapshot without a match, `error` joins the first `most_errors` messages `table: problem` in the order of the tables.
+    """
+    if not conditions:
+        raise ValueError("no condition given")
+    chosen = settled(_limited(catalog, max_snapshots))
+    spark, kind = chosen.sparkSession, chosen.schema[snapshot].dataType
+    hits, failed, fits = [], [], False
+    for place, (name, table) in enumerate(tables.items()):
+
+        def search(df: DataFrame, place: int = place, name: str = name) -> DataFrame:
+            found = table_matches(df, conditions, snapshot, show)
+            hit = F.struct(F.lit(place).alias("place"), F.lit(name).alias("table_name"), "match_count", "sample").alias("hit")
+            return settled(found.select(col(snapshot), hit))
+
+        try:
+            df = table() if callable(table) else table
+            if missing_columns(df, conditions):
+                continue
+            fits = True
+            df = _within(df, chosen, snapshot, max_snapshots)
+        except (PySparkException, Py4JJavaError) as problem:
+            failed.append((None, place, name, _message(problem)))
+            continue
+        try:
+            hits.append(search(df))
+        except (PySparkException, Py4JJavaError):
+            for row in chosen.select(col(snapshot).alias("s")).toLocalIterator():
+                try:
+                    hits.append(search(df.filter(col(snapshot).eqNullSafe(F.lit(row["s"])))))
+                except (PySparkException, Py4JJavaError) as problem:
+                    failed.append((row["s"], place, name, _message(problem)))
+    # One row per broken table, or per broken snapshot of it.
+    known = spark.createDataFrame([(place, name, message, s, s is None) for s, place, name, message in failed],
+                                  T.StructType([T.StructField("place", T.IntegerType()), T.StructField("table_name", T.StringType()), T.StructField("message", T.StringType()),
+                                                T.StructField("_s", kind), T.StructField("_all", T.BooleanType())]))
+    problems = chosen.select(col(snapshot)).join(F.broadcast(known), F.col("_all") | (F.col("_s") == col(snapshot)))
+    errors = joined_errors(problems, snapshot, most_errors)
+    joined = chosen.join(errors, snapshot, "left")
+    if hits:
+        best = reduce(DataFrame.unionByName, hits).groupBy(col(snapshot)).agg(F.min("hit").alias("hit"))
+        joined = joined.join(best, snapshot, "left")
+    else:
+        joined = joined.withColumn("hit", F.lit(None).cast("struct<place: int, table_name: string, match_count: bigint, sample: string>"))
+    is_found = F.col("hit").isNotNull()
+    problem = F.coalesce(F.col("error"), F.lit(None if fits or failed else NO_COLUMN).cast("string"))
+    return joined.select(
+        *[col(c) for c in catalog.columns], is_found.alias("found"), "hit.table_name", F.coalesce("hit.match_count", F.lit(0)).alias("match_count"),
+        "hit.sample", F.when(~is_found, problem).alias("error"),
+    )
+
+
 def _first_table(tables, usable, conditions, snapshot, show) -> DataFrame | None:
     hits = [
         table_matches(tables[t], conditions, snapshot, show).select(

@@ -1081,6 +1081,19 @@ def _(spark, d):
     return _track(spark, d, "user_id=42,event_type='click'")
 
 
+@query("track_past_unreadable_table", track_sql("user_id = 42 AND event_type = 'click'") + " SELECT * REPLACE (CASE WHEN NOT found THEN 'torn: PATH_NOT_FOUND' END AS error) FROM tr")
+def _(spark, d):
+    daily = events_daily(spark, d)
+    given = {"torn": lambda: spark.read.parquet(f"{d}/events_of_no_day.parquet"), "events": daily}
+    return track.find_record_past_errors(daily_catalog(daily), given, parse_conditions("user_id=42,event_type='click'"), show=SHOWN)
+
+
+@query("track_missing_table", f"WITH {DAILY} SELECT snapshot, order_idx, false AS found, NULL::VARCHAR AS table_name, 0::BIGINT AS match_count, NULL::VARCHAR AS sample, 'TABELA AUSENTE' AS error FROM cat")
+def _(spark, d):
+    daily = events_daily(spark, d)
+    return track.find_record(daily_catalog(daily), {"events": daily}, parse_conditions("user_id=42"), table="readings", show=SHOWN)
+
+
 @query("track_missing_column", f"WITH {DAILY} SELECT snapshot, order_idx, false AS found, NULL::VARCHAR AS table_name, 0::BIGINT AS match_count, NULL::VARCHAR AS sample, 'COLUNA AUSENTE' AS error FROM cat")
 def _(spark, d):
     return _track(spark, d, "nope=1")

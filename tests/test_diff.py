@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from snapscope.operators.diff import (
     diff_after, diff_page, diff_spec, diff_summary, filter_diff, first_rows, flat_diff, keyed_diff, parse_key_filter,
     repeated_versions,
+    page_request,
 )
 
 SCHEMA = "id INT, valor STRING"
@@ -75,7 +76,11 @@ def test_pages(spark):
     with pytest.raises(ValueError):
         diff_page(rows, 0)
     with pytest.raises(ValueError):
-        diff_page(rows, 1, 1001)
+        page_request({"page_size": 1001})
+    assert page_request({}) == {"page": 1, "page_size": 200} and page_request({"page": "2", "row_limit": "7"}) == {"page": 2, "page_size": 7}
+    for bad in ({"page": -1}, {"page_size": 0}, {"page_size": "x"}, {"row_limit": 5000}):
+        with pytest.raises(ValueError):
+            page_request(bad)
 
 
 def test_changed_column(spark):

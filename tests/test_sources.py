@@ -175,9 +175,15 @@ def test_browse(spark):
     assert [r.id for r in page.rows.collect()] == [3, 1] and page.total == 2
     assert [r.id for r in browse.table_rows(df, sort="note").collect()] == [5, 1, 3, 2, 4]
     assert browse.contains_filter(df, "note", "\\l").count() == 1 and browse.contains_filter(df, None, "x").count() == 5
-    for bad in ({"limit": 0}, {"limit": 1001}, {"offset": -1}, {"sort": "nope"}, {"column": "nope", "q": "x"}):
+    for bad in ({"limit": 0}, {"offset": -1}, {"sort": "nope"}, {"column": "nope", "q": "x"}):
         with pytest.raises(ValueError):
             browse.table_rows(df, **bad)
+    asked = browse.page_args({"col": "note", "q": "ALP", "sort": "id", "order": "desc", "limit": "2"})
+    assert [r.id for r in browse.table_page(df, **vars(asked)).rows.collect()] == [3, 1]
+    assert browse.page_args({}) == browse.PageArgs(None, None, None, "ASC", 50, 0)
+    for bad in ({"limit": 0}, {"limit": 1001}, {"limit": "x"}, {"offset": -1}):
+        with pytest.raises(ValueError):
+            browse.page_args(bad)
     texts = spark.createDataFrame([(v,) for v in ["b10", "B2", "10", "9,5", "a", None]], "v STRING")
     assert [r.v for r in texts.orderBy(*browse.natural_order(F.col("v"))).collect()] == ["9,5", "10", None, "a", "B2", "b10"]
 

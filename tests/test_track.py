@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from snapscope.operators import track as t
 from snapscope.operators.filters import equals_value, matches, parse_conditions
@@ -42,6 +43,22 @@ def test_find_record(world):
     assert shown.sample == '{"PNTNAM":"aux unidad"}'
 
 
+def test_broken_tables_are_errors_and_later_ones_win(spark, world, tmp_path):
+    catalog, tables = world
+    broken = tables["POINTS"].withColumn("PNTNO", F.when(F.col("snapshot") == "s3", F.raise_error(F.lit("torn page")).cast("int")).otherwise(F.col("PNTNO")))
+    given = {"gone": lambda: spark.read.parquet(f"{tmp_path}/nothing"), "torn": broken, "people": tables["people"], "POINTS": tables["POINTS"]}
+    rows = {r.snapshot: r for r in t.find_record_past_errors(catalog, given, parse_conditions("RTUNO=1,PNTNO=2304")).collect()}
+    assert (rows["s2"].table_name, rows["s2"].error) == ("torn", None)
+    assert (rows["s3"].table_name, rows["s3"].match_count, rows["s3"].error) == ("POINTS", 2, None)
+    assert rows["s1"].error == "gone: PATH_NOT_FOUND" and not rows["s4"].found
+    del given["POINTS"]
+    rows = {r.snapshot: r for r in t.find_record_past_errors(catalog, given, parse_conditions("RTUNO=1,PNTNO=2304")).collect()}
+    assert rows["s3"].error.startswith("gone: PATH_NOT_FOUND; torn: ") and rows["s2"].found
+    whole = t.find_record_past_errors(catalog, tables, parse_conditions("PNTNO=2304"), show=["pntnam"])
+    assert sorted(map(str, whole.collect())) == sorted(map(str, t.find_record(catalog, tables, parse_conditions("PNTNO=2304"), show=["pntnam"]).collect()))
+    assert {r.error for r in t.find_record_past_errors(catalog, tables, [("nope", 1)]).collect()} == {t.NO_COLUMN}
+
+
 def test_first_table_wins_and_errors(spark, world):
     catalog, tables = world
     both = {"b": tables["POINTS"], "a": tables["POINTS"]}
