@@ -1,4 +1,10 @@
-"""Key columns: inferred from the data, or guessed from the names."""
+"""Key columns: inferred from the data, or guessed from the names.
+
+Inference goes level by level, single columns first; a set of columns that holds a known key is no candidate any more. The
+candidates of a level are tested together. First on samples of their tuples, not of rows: of each candidate those tuples are
+counted whose hash falls into one of many classes, all copies of them, in one pass over both sides. A candidate with a
+repeated tuple there is refuted for good. What is left is counted exactly, several candidates in one pass by grouping sets.
+"""
 
 from __future__ import annotations
 
@@ -15,11 +21,8 @@ KEY_HINTS = ["INHPRO", "ITEMNB", "RTUNO", "PNTNO", "UNIQID", "OID", "ID", "KEY",
 KEY_SUFFIXES = ("ID", "NO", "NB")
 DOMAIN_KEYS = {"RANGER_SOSTAT": ["RTUNO", "PNTNO"]}
 PREFERRED_KEYS = ["ID", "RTUNO", "PNTNO", "ITEMNB", "INHPRO"]
-# So many sketches are kept in one scan.
-SKETCHES_PER_SCAN = 200
-# The estimate's standard error is 5 %. A candidate is ruled out only when its estimate is more than six
-# of them, and a few rows, short of the row count; anything closer is counted exactly.
-SURE_SHARE, SURE_ROWS = 0.7, 32
+# Tuples of a candidate in its sample, about; candidates sampled and candidates counted exactly in one pass.
+SAMPLED, PER_SAMPLE, PER_PASS = 10_000, 200, 6
 
 
 def key_name_score(name: str) -> int:
@@ -32,29 +35,76 @@ def by_key_score(columns: Sequence[str]) -> list[str]:
     return sorted(columns, key=lambda c: (-key_name_score(c), c))
 
 
-def candidate_keys(columns: Sequence[str]) -> list[list[str]]:
-    """Single columns, then pairs, of all columns, the best-named first: the order they are tried in."""
-    top = by_key_score(columns)
-    return [[c] for c in top] + [list(p) for p in combinations(top, 2)]
+def _next_level(columns: Sequence[str], width: int, known: Sequence[Sequence[str]]) -> list[list[str]]:
+    """Sets of `width` columns that hold no known key, the best-named first: the order they are tried in."""
+    return [list(c) for c in combinations(by_key_score(columns), width) if not any(set(k) <= set(c) for k in known)]
 
 
-def key_estimates(df: DataFrame, candidates: Sequence[Sequence[str]]) -> tuple[int, list[int]]:
-    """Row count and estimated distinct tuples per candidate: one scan, no shuffle of rows.
+def sampled_repeats(a: DataFrame, b: DataFrame, candidates: Sequence[Sequence[str]], classes: int) -> set[int]:
+    """Positions of the candidates of which a sampled tuple occurs twice on a side. NULL counts as a value.
 
-    Tuples are hashed so that NULL counts as a value.
+    Tuples go by two 64-bit hashes; one in `classes` is counted, with all its copies.
     """
-    sketches = [
-        F.approx_count_distinct(F.xxhash64(*[col(c) for c in key])).alias(f"d{i}") for i, key in enumerate(candidates)
-    ]
-    row = df.agg(F.count("*").alias("n"), *sketches).first()
-    return row["n"], [row[f"d{i}"] for i in range(len(candidates))]
+    columns = list(dict.fromkeys(c for key in candidates for c in key))
+
+    def side(df: DataFrame, tag: int) -> DataFrame:
+        hashes = [F.struct(F.lit(i).alias("candidate"), F.xxhash64(*[col(c) for c in key]).alias("h"), F.hash(*[col(c) for c in key], F.lit(i)).alias("g"))
+                  for i, key in enumerate(candidates)]
+        taken = F.filter(F.array(*hashes), lambda x: F.pmod(x["h"], F.lit(classes)) == 0) if classes > 1 else F.array(*hashes)
+        return df.select(*[col(c) for c in columns]).select(F.lit(tag).alias("side"), F.inline(taken))
+
+    counts = side(a, 0).unionAll(side(b, 1)).groupBy("side", "candidate", "h", "g").agg(F.count("*").alias("copies"))
+    return {r["candidate"] for r in counts.filter("copies > 1").select("candidate").distinct().collect()}
+
+
+def unique_among(df: DataFrame, candidates: Sequence[Sequence[str]]) -> list[bool]:
+    """For each candidate, exactly: no tuple occurs twice. All are counted in one pass; an empty table has no unique key."""
+    columns = list(dict.fromkeys(c for key in candidates for c in key))
+    place = {c: f"c{i}" for i, c in enumerate(columns)}
+    plain = df.select(*[col(c).alias(n) for c, n in place.items()])
+    sets = [[F.col(place[c]) for c in key] for key in candidates]
+    counts = plain.groupingSets(sets, *[F.col(n) for n in place.values()]).agg(F.grouping_id().alias("gid"), F.count("*").alias("copies"))
+    worst = {r["gid"]: r["worst"] for r in counts.groupBy("gid").agg(F.max("copies").alias("worst")).collect()}
+    gids = [sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in key) for key in candidates]
+    return [worst.get(g) == 1 for g in gids]
 
 
 def is_unique(df: DataFrame, key: Sequence[str]) -> bool:
     """Exact: no tuple occurs twice. An empty table has no unique key."""
-    counts = df.groupBy(*[col(c).alias(f"k{i}") for i, c in enumerate(key)]).agg(F.count("*").alias("copies"))
-    worst = counts.agg(F.max("copies")).first()[0]
-    return worst == 1
+    return unique_among(df, [key])[0]
+
+
+def _keys_of_level(a: DataFrame, b: DataFrame, candidates: list[list[str]], rows: int, only_first: bool) -> list[list[str]]:
+    """The candidates that are unique on both sides (or the first of them), in order."""
+    found = []
+    for start in range(0, len(candidates), PER_SAMPLE):
+        some = candidates[start : start + PER_SAMPLE]
+        refuted = sampled_repeats(a, b, some, max(1, rows // SAMPLED))
+        left = [key for i, key in enumerate(some) if i not in refuted]
+        for at in range(0, len(left), PER_PASS):
+            few = left[at : at + PER_PASS]
+            in_a = unique_among(a, few)
+            few = [key for key, good in zip(few, in_a) if good]
+            found += [key for key, good in zip(few, unique_among(b, few)) if good] if few else []
+            if found and only_first:
+                return found[:1]
+    return found
+
+
+def minimal_keys(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None, width: int = 3, only_first: bool = False) -> list[list[str]]:
+    """Sets of up to `width` columns that are unique on both sides while no part of them is, best-named first within a width."""
+    columns = list(columns) if columns is not None else common_columns(a, b)
+    if not columns:
+        raise ValueError("no common columns")
+    sizes = [df.count() for df in (a, b)]
+    found: list[list[str]] = []
+    if min(sizes) == 0:
+        return found
+    for n in range(1, min(width, len(columns)) + 1):
+        found += _keys_of_level(a, b, _next_level(columns, n, found), max(sizes), only_first)
+        if found and only_first:
+            break
+    return found
 
 
 def infer_keys(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None) -> list[str]:
@@ -65,24 +115,11 @@ def infer_keys(a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None)
 def infer_keys_checked(
     a: DataFrame, b: DataFrame, columns: Sequence[str] | None = None
 ) -> tuple[list[str], bool]:
-    """The key and whether it is unique on both sides.
-
-    All columns and all pairs of them are candidates. Sketches, many in one scan per side, rule most out;
-    only the rest, in order, are tested exactly.
-    """
+    """The key, of all columns and all pairs of them, and whether it is unique on both sides."""
+    found = minimal_keys(a, b, columns, width=2, only_first=True)
+    if found:
+        return found[0], True
     columns = list(columns) if columns is not None else common_columns(a, b)
-    if not columns:
-        raise ValueError("no common columns")
-    candidates = candidate_keys(columns)
-    for start in range(0, len(candidates), SKETCHES_PER_SCAN):
-        some = candidates[start : start + SKETCHES_PER_SCAN]
-        plausible = [True] * len(some)
-        for side in (a, b):
-            rows, distinct = key_estimates(side, some)
-            plausible = [p and rows > 0 and d >= SURE_SHARE * rows - SURE_ROWS for p, d in zip(plausible, distinct)]
-        for key, worth_testing in zip(some, plausible):
-            if worth_testing and is_unique(a, key) and is_unique(b, key):
-                return key, True
     return by_key_score(columns)[:1], False
 
 

@@ -484,6 +484,12 @@ def _(spark, d):
     return keys.key_evidence(a, b, keys.infer_keys(a, b))
 
 
+@query("infer_minimal_keys", "SELECT * FROM (VALUES ('labels', 'doc_id'), ('nation', 'n_nationkey'), ('nation', 'n_name'), ('conversations', 'text'), ('conversations', 'conv_id,turn')) AS t(table_name, key_columns)")
+def _(spark, d):
+    found = [(n, ",".join(k)) for n in ("labels", "nation", "conversations") for k in keys.minimal_keys(table(spark, d, n), table(spark, d, n))]
+    return spark.createDataFrame(found, "table_name STRING, key_columns STRING")
+
+
 @query("infer_keys_conversations", _key_sql("text", "conversations", "conversations"))
 def _(spark, d):
     turns = table(spark, d, "conversations")

@@ -70,6 +70,33 @@ def test_infer_keys(spark):
         keys.infer_keys(a, b, [])
 
 
+def test_minimal_keys_are_those_of_brute_force(spark, monkeypatch):
+    import random
+    from itertools import combinations
+
+    monkeypatch.setattr(keys, "SAMPLED", 20)
+    monkeypatch.setattr(keys, "PER_PASS", 2)
+    r = random.Random(11)
+    names = ["a", "b.c", "ID", "No", "v"]
+    for case in range(4):
+        sides = [[(k if case else k // 2, r.choice([None, 1, 2, 3]), r.choice([None, k % 13]), float(k // 7), r.choice("xyz")) for k in range(60)] for _ in "ab"]
+        frames = [spark.createDataFrame(rows, "a INT, `b.c` INT, ID INT, No DOUBLE, v STRING").repartition(3) for rows in sides]
+
+        def unique(key):
+            places = [names.index(c) for c in key]
+            return all(len({tuple(row[p] for p in places) for row in rows}) == len(rows) for rows in sides)
+
+        want = []
+        for n in (1, 2, 3):
+            level = combinations(keys.by_key_score(names), n)
+            want += [list(c) for c in level if not any(set(k) <= set(c) for k in want) and unique(c)]
+        assert keys.minimal_keys(*frames) == want
+        pairs = [k for k in want if len(k) < 3]
+        assert keys.infer_keys_checked(*frames) == ((pairs[0], True) if pairs else (["ID"], False))
+    with pytest.raises(ValueError):
+        keys.minimal_keys(*frames, columns=[])
+
+
 def test_guess_keys():
     guess = keys.guess_keys
     assert guess(["a", "Id"]) == ["Id"] and guess(["a", "x_id", "y_ID"]) == ["x_id"] and guess(["a"]) == []
