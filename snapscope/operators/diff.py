@@ -605,9 +605,10 @@ def _follows(rows: DataFrame, last: Mapping[str, object]) -> Column:
 
 
 def flat_diff(rows: DataFrame, separator: str = ",") -> DataFrame:
-    """Plain columns: `key_<k>`, `change_type`, `a_<c>`, `b_<c>`, `changed` (joined names)."""
+    """Plain columns: `key_<k>`, `change_type`, `a_<c>`, `b_<c>`, `changed` (joined names); weight and position where rows have them."""
     keys = [F.col("key").getField(k).alias(f"key_{k}") for k in rows.schema["key"].dataType.names]
     pairs = [
         F.col(side).getField(c).alias(f"{side}_{c}") for c in rows.schema["a"].dataType.names for side in ("a", "b")
     ]
-    return rows.select(*keys, "change_type", *pairs, F.array_join("changed_columns", separator).alias("changed"))
+    extra = [c for c in ("weight", "position") if c in rows.columns]
+    return rows.select(*keys, "change_type", *pairs, F.array_join("changed_columns", separator).alias("changed"), *extra)

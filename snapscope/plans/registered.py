@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from snapscope.functions import numbers, text
 from snapscope.operators import (
-    browse, content_diff, crowded, diff, keys, posting_lists, profile, rollup, search, signals, text_index, track, validate,
+    browse, content_diff, crowded, diff, keys, pages, posting_lists, profile, rollup, search, signals, text_index, track, validate,
 )
 from snapscope.functions.dates import date_in_name
 from snapscope.functions.names import col
@@ -221,6 +221,38 @@ def _(spark, d):
     return _flat_orders(reduce(DataFrame.unionAll, pages))
 
 
+_STORED_DIFFS: dict[tuple[str, str], pages.StoredPages] = {}
+
+
+def _stored_diff(spark, d) -> pages.StoredPages:
+    """The diff of orders in the order of its pages, stored once per session."""
+    known = spark.sparkContext.applicationId, d
+    if known not in _STORED_DIFFS:
+        _STORED_DIFFS[known] = pages.store_diff(_orders_rows(spark, d), shared_path(spark, "orders-diff"))
+    return _STORED_DIFFS[known]
+
+
+@query("diff_stored_page", f"WITH {ORDERS_DIFF} SELECT {DIFF_COLUMNS}, row_number() OVER (ORDER BY k, change_type) - 1 AS position FROM d ORDER BY k, change_type LIMIT 50 OFFSET 300")
+def _(spark, d):
+    page = pages.page_of(_stored_diff(spark, d), page=7, page_size=50).rows
+    return _flat_orders(page)
+
+
+@query("diff_stored_walk", f"WITH {ORDERS_DIFF} SELECT {DIFF_COLUMNS}, row_number() OVER (ORDER BY k, change_type) - 1 AS position FROM d")
+def _(spark, d):
+    """The whole diff again, page after page."""
+    stored = _stored_diff(spark, d)
+    size = max(1, -(-stored.total // 5))
+    return _flat_orders(reduce(DataFrame.unionAll, [pages.page_of(stored, k + 1, size).rows for k in range(-(-stored.total // size))]))
+
+
+@query("browse_stored_page", "SELECT *, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) - 1 AS position FROM (SELECT * EXCLUDE l_shipdate, l_shipdate::VARCHAR AS l_shipdate FROM lineitem) ORDER BY position LIMIT 100 OFFSET 1000")
+def _(spark, d):
+    order = [F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber"]
+    stored = pages.store_pages(table(spark, d, "lineitem"), order, shared_path(spark, "lineitem-pages"))
+    return as_text(pages.rows_at(stored, 1000, 100), "l_shipdate")
+
+
 @query("diff_part_composite_key", f"""WITH {PART} SELECT coalesce(a.p_partkey, b.p_partkey) AS key_p_partkey, coalesce(a.p_name, b.p_name) AS key_p_name,
   CASE WHEN a.p_partkey IS NULL THEN 'added' WHEN b.p_partkey IS NULL THEN 'removed' ELSE 'changed' END AS change_type,
   a.p_brand AS a_p_brand, b.p_brand AS b_p_brand, a.p_retailprice AS a_p_retailprice, b.p_retailprice AS b_p_retailprice,
