@@ -54,6 +54,6 @@ def test_contract(spark):
     queries, oracle = registered.QUERIES, registered.ORACLE
     assert set(queries) <= set(entry.queries())
     assert set(oracle) <= set(queries) and len(queries) > 100
-    assert set(queries) - set(oracle) == {"search_ranked_phrase", "scan_search_text_columns", "catalog_of_files", "catalog_fingerprints"}
+    assert set(queries) - set(oracle) == {"catalog_of_files", "catalog_fingerprints"}
     flagship = entry.entry(spark)
     assert flagship.count() > 0 and "change_type" in flagship.columns
