@@ -38,7 +38,7 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """Contracted edges (u, v), stored, and a mark that tells two edge sets apart, taken while they are written."""
     seen = Observation()
-    made = few_files(edges).mapInArrow(_contracted, "u long, v long")
+    made = edges.mapInArrow(_contracted, "u long, v long")
     made = made.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
     now = stored(made, "edges")
     return now, (seen.get["n"], seen.get["h"])
@@ -56,7 +56,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"), F.count("*").alias("_degree"))
         hooked = join_small_groups(both, least, ["u"], "_degree", F.col("v")).select(F.col("v").alias("u"), F.col("least").alias("v"))
-        before, (now, mark) = mark, _stored(hooked.where("u <> v").distinct())
+        before, (now, mark) = mark, _stored(few_files(hooked.where("u <> v").distinct()))
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
     raise RuntimeError("the components haven't settled")
