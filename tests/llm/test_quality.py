@@ -60,3 +60,52 @@ def test_normal_rows_are_rejected_as_the_cutoff_means(spark):
     rows = spark.range(0, 100_000, 1, 4).select(F.lit("l").alias("g_lang"), F.lit("s").alias("g_source"), F.array(*x[:-1], x[-1] + 2 * x[0]).alias("x"))
     far = rows.crossJoin(quality.estimate(rows).drop("g_lang", "g_source")).where(quality._distance2() > quality.CUTOFF).count()
     assert 65 <= far <= 140
+
+
+def plain_estimate(x, language):
+    """Concentration with the language's rows counted in, by whole sorted rows instead of bins."""
+    floors = np.diag(np.square(quality.FLOORS))
+    def quartiles(v):
+        q = np.quantile(v, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+        return q[1], ((q[2] - q[0]) / 1.349) ** 2 + np.diag(floors)
+    (m0, v0), (m, v) = quartiles(language), quartiles(x)
+    k, n = quality.PRIOR, len(x)
+    w = n / (n + k)
+    center, cov, logdet = w * m + (1 - w) * m0, np.diag(w * v + (1 - w) * v0), np.inf
+    t = np.diag(v0 * quality.NEAREST_VARIANCE)
+    while True:
+        d2 = np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(cov), x - center)
+        order, h = np.argsort(d2), quality.SHARE * n
+        part = np.clip(h - np.arange(n), 0, 1)
+        near = x[order]
+        c = (part @ near + k * m0) / (h + k)
+        s = ((near * part[:, None]).T @ near + k * (t + np.outer(m0, m0))) / (h + k) - np.outer(c, c) + floors
+        new = np.linalg.slogdet(s)[1]
+        if new >= logdet - quality.FALL:
+            scale = max(1, (n * np.median(d2) / quality.CHI2_MEDIAN + k / quality.NEAREST_VARIANCE) / (n + k))
+            return center, cov * scale
+        center, cov, logdet = c, s, new
+
+
+def test_every_group_is_estimated_whatever_its_size(spark):
+    """Against the plain estimate: groups of one row, of some and of many, in a language of their own or not."""
+    r = np.random.default_rng(3)
+    mix = np.tril(r.normal(0, 0.4, (quality.DIM, quality.DIM)))
+    sizes = {("l", "one"): 1, ("l", "two"): 2, ("l", "few"): 9, ("l", "some"): 60, ("l", "many"): 700, ("m", "alone"): 1, ("m", "three"): 3, ("n", "own"): 99, ("o", "own"): 101}
+    x = {g: r.normal(0, 1, (n, quality.DIM)) @ mix + k / 3 for k, (g, n) in enumerate(sizes.items())}
+    x[("l", "few")][0] += 30
+    x[("l", "one")] += 30
+    rows = spark.createDataFrame([(*g, v.tolist()) for g, values in x.items() for v in values], "g_lang string, g_source string, x array<double>")
+    got = {(m.g_lang, m.g_source): m for m in quality.estimate(rows).collect()}
+    assert got.keys() == sizes.keys()
+    for g, values in x.items():
+        center, cov = plain_estimate(values, np.concatenate([v for other, v in x.items() if other[0] == g[0]]))
+        whiten = np.array(got[g].whiten).reshape(quality.DIM, quality.DIM)
+        plain = np.einsum("ij,jk,ik->i", values - center, np.linalg.inv(cov), values - center)
+        ours = (((values - got[g].center) @ whiten.T) ** 2).sum(axis=1)
+        limit = quality.CUTOFF * (1 + quality.SLACK / got[g].lang_rows)
+        clear = np.abs(plain / limit - 1) > 0.15  # bins round distances
+        assert ((plain <= limit) == (ours <= limit))[clear].all() and clear.mean() > 0.9 or len(values) < 3
+        assert np.allclose(ours, plain, rtol=0.25, atol=0.5)
+        if g in (("l", "few"), ("l", "one")):
+            assert ours[0] > limit
