@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from snapscope.functions import numbers, text
 from snapscope.operators import (
-    browse, content_diff, crowded, diff, keys, pages, posting_lists, profile, rollup, search, signals, text_index, track, validate,
+    browse, content_diff, crowded, diff, index_upkeep, keys, pages, posting_lists, profile, rollup, search, signals, text_index, track, validate,
 )
 from snapscope.functions.dates import date_in_name
 from snapscope.functions.names import col
@@ -976,6 +976,19 @@ def _(spark, d):
     return text_index.index_progress(tables(spark, d, *TABLES), _index(spark, d, ["part", "supplier"]))
 
 
+@query("index_kept_in_step", f"""WITH {INDEX_SQL} SELECT table_name, count(DISTINCT row_id) AS row_count, count(*) AS copies, count(DISTINCT content_norm) AS texts
+  FROM idx WHERE table_name <> 'part' GROUP BY 1""")
+def _(spark, d):
+    """Two updates by the listing, the second with two files more and one gone, then a compaction."""
+    files = {n: f"{d}/{n}.parquet" for n in TABLES}
+    path = shared_path(spark, "kept-index")
+    index_upkeep.update_index(spark, {n: f for n, f in files.items() if n not in ("lineitem", "region")}, path)
+    index_upkeep.update_index(spark, {n: f for n, f in files.items() if n != "part"}, path)
+    index_upkeep.compact_index(spark, path)
+    return index_upkeep.current_index(spark, path).groupBy("table_name").agg(
+        F.count("*").alias("row_count"), F.sum("copies").alias("copies"), F.count_distinct("content_norm").alias("texts"))
+
+
 @query("index_missing_rows", f"WITH {INDEX_SQL} SELECT table_name, count(*) AS row_count FROM idx WHERE table_name <> 'part' GROUP BY 1")
 def _(spark, d):
     wanted = text_index.folded(_index(spark, d))
