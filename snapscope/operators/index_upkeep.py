@@ -6,8 +6,9 @@ read, and become a part of their own; files that are gone are only noted. A vers
 after its parts are complete, so what a broken update leaves is never read, and the next one does its work again.
 
 A part has its rows once, with their copies, and in a second narrow table how many copies came from which file. Readers
-fold the parts and take off the copies of files that are gone. `compact_index` stores the result as a single part, which
-is then read as it lies, without a shuffle.
+fold the parts and take off the copies of files that are gone, which concerns the tables of these files only. `compact_index`
+stores the result as a single part, which is then read as it lies, without a shuffle. Where rows are stored, those that occur
+once are not moved; their ids are not stored but computed from them.
 
 One update or compaction runs at a time. Of two that publish the same version the one with the smaller attempt name counts,
 the other's is ignored.
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,13 +27,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapscope.functions.names import is_user_table
-from snapscope.operators.text_index import INDEX_SCHEMA, folded, index_rows
+from snapscope.operators.text_index import INDEX_SCHEMA, folded, folded_apart, index_rows, row_id, told_apart
 
 LOG_SCHEMA = (
     "kind STRING, table_name STRING, name STRING, size BIGINT, modified TIMESTAMP, file_key BIGINT, in_part STRING, alive BOOLEAN, "
     "v INT, attempt STRING"
 )
 LINE = ["kind", "table_name", "name", "size", "modified", "file_key", "in_part", "alive"]
+COLUMNS = [c.split()[0] for c in INDEX_SCHEMA.split(", ")]
+STORED_SCHEMA = INDEX_SCHEMA.replace("row_id STRING, ", "") + ", part STRING"
 PLACES_SCHEMA = "row_id STRING, file_key BIGINT, copies BIGINT, part STRING, table_name STRING"
 
 
@@ -116,13 +119,17 @@ def _rows_of(spark: SparkSession, table: str, source: str, files: list[str], kin
     return rows.select("*", _file_key(F.lit(table)).alias("file_key"))
 
 
+def _store(df: DataFrame, path: str) -> None:
+    df.write.partitionBy("table_name").option("compression", "zstd").parquet(path)
+
+
 def update_index(
     spark: SparkSession, sources: Mapping[str, str], path: str, kind: str = "parquet", schemas: Mapping[str, str] | None = None
 ) -> Update:
     """Bring the index at `path` in step with the files of all tables; a table that isn't named any more is gone.
 
-    The names of the new files pass through the driver, as they do in any read that names them. Their rows are
-    formed twice, once for the rows and once, without texts, for the places.
+    The names of the new files pass through the driver, as they do in any read that names them. Their rows are formed three
+    times: without texts for the count that tells repeated rows and for the places, and once for the rows.
     """
     log = read_log(spark, path)
     now, known = listing(spark, sources), _latest(log).where("kind = 'file' AND alive")
@@ -136,9 +143,10 @@ def update_index(
     if files:
         part = uuid.uuid4().hex
         rows = reduce(DataFrame.unionByName, [_rows_of(spark, t, sources[t], f, kind, (schemas or {}).get(t)) for t, f in files.items()])
-        folded(rows.drop("file_key")).write.partitionBy("table_name").parquet(f"{path}/rows/part={part}")
-        places = rows.groupBy("table_name", "row_id", "file_key").agg(F.sum("copies").alias("copies"))
-        places.write.partitionBy("table_name").parquet(f"{path}/places/part={part}")
+        once, more = told_apart(rows)
+        _store(once.unionByName(folded(more)).drop("file_key", "row_id"), f"{path}/rows/part={part}")
+        places = more.groupBy("table_name", "row_id", "file_key").agg(F.sum("copies").alias("copies"))
+        _store(once.select(*places.columns).unionByName(places), f"{path}/places/part={part}")
         lines = lines.unionByName(_file_lines(new, F.lit(part), True)).unionByName(_part_line(spark, part))
     elif not lost:
         return Update((), 0, None)
@@ -151,25 +159,30 @@ def _parts(state: DataFrame) -> list[str]:
 
 
 def _gone_keys(state: DataFrame, parts: list[str]) -> DataFrame:
-    return state.where(F.expr("kind = 'file' AND NOT alive") & F.col("in_part").isin(parts)).select("file_key")
+    return state.where(F.expr("kind = 'file' AND NOT alive") & F.col("in_part").isin(parts)).select("table_name", "file_key")
 
 
 def _places(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
     return spark.read.schema(PLACES_SCHEMA).parquet(f"{path}/places").where(F.col("part").isin(parts)).drop("part")
 
 
-def _current(spark: SparkSession, path: str, state: DataFrame, parts: list[str]) -> DataFrame:
+def _current(spark: SparkSession, path: str, state: DataFrame, parts: list[str], fold: Callable[[DataFrame], DataFrame] = folded) -> DataFrame:
     if not parts:
         return spark.createDataFrame([], INDEX_SCHEMA)
-    rows = spark.read.schema(INDEX_SCHEMA + ", part STRING").parquet(f"{path}/rows").where(F.col("part").isin(parts)).drop("part")
+    stored = spark.read.schema(STORED_SCHEMA).parquet(f"{path}/rows").where(F.col("part").isin(parts))
+    rows = stored.withColumn("row_id", row_id(F.col("table_name"), F.col("row_json"))).select(*COLUMNS)
     gone = _gone_keys(state, parts)
-    if gone.isEmpty():
-        return folded(rows) if len(parts) > 1 else rows
-    off = _places(spark, path, parts).join(gone, "file_key", "left_semi").select("table_name", "row_id", (-F.col("copies")).alias("copies"))
+    tables = [r.table_name for r in gone.select("table_name").distinct().collect()]
+    less = F.col("table_name").isin(tables)
+    whole = rows.where(~less) if tables else rows
+    whole = fold(whole) if len(parts) > 1 else whole
+    if not tables:
+        return whole
+    off = _places(spark, path, parts).where(less).join(gone, ["table_name", "file_key"], "left_semi").select("table_name", "row_id", (-F.col("copies")).alias("copies"))
     rest = [c for c in rows.columns if c not in ("table_name", "row_id", "copies")]
-    both = rows.unionByName(off, allowMissingColumns=True).groupBy("table_name", "row_id").agg(
+    both = rows.where(less).unionByName(off, allowMissingColumns=True).groupBy("table_name", "row_id").agg(
         *(F.any_value(c, F.lit(True)).alias(c) for c in rest), F.sum("copies").alias("copies"))
-    return both.where("copies > 0").select(*rows.columns)
+    return whole.unionByName(both.where("copies > 0").select(*rows.columns))
 
 
 def current_index(spark: SparkSession, path: str) -> DataFrame:
@@ -187,8 +200,7 @@ def compact_index(spark: SparkSession, path: str) -> int | None:
     if len(parts) < 2 and gone.isEmpty():
         return None
     part = uuid.uuid4().hex
-    _current(spark, path, state, parts).write.partitionBy("table_name").parquet(f"{path}/rows/part={part}")
-    places = _places(spark, path, parts).join(gone, "file_key", "left_anti")
-    places.write.partitionBy("table_name").parquet(f"{path}/places/part={part}")
+    _store(_current(spark, path, state, parts, folded_apart).drop("row_id"), f"{path}/rows/part={part}")
+    _store(_places(spark, path, parts).join(gone, ["table_name", "file_key"], "left_anti"), f"{path}/places/part={part}")
     lines = _file_lines(state.where("kind = 'file' AND alive"), F.lit(part), True).unionByName(_part_line(spark, part))
     return _publish(log, reduce(DataFrame.unionByName, [_part_line(spark, p, False) for p in parts], lines), path)
