@@ -9,9 +9,11 @@ cells of the input, whatever number of pairs they stand for; only a pair's colum
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from snapscope.functions.numbers import finite_number
 from snapscope.functions.text import is_blank
@@ -19,22 +21,56 @@ from snapscope.operators.diff import _any_null, _sides, diff_spec
 from snapscope.operators.positions import with_prefix_sums
 from snapscope.operators.signals import EMPTIED, FILLED, _top
 
+# Types whose equal values have one text, and unlike ones (but for instants) unlike texts.
+PLAIN = (T.IntegralType, T.FractionalType, T.StringType, T.BooleanType, T.DateType, T.TimestampNTZType, T.TimestampType)
+
 
 def value_counts(a: DataFrame, b: DataFrame, keys: Sequence[str], compare: Sequence[str] | None = None) -> DataFrame:
     """(k0.., column_name, value, blank, number, n_a, n_b): rows per distinct value of each compared column and key, NULL keys left out."""
     spec = diff_spec(a, b, keys, compare)
     left, right, names = _sides(a, b, spec)
 
+    kinds = [(left.schema[f"a{i}"].dataType, right.schema[f"b{i}"].dataType) for i in range(len(spec.compare))]
+    others = [i for i, (x, y) in enumerate(kinds) if x != y or not _is_plain(x)]
+    counted = [_counted_typed(left, right, names, i, c) for i, c in enumerate(spec.compare) if i not in others]
+    if others or not counted:
+        counted.append(_counted_as_text(left, right, names, {i: spec.compare[i] for i in others}))
+    return reduce(DataFrame.unionAll, counted)
+
+
+def _is_plain(kind: T.DataType) -> bool:
+    # A text of a collation of its own may equal unlike ones.
+    return isinstance(kind, PLAIN) and (not isinstance(kind, T.StringType) or kind == T.StringType())
+
+
+def _cell(value: Column, kind: T.DataType) -> list[Column]:
+    if kind.typeName() in ("float", "double"):
+        value = F.when(value == 0, F.lit(0.0)).otherwise(value)  # one zero
+    return [value.cast("string").alias("value"), is_blank(value, kind).alias("blank"), finite_number(value, kind).alias("number")]
+
+
+def _counted_typed(left: DataFrame, right: DataFrame, names: list[str], i: int, column: str) -> DataFrame:
+    """Counts of one column, grouped as the values are: a text, if any, is formed per distinct value, not per row."""
+    def side(df: DataFrame, tag: str) -> DataFrame:
+        marks = [F.lit(int(tag == t)).cast("bigint").alias(f"in_{t}") for t in ("a", "b")]
+        return df.filter(~_any_null(names)).select(*names, F.col(f"{tag}{i}").alias("v"), *marks)
+
+    kind = left.schema[f"a{i}"].dataType
+    per_value = side(left, "a").unionAll(side(right, "b")).groupBy(*names, "v").agg(F.sum("in_a").alias("n_a"), F.sum("in_b").alias("n_b"))
+    cells = per_value.select(*names, F.lit(column).alias("column_name"), *_cell(F.col("v"), kind), "n_a", "n_b")
+    if not isinstance(kind, T.TimestampType):
+        return cells
+    # Two instants may have one text, where clocks are put back.
+    return cells.groupBy(*names, "column_name", "value", "blank", "number").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"))
+
+
+def _counted_as_text(left: DataFrame, right: DataFrame, names: list[str], columns: dict[int, str]) -> DataFrame:
+    """Counts of columns whose values are compared as text."""
     def cells(df: DataFrame, tag: str) -> DataFrame:
-        made = []
-        for i, column in enumerate(spec.compare):
-            value, kind = F.col(f"{tag}{i}"), df.schema[f"{tag}{i}"].dataType
-            if kind.typeName() in ("float", "double"):
-                value = F.when(value == 0, F.lit(0.0)).otherwise(value)  # one zero
-            made.append(F.struct(F.lit(column).alias("column_name"), value.cast("string").alias("value"),
-                                 is_blank(value, kind).alias("blank"), finite_number(value, kind).alias("number")))
+        made = [F.struct(F.lit(c).alias("column_name"), *_cell(F.col(f"{tag}{i}"), df.schema[f"{tag}{i}"].dataType)) for i, c in columns.items()]
+        none = F.array().cast("array<struct<column_name:string,value:string,blank:boolean,number:double>>")
         counted = [F.lit(int(tag == t)).cast("bigint").alias(f"in_{t}") for t in ("a", "b")]
-        return df.filter(~_any_null(names)).select(*names, F.inline(F.array(*made))).select("*", *counted)
+        return df.filter(~_any_null(names)).select(*names, F.inline(F.array(*made) if made else none)).select("*", *counted)
 
     both = cells(left, "a").unionAll(cells(right, "b"))
     return both.groupBy(*names, "column_name", "value", "blank", "number").agg(F.sum("in_a").alias("n_a"), F.sum("in_b").alias("n_b"))
