@@ -1,6 +1,9 @@
 """What a stored index moves and keeps: rows that occur once stay, ids are computed, lists hold the places of many rows."""
 
+import os
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from snapscope.operators import posting_lists as pl
 from snapscope.operators import search as q
@@ -47,3 +50,33 @@ def test_one_text_in_many_blocks_and_slices(spark, tmp_path, monkeypatch):
     made = pl._lists(np.array(keys), list(texts)).to_pylist()
     places = sorted(x["block"] * 4 + p for x in made if x["gram"] == "abc" for p in x["places"])
     assert places == [k for k in keys if "abc" in texts[k]] and all(0 <= p < 4 for x in made for p in x["places"])
+
+
+def test_lists_are_written_where_rows_are_read_as_gaps(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pl, "SIGNS", 50)
+    rng = np.random.default_rng(5)
+    keys = np.unique(np.concatenate([rng.integers(0, 3 * pl.BLOCK, 400), [0, 127, 128, 16383, 16384, pl.BLOCK - 1, pl.BLOCK]]))
+    texts = [" ".join(["abc"] * (k % 2) + ["bcd"] * (k % 5 == 0) + [f"x{k}y"]) for k in keys.tolist()]
+    mixed = rng.permutation(len(keys))
+    batch = pa.RecordBatch.from_arrays([pa.array(keys[mixed]), pa.array([texts[i] for i in mixed])], names=["row_key", "content_norm"])
+    read = [(r["gram"], r["row_key"]) for b in pl._keys_of(pl._lists_of(iter([batch]))) for r in b.to_pylist()]
+    assert sorted(read) == sorted({(w[i : i + 3], k) for k, t in zip(keys.tolist(), texts) for w in t.split() for i in range(len(w) - 2)})
+    index = ix.index_rows("t", spark.createDataFrame([(i, f"valve {i}") for i in range(300)], "id INT, txt STRING").repartition(3))
+    stored = pl.write_postings(index, str(tmp_path), part_rows=50)
+    assert "Exchange" not in plan(pl.lists_of_rows(stored.rows)) and "places" not in stored.lists.columns
+    assert stored.lists.where("gram = 'val'").agg({"n": "sum"}).first()[0] == 300
+    found = q.candidates(stored, q.SearchArgs("valve 17")).select("pk_value").collect()
+    assert len(found) == 300 and pl.candidate_keys(stored, ["217"]).count() == 1
+
+
+def test_the_count_that_tells_repeated_rows_leaves_no_shuffle_files(spark):
+    rows = ix.index_rows("t", spark.range(50_000).repartition(3))
+    # Where a local session keeps its blocks.
+    folders = [f.toString() for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+
+    def shuffled():
+        return {f for d in folders for _, _, files in os.walk(d) for f in files if f.startswith("shuffle_") and f.endswith(".data")}
+
+    before = shuffled()
+    once, more = ix.told_apart(rows)
+    assert not shuffled() - before and once.count() == 50_000 and more.count() == 0
