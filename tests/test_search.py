@@ -229,3 +229,20 @@ def test_bounds_hold_and_decide_most_rows(spark):
         whole = with_common_bounds(frame, query.split(), "t", whole_scores=True)
         assert whole.where("_rest_text IS NOT NULL").count() <= staged.where("_rest_text IS NOT NULL").count()
         assert [r.ratio for r in with_token_set_ratio(frame, query.split(), "t").collect()] == [r.ratio for r in rows]
+
+
+@pytest.mark.parametrize("mode", ["any", "all"])
+def test_a_scan_tells_from_the_columns_which_rows_it_forms_texts_of(spark, monkeypatch, mode):
+    words = ["small ring", "SMALL", "sm-all", "smäll", "smáll riNg", "RİNG", "rıng", "ring 12", None, "", "x12y"]
+    rows = [(i, w, v, None if i % 3 else 12.5 * i) for i, (w, v) in enumerate(itertools.product(words, ["ring", "elle", None, "Élle", "1-2"]))]
+    df = spark.createDataFrame(rows * 2, "id INT, name STRING, other STRING, n DOUBLE")
+    broken = spark.sql("SELECT 7 AS id, cast(X'736d616c6cff' AS STRING) AS name UNION ALL SELECT 8, cast(X'ff' AS STRING) UNION ALL SELECT 9, 'small'")
+    for text, only_text in itertools.product(["small ring", "12", "smäll ring", "ell 12", "..."], [True, False]):
+        args = q.SearchArgs(text, token_mode=mode, per_table=1000)
+        found = q.scan_search({"t": df, "u": broken}, args, only_text)
+        if text == "small ring":
+            assert "octet_length" in found._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted(map(str, found.collect()))
+        with monkeypatch.context() as m:
+            m.setattr(q, "may_hold", lambda *a: None)
+            assert got == sorted(map(str, q.scan_search({"t": df, "u": broken}, args, only_text).collect()))
