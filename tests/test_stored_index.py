@@ -5,6 +5,8 @@ import os
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 from snapscope.operators import posting_lists as pl
 from snapscope.operators import search as q
 from snapscope.operators import text_index as ix
@@ -69,6 +71,38 @@ def test_lists_are_written_where_rows_are_read_as_gaps(spark, tmp_path, monkeypa
     assert len(found) == 300 and pl.candidate_keys(stored, ["217"]).count() == 1
 
 
+def test_a_task_deals_its_blocks_over_few_open_parts_without_a_sort(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pl, "OPEN_PARTS", 3)
+    index = ix.index_rows("t", spark.createDataFrame([(i, f"valve {i}") for i in range(300)], "id INT, txt STRING").coalesce(1))
+    seen, write = [], DataFrameWriter.parquet
+
+    def noted(self, path, *rest, **more):
+        seen.append((path, spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")))
+        return write(self, path, *rest, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    stored = pl.write_postings(index, str(tmp_path), part_rows=20)
+    assert dict(seen)[f"{tmp_path}/rows"] == "3" and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert stored.parts == 3 and facts(stored.rows) == facts(index)
+    files = stored.rows.groupBy(F.input_file_name()).agg(F.count("*").alias("n"), F.min("row_key").alias("low"), F.max("row_key").alias("high")).collect()
+    assert len(files) == 15 and all(f.n == 20 and f.high - f.low == 19 for f in files)
+    assert pl.candidate_keys(stored, ["217"]).select("part").first() == stored.rows.where("pk_value = '217'").select("part").first()
+    assert [r.pk_value for r in pl.narrowed(stored, ["217"]).collect()] == ["217"]
+
+
+def test_a_ranked_search_keeps_no_candidates_on_disk_unless_a_limit_bounds_them(spark, tmp_path, monkeypatch):
+    rows = [(i, " ".join(["valve"] * (i % 4 > 0) + ["pump"] * (i % 3) + [f"x{i % 11}"])) for i in range(200)]
+    index = ix.index_rows("t", spark.createDataFrame(rows, "id INT, txt STRING"))
+    stored, kept = pl.write_postings(index, str(tmp_path), part_rows=50), []
+    monkeypatch.setattr(q, "settled", lambda df: kept.append(df) or df)
+    for args, n in [(q.SearchArgs("valve pump", per_table=7), 0), (q.SearchArgs("valve x3", per_table=500, min_score=40), 0), (q.SearchArgs("pump", candidate_limit=30), 1)]:
+        got = q.search(stored, args).collect()
+        assert got and got == q.search(index, args, stored=False).select(*q.search(stored, args).columns).collect()
+        assert len(kept) == 2 * n
+        kept.clear()
+
+
 def test_the_count_that_tells_repeated_rows_leaves_no_shuffle_files(spark):
     rows = ix.index_rows("t", spark.range(50_000).repartition(3))
     # Where a local session keeps its blocks.
