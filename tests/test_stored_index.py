@@ -83,7 +83,7 @@ def test_a_task_deals_its_blocks_over_few_open_parts_without_a_sort(spark, tmp_p
     monkeypatch.setattr(DataFrameWriter, "parquet", noted)
     before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
     stored = pl.write_postings(index, str(tmp_path), part_rows=20)
-    assert dict(seen)[f"{tmp_path}/rows"] == "3" and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert int(dict(seen)[f"{tmp_path}/rows"]) > stored.parts and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
     assert stored.parts == 3 and facts(stored.rows) == facts(index)
     files = stored.rows.groupBy(F.input_file_name()).agg(F.count("*").alias("n"), F.min("row_key").alias("low"), F.max("row_key").alias("high")).collect()
     assert len(files) == 15 and all(f.n == 20 and f.high - f.low == 19 for f in files)
