@@ -91,6 +91,30 @@ def test_a_task_deals_its_blocks_over_few_open_parts_without_a_sort(spark, tmp_p
     assert [r.pk_value for r in pl.narrowed(stored, ["217"]).collect()] == ["217"]
 
 
+def test_a_text_that_its_row_tells_is_not_stored_and_every_other_is(spark, tmp_path):
+    kind = "id INT, txt STRING, at TIMESTAMP, ratio DOUBLE, price DECIMAL(9,2), deep STRUCT<a: STRING>"
+    told = [
+        (1, 'a "quoted, " line\nÉlan \\n {"k": "T"}', "2024-01-31 08:00:00", 1.5e9, None, None), (2, None, "2024-01-31 08:00:01.5001", None, None, None),
+        (3, "null,", "2024-01-31 00:00:00.17", 0.25, None, None), (4, "abc,\\" * 30_000, None, -0.0, None, None), (5, "a\u0301b\u0001c \U00020000x", None, 7.0, None, None),
+    ]
+    kept = [(6, "2024-01-31T08:00:00", None, None, None, None), (7, "other", None, None, "5.10", None), (8, "x", None, None, None, ("deep one",))]
+    made = spark.createDataFrame(told + kept, kind.replace("TIMESTAMP", "STRING").replace("DECIMAL(9,2)", "STRING"))
+    made = made.withColumn("at", F.col("at").cast("timestamp")).withColumn("price", F.col("price").cast("decimal(9,2)"))
+    plain = ix.index_rows("t", made.select("id", "txt", "at", "ratio")).unionByName(ix.index_rows("u", made.where("id > 6")))
+    free = spark.createDataFrame([("f", None, "9", "free", "not in the row", "{}", 1), ("f", None, "10", "bare", "", None, 1)], ix.INDEX_SCHEMA)
+    index = plain.unionByName(free)
+    stored = pl.write_postings(index, str(tmp_path), part_rows=3)
+    texts = {(r.table_name, r.pk_value): r.content_norm for r in index.collect()}
+    assert {(r.table_name, r.pk_value): r.content_norm for r in stored.rows.collect()} == texts
+    on_disk = {(r.table_name, r.pk_value): r.content_norm for r in spark.read.parquet(f"{tmp_path}/rows").collect()}
+    assert {k for k, text in on_disk.items() if text is not None} == {("t", "6"), ("u", "7"), ("u", "8"), ("f", "9")}
+    # Without keys to send, the rows are read.
+    for index_read in (stored, pl.read_postings(spark, str(tmp_path), keys_sent=0)):
+        for asked in ("elan", "row", "ab", "00", "txt", "t08", "null"):
+            found = q.candidates(index_read, q.SearchArgs(asked)).select("table_name", "pk_value").collect()
+            assert sorted(map(tuple, found)) == sorted(k for k, text in texts.items() if asked in text), asked
+
+
 def test_a_ranked_search_keeps_no_candidates_on_disk_unless_a_limit_bounds_them(spark, tmp_path, monkeypatch):
     rows = [(i, " ".join(["valve"] * (i % 4 > 0) + ["pump"] * (i % 3) + [f"x{i % 11}"])) for i in range(200)]
     index = ix.index_rows("t", spark.createDataFrame(rows, "id INT, txt STRING"))
