@@ -5,7 +5,8 @@ listing with the log before any row is read: only files that are new (or changed
 read, and become a part of their own; files that are gone are only noted. A version of the log is published as one file,
 after its parts are complete, so what a broken update leaves is never read, and the next one does its work again.
 
-A part has its rows once, with their copies, and in a second narrow table how many copies came from which file. Readers
+A part has its rows once, with their copies; a row that came from one place names its file, and of the others a second narrow table tells
+how many copies came from which file. Readers
 fold the parts and take off the copies of files that are gone, which concerns the tables of these files only. `compact_index`
 stores the result as a single part, which is then read as it lies, without a shuffle. Where rows are stored, those that occur
 once are not moved; their ids are not stored but computed from them.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapscope.functions.names import is_user_table
-from snapscope.operators.text_index import INDEX_SCHEMA, folded, folded_apart, index_rows, row_id, told_apart
+from snapscope.operators.text_index import INDEX_SCHEMA, folded, index_rows, row_id, told_apart
 
 LOG_SCHEMA = (
     "kind STRING, table_name STRING, name STRING, size BIGINT, modified TIMESTAMP, file_key BIGINT, in_part STRING, alive BOOLEAN, "
@@ -35,7 +36,7 @@ LOG_SCHEMA = (
 )
 LINE = ["kind", "table_name", "name", "size", "modified", "file_key", "in_part", "alive"]
 COLUMNS = [c.split()[0] for c in INDEX_SCHEMA.split(", ")]
-STORED_SCHEMA = INDEX_SCHEMA.replace("row_id STRING, ", "") + ", part STRING"
+STORED_SCHEMA = INDEX_SCHEMA.replace("row_id STRING, ", "") + ", file_key BIGINT, part STRING"
 PLACES_SCHEMA = "row_id STRING, file_key BIGINT, copies BIGINT, part STRING, table_name STRING"
 
 
@@ -144,9 +145,8 @@ def update_index(
         part = uuid.uuid4().hex
         rows = reduce(DataFrame.unionByName, [_rows_of(spark, t, sources[t], f, kind, (schemas or {}).get(t)) for t, f in files.items()])
         once, more = told_apart(rows)
-        _store(once.unionByName(folded(more)).drop("file_key", "row_id"), f"{path}/rows/part={part}")
-        places = more.groupBy("table_name", "row_id", "file_key").agg(F.sum("copies").alias("copies"))
-        _store(once.select(*places.columns).unionByName(places), f"{path}/places/part={part}")
+        _store(once.unionByName(_without_file(folded(more.drop("file_key")))).drop("row_id"), f"{path}/rows/part={part}")
+        _store(more.groupBy("table_name", "row_id", "file_key").agg(F.sum("copies").alias("copies")), f"{path}/places/part={part}")
         lines = lines.unionByName(_file_lines(new, F.lit(part), True)).unionByName(_part_line(spark, part))
     elif not lost:
         return Update((), 0, None)
@@ -162,27 +162,47 @@ def _gone_keys(state: DataFrame, parts: list[str]) -> DataFrame:
     return state.where(F.expr("kind = 'file' AND NOT alive") & F.col("in_part").isin(parts)).select("table_name", "file_key")
 
 
+def _rows(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
+    stored = spark.read.schema(STORED_SCHEMA).parquet(f"{path}/rows").where(F.col("part").isin(parts))
+    return stored.withColumn("row_id", row_id(F.col("table_name"), F.col("row_json"))).select(*COLUMNS, "file_key")
+
+
 def _places(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
+    """The places of rows that don't name their file."""
     return spark.read.schema(PLACES_SCHEMA).parquet(f"{path}/places").where(F.col("part").isin(parts)).drop("part")
 
 
-def _current(spark: SparkSession, path: str, state: DataFrame, parts: list[str], fold: Callable[[DataFrame], DataFrame] = folded) -> DataFrame:
-    if not parts:
-        return spark.createDataFrame([], INDEX_SCHEMA)
-    stored = spark.read.schema(STORED_SCHEMA).parquet(f"{path}/rows").where(F.col("part").isin(parts))
-    rows = stored.withColumn("row_id", row_id(F.col("table_name"), F.col("row_json"))).select(*COLUMNS)
+def _named_places(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("file_key").isNotNull()).select("row_id", "file_key", "copies", "table_name")
+
+
+def _without_file(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("file_key", F.lit(None).cast("bigint"))
+
+
+def _whole_and_less(spark: SparkSession, path: str, state: DataFrame, parts: list[str]) -> tuple[DataFrame, DataFrame | None, list[str]]:
+    """Stored rows of tables without gone files; rows of the others, without the copies from these; and the names of the others."""
+    rows = _rows(spark, path, parts)
     gone = _gone_keys(state, parts)
     tables = [r.table_name for r in gone.select("table_name").distinct().collect()]
-    less = F.col("table_name").isin(tables)
-    whole = rows.where(~less) if tables else rows
-    whole = fold(whole) if len(parts) > 1 else whole
     if not tables:
-        return whole
-    off = _places(spark, path, parts).where(less).join(gone, ["table_name", "file_key"], "left_semi").select("table_name", "row_id", (-F.col("copies")).alias("copies"))
-    rest = [c for c in rows.columns if c not in ("table_name", "row_id", "copies")]
-    both = rows.where(less).unionByName(off, allowMissingColumns=True).groupBy("table_name", "row_id").agg(
+        return rows, None, []
+    less = F.col("table_name").isin(tables)
+    places = _places(spark, path, parts).unionByName(_named_places(rows)).where(less)
+    off = places.join(gone, ["table_name", "file_key"], "left_semi").select("table_name", "row_id", (-F.col("copies")).alias("copies"))
+    rest = [c for c in COLUMNS if c not in ("table_name", "row_id", "copies")]
+    both = rows.where(less).drop("file_key").unionByName(off, allowMissingColumns=True).groupBy("table_name", "row_id").agg(
         *(F.any_value(c, F.lit(True)).alias(c) for c in rest), F.sum("copies").alias("copies"))
-    return whole.unionByName(both.where("copies > 0").select(*rows.columns))
+    return rows.where(~less), both.where("copies > 0").select(*COLUMNS), tables
+
+
+def _current(spark: SparkSession, path: str, state: DataFrame, parts: list[str]) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], INDEX_SCHEMA)
+    whole, less, _ = _whole_and_less(spark, path, state, parts)
+    whole = whole.select(*COLUMNS)
+    whole = folded(whole) if len(parts) > 1 else whole
+    return whole if less is None else whole.unionByName(less)
 
 
 def current_index(spark: SparkSession, path: str) -> DataFrame:
@@ -200,7 +220,16 @@ def compact_index(spark: SparkSession, path: str) -> int | None:
     if len(parts) < 2 and gone.isEmpty():
         return None
     part = uuid.uuid4().hex
-    _store(_current(spark, path, state, parts, folded_apart).drop("row_id"), f"{path}/rows/part={part}")
-    _store(_places(spark, path, parts).join(gone, ["table_name", "file_key"], "left_anti"), f"{path}/places/part={part}")
+    whole, less, tables = _whole_and_less(spark, path, state, parts)
+    places = _places(spark, path, parts)
+    if len(parts) > 1:
+        whole, more = told_apart(whole)
+        whole = whole.unionByName(_without_file(folded(more.drop("file_key"))))
+        places = places.unionByName(_named_places(more))
+    if less is not None:
+        whole = whole.unionByName(_without_file(less))
+        places = places.unionByName(_named_places(_rows(spark, path, parts).where(F.col("table_name").isin(tables))))
+    _store(whole.drop("row_id"), f"{path}/rows/part={part}")
+    _store(places.join(gone, ["table_name", "file_key"], "left_anti"), f"{path}/places/part={part}")
     lines = _file_lines(state.where("kind = 'file' AND alive"), F.lit(part), True).unionByName(_part_line(spark, part))
     return _publish(log, reduce(DataFrame.unionByName, [_part_line(spark, p, False) for p in parts], lines), path)
